@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, ngram_join
+from . import decontaminate, exact_dedup, html_extract, license_scan, mixing, ngram_join, quality, token_counts, token_output, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_quality": quality.op3_quality,
+    "op4_token_counts": token_counts.op4_token_counts,
     "op5_ngram_join": ngram_join.op5_ngram_join,
+    "op6_url_filter": url_filter.op6_url_filter,
+    "op7_html_extract": html_extract.op7_html_extract,
+    "op8_token_output": token_output.op8_token_output,
+    "op9_license_scan": license_scan.op9_license_scan,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
