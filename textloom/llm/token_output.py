@@ -18,7 +18,11 @@ from .tokenfile import Reader, Writer, key_bytes, key_value
 
 END = 1
 #: Entries that a worker's two memories hold before they start anew: bounds on memory, not on input.
-KEPT_WORDS, KEPT_PIECES = 400_000, 600_000
+KEPT_WORDS, KEPT_PIECES = 700_000, 900_000
+#: Texts, or characters of text, that are encoded together.
+TOGETHER_TEXTS, TOGETHER_CHARS = 200, 2_000_000
+#: Marks that form one piece when they follow letters.
+MARKS = "!#$%&*.,;:?)|"
 #: Words of these characters, without markers of special tokens, are split into pieces like the tokenizer does.
 PLAIN = re.compile(r"(?!.*<\|)[!-~\u00c0-\u00ff]+")
 #: Fixed value: how the vocabulary word_bpe_49k splits a word, after lower-casing.
@@ -47,31 +51,58 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         return [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def split(self, word: bytes) -> list[str] | None:
+        """The pieces of a plain word: letters and the marks behind them, or what the pattern finds."""
+        if not self.by_pieces:
+            return None
+        text = word.decode().lower()
+        core = text.rstrip(MARKS)
+        if core.isalpha() and max(core) <= "\u00ff":
+            return [core, text[len(core) :]] if len(core) < len(text) else [core]
+        return PIECES.findall(text) if PLAIN.fullmatch(word.decode()) else None
+
     def learn(self, new: list[bytes]) -> None:
-        texts = [w.decode() for w in new]
-        split = [PIECES.findall(t.lower()) if self.by_pieces and PLAIN.fullmatch(t) else None for t in texts]
+        split = [self.split(w) for w in new]
         if len(self.pieces) > KEPT_PIECES:
             self.pieces.clear()
-        unknown = list({p for s in split if s for p in s if p not in self.pieces})
-        self.pieces.update(zip(unknown, self.ids(unknown), strict=True))
+        pieces = self.pieces
+        unknown = list({p for s in split if s for p in s if p not in pieces})
+        pieces.update(zip(unknown, self.ids(unknown), strict=True))
         whole = [w for w, s in zip(new, split, strict=True) if s is None]
         self.words.update(zip(whole, self.ids([w.decode() for w in whole]), strict=True))
         for w, s in zip(new, split, strict=True):
             if s is not None:
-                self.words[w] = b"".join([self.pieces[p] for p in s])
+                self.words[w] = b"".join([pieces[p] for p in s])
 
-    def encode(self, text: str | None) -> bytes:
-        words = (text or "").encode().split()
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text with the end id, packed."""
+        split = [(t or "").encode().split() for t in texts]
         if len(self.words) > KEPT_WORDS:
             self.words.clear()
-        if new := [w for w in set(words) if w not in self.words]:
+        if new := list(set().union(*split).difference(self.words)):
             self.learn(new)
-        return b"".join([self.words[w] for w in words]) + self.pack([END])
+        get, end = self.words.__getitem__, self.pack([END])
+        return [b"".join(map(get, words)) + end for words in split]
 
 
 _encoders: dict[str, Encoder] = {}
 
 
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+    """Keys and texts of a few hundred rows, fewer if the texts are long."""
+    for batch in batches:
+        keys, texts, size = [], [], 0
+        for key, text in zip(batch.column("key"), batch.column("text"), strict=True):
+            keys.append(key.as_py())
+            texts.append(text.as_py())
+            size += len(texts[-1] or "")
+            if len(keys) >= TOGETHER_TEXTS or size >= TOGETHER_CHARS:
+                yield keys, texts
+                keys, texts, size = [], [], 0
+        if keys:
+            yield keys, texts
+
+
 def write_shard(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str) -> Iterator[pa.RecordBatch]:
     """One partition, sorted by key, to one shard; then its row of the manifest. The file appears under its
     name when it is whole, so a task that runs again does no harm."""
@@ -88,12 +119,12 @@ def write_shard(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str)
     store.create_dir(root)
     name, draft = f"{root}/shard-{shard:06d}.sst", f"{root}/.draft-{uuid.uuid4().hex}"
     writer = None
-    for batch in batches:
-        for key, text in zip(batch.column("key"), batch.column("text"), strict=True):
-            if writer is None:
-                out = store.open_output_stream(draft)
-                writer = Writer(out, encoder.width)
-            writer.add(key_bytes(key.as_py()), encoder.encode(text.as_py()))
+    for keys, texts in runs(batches):
+        if writer is None:
+            out = store.open_output_stream(draft)
+            writer = Writer(out, encoder.width)
+        for key, ids in zip(keys, encoder.encode(texts), strict=True):
+            writer.add(key_bytes(key), ids)
     if writer is not None:
         writer.close()
         out.close()
