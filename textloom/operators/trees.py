@@ -172,7 +172,7 @@ def by_top(pairs: DataFrame) -> DataFrame:
 
 def newer(a: Column, b: Column, tolerance: int = 2) -> Column:
     """A or B if that side is newer by more than the tolerance in whole seconds, else null."""
-    seconds = lambda x: F.unix_micros(x)
+    seconds = lambda x: F.unix_micros(x.cast("timestamp"))
     gap = F.floor((seconds(b) - seconds(a)) / 1_000_000), F.floor((seconds(a) - seconds(b)) / 1_000_000)
     return F.when(gap[0] > tolerance, "B").when(gap[1] > tolerance, "A")
 
