@@ -50,7 +50,7 @@ def human_size(size: Column) -> Column:
     """Bytes as B, KB, MB, GB or TB with one decimal."""
     out = F.concat(size.cast("string"), F.lit(" B"))
     for power, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        out = F.when(size >= 1024**power, F.format_string(f"%.1f {unit}", size / float(1024**power))).otherwise(out)
+        out = F.when(size >= 1024**power, F.format_string(f"%.1f {unit}", F.bround(size / float(1024**power), 1))).otherwise(out)
     return out
 
 

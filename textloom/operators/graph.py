@@ -2,27 +2,10 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_folders: dict[str, str] = {}
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """df written to the folder that all executors share (spark.checkpoint.dir) and read again, to end its lineage."""
-    spark: SparkSession = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = _folders.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-graph-"))
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .storage import kept
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
@@ -38,11 +21,11 @@ def reached(edges: DataFrame, seeds: DataFrame, depth: int, forward: bool = True
     """
     depth = min(max(depth, 1), 5)
     a, b = ("from_id", "to_id") if forward else ("to_id", "from_id")
-    met = _kept(seeds.select("id").distinct().withColumn("hop", F.lit(0)))
+    met = kept(seeds.select("id").distinct().withColumn("hop", F.lit(0)))
     frontier = met
     for hop in range(1, depth + 1):
         step = edges.join(frontier.select(F.col("id").alias(a)), a).select(F.col(b).alias("id")).distinct()
-        frontier = _kept(step.join(met, "id", "left_anti").withColumn("hop", F.lit(hop)))
+        frontier = kept(step.join(met, "id", "left_anti").withColumn("hop", F.lit(hop)))
         met = met.unionByName(frontier)
     return met
 
@@ -99,12 +82,12 @@ def defines(symbols: DataFrame) -> DataFrame:
 def ancestors(bases: DataFrame, most: int = 12) -> DataFrame:
     """(class, ancestor, depth) from (class, base): every ancestor at its nearest depth, at most `most` levels up."""
     known = bases.select("class", F.col("base").alias("ancestor")).where("class <> base").distinct().withColumn("depth", F.lit(1))
-    known = _kept(known)
+    known = kept(known)
     frontier = known
     for depth in range(2, most + 1):
         step = frontier.join(bases.select(F.col("class").alias("ancestor"), "base"), "ancestor").select("class", F.col("base").alias("ancestor"))
         step = step.where("class <> ancestor").distinct().join(known, ["class", "ancestor"], "left_anti")
-        frontier = _kept(step.withColumn("depth", F.lit(depth)))
+        frontier = kept(step.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         known = known.unionByName(frontier)
