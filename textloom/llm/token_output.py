@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +48,10 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.asarray(ids, f"<u{self.width}").tobytes()
+        packed = array("H" if self.width == 2 else "I", ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -62,24 +67,25 @@ class Encoder:
         return PIECES.findall(text) if PLAIN.fullmatch(word.decode()) else None
 
     def learn(self, new: list[bytes]) -> None:
-        split = [self.split(w) for w in new]
         if len(self.pieces) > KEPT_PIECES:
             self.pieces.clear()
-        pieces = self.pieces
+        split = [self.split(w) for w in new]
+        pieces, words = self.pieces, self.words
         unknown = list({p for s in split if s for p in s if p not in pieces})
         pieces.update(zip(unknown, self.ids(unknown), strict=True))
         whole = [w for w, s in zip(new, split, strict=True) if s is None]
-        self.words.update(zip(whole, self.ids([w.decode() for w in whole]), strict=True))
+        words.update(zip(whole, self.ids([w.decode() for w in whole]), strict=True))
         for w, s in zip(new, split, strict=True):
             if s is not None:
-                self.words[w] = b"".join([pieces[p] for p in s])
+                words[w] = pieces[s[0]] if len(s) == 1 else pieces[s[0]] + pieces[s[1]] if len(s) == 2 else b"".join([pieces[p] for p in s])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text with the end id, packed."""
         split = [(t or "").encode().split() for t in texts]
         if len(self.words) > KEPT_WORDS:
             self.words.clear()
-        if new := list(set().union(*split).difference(self.words)):
+        known = self.words
+        if new := list({w for words in split for w in words if w not in known}):
             self.learn(new)
         get, end = self.words.__getitem__, self.pack([END])
         return [b"".join(map(get, words)) + end for words in split]
