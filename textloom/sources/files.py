@@ -65,11 +65,14 @@ def texts(tree: DataFrame) -> DataFrame:
 def manifest_packages(content: Column) -> Column:
     """Declared packages of a JSON manifest as array<struct<package, section>>; of a package in several sections the first
     counts (S15)."""
+    def fresh(names: Column, seen: Column) -> Column:
+        return F.filter(names, lambda n: ~F.exists(seen, lambda x: x["package"] == n))
+
+    def labelled(names: Column, section: str) -> Column:
+        return F.transform(names, lambda n: F.struct(n.alias("package"), F.lit(section).alias("section")))
+
     out = F.array().cast("array<struct<package:string,section:string>>")
-    sections = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
-    for section in sections:
-        names = F.coalesce(F.map_keys(F.from_json(F.get_json_object(content, f"$.{section}"), "map<string,string>")), F.array().cast("array<string>"))
-        seen = out
-        fresh = F.filter(names, lambda n, seen=seen: ~F.exists(seen, lambda x: x["package"] == n))
-        out = F.concat(out, F.transform(fresh, lambda n, section=section: F.struct(n.alias("package"), F.lit(section).alias("section"))))
+    for section in ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies"):
+        found = F.map_keys(F.from_json(F.get_json_object(content, f"$.{section}"), "map<string,string>"))
+        out = F.concat(out, labelled(fresh(F.coalesce(found, F.array().cast("array<string>")), out), section))
     return out
