@@ -12,63 +12,79 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The mark that opens a word in the vocabulary (a fixed value of its format).
-WORD_MARK = "▁".encode()
+WORD_MARK = "▁"
 #: Trie nodes after which a worker starts a new trie: a bound on its memory, not on words.
 MOST_NODES = 1_500_000
 
 
 @cache
-def pieces(path: str) -> tuple[dict[bytes, float], int, float]:
-    """Pieces of a sentencepiece vocabulary with log probabilities: (scores, longest piece in bytes, score of
-    a byte that no piece covers). Ids follow frequency, so probabilities follow Zipf's law over the ids."""
+def pieces(path: str) -> tuple[dict[str, float], float]:
+    """Pieces of a sentencepiece vocabulary with log probabilities, and the score of a byte that no piece covers. Ids
+    follow frequency, so probabilities follow Zipf's law over the ids."""
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=path)
     plain = [i for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
     norm = log(sum(1 / (rank + 1) for rank in range(len(plain))))
-    scores = {model.id_to_piece(i).encode(): -log(rank + 1) - norm for rank, i in enumerate(plain)}
-    return scores, max(map(len, scores)), min(scores.values()) - 10.0
+    scores = {model.id_to_piece(i): -log(rank + 1) - norm for rank, i in enumerate(plain)}
+    return scores, min(scores.values()) - 10.0
 
 
 class Trie:
-    """Forward scores of prefixes. A node is a prefix: [children, best score, tokens of the best split].
+    """Forward scores of the prefixes of pre-tokens.
 
-    The forward score of a prefix depends on the prefix alone, so it is computed when its node is made and
-    then serves every pre-token that starts with it; a word's count is read from the node where it ends. Of
-    equal scores the split with fewer tokens counts.
+    A node is a prefix; it has the score and the number of tokens of its best split. They depend on the prefix alone, so
+    they are computed when the node is made and then serve every pre-token that starts with it; a word's count is read
+    from the node where it ends, and stored. Of equal scores the split with fewer tokens counts. Pieces that end at a
+    character are found backwards, in a trie of reversed pieces.
     """
 
-    def __init__(self, scores: dict[bytes, float], longest: int, unknown: float):
-        self.scores, self.longest, self.unknown = scores, longest, unknown
+    def __init__(self, scores: dict[str, float], unknown: float):
+        self.unknown = unknown
+        self.backwards: dict = {}
+        for piece, score in scores.items():
+            at = self.backwards
+            for char in reversed(piece):
+                at = at.setdefault(char, {})
+            at[""] = score
         self.restart()
 
     def restart(self) -> None:
-        self.root: list = [{}, 0.0, 0]
-        self.nodes, self.ends = 1, {}
+        self.child: dict[int, int] = {}
+        self.score, self.tokens = [0.0], [0]
+        self.ends: dict[bytes, int] = {}
 
     def count(self, word: bytes) -> int:
         if (known := self.ends.get(word)) is not None:
             return known
-        if self.nodes > MOST_NODES:
+        if len(self.score) > MOST_NODES:
             self.restart()
-        node, path = self.root, [self.root]
-        get, longest = self.scores.get, self.longest
-        for i, byte in enumerate(word):
-            child = node[0].get(byte)
-            if child is None:
-                best, tokens = path[i][1] + self.unknown, path[i][2] + 1
-                for j in range(max(0, i + 1 - longest), i + 1):
-                    piece = get(word[j : i + 1])
-                    if piece is not None:
-                        score, n = path[j][1] + piece, path[j][2] + 1
-                        if score > best or score == best and n < tokens:
-                            best, tokens = score, n
-                child = node[0][byte] = [{}, best, tokens]
-                self.nodes += 1
-            path.append(child)
-            node = child
-        self.ends[word] = node[2]
-        return node[2]
+        text = WORD_MARK + word.decode()
+        child, score, tokens, node, path = self.child, self.score, self.tokens, 0, [0]
+        for i, char in enumerate(text):
+            key = node << 21 | ord(char)
+            node = child.get(key)
+            if node is None:
+                best, count, back, j = None, 0, self.backwards.get(char), i
+                if back is None or "" not in back:
+                    width = len(char.encode())
+                    best, count = score[path[i]] + width * self.unknown, tokens[path[i]] + width
+                while back is not None:
+                    if (piece := back.get("")) is not None:
+                        before = path[j]
+                        found = score[before] + piece
+                        if best is None or found > best or found == best and tokens[before] + 1 < count:
+                            best, count = found, tokens[before] + 1
+                    if j == 0:
+                        break
+                    j -= 1
+                    back = back.get(text[j])
+                node = child[key] = len(score)
+                score.append(best)
+                tokens.append(count)
+            path.append(node)
+        self.ends[word] = tokens[node]
+        return tokens[node]
 
 
 _tries: dict[str, Trie] = {}
@@ -83,7 +99,7 @@ def counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
         for text in batch.column("text"):
             split = (text.as_py() or "").encode().split()
             words.append(len(split))
-            count = {w: trie.count(WORD_MARK + w) for w in set(split)}
+            count = {w: trie.count(w) for w in set(split)}
             tokens.append(sum(map(count.__getitem__, split)))
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(words, pa.int64()), pa.array(np.array(tokens, np.int64))], names=["key", "n_words", "n_tokens"])
 
