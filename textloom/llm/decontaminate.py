@@ -77,8 +77,8 @@ def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of docs that hold no item, with all their columns."""
-    leaks = cut(contained(docs, items, key).select(F.col(key).alias("leak")).distinct())
-    return docs.join(small(leaks), F.col(key).eqNullSafe(F.col("leak")), "left_anti")
+    leaks = small(cut(contained(docs, items, key).select(F.col(key).alias("leak")).distinct()))
+    return docs.join(leaks, docs[key].eqNullSafe(leaks["leak"]), "left_anti")
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -162,15 +162,15 @@ def found_in(text: str, known: list[Template]) -> list[dict]:
                 if len(aligned) < t.need:
                     break
                 first, last = lo + aligned[0][0], lo + aligned[-1][0]
-                out.append({"license": t.name, "coverage": len(aligned) / len(t.words), "start": spans[first].start(), "end": spans[last].end()})
+                out.append({"license": t.name, "words": len(aligned), "coverage": len(aligned) / len(t.words), "start": spans[first].start(), "end": spans[last].end()})
                 lo = last + 1
     return apart(out)
 
 
 def apart(found: list[dict]) -> list[dict]:
-    """Of finds that overlap, the one with most coverage, then the longest, stays."""
+    """Of finds that overlap, the one with most aligned words, then the most coverage, stays."""
     kept: list[dict] = []
-    for x in sorted(found, key=lambda x: (-x["coverage"], x["start"] - x["end"], x["start"], x["license"])):
+    for x in sorted(found, key=lambda x: (-x["words"], -x["coverage"], x["start"], x["license"])):
         if all(x["end"] <= y["start"] or x["start"] >= y["end"] for y in kept):
             kept.append(x)
     return sorted(kept, key=lambda x: x["start"])
@@ -201,7 +201,7 @@ def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", cover
 
     Words compare in lower case without surrounding marks. A text carries a template if patience alignment
     puts at least `coverage` of the template's words in order into a stretch of twice its length; further
-    occurrences in one text are rows of their own; of overlapping ones the best stays. The work is one pass without a shuffle.
+    occurrences in one text are rows of their own; of overlapping ones that with most aligned words stays. The work is one pass without a shuffle.
 
     Null, empty and blank texts have no rows; repeated rows and keys are scanned each; other columns are
     ignored.

@@ -171,14 +171,15 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
     its columns. Rows of one key that are in one class count as repeated; one of them stays."""
     found = cut(classes(docs, key, text, **options))
     goes = cut(found.where(~F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("k"), F.col("th").alias("h")).distinct())
-    again = cut(found.where(F.col(key).eqNullSafe(F.col("class_id"))).groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"), F.min("th").alias("h")).where("n > 1"))
+    again = cut(found.where(F.col(key).eqNullSafe(F.col("class_id"))).groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n")).where("n > 1"))
     th = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    left = docs.join(small(goes), docs[key].eqNullSafe(F.col("k")) & (th == F.col("h")), "left_anti")
+    goes = small(goes)
+    left = docs.join(goes, docs[key].eqNullSafe(goes["k"]) & (th == goes["h"]), "left_anti")
     if again.isEmpty():
         return left
-    key_again = small(again.select("k"))
-    same = left.join(key_again, left[key].eqNullSafe(F.col("k")), "left_semi")
-    return left.join(key_again, left[key].eqNullSafe(F.col("k")), "left_anti").unionByName(same.dropDuplicates([key]))
+    again = small(again.select("k"))
+    same = left.join(again, left[key].eqNullSafe(again["k"]), "left_semi")
+    return left.join(again, left[key].eqNullSafe(again["k"]), "left_anti").unionByName(same.dropDuplicates([key]))
 
 
 def op5_ngram_join(spark, sf_dir: str) -> DataFrame:
