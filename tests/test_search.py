@@ -17,7 +17,7 @@ def test_patterns():
 
 def test_required_literals():
     assert required_literals("fooling.*bar") == ["fooling"]
-    assert required_literals("(foo1|bar2)x") == ["bar2x", "foo1x"]
+    assert required_literals("(foo1|bar2)x") == ["bar2", "foo1"]
     assert required_literals("ab") is None and required_literals("a*bcd") is None and required_literals("éab") is None
     assert required_literals("(?miu)worthless") == ["worthle"]  # what follows may be a long s
 
