@@ -19,7 +19,7 @@ def log_level_filter(spark, sf_dir):
     return log_entries(spark, sf_dir).where(g.level_rank(F.col("level")) >= g.level_rank(F.lit("W"))).select("pos", "level", "tag")
 
 
-@query(LOG_SQL + "SELECT k AS keyword, count_if(contains(lower(tag || ' ' || msg), k)) AS hits FROM log, (VALUES ('click'), ('error'), ('nothing')) v(k) GROUP BY k")
+@query(LOG_SQL + "SELECT k AS keyword, count(*) FILTER (contains(lower(tag || ' ' || msg), k)) AS hits FROM log, (VALUES ('click'), ('error'), ('nothing')) v(k) GROUP BY k")
 def keyword_hits(spark, sf_dir):
     return g.keyword_hits(log_entries(spark, sf_dir), ["click", "error", "nothing"])
 
@@ -67,7 +67,7 @@ def stage_of_task(spark, sf_dir):
     return spark.createDataFrame([(t,) for t in tasks], "task string").withColumn("stage", g.stage_of(F.col("task")))
 
 
-@query(LOG_SQL + "SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n, count_if(level = 'E') AS errors FROM log GROUP BY 1")
+@query(LOG_SQL + "SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n, count(*) FILTER (level = 'E') AS errors FROM log GROUP BY 1")
 def fixed_window_20s(spark, sf_dir):
     """The recording window of 20 s, scaled to six hours for a month of events."""
     return g.fixed_windows(log_entries(spark, sf_dir), 6 * 3600)
@@ -112,7 +112,7 @@ def step_attribution(spark, sf_dir):
 @query(
     """WITH d AS (SELECT event_id AS pos, 'u' || user_id || '.kt:' || (event_id % 90) AS location, event_type || ' ' || props AS message FROM events),
     r AS (SELECT *, row_number() OVER (PARTITION BY message ORDER BY pos) AS k FROM d)
-    SELECT message, count(*) AS n, min(pos) AS first, string_agg(location, ', ' ORDER BY pos) FILTER (k <= 2) AS sample, count(*) - count_if(k <= 2) AS more FROM r GROUP BY message ORDER BY n DESC, first LIMIT 10"""
+    SELECT message, count(*) AS n, min(pos) AS first, string_agg(location, ', ' ORDER BY pos) FILTER (k <= 2) AS sample, count(*) - count(*) FILTER (k <= 2) AS more FROM r GROUP BY message ORDER BY n DESC, first LIMIT 10"""
 )
 def grouped_diagnostics(spark, sf_dir):
     entry = F.concat(F.lit("u"), "user_id", F.lit(".kt:"), F.col("event_id") % 90, F.lit(" "), "event_type", F.lit(" "), "props")

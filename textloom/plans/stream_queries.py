@@ -22,7 +22,7 @@ def stream_keyword_filter(spark, sf_dir):
 
 @query(
     LOG_SQL
-    + """, w AS (SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n, count_if(level = 'E') AS errors FROM log GROUP BY 1)
+    + """, w AS (SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n, count(*) FILTER (level = 'E') AS errors FROM log GROUP BY 1)
     SELECT strftime(start, '%Y-%m-%d') AS start, n, errors FROM w WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM log) - INTERVAL 1 HOUR"""
 )
 def stream_windows(spark, sf_dir):

@@ -137,8 +137,8 @@ def moved_files(spark, sf_dir):
 @query(
     _VERSIONS
     + """SELECT CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) || '/' ELSE '(root files)' END AS top,
-    count_if(kind <> 'only_b') AS in_a, count_if(kind <> 'only_a') AS in_b, count_if(kind = 'same') AS same, count_if(kind = 'changed') AS differ,
-    count_if(kind = 'only_a') AS only_a, count_if(kind = 'only_b') AS only_b FROM pairs GROUP BY 1"""
+    count(*) FILTER (kind <> 'only_b') AS in_a, count(*) FILTER (kind <> 'only_a') AS in_b, count(*) FILTER (kind = 'same') AS same, count(*) FILTER (kind = 'changed') AS differ,
+    count(*) FILTER (kind = 'only_a') AS only_a, count(*) FILTER (kind = 'only_b') AS only_b FROM pairs GROUP BY 1"""
 )
 def compare_by_top(spark, sf_dir):
     return t.by_top(pairs(spark, sf_dir))
@@ -157,8 +157,8 @@ def newer_counts(spark, sf_dir):
 @query(
     _VERSIONS
     + """SELECT only_a, newer_a, newer_b, changed, CASE WHEN only_a > 0 THEN 'NOT SAFE' WHEN newer_a > 0 THEN 'CHECK' ELSE 'SAFE' END AS verdict FROM (
-    SELECT count_if(kind = 'only_a') AS only_a, count_if(kind = 'changed' AND mtime_a - mtime_b > 2) AS newer_a, count_if(kind = 'changed' AND mtime_b - mtime_a > 2) AS newer_b,
-    count_if(kind = 'changed') AS changed FROM pairs)"""
+    SELECT count(*) FILTER (kind = 'only_a') AS only_a, count(*) FILTER (kind = 'changed' AND mtime_a - mtime_b > 2) AS newer_a, count(*) FILTER (kind = 'changed' AND mtime_b - mtime_a > 2) AS newer_b,
+    count(*) FILTER (kind = 'changed') AS changed FROM pairs)"""
 )
 def verdict(spark, sf_dir):
     return t.verdict(pairs(spark, sf_dir))
