@@ -83,9 +83,9 @@ def test_containment_cases(spark, docs):
     item = " ".join(f"q{i}" for i in range(30))
     part = " ".join(item.split()[:26])
     items = spark.createDataFrame([(1, item), (2, "two words"), (3, None), (4, ""), (5, "never seen before in any of these")], "item_id long, text string")
-    df = docs([(1, LONG + " " + item + " " + LONG), (2, part), (3, " ".join(item.split()[:20])), (4, "these two words here"), (5, None), (6, ""), (7, item), (7, item), (None, item)])
+    df = docs([(1, LONG + " " + item + " " + LONG), (2, part), (3, " ".join(item.split()[:20])), (4, "these two words here"), (5, None), (6, ""), (7, item), (7, item), (None, item), (8, item.upper().replace(" ", "!! "))])
     found = dc.contained(df, items)
-    assert rows(found, "doc_id", "item_id", "shared", "item_shingles") == sorted([(1, 1, 26, 26), (2, 1, 22, 26), (4, 2, 1, 1), (7, 1, 26, 26), (None, 1, 26, 26)], key=repr)
+    assert rows(found, "doc_id", "item_id", "shared", "item_shingles") == sorted([(1, 1, 26, 26), (2, 1, 22, 26), (4, 2, 1, 1), (7, 1, 26, 26), (8, 1, 26, 26), (None, 1, 26, 26)], key=repr)
     left = dc.decontaminate(df, items)
     assert left.columns == df.columns and rows(left, "doc_id") == [(3,), (5,), (6,)]
     assert dc.contained(docs([]), items).count() == 0 and dc.contained(df, items.limit(0)).count() == 0

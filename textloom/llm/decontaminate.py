@@ -7,13 +7,19 @@ from math import ceil, comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small, words
+from .common import cut, small
+from .common import words as split_words
 
 #: Words in a shingle, share of an item's shingles that a document must hold, and the chance that the
 #: sketch of an item of that containment shares nothing with the document.
 N, THRESHOLD, MISS = 5, 0.8, 1e-7
 
 
+def words(text: Column) -> Column:
+    """The words of a text in lower case, letters and digits only, so that a passage is found in capitals as well."""
+    return split_words(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\x20\x09-\x0D]+", ""))
+
+
 def shingles(ws: Column, n: int) -> Column:
     """The shingles of n words as strings, in order; none if there are fewer words."""
     return F.when(
@@ -47,7 +53,7 @@ def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
     Items of fewer than n words are one shingle of their own length; items and documents without words
     match nothing. Rows that share a key are read as one document, rows that share an item_key as one item.
-    Null keys are a key of their own. Words compare as written.
+    Null keys are a key of their own. Words compare in lower case, by their letters and digits.
     """
     terms = items.select(F.col(item_key).alias("item"), words(F.col(item_text)).alias("w")).where(F.size("w") > 0)
     sizes = sorted(r[0] for r in terms.select(F.least(F.size("w"), F.lit(n))).distinct().collect())  # at most n values
@@ -86,8 +92,8 @@ def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-bw AS (SELECT item_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}\x20\x09-\x0D]+', '', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+bw AS (SELECT item_id, list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}\x20\x09-\x0D]+', '', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
 bs AS (SELECT DISTINCT item_id, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS s, least(len(w), 5) AS k
        FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM bw WHERE len(w) > 0)),
 k AS (SELECT DISTINCT k FROM bs),
