@@ -17,6 +17,8 @@ RULES = (
     ("com", "/de/", "block"),
 )
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.005, 0.6, 1.5
+#: A rule needs so many bad urls at least, however small its share may be.
+MIN_COUNT = 20
 BAD = "label=block"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -76,7 +78,7 @@ def tokens(url: Column) -> Column:
     )
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_count: int = MIN_COUNT) -> DataFrame:
     """(id, antecedent, confidence, support, lift) of rules that say block, from rows of (url, bad).
 
     A rule goes if a rule of fewer of its tokens is as confident. No labels give no rules.
@@ -85,7 +87,10 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     none = baskets.sparkSession.createDataFrame([], "id long, antecedent array<string>, confidence double, support double, lift double")
     if baskets.where(F.array_contains("items", BAD)).isEmpty():
         return none
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    support = max(min_support, min_count / baskets.count())
+    if support > 1:
+        return none
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BAD) & (F.col("lift") >= min_lift))
     rules = cut(rules.select(F.monotonically_increasing_id().alias("id"), F.array_sort("antecedent").alias("antecedent"), "confidence", "support", "lift"))
     a = rules.select("id", "confidence", "antecedent", F.explode("antecedent").alias("token"))
