@@ -74,14 +74,15 @@ def tail(rows: DataFrame, n: int, order: list[str]) -> DataFrame:
 
 
 def grams(chars: Column) -> Column:
-    """The distinct trigrams of an array of characters; those with line breaks or NUL are left out."""
-    every = F.transform(F.sequence(F.lit(1), F.size(chars) - 2), lambda i: F.array_join(F.slice(chars, i, 3), ""))
-    return F.when(F.size(chars) >= 3, F.filter(F.array_distinct(every), lambda g: ~g.rlike(r"[\n\r\x00]"))).otherwise(F.array().cast("array<string>"))
+    """The distinct trigrams of an array of characters, in which null stands for what no trigram may hold."""
+    every = F.transform(chars, lambda c, i: F.concat(c, F.get(chars, i + 1), F.get(chars, i + 2)))
+    return F.array_compact(F.array_distinct(every))
 
 
 def gram_index(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(gram, key): which texts hold a trigram in lower case, exactly."""
     chars = df.select(F.col(key), F.split(F.lower(F.col(text)), "").alias("chars"))
+    chars = chars.select(key, F.transform("chars", lambda c: F.when(~c.isin("\n", "\r", "\0"), c)).alias("chars"))
     return chars.select(F.explode(grams(F.col("chars"))).alias("gram"), key)
 
 
