@@ -128,13 +128,14 @@ def test_trie_restart_changes_no_count(monkeypatch):
     assert [trie.count(w) for w in words] == whole
 
 
-ODD = ["a b  ćd ́x e<|endoftext|>f <|startoftext|> HİΣ", "", "  \n", None, "it's don't 'S 123 4  5", "ᄀ ᅡᆨ ffiﬃ \u0085 x\x1cy", "µm ªº x×y ÷ ÀÉß. a.b, (x) x)) |||", "x" * 5000, "don's l'été d'Ê'll ''s !'s"]
+ODD = ["a b  ćd ́x e<|endoftext|>f <|startoftext|> HİΣ", "", "  \n", None, "it's don't 'S 123 4  5", "ᄀ ᅡᆨ ffiﬃ \u0085 x\x1cy", "µm ªº x×y ÷ ÀÉß. a.b, (x) x)) |||", "x" * 5000, "don's l'été d'Ê'll ''s !'s", "ÀÉÞß, Ø! ×a ÷b ÿ? <|STARTOFTEXT|> <|startoftext|>, A,b B., ,a Ã. a\u0301, É\u0301!"]
 
 
-def test_words_give_the_ids_of_the_whole_text():
+def test_words_give_the_ids_of_the_whole_text(monkeypatch):
     path = tokenizers.path("word_bpe_49k.json")
-    for pieces in (True, False):
-        encoder = to.Encoder(path, pieces)
+    for kept in (to.KEPT_PIECES, 3):
+        monkeypatch.setattr(to, "KEPT_PIECES", kept)
+        encoder = to.Encoder(path)
         for text, ids in zip(ODD, encoder.encode(ODD), strict=True):
             assert np.frombuffer(ids, "<u2").tolist() == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
 

@@ -23,21 +23,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word, and how many words each text has."""
+def spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts as one array of bytes, where its words start and end, and how many words each text has."""
     data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    inside = IS_WORD[data]
-    edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
+    edge = np.flatnonzero(np.diff(IS_WORD[data].astype(np.int8), prepend=0, append=0))
     starts, ends = edge[::2], edge[1::2]
     text_ends = np.cumsum([len(t) + 1 for t in texts])
-    counts = np.diff(np.searchsorted(starts, text_ends), prepend=0)
+    return data, starts, ends, np.diff(np.searchsorted(starts, text_ends), prepend=0)
+
+
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kinds: int = 1) -> list[np.ndarray]:
+    """One hash, or several independent ones, of each word."""
     if not len(starts):
-        return np.empty(0, np.uint64), counts
+        return [np.empty(0, np.uint64)] * kinds
     lengths = ends - starts
     first = np.cumsum(lengths) - lengths
     place = np.arange(lengths.sum()) - np.repeat(first, lengths)
-    power = np.cumprod(np.full(lengths.max(), _BASE))
-    return mix(np.add.reduceat(_BYTE[data[inside]] * power[place], first) + lengths.astype(np.uint64)), counts
+    chars = data[np.repeat(starts, lengths) + place]
+    out = []
+    for kind in range(kinds):
+        power = np.cumprod(np.full(lengths.max(), _BASE + np.uint64(2 * kind)))
+        out.append(mix(np.add.reduceat(np.roll(_BYTE, kind)[chars] * power[place], first) + lengths.astype(np.uint64)))
+    return out
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word, and how many words each text has."""
+    data, starts, ends, counts = spans(texts)
+    return hashed(data, starts, ends)[0], counts
 
 
 def chunks(texts: list) -> Iterator[tuple[int, list[bytes]]]:

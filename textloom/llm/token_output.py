@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import sys
 import uuid
 import zlib
@@ -16,36 +15,57 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, shared_dir
+from .shingles import hashed, spans
 from .tokenfile import Reader, Writer, key_bytes, key_value
 
 END = 1
-#: Entries that a worker's two memories hold before they start anew: bounds on memory, not on input.
-KEPT_WORDS, KEPT_PIECES = 700_000, 900_000
+#: Pieces that a worker remembers before it starts anew: a bound on its memory, not on input.
+KEPT_PIECES = 1_500_000
 #: Texts, or characters of text, that are encoded together.
-TOGETHER_TEXTS, TOGETHER_CHARS = 200, 2_000_000
-#: Marks that form one piece when they follow letters.
-MARKS = "!#$%&*.,;:?)|"
-#: Words of these characters, without markers of special tokens, are split into pieces like the tokenizer does.
-PLAIN = re.compile(r"(?!.*<\|)[!-~\u00c0-\u00ff]+")
-#: Fixed value: how the vocabulary word_bpe_49k splits a word, after lower-casing.
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|(?:[!-/:-@\[-`{-~\u00d7\u00f7])+")
+TOGETHER_TEXTS, TOGETHER_CHARS = 200, 600_000
+#: Marks that the vocabulary splits from the letters before them, and keeps together.
+MARKS = np.zeros(256, bool)
+MARKS[list(b"!#$%&*.,;:?)|")] = True
+
+
+def split_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(low, core_ends): where the letters of each plain word end and its marks begin, and the bytes with the letters
+    of plain words in lower case. Plain words are ASCII or Latin-1 letters with MARKS behind them; of others the
+    core is the whole word, as it is."""
+    place = np.arange(len(data))
+    after = np.zeros(len(data), bool)
+    after[1:] = data[:-1] == 0xC3  # the first byte of the letters from U+00C0 to U+00FF, but for two signs
+    latin = after & (data >= 0x80) & (data <= 0xBF) & (data != 0x97) & (data != 0xB7)
+    lead = np.zeros(len(data), bool)
+    lead[:-1] = (data[:-1] == 0xC3) & latin[1:]
+    capital = (data >= 65) & (data <= 90)
+    letter = capital | (data >= 97) & (data <= 122) | latin | lead
+    before = np.maximum.accumulate(np.where(MARKS[data], -1, place))
+    core_ends = np.maximum(starts, before[ends - 1] + 1)
+    odd = np.concatenate([[0], np.cumsum(~letter)])
+    plain = odd[core_ends] == odd[starts]
+    low = data.copy()
+    low[capital | latin & (data <= 0x9E)] += 32
+    lengths = ends - starts
+    whole = np.repeat(~plain, lengths)
+    inside = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+    low[inside[whole]] = data[inside[whole]]
+    return low, np.where(plain, core_ends, ends)
 
 
 class Encoder:
-    """Encodes texts word by word and remembers words, and the pieces of plain ones.
+    """Encodes texts by words, plain ones by letters and marks, and remembers these pieces.
 
-    The vocabulary's pre-tokens stop at white space and its normaliser keeps it, so the ids of the words, in
-    order, are the ids of the whole text.
+    The vocabulary's pre-tokens stop at white space and between letters and marks, and its normaliser puts
+    letters in lower case one by one, so the ids of the pieces, in order, are the ids of the whole text.
     """
 
-    def __init__(self, path: str, pieces: bool = True):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.by_pieces = pieces
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def pack(self, ids: list[int]) -> bytes:
         packed = array("H" if self.width == 2 else "I", ids)
@@ -53,42 +73,45 @@ class Encoder:
             packed.byteswap()
         return packed.tobytes()
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def split(self, word: bytes) -> list[str] | None:
-        """The pieces of a plain word: letters and the marks behind them, or what the pattern finds."""
-        if not self.by_pieces:
-            return None
-        text = word.decode().lower()
-        core = text.rstrip(MARKS)
-        if core.isalpha() and max(core) <= "\u00ff":
-            return [core, text[len(core) :]] if len(core) < len(text) else [core]
-        return PIECES.findall(text) if PLAIN.fullmatch(word.decode()) else None
-
-    def learn(self, new: list[bytes]) -> None:
-        if len(self.pieces) > KEPT_PIECES:
-            self.pieces.clear()
-        split = [self.split(w) for w in new]
-        pieces, words = self.pieces, self.words
-        unknown = list({p for s in split if s for p in s if p not in pieces})
-        pieces.update(zip(unknown, self.ids(unknown), strict=True))
-        whole = [w for w, s in zip(new, split, strict=True) if s is None]
-        words.update(zip(whole, self.ids([w.decode() for w in whole]), strict=True))
-        for w, s in zip(new, split, strict=True):
-            if s is not None:
-                words[w] = pieces[s[0]] if len(s) == 1 else pieces[s[0]] + pieces[s[1]] if len(s) == 2 else b"".join([pieces[p] for p in s])
+    def learn(self, pieces: list[bytes]) -> None:
+        if len(self.known) + len(pieces) > KEPT_PIECES:
+            self.known.clear()
+        found = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
+        self.known.update(zip(pieces, [self.pack(e.ids) for e in found], strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text with the end id, packed."""
-        split = [(t or "").encode().split() for t in texts]
-        if len(self.words) > KEPT_WORDS:
-            self.words.clear()
-        known = self.words
-        if new := list({w for words in split for w in words if w not in known}):
+        """The ids of each text with the end id, packed. Pieces that the texts share are looked up once; two hashes of 64
+        bits tell them apart."""
+        data, starts, ends, counts = spans([(t or "").encode() for t in texts])
+        end = self.pack([END])
+        if not len(starts):
+            return [end] * len(texts)
+        low, core_ends = split_words(data, starts, ends)
+        first, last = np.stack([starts, core_ends], 1).ravel(), np.stack([core_ends, ends], 1).ravel()
+        real = last > first
+        per_word = real.reshape(-1, 2).sum(1)
+        first, last = first[real], last[real]
+        one, two = hashed(low, first, last, 2)
+        _, at, piece_of = np.unique(one, return_index=True, return_inverse=True)
+        if not (two[at][piece_of] == two).all():
+            raise ValueError("two pieces have one hash")
+        blob = low.tobytes()
+        distinct = [blob[i:j] for i, j in zip(first[at].tolist(), last[at].tolist(), strict=True)]
+        ids = list(map(self.known.get, distinct))
+        if None in ids:
+            new = [p for p, x in zip(distinct, ids, strict=True) if x is None]
+            if len(self.known) + len(new) > KEPT_PIECES:
+                new = distinct
             self.learn(new)
-        get, end = self.words.__getitem__, self.pack([END])
-        return [b"".join(map(get, words)) + end for words in split]
+            ids = list(map(self.known.__getitem__, distinct))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        packed = np.frombuffer(b"".join(ids), f"<u{self.width}")
+        sizes, source = size[piece_of], (np.cumsum(size) - size)[piece_of]
+        token_ends = np.cumsum(sizes)
+        tokens = packed[np.arange(token_ends[-1]) + np.repeat(source - (token_ends - sizes), sizes)]
+        pieces_before = np.concatenate([[0], np.cumsum(per_word)])[np.concatenate([[0], np.cumsum(counts)])]
+        bounds = np.concatenate([[0], token_ends])[pieces_before].tolist()
+        return [tokens[i:j].tobytes() + end for i, j in zip(bounds, bounds[1:], strict=False)]
 
 
 _encoders: dict[str, Encoder] = {}
