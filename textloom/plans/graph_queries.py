@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as g
 from ..operators import lookup as k
+from ..operators.storage import kept
 from ..sources.tables import load
 from .registry import query
 
@@ -116,12 +117,12 @@ _WALK = """, down AS (SELECT 'p:3' AS id, 0 AS hop UNION SELECT to_id, hop + 1 F
 
 @query(_EDGES + _WALK + "SELECT from_id, to_id, kind FROM edges WHERE from_id IN (SELECT id FROM down WHERE hop < 2) OR to_id IN (SELECT id FROM up WHERE hop < 2)")
 def khop_neighbourhood(spark, sf_dir):
-    return g.neighbourhood(edges(spark, sf_dir), _seed(spark, "p:3"), 2)
+    return g.neighbourhood(kept(edges(spark, sf_dir)), _seed(spark, "p:3"), 2)
 
 
 @query(_EDGES + ", down AS (SELECT 's:1' AS id, 0 AS hop UNION SELECT to_id, hop + 1 FROM down JOIN edges ON from_id = id WHERE hop < 3) SELECT id, min(hop) AS hop FROM down GROUP BY id")
 def min_hop(spark, sf_dir):
-    return g.reached(edges(spark, sf_dir), _seed(spark, "s:1"), 3)
+    return g.reached(kept(edges(spark, sf_dir)), _seed(spark, "s:1"), 3)
 
 
 @query("SELECT 'Brand#2' AS node UNION ALL SELECT p_brand || '.' || p_partkey FROM part WHERE p_brand = 'Brand#2'")
