@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 from math import log
 
 import numpy as np
@@ -17,7 +16,6 @@ WORD_MARK = "▁"
 MOST_NODES = 1_500_000
 
 
-@cache
 def pieces(path: str) -> tuple[dict[str, float], float]:
     """Pieces of a sentencepiece vocabulary with log probabilities, and the score of a byte that no piece covers. Ids
     follow frequency, so probabilities follow Zipf's law over the ids."""

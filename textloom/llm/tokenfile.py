@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 
 MAGIC = b"TLSST001"
-FOOTER = struct.Struct("<QQQQIIQQ8s")
+FOOTER = "<QQQQIIQQ8s"
 BLOCK_BYTES = 1 << 16
 BITS_PER_KEY, HASHES = 10, 7
 
@@ -101,7 +101,7 @@ class Writer:
         self.out.write(packed)
         self.out.write(bytes(self.index))
         after = self.at + len(packed)
-        self.out.write(FOOTER.pack(self.at, len(packed), after, len(self.index), HASHES, self.width, self.entries, self.tokens, MAGIC))
+        self.out.write(struct.pack(FOOTER, self.at, len(packed), after, len(self.index), HASHES, self.width, self.entries, self.tokens, MAGIC))
 
 
 class Reader:
@@ -109,7 +109,7 @@ class Reader:
 
     def __init__(self, stream, size: int):
         self.file = stream
-        *where, _, self.width, self.entries, self.tokens, magic = FOOTER.unpack(self.part(size - FOOTER.size, FOOTER.size))
+        *where, _, self.width, self.entries, self.tokens, magic = struct.unpack(FOOTER, self.part(size - struct.calcsize(FOOTER), struct.calcsize(FOOTER)))
         if magic != MAGIC:
             raise ValueError("not a token file")
         bloom = self.part(where[0], where[1])
