@@ -113,6 +113,27 @@ def test_license_cases(spark, docs):
     assert ls.license_scan(docs([])).count() == 0
 
 
+def test_every_copy_of_a_notice_is_a_row():
+    known = ls.templates()
+    assert len(ls.found_in("aa bb cc Released under the MIT License. x y Released under the MIT License. dd ee", known)) == 2
+    texts = {"a": "red green blue pink grey", "b": "one two one three four five six one seven eight"}
+    rng = random.Random(11)
+    for case in range(300):
+        t = ls.templates(texts=texts)[case % 2]
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            words += [rng.choice(["x", "y", *t.words]) for _ in range(rng.randint(0, 6))]
+            words += [w for w in t.words if rng.random() < 0.93]
+        # brute force: the most stretches without common words that hold enough of the template
+        most = [0]
+        for end in range(1, len(words) + 1):
+            ways = (most[lo] + 1 for lo in range(max(0, end - 2 * len(t.words)), end) if len(ls.common(words[lo:end], t.words, 0, end - lo, 0, len(t.words))) >= t.need)
+            most.append(max([most[-1], *ways]))
+        found = ls.found_in(" ".join(words), [t])
+        assert len(found) == most[-1]
+        assert all(f["words"] >= t.need for f in found)
+
+
 def test_filter_words_lose_no_license():
     """A text that covers a template has one of its filter words: checked against a plain scan with difflib."""
     rng = random.Random(8)

@@ -8,6 +8,7 @@ from collections import Counter
 from collections.abc import Iterator
 from math import ceil
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -148,6 +149,40 @@ def windows(words: list[str], t: Template) -> Iterator[tuple[int, int]]:
         yield start, min(end, len(words))
 
 
+def stretches(words: list[str], t: Template) -> list[tuple[int, int]]:
+    """(first, last) of stretches without common words, each shorter than twice the template with t.need of its
+    words in order: the one that ends first, from its latest start, then the next behind it. No choice has more."""
+    m = len(t.words)
+    where: dict[str, list[int]] = {}
+    for y in range(m - 1, -1, -1):
+        where.setdefault(t.words[y], []).append(y)
+    if sum(w in where for w in words) < t.need:
+        return []
+    none, out = -2 * m, []
+    latest = np.full((t.need + 1, m + 1), none)  # the latest start of k words in order out of the first j of the template
+    for x, word in enumerate(words):
+        latest[0] = x
+        for y in where.get(word, ()):  # from the last place, so that a word is taken once
+            np.maximum(latest[1:, y + 1 :], latest[:-1, y, None], out=latest[1:, y + 1 :])
+        first = int(latest[t.need, m])
+        if x - first < 2 * m and first >= 0:
+            out.append((first, x))
+            latest[:] = none
+    return out
+
+
+def occurrences(words: list[str], t: Template) -> Iterator[list[tuple[int, int]]]:
+    """The alignment of every occurrence of a template: each stretch with the words up to its neighbours."""
+    found = stretches(words, t)
+    lo = 0
+    for (first, last), (hi, _) in zip(found, [*found[1:], (len(words), 0)], strict=False):
+        lo, hi = max(lo, last + 1 - 2 * len(t.words)), min(hi, first + 2 * len(t.words))
+        ways = [(lo, tight(patience(words[lo:hi], t.words), t)), (first, common(words[first : last + 1], t.words, 0, last + 1 - first, 0, len(t.words)))]
+        at, best = max(ways, key=lambda w: len(w[1]))
+        yield [(at + x, y) for x, y in best]
+        lo = at + best[-1][0] + 1
+
+
 def found_in(text: str, known: list[Template]) -> list[dict]:
     spans = list(WORD.finditer(text))
     words = [normal(m[0]) for m in spans]
@@ -157,13 +192,9 @@ def found_in(text: str, known: list[Template]) -> list[dict]:
         if present.isdisjoint(t.must):
             continue
         for lo, hi in windows(words, t):
-            while hi - lo >= t.need:
-                aligned = tight(patience(words[lo:hi], t.words), t)
-                if len(aligned) < t.need:
-                    break
+            for aligned in occurrences(words[lo:hi], t):
                 first, last = lo + aligned[0][0], lo + aligned[-1][0]
                 out.append({"license": t.name, "words": len(aligned), "coverage": len(aligned) / len(t.words), "start": spans[first].start(), "end": spans[last].end()})
-                lo = last + 1
     return apart(out)
 
 
@@ -200,8 +231,8 @@ def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", cover
     """One row per license notice found: key, license, coverage, start, end (offsets in code points).
 
     Words compare in lower case without surrounding marks. A text carries a template if patience alignment
-    puts at least `coverage` of the template's words in order into a stretch of twice its length; further
-    occurrences in one text are rows of their own; of overlapping ones that with most aligned words stays. The work is one pass without a shuffle.
+    puts at least `coverage` of the template's words in order into a stretch of twice its length; all
+    occurrences in one text are rows of their own, as many as stretches without common words hold; of overlapping ones that with most aligned words stays. The work is one pass without a shuffle.
 
     Null, empty and blank texts have no rows; repeated rows and keys are scanned each; other columns are
     ignored.
