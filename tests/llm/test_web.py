@@ -78,6 +78,16 @@ def test_template_of_pages_without_article(spark):
     assert [got[i]["text"] for i in range(6)] == [f"Story {i} is long" for i in range(6)] and got[9]["text"] == "Site name"
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    rows = [(i, "http://one.x/", "<body><p>story</p></body>") for i in range(3)]
+    rows += [(10 + i, f"http://near.x/{i}", f"<body><p>The same long story</p><p>and more of it</p><i>{i} May</i></body>") for i in range(4)]
+    rows += [(20 + i, f"http://half.x/{i}", f"<body><div>Site</div><p>{'A copied story' if i < 5 else f'The long story {i}'}</p></body>") for i in range(9)]
+    got = extract(spark, rows)
+    assert [got[i]["text"] for i in range(3)] == ["story"] * 3
+    assert [got[10 + i]["text"] for i in range(4)] == [f"The same long story\nand more of it\n{i} May" for i in range(4)]
+    assert [got[20 + i]["text"] for i in range(9)] == ["A copied story"] * 5 + [f"The long story {i}" for i in range(5, 9)]
+
+
 def test_long_and_deep_pages(spark):
     deep = "<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>" + "word " * 200_000 + "</article>"
     got = extract(spark, [(1, "http://d.x/", deep)])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -154,8 +155,21 @@ def squeezed(row: list) -> list:
     return out
 
 
-def form(page: str) -> tuple[list, list[int]]:
-    """A page as a wrapper of its own, and hashes of (place, text) if it has no article or main element."""
+def content(texts: list[str]) -> int:
+    """A hash of the longest of a page's texts that are together more than half of it: pages that differ in less
+    are copies of one."""
+    texts = sorted(set(texts), key=lambda t: (-len(t), t))
+    half, size, main = sum(map(len, texts)) / 2, 0, hashlib.blake2b(digest_size=8)
+    for text in texts:
+        main.update(f"{len(text)}\n{text}".encode(errors="replace"))
+        size += len(text)
+        if size > half:
+            break
+    return int.from_bytes(main.digest(), "little", signed=True)
+
+
+def form(page: str) -> tuple[list, list[int], int]:
+    """A page as a wrapper of its own, hashes of (place, text) if it has no article or main element, and its content."""
     root = ["", False, False, []]
     stack, texts, main = [root], [], False
     for kind, value in tokens(page):
@@ -172,7 +186,8 @@ def form(page: str) -> tuple[list, list[int]]:
                 stack[-1][3].append(["#", False, False, []])
             texts.append(("/".join(n[0] for n in stack), " ".join(words)))
     root[3] = squeezed(root[3])
-    return root, [] if main else [zlib.crc32(f"{p}\n{t}".encode()) for p, t in texts if "!" not in p]
+    texts = [] if main else [(p, t) for p, t in texts if "!" not in p]
+    return root, [zlib.crc32(f"{p}\n{t}".encode()) for p, t in texts], content([t for _, t in texts])
 
 
 def blocks(page: str, wrapper: list, template: frozenset) -> Iterator[str]:
@@ -221,7 +236,7 @@ def in_wrapper(node: list) -> bool:
 def forms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         made = [form(h or "") for h in frame["html"]]
-        yield pd.DataFrame({"host": frame["host"], "form": [json.dumps(f) for f, _ in made], "loose": [x for _, x in made]})
+        yield pd.DataFrame({"host": frame["host"], "form": [json.dumps(f) for f, _, _ in made], "loose": [x for _, x, _ in made], "content": [c for _, _, c in made]})
 
 
 def infer(frame: pd.DataFrame) -> pd.DataFrame:
@@ -251,18 +266,18 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     equal forms of a host are counted in the map, so a host of any size comes to its few forms, which are
     aligned in turn into its wrapper. Pages then run through the wrapper of their host. For pages without
     an article or main element, text that at least half of such pages of the host (and three) have in the
-    same place is template. Character references are decoded, white space in a block is one space, blocks
+    same place is template; pages that share more than half of their text count as one. Character references are decoded, white space in a block is one space, blocks
     are joined by a line feed; nothing else is dropped or capped.
 
     Null and empty html have an empty text; a null url has the empty host. Repeated rows are extracted
     each. No rows give no rows. Other columns are ignored.
     """
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
-    made = cut(rows.select("host", "html").mapInPandas(forms, "host string, form string, loose array<long>"))
+    made = cut(rows.select("host", "html").mapInPandas(forms, "host string, form string, loose array<long>, content long"))
     wrappers = made.groupBy("host", "form").agg(F.count("*").alias("pages")).groupBy("host").applyInPandas(infer, "h string, wrapper string")
     loose = made.where(F.size("loose") > 0)
-    seen = loose.groupBy("host").agg(F.count("*").alias("n"))
-    common = loose.select("host", F.explode(F.array_distinct("loose")).alias("text")).groupBy("host", "text").agg(F.count("*").alias("k")).join(seen, "host")
+    seen = loose.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("n"))
+    common = loose.select("host", "content", F.explode("loose").alias("text")).distinct().groupBy("host", "text").agg(F.count("*").alias("k")).join(seen, "host")
     common = common.where("k >= 3 AND 2 * k >= n").groupBy(F.col("host").alias("th")).agg(F.collect_list("text").alias("template"))
     known = cut(wrappers.join(common, F.col("h") == F.col("th"), "left").drop("th"))
     joined = rows.join(small(known, 20_000), F.col("host") == F.col("h")).select("key", "url", "html", "wrapper", "template")
