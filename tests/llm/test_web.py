@@ -88,6 +88,12 @@ def test_copies_of_a_page_are_no_template(spark):
     assert [got[20 + i]["text"] for i in range(9)] == ["A copied story"] * 5 + [f"The long story {i}" for i in range(5, 9)]
 
 
+def test_later_siblings_of_one_kind_keep_their_text(spark):
+    rows = [(1, "http://s.x/1", "<article><div><img></div><h1>T</h1><div>Lead text</div></article>"), (2, "http://s.x/2", "<article><p><b><i>x</i></b> and <u>q</u> <b>y</b></p></article>")]
+    got = extract(spark, rows)
+    assert got[1]["text"] == "T\nLead text" and got[2]["text"] == "x and q y"
+
+
 def test_long_and_deep_pages(spark):
     deep = "<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>" + "word " * 200_000 + "</article>"
     got = extract(spark, [(1, "http://d.x/", deep)])

@@ -191,10 +191,10 @@ def form(page: str) -> tuple[list, list[int], int]:
 
 
 def blocks(page: str, wrapper: list, template: frozenset) -> Iterator[str]:
-    """The blocks of a page's article: the page runs through the wrapper, and the text in the slots that are
-    kept comes out. Slots of a page with an article or main element are kept inside it, else everywhere but
-    where the text is part of the host's template; never inside an element that is not the article."""
-    place = [wrapper]
+    """The blocks of a page's article. The form of the page is part of its host's wrapper, so each of its texts has
+    a slot there, and none is dropped for its place in the alignment; the wrapper tells whether pages of the host
+    have an article or main element. Text of a page with one is kept inside it, else everywhere but where it is
+    part of the host's template; never inside an element that is not the article."""
     names, state, held = [""], [(False, False)], []  # (in the article, in something else)
     has_main = any(k == "open" and v in MAIN_TAGS for k, v in tokens(page)) if in_wrapper(wrapper) else False
 
@@ -206,8 +206,7 @@ def blocks(page: str, wrapper: list, template: frozenset) -> Iterator[str]:
     for kind, value in tokens(page):
         if kind == "text":
             article, other = state[-1]
-            slot = place[-1] is None or any(c[0] == "#" for c in place[-1][3]) or not value.strip()
-            if other or has_main and not article or not slot:
+            if other or has_main and not article:
                 continue
             if not has_main and template and zlib.crc32(("/".join(names) + "\n" + " ".join(value.split())).encode()) in template:
                 continue
@@ -218,12 +217,9 @@ def blocks(page: str, wrapper: list, template: frozenset) -> Iterator[str]:
             yield from out()
         if kind == "open":
             article, other = state[-1]
-            inner = next((c for c in place[-1][3] if c[0] == value), None) if place[-1] else None
-            place.append(inner)
             names.append(value)
             state.append((article or value in MAIN_TAGS, other or value.endswith("!")))
         elif kind == "close":
-            place.pop()
             names.pop()
             state.pop()
     yield from out()
@@ -264,7 +260,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
     Every page is reduced to the form of its token stream, with repeated groups folded and text as slots;
     equal forms of a host are counted in the map, so a host of any size comes to its few forms, which are
-    aligned in turn into its wrapper. Pages then run through the wrapper of their host. For pages without
+    aligned in turn into its wrapper. Pages are then read with the wrapper of their host. For pages without
     an article or main element, text that at least half of such pages of the host (and three) have in the
     same place is template; pages that share more than half of their text count as one. Character references are decoded, white space in a block is one space, blocks
     are joined by a line feed; nothing else is dropped or capped.
