@@ -73,6 +73,23 @@ def test_one_of_each(docs):
     assert rows(kept, "doc_id") == sorted([(0,), (102,), (104,), (105,), (107,), (None,)], key=repr)
 
 
+def test_rows_without_or_of_one_key_are_judged_each(spark, docs):
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcde"]
+    near = texts[0] + " end"
+    data = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, near), (5, texts[2]), (5, texts[3]), (5, texts[3]), (6, texts[3]), (None, texts[2]), (7, None), (7, "")]
+    kept = [tuple(r) for r in nj.one_of_each(docs(data)).select("doc_id", "text").collect()]
+    assert sorted(k for k, t in kept if k == 5) == [5, 5] and {t for k, t in kept if k == 5} == {texts[2], texts[3]}
+    free = [t for k, t in kept if k is None]
+    assert len(free) == 2 and texts[1] in free and (texts[0] in free or near in free)
+    assert len([k for k, _ in kept if k == 7]) == 1 and len(kept) == 5
+    items = spark.createDataFrame([(1, texts[4])], "item_id long, text string")
+    data = [(None, texts[0]), (None, "x " + texts[4]), (None, texts[1]), (5, texts[2]), (5, texts[4] + " y"), (6, texts[3]), (None, None)]
+    left = [tuple(r) for r in dc.decontaminate(docs(data), items).select("doc_id", "text").collect()]
+    assert sorted(left, key=repr) == sorted([(None, texts[0]), (None, texts[1]), (5, texts[2]), (6, texts[3]), (None, None)], key=repr)
+    halves = [(9, texts[4][:100]), (9, texts[4][100:])]  # no row holds the item
+    assert dc.decontaminate(docs(halves), items).count() == 2
+
+
 def test_banding_meets_recall():
     for recall in (0.99, 0.99999):
         bands, r = nj.banding(0.8, recall)

@@ -125,9 +125,15 @@ def verified(block: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["node", "peer", "links"])
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of noded() without the node of the class."""
+    return noded(docs, key, text, **options).drop("class")
+
+
+def noded(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """One row per row of docs: key, th (a hash of the text), class_id (the smallest key of its class), n_links
-    (other rows whose n-gram set has a Jaccard similarity of at least the threshold).
+    (other rows whose n-gram set has a Jaccard similarity of at least the threshold), class (a node of its
+    class, which tells classes apart that share their smallest key).
 
     Rows with equal n-gram sets are one node with a number of copies, so copies are counted and not
     paired. MinHash bands, sized for the recall, are shuffled; nodes that meet in a bucket are connected
@@ -162,24 +168,29 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N
     known = nodes.select("node", "copies", "least").join(links, "node", "left").join(merged, "node", "left")
     known = cut(known.select("node", "least", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("label", "node").alias("class")))
     named = known.groupBy("class").agg(F.min("least").alias("class_id"))
-    facts = cut(known.join(named, "class").select("node", "class_id", "n_links"))
-    return signed.select("key", "th", "node").join(facts, "node").select(F.col("key").alias(key), "th", "class_id", "n_links")
+    facts = cut(known.join(named, "class").select("node", "class_id", "n_links", "class"))
+    return signed.select("key", "th", "node").join(facts, "node").select(F.col("key").alias(key), "th", "class_id", "n_links", "class")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs without the near copies: of each class the row with the smallest key stays, with all
-    its columns. Rows of one key that are in one class count as repeated; one of them stays."""
-    found = cut(classes(docs, key, text, **options))
-    goes = cut(found.where(~F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("k"), F.col("th").alias("h")).distinct())
-    again = cut(found.where(F.col(key).eqNullSafe(F.col("class_id"))).groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n")).where("n > 1"))
+    its columns; null is the largest key. Rows of one key stay all if they are in different classes; of those in
+    one class, the one with the smallest hash of its text stays."""
+    found = noded(docs, key, text, **options).select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.col("th").alias("h")).alias("row"), "class")
+    found = cut(found.groupBy("class", "row").agg(F.count("*").alias("n")))  # key and text of a row tell its class
+    best = cut(found.groupBy("class").agg(F.min("row").alias("best"), F.count("*").alias("rows")).where("rows > 1").select("class", "best"))
+    goes = small(cut(found.join(small(best), "class").where(F.col("row") != F.col("best")).select("row.k", "row.h")))
+    again = cut(found.where("n > 1").select("row.k", "row.h"))
     th = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    goes = small(goes)
     left = docs.join(goes, docs[key].eqNullSafe(goes["k"]) & (th == goes["h"]), "left_anti")
     if again.isEmpty():
         return left
-    again = small(again.select("k"))
-    same = left.join(again, left[key].eqNullSafe(again["k"]), "left_semi")
-    return left.join(again, left[key].eqNullSafe(again["k"]), "left_anti").unionByName(same.dropDuplicates([key]))
+    again = small(again)
+    repeated = left[key].eqNullSafe(again["k"]) & (F.xxhash64(F.coalesce(left[text], F.lit(""))) == again["h"])
+    same = left.join(again, repeated, "left_semi")
+    mark = "_".join(["hash", *docs.columns])  # no column of docs
+    same = same.withColumn(mark, F.xxhash64(F.coalesce(same[text], F.lit("")))).dropDuplicates([key, mark]).drop(mark)
+    return left.join(again, repeated, "left_anti").unionByName(same)
 
 
 def op5_ngram_join(spark, sf_dir: str) -> DataFrame:
