@@ -100,6 +100,17 @@ def test_long_and_deep_pages(spark):
     assert got[1]["text"].startswith("deep\nword word") and got[1]["n_chars"] == 5 + 200_000 * 5 - 1
 
 
+def test_depth_changes_no_text(spark):
+    deep, end = "<div>" * 250, "</div>" * 250
+    rows = [
+        (1, "http://d1.x/", f"<div id=page><article>{deep}deep{end}<p>rest of the article</p></article></div>"),
+        (2, "http://d2.x/", f"<article>{deep}<nav>Menu</nav>kept<form>Form</form>{end}</article>"),
+        (3, "http://d3.x/", f"<p>around</p>{deep}<article>story</article>{end}"),
+    ]
+    got = extract(spark, rows)
+    assert [got[i]["text"] for i in (1, 2, 3)] == ["deep\nrest of the article", "kept", "story"]
+
+
 def test_wrapper_accepts_both_pages():
     a, b = h.form("<div><p>x</p><p>y</p><span>s</span></div>")[0], h.form("<div><h2>t</h2><p>z</p></div>")[0]
     div = h.merged(a, b)[3][0]

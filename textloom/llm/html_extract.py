@@ -7,6 +7,7 @@ import html as entities
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,7 +38,7 @@ MAIN_TAGS = frozenset(["article", "main"])
 #: Elements whose names say what they are; only these words count on them, and none on html and body.
 NAMED = frozenset("article main h1 h2 h3 h4 h5 h6".split())
 NAMED_WORDS = frozenset("ad advert advertisement sponsored promo related comment comments reply replies".split())
-DEEPEST = 200  # elements nested deeper count as part of the one at this depth
+DEEPEST = 200  # in wrappers, elements nested deeper count as part of the one at this depth; texts know no depth
 
 
 def signature(tag: str, attributes: str) -> str:
@@ -56,6 +57,7 @@ def tokens(page: str) -> Iterator[tuple[str, str]]:
     """(open, signature), (close, signature), (break, tag), (text, raw). Elements that a page leaves open are
     closed where the next one or an outer end closes them."""
     stack: list[tuple[str, str]] = []
+    within: Counter = Counter()  # the elements of the stack by tag
     at, n, lower = 0, len(page), None
     while at < n:
         m = TOKEN.search(page, at)
@@ -69,9 +71,10 @@ def tokens(page: str) -> Iterator[tuple[str, str]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if any(t == tag for t, _ in stack):
+            if within[tag]:
                 while stack:
                     t, s = stack.pop()
+                    within[t] -= 1
                     yield "close", s
                     if t == tag:
                         break
@@ -81,13 +84,15 @@ def tokens(page: str) -> Iterator[tuple[str, str]]:
         if tag in VOID:
             yield "break", tag
             continue
-        if tag in CLOSES_P and any(t == "p" for t, _ in stack):
+        if tag in CLOSES_P and within["p"]:
             while stack:
                 t, s = stack.pop()
+                within[t] -= 1
                 yield "close", s
                 if t == "p":
                     break
         elif tag in LIKE and stack and stack[-1][0] == tag:
+            within[tag] -= 1
             yield "close", stack.pop()[1]
         if m[3].endswith("/") and tag not in RAW:
             yield "break", tag
@@ -101,11 +106,9 @@ def tokens(page: str) -> Iterator[tuple[str, str]]:
             yield "close", sig
             at = n if end < 0 else (page.find(">", end) + 1 or n)
             continue
-        if len(stack) < DEEPEST:
-            stack.append((tag, sig))
-            yield "open", sig
-        else:
-            yield "break", tag
+        stack.append((tag, sig))
+        within[tag] += 1
+        yield "open", sig
     while stack:
         yield "close", stack.pop()[1]
 
@@ -155,13 +158,18 @@ def squeezed(row: list) -> list:
     return out
 
 
+def below(place: tuple[int, bool], name: str) -> tuple[int, bool]:
+    """(hash of the names from the root, in an element that is not the article) of a place one element deeper."""
+    return zlib.crc32(f"/{name}".encode(), place[0]), place[1] or name.endswith("!")
+
+
 def content(texts: list[str]) -> int:
     """A hash of the longest of a page's texts that are together more than half of it: pages that differ in less
     are copies of one."""
     texts = sorted(set(texts), key=lambda t: (-len(t), t))
     half, size, main = sum(map(len, texts)) / 2, 0, hashlib.blake2b(digest_size=8)
     for text in texts:
-        main.update(f"{len(text)}\n{text}".encode(errors="replace"))
+        main.update(f"{len(text)}\n{text}".encode())
         size += len(text)
         if size > half:
             break
@@ -171,23 +179,29 @@ def content(texts: list[str]) -> int:
 def form(page: str) -> tuple[list, list[int], int]:
     """A page as a wrapper of its own, hashes of (place, text) if it has no article or main element, and its content."""
     root = ["", False, False, []]
-    stack, texts, main = [root], [], False
+    stack, places, texts, main = [root], [(0, False)], [], False
     for kind, value in tokens(page):
         if kind == "open":
             node = [value, False, False, []]
-            stack[-1][3].append(node)
-            stack.append(node)
+            if len(places) <= DEEPEST:
+                stack[-1][3].append(node)
+                stack.append(node)
+            elif value in MAIN_TAGS and not main:
+                root[3].append(node)  # the wrapper has to know of it
+            places.append(below(places[-1], value))
             main = main or value in MAIN_TAGS
         elif kind == "close":
-            node = stack.pop()
-            node[3] = squeezed(node[3])
+            if len(places) <= len(stack):
+                node = stack.pop()
+                node[3] = squeezed(node[3])
+            places.pop()
         elif kind == "text" and (words := value.split()):
             if not stack[-1][3] or stack[-1][3][-1][0] != "#":
                 stack[-1][3].append(["#", False, False, []])
-            texts.append(("/".join(n[0] for n in stack), " ".join(words)))
+            texts.append((places[-1], " ".join(words)))
     root[3] = squeezed(root[3])
-    texts = [] if main else [(p, t) for p, t in texts if "!" not in p]
-    return root, [zlib.crc32(f"{p}\n{t}".encode()) for p, t in texts], content([t for _, t in texts])
+    texts = [] if main else [(p, t) for (p, other), t in texts if not other]
+    return root, [zlib.crc32(f"\n{t}".encode(), p) for p, t in texts], content([t for _, t in texts])
 
 
 def blocks(page: str, wrapper: list, template: frozenset) -> Iterator[str]:
@@ -195,7 +209,7 @@ def blocks(page: str, wrapper: list, template: frozenset) -> Iterator[str]:
     a slot there, and none is dropped for its place in the alignment; the wrapper tells whether pages of the host
     have an article or main element. Text of a page with one is kept inside it, else everywhere but where it is
     part of the host's template; never inside an element that is not the article."""
-    names, state, held = [""], [(False, False)], []  # (in the article, in something else)
+    places, inside, held = [(0, False)], [False], []  # inside: in the article
     has_main = any(k == "open" and v in MAIN_TAGS for k, v in tokens(page)) if in_wrapper(wrapper) else False
 
     def out() -> Iterator[str]:
@@ -205,10 +219,10 @@ def blocks(page: str, wrapper: list, template: frozenset) -> Iterator[str]:
 
     for kind, value in tokens(page):
         if kind == "text":
-            article, other = state[-1]
-            if other or has_main and not article:
+            place, other = places[-1]
+            if other or has_main and not inside[-1]:
                 continue
-            if not has_main and template and zlib.crc32(("/".join(names) + "\n" + " ".join(value.split())).encode()) in template:
+            if not has_main and template and zlib.crc32(("\n" + " ".join(value.split())).encode(), place) in template:
                 continue
             held.append(value)
             continue
@@ -216,12 +230,11 @@ def blocks(page: str, wrapper: list, template: frozenset) -> Iterator[str]:
         if tag not in INLINE or value.endswith("!"):
             yield from out()
         if kind == "open":
-            article, other = state[-1]
-            names.append(value)
-            state.append((article or value in MAIN_TAGS, other or value.endswith("!")))
+            places.append(below(places[-1], value))
+            inside.append(inside[-1] or value in MAIN_TAGS)
         elif kind == "close":
-            names.pop()
-            state.pop()
+            places.pop()
+            inside.pop()
     yield from out()
 
 
