@@ -159,6 +159,16 @@ def test_token_files_round_trip(spark, docs):
     assert to.read_tokens(folder, manifest, digest=True).count() == 0
 
 
+def test_rows_of_one_key_fill_several_shards(spark, docs):
+    data = [(None, f"{i:03} text without a key") for i in range(400)]
+    folder, manifest = to.write_tokens(docs(data), tokenizers.path("word_bpe_49k.json"), shards=4)
+    entries = [r["entries"] for r in manifest.collect()]
+    assert len(entries) > 1 and sum(entries) == 400 and max(entries) < 300
+    encoder = to.Encoder(tokenizers.path("word_bpe_49k.json"))
+    got = sorted(to.read_tokens(folder, manifest).collect(), key=lambda r: r["start"])
+    assert [r["ids"] for r in got] == [np.frombuffer(encoder.encode([t])[0], "<u2").astype(int).tolist() for _, t in data]
+
+
 def test_table_file_blocks_and_lookup():
     file = tempfile.TemporaryFile()
     writer = Writer(file, 2)

@@ -111,6 +111,22 @@ def test_depth_changes_no_text(spark):
     assert [got[i]["text"] for i in (1, 2, 3)] == ["deep\nrest of the article", "kept", "story"]
 
 
+def test_wrappers_fold_in_rounds(spark, monkeypatch):
+    tags, sizes, infer = "p ul ol dl pre table section figure".split(), spark.sparkContext.accumulator(0), h.infer
+    pages_ = ["".join(f"<{t}>x</{t}>" for i, t in enumerate(tags) if n >> i & 1) for n in range(1, 256)]
+    forms = {h.json.dumps(h.form(p)[0]) for p in pages_}
+
+    def counted(frame):
+        sizes.add(int(len(frame) > 40))
+        return infer(frame)
+
+    monkeypatch.setattr(h, "infer", counted)
+    df = spark.createDataFrame([("a", f) for f in forms] + [("b", min(forms))], "host string, form string")
+    got = {r["host"]: h.json.loads(r["form"]) for r in h.folded(df, 8).collect()}
+    assert sizes.value == 0 and set(got) == {"a", "b"}
+    assert {n[0] for n in got["a"][3]} == set(tags) and got["b"] == h.json.loads(min(forms))
+
+
 def test_wrapper_accepts_both_pages():
     a, b = h.form("<div><p>x</p><p>y</p><span>s</span></div>")[0], h.form("<div><h2>t</h2><p>z</p></div>")[0]
     div = h.merged(a, b)[3][0]

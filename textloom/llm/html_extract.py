@@ -40,6 +40,9 @@ NAMED = frozenset("article main h1 h2 h3 h4 h5 h6".split())
 NAMED_WORDS = frozenset("ad advert advertisement sponsored promo related comment comments reply replies".split())
 DEEPEST = 200  # in wrappers, elements nested deeper count as part of the one at this depth; texts know no depth
 
+#: Forms that are aligned in one task, on average, and bytes of wrappers up to which they are broadcast.
+FOLD, BROADCAST_BYTES = 64, 16 << 20
+
 
 def signature(tag: str, attributes: str) -> str:
     """The tag, with the words of class, id and role that mark what is not the article."""
@@ -249,12 +252,23 @@ def forms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def infer(frame: pd.DataFrame) -> pd.DataFrame:
-    """All forms of a host, longest first, aligned into its wrapper."""
+    """Forms of a host, longest first, aligned into one."""
     rows = sorted(frame["form"], key=lambda x: (-len(x), x))
     wrapper = json.loads(rows[0])
     for row in rows[1:]:
         wrapper = merged(wrapper, json.loads(row))
-    return pd.DataFrame({"h": frame["host"].iloc[:1], "wrapper": [json.dumps(wrapper)]})
+    return pd.DataFrame({"host": frame["host"].iloc[:1], "form": [json.dumps(wrapper)]})
+
+
+def folded(forms: DataFrame, fold: int = FOLD) -> DataFrame:
+    """The wrapper of each host from its distinct forms (host, form): groups of some `fold` forms are aligned, then
+    what they give in the same way, until a host has one."""
+    while True:
+        sized = small(cut(forms.groupBy("host").agg(F.ceil(F.count("*") / F.lit(float(fold))).alias("parts"))))
+        salted = forms.join(sized, "host").withColumn("part", F.pmod(F.xxhash64("form"), F.col("parts")))
+        forms = cut(salted.groupBy("host", "part").applyInPandas(infer, "host string, form string").distinct())
+        if sized.where("parts > 1").isEmpty():
+            return forms
 
 
 def extracted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -272,8 +286,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     """One row per row of pages: key, url, text (the article), n_chars.
 
     Every page is reduced to the form of its token stream, with repeated groups folded and text as slots;
-    equal forms of a host are counted in the map, so a host of any size comes to its few forms, which are
-    aligned in turn into its wrapper. Pages are then read with the wrapper of their host. For pages without
+    equal forms of a host are counted in the map, and its distinct forms are
+    aligned into its wrapper, a fixed number in a task, then the results in the same way. Pages are then read with the wrapper of their host. For pages without
     an article or main element, text that at least half of such pages of the host (and three) have in the
     same place is template; pages that share more than half of their text count as one. Character references are decoded, white space in a block is one space, blocks
     are joined by a line feed; nothing else is dropped or capped.
@@ -283,13 +297,14 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     """
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
     made = cut(rows.select("host", "html").mapInPandas(forms, "host string, form string, loose array<long>, content long"))
-    wrappers = made.groupBy("host", "form").agg(F.count("*").alias("pages")).groupBy("host").applyInPandas(infer, "h string, wrapper string")
+    wrappers = folded(cut(made.select("host", "form").distinct())).select(F.col("host").alias("h"), F.col("form").alias("wrapper"))
     loose = made.where(F.size("loose") > 0)
     seen = loose.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("n"))
     common = loose.select("host", "content", F.explode("loose").alias("text")).distinct().groupBy("host", "text").agg(F.count("*").alias("k")).join(seen, "host")
     common = common.where("k >= 3 AND 2 * k >= n").groupBy(F.col("host").alias("th")).agg(F.collect_list("text").alias("template"))
     known = cut(wrappers.join(common, F.col("h") == F.col("th"), "left").drop("th"))
-    joined = rows.join(small(known, 20_000), F.col("host") == F.col("h")).select("key", "url", "html", "wrapper", "template")
+    size = known.agg(F.sum(F.length("h") + F.length("wrapper") + 8 * F.coalesce(F.size("template"), F.lit(0)))).first()[0] or 0
+    joined = rows.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, F.col("host") == F.col("h")).select("key", "url", "html", "wrapper", "template")
     kind = pages.schema[key].dataType.simpleString()
     return joined.mapInPandas(extracted, f"key {kind}, url string, text string, n_chars long").withColumnRenamed("key", key).withColumnRenamed("url", url)
 

@@ -19,6 +19,9 @@ from .shingles import hashed, spans
 from .tokenfile import Reader, Writer, key_bytes, key_value
 
 END = 1
+#: Leading characters of a text by which rows of one key are cut into shards; the driver samples them. Order within
+#: a shard is by whole texts.
+PREFIX = 256
 #: Pieces that a worker remembers before it starts anew: a bound on its memory, not on input.
 KEPT_PIECES = 1_500_000
 #: Texts, or characters of text, that are encoded together.
@@ -201,7 +204,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, sha
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).repartitionByRange(shards, "key").sortWithinPartitions("key", "text")
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    rows = rows.repartitionByRange(shards, "key", F.substring("text", 1, PREFIX)).sortWithinPartitions("key", "text")
     made = cut(rows.mapInArrow(lambda it: write_shard(it, folder, tokenizer), "shard int, file string, entries long, tokens long"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return folder, cut(made.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)).cast("long")))
