@@ -1,14 +1,17 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share, and their removal."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _folders: dict[str, str] = {}
+_spaces: list[list[str]] = [[]]  # tables by workspace, the innermost last; the first holds what results still read
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,7 +28,43 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends there."""
+    """df written to the shared folder and read again: its lineage ends there, and a lost executor costs a task,
+    not the steps before."""
     path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    _spaces[-1].append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._kept_path = path
+    return table
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that kept() writes inside are deleted at its end, but for those handed to the function it gives: these
+    belong to the workspace around it. What is read lazily after the end has to be handed over."""
+    own: list[str] = []
+    _spaces.append(own)
+    passed: set[str] = set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        passed.add(table._kept_path)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _spaces.remove(own)
+        _spaces[-1].extend(p for p in own if p in passed)
+        _delete(spark, [p for p in own if p not in passed])
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table that kept() wrote and no workspace deleted. Results that were not saved cannot be read after it."""
+    _delete(spark, _spaces[0])
+    _spaces[0].clear()
