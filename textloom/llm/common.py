@@ -2,47 +2,41 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.storage import kept as cut
+from ..operators.storage import release, shared_folder, workspace
+
+__all__ = ["SPACE", "SPACE_CHARS", "components", "cut", "release", "shared_folder", "small", "words", "workspace"]
+
 #: The white space that separates words everywhere in this folder.
 SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
-#: Rows of ids (at most some 40 bytes each) up to which a side is broadcast; beyond it, both sides are shuffled.
-BROADCAST_ROWS = 200_000
-
-_own_dirs: dict[str, str] = {}
+#: Bytes up to which a side is broadcast; beyond it, both sides are shuffled.
+BROADCAST_BYTES = 16 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir). A local session without one gets its own."""
-    if configured := spark.conf.get("spark.checkpoint.dir", None):
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    if not re.match(r"local(\[|$)", context.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if context.applicationId not in _own_dirs:
-        _own_dirs[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    return _own_dirs[context.applicationId]
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it again: the lineage ends there, and a
-    lost executor costs a task, not the steps before."""
-    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark df for broadcast if its rows have at most limit bytes; beyond that leave the join to Spark. df is read
+    twice, so it should be cheap or cut."""
+    return F.broadcast(df) if width(df) <= limit else df
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark df for broadcast if it has at most limit rows; beyond that leave the join to Spark. df is read
-    twice, so it should be cheap or cut."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def width(df: DataFrame) -> int:
+    """About how many bytes the rows of df have: strings and arrays by their contents, other values 8 each."""
+    sizes = [F.lit(8 * len(df.columns))]
+    for field in df.schema.fields:
+        kind, value = field.dataType.simpleString(), F.col(f"`{field.name}`")
+        if kind in ("string", "binary"):
+            sizes.append(F.coalesce(F.octet_length(value), F.lit(0)))
+        elif kind.startswith(("array", "map", "struct")):
+            sizes.append(F.coalesce(F.octet_length(F.to_json(F.struct(value))), F.lit(0)))
+    total = sizes[0].cast("long")
+    for size in sizes[1:]:
+        total = total + size
+    return df.agg(F.sum(total)).first()[0] or 0
 
 
 def words(text: Column) -> Column:
@@ -54,16 +48,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components: (node, label), label the smallest node of the component.
 
     Each round takes the smallest label among a node, its neighbours and its label's label, so long chains
-    shorten by doubling. Hubs are safe: rows meet in joins that Spark can split and in pre-aggregated minima.
+    shorten by doubling. Hubs are safe: rows meet in joins that Spark can split and in pre-aggregated minima. A
+    round's table goes when the next is written.
     """
-    both = cut(edges.select(F.col(a).alias("node"), F.col(b).alias("peer")).union(edges.select(b, a)).where("node <> peer").groupBy("node", "peer").agg(F.count("*").alias("n")).drop("n"))
-    labels = cut(both.groupBy("node").agg(F.min("peer").alias("m")).select("node", F.least("node", "m").alias("label")))
-    while True:
-        around = both.join(labels.withColumnRenamed("node", "peer"), "peer").groupBy("node").agg(F.min("label").alias("near"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("jumped"))
-        step = labels.join(around, "node").join(jump, "label", "left")
-        step = cut(step.select("node", F.least("label", "near", F.coalesce("jumped", "label")).alias("new"), "label"))
-        changed = step.where("new <> label").limit(1).count()
-        labels = step.select("node", F.col("new").alias("label"))
-        if not changed:
-            return labels
+    with workspace(edges.sparkSession) as keep:
+        both = cut(edges.select(F.col(a).alias("node"), F.col(b).alias("peer")).union(edges.select(b, a)).where("node <> peer").groupBy("node", "peer").agg(F.count("*").alias("n")).drop("n"))
+        labels = cut(both.groupBy("node").agg(F.min("peer").alias("m")).select("node", F.least("node", "m").alias("label")))
+        while True:
+            around = both.join(labels.withColumnRenamed("node", "peer"), "peer").groupBy("node").agg(F.min("label").alias("near"))
+            jump = labels.select(F.col("node").alias("label"), F.col("label").alias("jumped"))
+            step = labels.join(around, "node").join(jump, "label", "left")
+            step = cut(step.select("node", F.least("label", "near", F.coalesce("jumped", "label")).alias("new"), "label"))
+            changed = step.where("new <> label").limit(1).count()
+            labels = step.select("node", F.col("new").alias("label"))
+            if not changed:
+                keep(step)
+                return labels

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import cut, shared_folder
 from .shingles import hashed, spans
 from .tokenfile import Reader, Writer, key_bytes, key_value
 
@@ -202,7 +202,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, sha
     texts; null and empty texts have the end id alone. No rows make no shard. Other columns are ignored.
     """
     spark = docs.sparkSession
-    folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    folder = folder or f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     rows = rows.repartitionByRange(shards, "key", F.substring("text", 1, PREFIX)).sortWithinPartitions("key", "text")

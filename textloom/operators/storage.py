@@ -59,7 +59,7 @@ def workspace(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]
     try:
         yield keep
     finally:
-        _spaces.remove(own)
+        _spaces.pop()
         _spaces[-1].extend(p for p in own if p in passed)
         _delete(spark, [p for p in own if p not in passed])
 
