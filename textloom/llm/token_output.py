@@ -19,9 +19,11 @@ from .shingles import hashed, spans
 from .tokenfile import Reader, Writer, key_bytes, key_value
 
 END = 1
-#: Leading characters of a text by which rows of one key are cut into shards; the driver samples them. Order within
-#: a shard is by whole texts.
+#: Leading characters of a text by which rows of one key are cut into shards; the driver samples them. Rows that agree
+#: in them are cut by a hash of their texts.
 PREFIX = 256
+#: Bytes of text in a shard, about; a row counts ROW_BYTES more, so that a shard of empty texts has a bounded Bloom filter.
+SHARD_BYTES, ROW_BYTES = 256 << 20, 64
 #: Pieces that a worker remembers before it starts anew: a bound on its memory, not on input.
 KEPT_PIECES = 1_500_000
 #: Texts, or characters of text, that are encoded together.
@@ -56,6 +58,27 @@ def split_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     return low, np.where(plain, core_ends, ends)
 
 
+def distinct_pieces(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(at, piece_of): a place of each distinct piece, and which of them each piece is. Pieces are grouped by a hash and
+    then compared by their bytes; pieces that share a hash only are told apart."""
+    _, at, piece_of = np.unique(hashed(data, first, last), return_index=True, return_inverse=True)
+    like = at[piece_of]
+    lengths = last - first
+    alike = lengths == (last - first)[like]
+    held = np.where(alike, lengths, 0)
+    inside = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)
+    differs = data[np.repeat(first, held) + inside] != data[np.repeat(first[like], held) + inside]
+    alike[np.repeat(np.arange(len(first)), held)[differs]] = False
+    seen: dict[bytes, int] = {}
+    for i in np.flatnonzero(~alike).tolist():
+        piece = data[first[i] : last[i]].tobytes()
+        if piece not in seen:
+            seen[piece] = len(at)
+            at = np.append(at, i)
+        piece_of[i] = seen[piece]
+    return at, piece_of
+
+
 class Encoder:
     """Encodes texts by words, plain ones by letters and marks, and remembers these pieces.
 
@@ -83,8 +106,7 @@ class Encoder:
         self.known.update(zip(pieces, [self.pack(e.ids) for e in found], strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text with the end id, packed. Pieces that the texts share are looked up once; two hashes of 64
-        bits tell them apart."""
+        """The ids of each text with the end id, packed. Pieces that the texts share, byte by byte, are looked up once."""
         data, starts, ends, counts = spans([(t or "").encode() for t in texts])
         end = self.pack([END])
         if not len(starts):
@@ -94,10 +116,7 @@ class Encoder:
         real = last > first
         per_word = real.reshape(-1, 2).sum(1)
         first, last = first[real], last[real]
-        one, two = hashed(low, first, last, 2)
-        _, at, piece_of = np.unique(one, return_index=True, return_inverse=True)
-        if not (two[at][piece_of] == two).all():
-            raise ValueError("two pieces have one hash")
+        at, piece_of = distinct_pieces(low, first, last)
         blob = low.tobytes()
         distinct = [blob[i:j] for i, j in zip(first[at].tolist(), last[at].tolist(), strict=True)]
         ids = list(map(self.known.get, distinct))
@@ -135,19 +154,24 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
             yield keys, texts
 
 
+def store_of(folder: str) -> tuple:
+    """The file system of a folder and the folder's path on it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
+
+
 def write_shard(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str) -> Iterator[pa.RecordBatch]:
     """One partition, sorted by key, to one shard; then its row of the manifest. The file appears under its
     name when it is whole, so a task that runs again does no harm."""
     import os
 
-    from pyarrow import fs
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if tokenizer not in _encoders:
         _encoders[tokenizer] = Encoder(tokenizer)
     encoder = _encoders[tokenizer]
     shard = TaskContext.get().partitionId()
-    store, root = fs.FileSystem.from_uri(folder)
+    store, root = store_of(folder)
     store.create_dir(root)
     name, draft = f"{root}/shard-{shard:06d}.sst", f"{root}/.draft-{uuid.uuid4().hex}"
     writer = None
@@ -166,9 +190,7 @@ def write_shard(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str)
 
 
 def open_shard(folder: str, file: str) -> Reader:
-    from pyarrow import fs
-
-    store, root = fs.FileSystem.from_uri(folder)
+    store, root = store_of(folder)
     stream = store.open_input_file(f"{root}/{file}")
     return Reader(stream, stream.size())
 
@@ -199,14 +221,23 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, sha
 
     The manifest has a row per shard: shard, file, entries, tokens, start (ids in the shards before it).
     Keys are integers. A null key comes first; rows with one key follow each other in the order of their
-    texts; null and empty texts have the end id alone. No rows make no shard. Other columns are ignored.
+    first PREFIX characters, then of a hash of the text; null and empty texts have the end id alone. Very long texts are
+    encoded whole. No rows make no shard. Other columns are ignored. There are as many shards as shuffle partitions, and
+    more if a shard would have over SHARD_BYTES of text.
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange(shards, "key", F.substring("text", 1, PREFIX)).sortWithinPartitions("key", "text")
+    if shards is None:
+        size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(ROW_BYTES).cast("long"))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    order = ["key", F.substring("text", 1, PREFIX), F.xxhash64("text")]
+    rows = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     made = cut(rows.mapInArrow(lambda it: write_shard(it, folder, tokenizer), "shard int, file string, entries long, tokens long"))
+    drafts = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/.draft-*")
+    files = drafts.getFileSystem(spark._jsc.hadoopConfiguration())
+    for left in files.globStatus(drafts) or []:  # of tasks that failed
+        files.delete(left.getPath(), False)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return folder, cut(made.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)).cast("long")))
 

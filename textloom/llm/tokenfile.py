@@ -12,6 +12,7 @@ import bisect
 import hashlib
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,19 +51,26 @@ def read_varint(data: bytes, at: int) -> tuple[int, int]:
             return n, at
 
 
-def places(key: bytes, bits: int) -> list[int]:
+def two_hashes(key: bytes) -> tuple[int, int]:
+    """Of 62 bits, so that sums of HASHES of them stay within 64 bits once they are reduced."""
     a, b = struct.unpack("<QQ", hashlib.blake2b(key, digest_size=16).digest())
-    return [(a + i * (b | 1)) % bits for i in range(HASHES)]
+    return a >> 2, b >> 2
+
+
+def places(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """The bits of keys with these hashes, a row for each of HASHES."""
+    return (a % bits + np.arange(HASHES, dtype=np.uint64)[:, None] * (b % bits)) % bits
 
 
 class Writer:
-    """Writes entries that come in the order of their keys to a binary stream; holds one block at a time."""
+    """Writes entries that come in the order of their keys to a binary stream. It holds one block, and of every distinct
+    key so far 16 bytes for the Bloom filter."""
 
     def __init__(self, stream, width: int):
         self.out, self.width, self.at = stream, width, len(MAGIC)
         self.block, self.first, self.last, self.held = bytearray(), b"", b"", [0, 0]
         self.index, self.entries, self.tokens = bytearray(), 0, 0
-        self.keys: list[bytes] = []
+        self.hashes = array("Q")
         stream.write(MAGIC)
 
     def add(self, key: bytes, value: bytes) -> None:
@@ -74,7 +82,7 @@ class Writer:
         else:
             self.first = key
         if key != self.last or not self.entries:
-            self.keys.append(key)
+            self.hashes.extend(two_hashes(key))
         self.block += varint(shared) + varint(len(key) - shared) + varint(len(value)) + key[shared:]
         self.block += value
         self.last = key
@@ -93,11 +101,13 @@ class Writer:
     def close(self) -> None:
         if self.block:
             self.end_block()
-        bits = max(64, BITS_PER_KEY * len(self.keys))
-        bloom = np.zeros(-(-bits // 8) * 8, np.uint8)
-        for key in self.keys:
-            bloom[places(key, bits)] = 1
-        packed = struct.pack("<Q", bits) + np.packbits(bloom).tobytes()
+        pairs = np.frombuffer(self.hashes, np.uint64).reshape(-1, 2)
+        bits = max(64, BITS_PER_KEY * len(pairs))
+        bloom = np.zeros(-(-bits // 8), np.uint8)
+        for at in range(0, len(pairs), 1 << 16):
+            spots = places(pairs[at : at + (1 << 16), 0], pairs[at : at + (1 << 16), 1], bits).ravel()
+            np.bitwise_or.at(bloom, (spots >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (spots & np.uint64(7)).astype(np.uint8))
+        packed = struct.pack("<Q", bits) + bloom.tobytes()
         self.out.write(packed)
         self.out.write(bytes(self.index))
         after = self.at + len(packed)
@@ -114,7 +124,7 @@ class Reader:
             raise ValueError("not a token file")
         bloom = self.part(where[0], where[1])
         self.bits = struct.unpack("<Q", bloom[:8])[0]
-        self.bloom = np.unpackbits(np.frombuffer(bloom[8:], np.uint8))
+        self.bloom = bloom[8:]
         raw, at = self.part(where[2], where[3]), 0
         self.firsts: list[bytes] = []
         self.blocks: list[tuple[int, int, int]] = []  # offset, length, tokens before
@@ -157,7 +167,9 @@ class Reader:
 
     def get(self, key: bytes) -> list[np.ndarray]:
         """The ids of every entry of the key: Bloom filter, binary search in the index, then its blocks."""
-        if not self.bloom[places(key, self.bits)].all():
+        a, b = two_hashes(key)
+        spots = places(np.array([a], np.uint64), np.array([b], np.uint64), self.bits).ravel().tolist()
+        if not all(self.bloom[x >> 3] & 128 >> (x & 7) for x in spots):
             return []
         found, i = [], max(0, bisect.bisect_left(self.firsts, key) - 1)
         while i < len(self.firsts) and self.firsts[i] <= key:
