@@ -11,24 +11,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, small
+from .common import components, cut, small, workspace
 from .shingles import mix, shingle_sets
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.99999
-#: Sets in one side of a verification block: a bound on memory, not on partners. Larger candidate
-#: components are cut into blocks that together hold every pair.
+#: Sets in one side of a verification block: a bound on memory, not on partners. Larger groups are cut into blocks that
+#: together hold every pair.
 BLOCK = 512
+#: Share of a block's pairs from which all are counted by matrix products, and not one by one.
+DENSE = 0.05
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 128) -> tuple[int, int]:
     """(bands, rows): of the choices of at most `most` hashes that find a pair at the threshold with at least
-    this chance, the one that makes fewest candidates of the pairs below it."""
+    this chance, the one that makes fewest candidates of the pairs below it. A threshold so low that `most` hashes
+    cannot meet the recall (about 0.09 at the defaults) is refused."""
     grid = np.linspace(0, threshold, 101)
     choices = []
     for rows in range(1, most + 1):
         bands = int(np.ceil(np.log(1 - recall) / np.log1p(-(threshold**rows))))
         if bands * rows <= most:
             choices.append(((1 - (1 - grid**rows) ** bands).mean(), bands, rows))
+    if not choices:
+        raise ValueError(f"{most} hashes cannot find pairs at {threshold} with a chance of {recall}")
     return min(choices)[1:]
 
 
@@ -55,14 +60,23 @@ def signatures(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int)
         )
 
 
-def full_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """(text) to (node, set)."""
-    for batch in batches:
-        sets = list(shingle_sets(batch.column("text").to_pylist(), n))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-            names=["node", "set"],
-        )
+def gram_ids(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """For each text the numbers of its distinct n-grams, sorted; equal n-grams of words, compared as written, and no
+    others have one number. A text of fewer than n words is one n-gram of its own."""
+    known: dict[bytes, int] = {}
+    number = known.setdefault
+    rows = []
+    for text in texts:
+        ids = [number(w, len(known) + 1) for w in (text or "").encode().split()]
+        rows.append(np.array(ids + [0] * (n - len(ids)) if ids else ids, np.int64))
+    counts = np.array([max(0, len(r) - n + 1) for r in rows])
+    flat = np.concatenate([*rows, np.zeros(n, np.int64)])
+    firsts = np.cumsum([0, *map(len, rows)])[:-1]
+    at = np.repeat(firsts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    grams = flat[at]
+    for j in range(1, n):  # the number of the first j words and the next word make the number of j + 1 words
+        grams = np.unique(grams * (len(known) + 1) + flat[at + j], return_inverse=True)[1].astype(np.int64)
+    return [np.unique(x) for x in np.split(grams, np.cumsum(counts)[:-1])]
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -85,90 +99,170 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def verified(block: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Of one block (component, i, j): the links of each node, and edges that connect what is linked."""
-    i, j = block["i"].iloc[0], block["j"].iloc[0]
-    left = block[block["chunk"] == i].reset_index(drop=True)
-    right = left if i == j else block[block["chunk"] == j].reset_index(drop=True)
+def meet(left: np.ndarray, right: np.ndarray, band: int) -> np.ndarray:
+    """Which rows of bands of the two sides agree somewhere; for a band from 0 on, which agree there and in none before."""
+    agree = np.zeros((len(left), len(right)), bool)
+    for b in range(left.shape[1] if band < 0 else band):
+        agree |= left[:, b, None] == right[None, :, b]
+    return agree if band < 0 else ~agree & (left[:, band, None] == right[None, :, band])
+
+
+def in_reach(left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """Which sizes are so near that the similarity can reach the threshold."""
+    return np.minimum(left[:, None], right[None, :]) >= threshold * np.maximum(left[:, None], right[None, :]) - 1e-9
+
+
+def sides(frame: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(band, rows of the left side, rows of the right side) of each block in a frame; of repeated nodes one row counts."""
+    names = ["label", "band", "bucket", "i", "j"]
+    frame = frame.reset_index(drop=True).drop_duplicates([*names, "node"])
+    for (_, band, _, i, j), rows in frame.groupby(names, dropna=False).indices.items():
+        rows = frame.index.to_numpy()[rows]
+        chunk = frame["chunk"].loc[rows].to_numpy()
+        left = rows[chunk == i]
+        right = left if i == j else rows[chunk == j]
+        if len(left) and len(right) and not (i == j and len(left) < 2):
+            yield int(band), left, right
+
+
+def first_met(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """The rows whose node has a partner in its block that it meets in no band before."""
+    frame = frame.reset_index(drop=True)
+    bands, grams = np.array(frame["bands"].tolist(), np.int64), frame["grams"].to_numpy()
+    needed = np.zeros(len(frame), bool)
+    for band, left, right in sides(frame):
+        pairs = meet(bands[left], bands[right], band) & in_reach(grams[left], grams[right], threshold)
+        if left is right:
+            np.fill_diagonal(pairs, False)
+        needed[left] |= pairs.any(axis=1)
+        needed[right] |= pairs.any(axis=0)
+    return frame[needed]
+
+
+def verified(frame: pd.DataFrame, threshold: float, n: int) -> pd.DataFrame:
+    """Of the blocks of a frame: the links of each node, and edges that connect what is linked. Only pairs that meet in a
+    band are compared, by their n-grams and not by hashes of them."""
+    frame = frame.reset_index(drop=True)
+    sets = gram_ids(frame["text"].tolist(), n)
+    bands, sizes = np.array(frame["bands"].tolist(), np.int64), np.array([len(s) for s in sets])
+    copies, names = frame["copies"].to_numpy(), frame["node"].tolist()
     out: list[tuple] = []
-    if len(left) and len(right):
-        ls = [np.asarray(s, np.int64).view(np.uint64) for s in left["set"]]
-        rs = ls if i == j else [np.asarray(s, np.int64).view(np.uint64) for s in right["set"]]
-        ln, rn = np.array([len(s) for s in ls]), np.array([len(s) for s in rs])
-        both = overlaps(ls, rs)
-        union = ln[:, None] + rn[None, :] - both
-        linked = both >= threshold * union - 1e-9
-        if i == j:
-            np.fill_diagonal(linked, False)
-        for frame, links in ((left, linked @ right["copies"].to_numpy()), *([] if i == j else [(right, linked.T @ left["copies"].to_numpy())])):
-            out += [(node, None, int(k)) for node, k in zip(frame["node"], links, strict=True) if k]
-        names = [*left["node"], *([] if i == j else right["node"])]
-        parent = list(range(len(names)))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        shift = 0 if i == j else len(left)
-        for x in range(len(left)):
-            for y in np.flatnonzero(linked[x]):
-                p, q = root(x), root(int(y) + shift)
-                if p != q:
-                    parent[p] = q
-        groups: dict[int, list] = {}
-        for x, name in enumerate(names):
-            groups.setdefault(root(x), []).append(name)
-        for members in groups.values():
-            hub = min(members)
-            out += [(m, hub, 0) for m in members if m != hub]
+    for band, left, right in sides(frame):
+        linked = meet(bands[left], bands[right], band) & in_reach(sizes[left], sizes[right], threshold)
+        if left is right:
+            linked = np.triu(linked, 1)
+        xs, ys = np.nonzero(linked)
+        if not len(xs):
+            continue
+        if len(xs) > DENSE * linked.size:
+            ls = [sets[x] for x in left]
+            shared = overlaps(ls, ls if left is right else [sets[y] for y in right])[xs, ys]
+        else:
+            shared = np.array([len(np.intersect1d(sets[left[x]], sets[right[y]], assume_unique=True)) for x, y in zip(xs, ys, strict=True)])
+        true = shared >= threshold * (sizes[left[xs]] + sizes[right[ys]] - shared) - 1e-9
+        a, b = left[xs[true]], right[ys[true]]
+        count = np.bincount(a, copies[b], len(frame)) + np.bincount(b, copies[a], len(frame))
+        out += [(names[x], None, int(count[x])) for x in np.flatnonzero(count)]
+        out += [(names[x], names[y], 0) for x, y in forest(a.tolist(), b.tolist())]
     return pd.DataFrame(out, columns=["node", "peer", "links"])
 
 
+def forest(a: list[int], b: list[int]) -> Iterator[tuple[int, int]]:
+    """Those of the edges that connect what the ones before do not."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for x, y in zip(a, b, strict=True):
+        p, q = root(x), root(y)
+        if p != q:
+            parent[p] = q
+            yield x, y
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of noded() without the node of the class."""
     return noded(docs, key, text, **options).drop("class")
 
 
+def bundled(blocks: DataFrame, rows: int) -> DataFrame:
+    """Blocks dealt to bundles of about `rows` rows, a group of work for one call."""
+    bundles = max(1, blocks.count() // rows)
+    return blocks.withColumn("bundle", F.pmod(F.xxhash64("label", "band", "bucket", "i", "j"), F.lit(bundles)))
+
+
+def chunked(rows: DataFrame, size: str, block: int) -> DataFrame:
+    """rows with chunk, i and j: each row in every block of its group that it belongs to."""
+    rows = rows.withColumn("parts", F.ceil(F.col(size) / F.lit(float(block))).cast("int"))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("parts", "other", size)
+
+
+def candidate_blocks(nodes: DataFrame, block: int, threshold: float) -> DataFrame:
+    """(label, band, bucket, i, j, chunk, node, copies, rep, bands): blocks in which every pair of nodes that meets in a band is
+    once to be compared.
+
+    Nodes that meet in a bucket are connected to its smallest node, not to each other. A connected component of at most
+    `block` nodes is one block. A larger one, such as a chain of texts that resemble only their neighbours, is dealt by
+    its buckets: a pair belongs to the first band that it meets in, and a node goes only to buckets where it has such a
+    partner, so the work grows with the pairs that meet and not with the square of the component.
+    """
+    banded = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    hubs = cut(banded.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"))
+    met = cut(banded.join(hubs, ["band", "bucket"]))
+    spokes = met.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("k"))
+    member = cut(components(spokes, "node", "hub"))
+    member = cut(member.join(member.groupBy("label").agg(F.count("*").alias("size")), "label"))
+    facts = nodes.select("node", "copies", "rep", "bands")
+    columns = ["label", "band", "bucket", "i", "j", "chunk", "node", "copies", "rep", "bands"]
+    zero = F.lit(0)
+    whole = member.where(F.col("size") <= block).join(facts, "node")
+    whole = whole.select("label", F.lit(-1).alias("band"), F.lit(0).cast("long").alias("bucket"), zero.alias("i"), zero.alias("j"), zero.alias("chunk"), "node", "copies", "rep", "bands")
+    large = member.where(F.col("size") > block)
+    if large.isEmpty():
+        return whole
+    dealt = met.join(large.select("node"), "node").join(nodes.select("node", "grams", "copies", "rep", "bands"), "node").drop("hub")
+    dealt = bundled(cut(chunked(dealt, "n", block).withColumn("label", F.lit(b""))), 8 * block)
+    kinds = {f.name: f.dataType.simpleString() for f in dealt.schema.fields}
+    first = dealt.groupBy("bundle").applyInPandas(lambda frame: first_met(frame, threshold)[columns], ", ".join(f"{c} {kinds[c]}" for c in columns))
+    return whole.unionByName(first)
+
+
 def noded(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """One row per row of docs: key, th (a hash of the text), class_id (the smallest key of its class), n_links
     (other rows whose n-gram set has a Jaccard similarity of at least the threshold), class (a node of its
     class, which tells classes apart that share their smallest key).
 
     Rows with equal n-gram sets are one node with a number of copies, so copies are counted and not
-    paired. MinHash bands, sized for the recall, are shuffled; nodes that meet in a bucket are connected
-    to its smallest node, not to each other. Every pair of a candidate component is then verified on full
-    sets, in blocks of bounded size; blocks return counts and a spanning forest, never pairs.
+    paired. MinHash bands, sized for the recall, are shuffled; pairs that meet in a band are verified on their true
+    n-grams, in blocks of bounded size (see candidate_blocks); blocks return counts and a spanning forest, never pairs.
 
     Texts of fewer than n words have one n-gram, the whole text. Texts without words (null, empty, white
-    space) have equal, empty sets and form one class. Words compare as written. Repeated rows are copies
-    of each other; a null key is returned and never names a class unless all keys are null.
+    space) have equal, empty sets and form one class. Very long texts are compared whole. Words compare as written.
+    Repeated rows are copies of each other; a null key is returned and never names a class unless all keys are null.
+    Other columns of docs, whatever their names, are ignored. No rows give no rows.
     """
     bands, rows = banding(threshold, recall)
     keyed = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
-    signed = cut(keyed.mapInArrow(lambda it: signatures(it, n, bands, rows), f"key {kind}, th long, node binary, grams int, bands array<long>"))
-    nodes = cut(signed.groupBy("node").agg(F.count("*").alias("copies"), F.min("key").alias("least"), F.min("th").alias("th"), F.first("bands").alias("bands")))
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    hubs = banded.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").drop("n")
-    spokes = cut(banded.join(hubs, ["band", "bucket"]).where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n")))
-    member = cut(components(spokes, "node", "hub").join(nodes.select("node", "copies", "th"), "node"))
-    sized = member.groupBy("label").agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias("parts"))
-    placed = member.join(sized, "label").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    spread = placed.select("label", "node", "copies", "chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    spread = spread.select("label", "node", "copies", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    wanted = member.select("th").distinct()
-    sets = keyed.select("th", "text").join(small(wanted), "th", "left_semi").select("text")
-    sets = sets.mapInArrow(lambda it: full_sets(it, n), "node binary, set array<long>").groupBy("node").agg(F.first("set").alias("set"))
-    found = cut(
-        spread.join(sets, "node").groupBy("label", "i", "j").applyInPandas(lambda frame: verified(frame, threshold), "node binary, peer binary, links long")
-    )
-    links = found.where("peer IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
-    merged = components(found.where("peer IS NOT NULL").select(F.col("node").alias("a"), F.col("peer").alias("b")))
-    known = nodes.select("node", "copies", "least").join(links, "node", "left").join(merged, "node", "left")
-    known = cut(known.select("node", "least", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("label", "node").alias("class")))
-    named = known.groupBy("class").agg(F.min("least").alias("class_id"))
-    facts = cut(known.join(named, "class").select("node", "class_id", "n_links", "class"))
+    with workspace(docs.sparkSession) as keep:
+        signed = keep(cut(keyed.mapInArrow(lambda it: signatures(it, n, bands, rows), f"key {kind}, th long, node binary, grams int, bands array<long>")))
+        nodes = signed.groupBy("node").agg(F.count("*").alias("copies"), F.min("key").alias("least"), F.min(F.struct("th", "key")).alias("rep"), F.first("grams").alias("grams"), F.first("bands").alias("bands"))
+        nodes = cut(nodes)
+        blocks = cut(candidate_blocks(nodes, block, threshold))
+        wanted = blocks.select("rep").distinct()
+        texts = keyed.withColumn("rep", F.struct("th", "key")).join(small(cut(wanted)), "rep", "left_semi").select("rep", "text")
+        work = bundled(blocks, 2 * block).join(texts, "rep").drop("rep")
+        found = cut(work.groupBy("bundle").applyInPandas(lambda frame: verified(frame, threshold, n), "node binary, peer binary, links long"))
+        links = found.where("peer IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
+        merged = components(found.where("peer IS NOT NULL").select(F.col("node").alias("a"), F.col("peer").alias("b")))
+        known = nodes.select("node", "copies", "least").join(links, "node", "left").join(merged, "node", "left")
+        known = cut(known.select("node", "least", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("label", "node").alias("class")))
+        named = known.groupBy("class").agg(F.min("least").alias("class_id"))
+        facts = keep(cut(known.join(named, "class").select("node", "class_id", "n_links", "class")))
     return signed.select("key", "th", "node").join(facts, "node").select(F.col("key").alias(key), "th", "class_id", "n_links", "class")
 
 
