@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import html as entities
-import json
 import re
-import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -14,10 +13,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, small, workspace
+from .license_scan import rising
 from .url_filter import host_of
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+#: Attributes up to the end of a tag; quoted ones may hold any sign. A try that fails takes no step back.
+TAG_END = re.compile(r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>", re.S)
+TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([A-Za-z][A-Za-z0-9:-]*))")
 ATTRIBUTE = re.compile(r"""([A-Za-z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -38,8 +40,6 @@ MAIN_TAGS = frozenset(["article", "main"])
 #: Elements whose names say what they are; only these words count on them, and none on html and body.
 NAMED = frozenset("article main h1 h2 h3 h4 h5 h6".split())
 NAMED_WORDS = frozenset("ad advert advertisement sponsored promo related comment comments reply replies".split())
-DEEPEST = 200  # in wrappers, elements nested deeper count as part of the one at this depth; texts know no depth
-
 #: Forms that are aligned in one task, on average, and bytes of wrappers up to which they are broadcast.
 FOLD, BROADCAST_BYTES = 64, 16 << 20
 
@@ -56,24 +56,42 @@ def signature(tag: str, attributes: str) -> str:
     return tag
 
 
+def tags(page: str) -> Iterator[tuple[str, str, str, int]]:
+    """(text, raw, "", end), (open, tag, attributes, end), (close, tag, "", end), in time that grows with the page: a "<"
+    that no ">" follows is text, and once a tag has an odd quote, quotes count no more. Send a place to go on from there."""
+    at, n, quotes = 0, len(page), True
+    while at < n:
+        m = TAG.search(page, at)
+        if m is None or page.find(">", m.end()) < 0 and not m[1]:
+            yield "text", page[at:], "", n
+            return
+        if m.start() > at:
+            yield "text", page[at : m.start()], "", m.start()
+        if m[1]:
+            end = page.find("-->", m.end())
+            at = n if end < 0 else end + 3
+            continue
+        close = TAG_END.match(page, m.end()) if quotes and m[4] else None
+        quotes = quotes and (close is not None or not m[4])
+        at = close.end() if close else page.find(">", m.end()) + 1
+        if m[4]:
+            jump = yield "close" if m[3] else "open", m[4].lower(), page[m.end() : at - 1], at
+            if jump is not None:
+                at = jump
+                yield "", "", "", at
+
+
 def tokens(page: str) -> Iterator[tuple[str, str]]:
     """(open, signature), (close, signature), (break, tag), (text, raw). Elements that a page leaves open are
-    closed where the next one or an outer end closes them."""
+    closed where the next one or an outer end closes them; elements may be nested to any depth."""
     stack: list[tuple[str, str]] = []
     within: Counter = Counter()  # the elements of the stack by tag
-    at, n, lower = 0, len(page), None
-    while at < n:
-        m = TOKEN.search(page, at)
-        if m is None:
-            yield "text", page[at:]
-            break
-        if m.start() > at:
-            yield "text", page[at : m.start()]
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
+    lower = None
+    read = tags(page)
+    for kind, tag, attributes, at in read:
+        if kind == "text":
+            yield "text", tag
+        elif kind == "close":
             if within[tag]:
                 while stack:
                     t, s = stack.pop()
@@ -83,87 +101,191 @@ def tokens(page: str) -> Iterator[tuple[str, str]]:
                         break
             elif tag in ("p", "br"):
                 yield "break", tag
-            continue
-        if tag in VOID:
-            yield "break", tag
-            continue
-        if tag in CLOSES_P and within["p"]:
-            while stack:
-                t, s = stack.pop()
-                within[t] -= 1
-                yield "close", s
-                if t == "p":
-                    break
-        elif tag in LIKE and stack and stack[-1][0] == tag:
-            within[tag] -= 1
-            yield "close", stack.pop()[1]
-        if m[3].endswith("/") and tag not in RAW:
+        elif tag in VOID:
             yield "break", tag
-            continue
-        sig = signature(tag, m[3])
-        if tag in RAW:
-            lower = page.lower() if lower is None else lower
-            end = lower.find(f"</{tag}", at)
+        else:
+            if tag in CLOSES_P and within["p"]:
+                while stack:
+                    t, s = stack.pop()
+                    within[t] -= 1
+                    yield "close", s
+                    if t == "p":
+                        break
+            elif tag in LIKE and stack and stack[-1][0] == tag:
+                within[tag] -= 1
+                yield "close", stack.pop()[1]
+            if attributes.endswith("/") and tag not in RAW:
+                yield "break", tag
+                continue
+            sig = signature(tag, attributes)
+            if tag in RAW:
+                lower = page.lower() if lower is None else lower
+                end = lower.find(f"</{tag}", at)
+                yield "open", sig
+                yield "text", page[at : len(page) if end < 0 else end]
+                yield "close", sig
+                read.send(len(page) if end < 0 else (page.find(">", end) + 1 or len(page)))
+                continue
+            stack.append((tag, sig))
+            within[tag] += 1
             yield "open", sig
-            yield "text", page[at : n if end < 0 else end]
-            yield "close", sig
-            at = n if end < 0 else (page.find(">", end) + 1 or n)
-            continue
-        stack.append((tag, sig))
-        within[tag] += 1
-        yield "open", sig
     while stack:
         yield "close", stack.pop()[1]
 
 
-# A wrapper is a tree of [signature, optional, repeated, children]; "#" is a slot of text.
+# A wrapper is a tree of nodes [kind, optional, children]. A kind is the signature of a block element, "#" for a slot of
+# text, or "*" for a repeated group, whose children are optional, each of another kind, and come in any number.
+
+
+def merged(nodes: list[list]) -> list:
+    """One node from nodes of one kind: their token streams aligned level by level."""
+    out = [nodes[0][0], any(x[1] for x in nodes), []]
+    todo = [(out, nodes)]
+    while todo:
+        node, sources = todo.pop()
+        level = [[x[0], x[1], [x]] for x in sources[0][2]]
+        for other in sources[1:]:
+            level = aligned(level, [[x[0], x[1], [x]] for x in other[2]])
+        for kind, optional, parts in level:
+            child = [kind, optional, []]
+            node[2].append(child)
+            if kind == "*":
+                members: dict[str, list] = {}
+                for part in parts:
+                    for x in part[2] if part[0] == "*" else [part]:
+                        members.setdefault(x[0], []).append(x)
+                for k, own in members.items():
+                    child[2].append([k, True, []])
+                    todo.append((child[2][-1], own))
+            elif len(parts) == 1:
+                child[2] = parts[0][2]
+            else:
+                todo.append((child, parts))
+    return out
 
 
-def merged(a: list, b: list) -> list:
-    return [a[0], a[1] or b[1], a[2] or b[2], aligned(a[3], b[3])]
+def kinds(items: list) -> set[str]:
+    return {k for kind, _, parts in items for k in ([x[0] for p in parts for x in (p[2] if p[0] == "*" else [p])] if kind == "*" else [kind])}
 
 
 def aligned(a: list, b: list) -> list:
-    """Two token streams of one level as one: what both have, in order, is kept, what one lacks is optional, and
-    neighbours of one kind are a repeated group."""
-    if [x[0] for x in a] == [x[0] for x in b]:
-        return squeezed([merged(x, y) for x, y in zip(a, b, strict=True)])
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
+    """Two levels, lists of [kind, optional, the nodes it stands for], as one. Equal ends pair up. Where the middles differ
+    and a kind comes more than once there, or also right beside it, they become a repeated group; else what both
+    have, in order, pairs up and the rest is optional. Time and memory grow with the lengths alone."""
+    pair = lambda x, y: [x[0], x[1] or y[1], x[2] + y[2]]
+    lo, n, m = 0, len(a), len(b)
+    while lo < n and lo < m and a[lo][0] == b[lo][0]:
+        lo += 1
+    while n > lo and m > lo and a[n - 1][0] == b[m - 1][0]:
+        n, m = n - 1, m - 1
+    head, tail = [pair(x, y) for x, y in zip(a[:lo], b[:lo], strict=True)], [pair(x, y) for x, y in zip(a[n:], b[m:], strict=True)]
+    left, right = a[lo:n], b[lo:m]
+    if not left and not right:
+        return head
+    loose = kinds(left) | kinds(right)
+    repeated = any(x[0] == "*" for x in left + right) or len({x[0] for x in left}) < len(left) or len({x[0] for x in right}) < len(right)
+    beside = []
+    while head and kinds(head[-1:]) & loose:
+        beside.insert(0, head.pop())
+        loose |= kinds(beside[:1])
+    while tail and kinds(tail[:1]) & loose:
+        beside.append(tail.pop(0))
+        loose |= kinds(beside[-1:])
+    if repeated or beside:
+        parts = [p for x in [*left, *right, *beside] for p in x[2]]
+        return [*head, ["*", False, parts], *tail]
+    place = {x[0]: j for j, x in enumerate(right)}
+    both = rising([(i, place[x[0]]) for i, x in enumerate(left) if x[0] in place])
     out, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i][0] == b[j][0]:
-            out.append(merged(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j == len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]:
-            out.append([a[i][0], True, *a[i][2:]])
-            i += 1
-        else:
-            out.append([b[j][0], True, *b[j][2:]])
-            j += 1
-    return squeezed(out)
-
-
-def squeezed(row: list) -> list:
-    """Neighbours with one signature become a repeated group; so do groups of two kinds that alternate."""
-    out: list = []
-    for node in row:
-        if out and out[-1][0] == node[0]:
-            out[-1] = [node[0], out[-1][1] and node[1], True, aligned(out[-1][3], node[3])]
-        elif len(out) > 2 and out[-2][0] == node[0] and out[-1][0] == out[-3][0]:
-            out[-3] = [out[-1][0], out[-3][1] and out[-1][1], True, aligned(out[-3][3], out[-1][3])]
-            out[-2] = [node[0], out[-2][1] and node[1], True, aligned(out[-2][3], node[3])]
-            out.pop()
+    for x, y in [*both, (len(left), len(right))]:
+        out += [[k, True, p] for k, _, p in left[i:x]] + [[k, True, p] for k, _, p in right[j:y]]
+        if x < len(left):
+            out.append(pair(left[x], right[y]))
+        i, j = x + 1, y + 1
+    return [*head, *out, *tail]
+
+
+def written(node: list) -> str:
+    """A wrapper as text: kind, ? if optional, and its children in brackets."""
+    out: list[str] = []
+    todo: list = [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        out.append(x[0] + "?" * x[1])
+        if x[2]:
+            out.append("(")
+            todo.append(")")
+            todo += reversed(x[2])
+    return " ".join(out)
+
+
+def parsed(text: str) -> list:
+    root: list = ["", False, []]
+    stack = [root]
+    for part in text.split(" "):
+        if part == "(":
+            stack.append(stack[-1][2][-1])
+        elif part == ")":
+            stack.pop()
         else:
-            out.append(node)
-    return out
-
-
-def below(place: tuple[int, bool], name: str) -> tuple[int, bool]:
-    """(hash of the names from the root, in an element that is not the article) of a place one element deeper."""
-    return zlib.crc32(f"/{name}".encode(), place[0]), place[1] or name.endswith("!")
+            stack[-1][2].append([part.rstrip("?"), part.endswith("?"), []])
+    return root[2][0]
+
+
+class Walk:
+    """Follows a page through a wrapper: every text of the page gets the number of its slot, or none if the wrapper has no
+    place for it. At each level a cursor moves on to the next node of the kind that the page has."""
+
+    def __init__(self, wrapper: list):
+        self.numbers: dict[int, int] = {}
+        self.places: dict[int, dict[str, list[int]]] = {}
+        todo, order = [wrapper], 0
+        while todo:  # in order, so that a wrapper numbers its slots always alike
+            node = todo.pop()
+            self.numbers[id(node)] = order
+            order += 1
+            todo += reversed(node[2])
+            at: dict[str, list[int]] = {}
+            for i, child in enumerate(node[2]):
+                for kind in [x[0] for x in child[2]] if child[0] == "*" else [child[0]]:
+                    at.setdefault(kind, []).append(i)
+            self.places[id(node)] = at
+        self.wrapper = wrapper
+        self.restart()
+
+    def restart(self) -> None:
+        self.stack: list[list] = [[self.wrapper, 0]]  # node, cursor
+
+    def step(self, kind: str) -> list | None:
+        """The wrapper's node for the page's next child of this kind."""
+        here = self.stack[-1]
+        node, cursor = here
+        if node is None:
+            return None
+        found = self.places[id(node)].get(kind, ())
+        k = bisect_left(found, cursor)
+        if k == len(found):
+            return None
+        child = node[2][found[k]]
+        if child[0] == "*":
+            here[1] = found[k]
+            return next(x for x in child[2] if x[0] == kind)
+        here[1] = found[k] + 1
+        return child
+
+    def open(self, kind: str) -> None:
+        self.stack.append([self.step(kind), 0])
+
+    def close(self) -> None:
+        self.stack.pop()
+
+    def text(self) -> int | None:
+        """The slot of a block of text."""
+        found = self.step("#")
+        return None if found is None else self.numbers[id(found)]
 
 
 def content(texts: list[str]) -> int:
@@ -179,132 +301,188 @@ def content(texts: list[str]) -> int:
     return int.from_bytes(main.digest(), "little", signed=True)
 
 
-def form(page: str) -> tuple[list, list[int], int]:
-    """A page as a wrapper of its own, hashes of (place, text) if it has no article or main element, and its content."""
-    root = ["", False, False, []]
-    stack, places, texts, main = [root], [(0, False)], [], False
+def block_texts(page: str) -> Iterator[tuple[str, str, bool]]:
+    """(open, signature, _), (close, "", _) of block elements and of those that are not the article, and (text, raw, in an
+    article or main element) of the blocks between. Inline elements and their ends are part of the text; what is not
+    the article (CHROME) is left out, with all it holds."""
+    held, chrome, main = [], 0, 0
     for kind, value in tokens(page):
+        if kind == "text":
+            if not chrome:
+                held.append(value)
+            continue
+        other = value.endswith("!")
+        if not other and value in INLINE:
+            continue
+        if held:
+            yield "text", "".join(held), main > 0
+            held = []
         if kind == "open":
-            node = [value, False, False, []]
-            if len(places) <= DEEPEST:
-                stack[-1][3].append(node)
-                stack.append(node)
-            elif value in MAIN_TAGS and not main:
-                root[3].append(node)  # the wrapper has to know of it
-            places.append(below(places[-1], value))
-            main = main or value in MAIN_TAGS
+            if not chrome:
+                yield "open", value, main > 0
+            chrome += other
+            main += value in MAIN_TAGS
         elif kind == "close":
-            if len(places) <= len(stack):
-                node = stack.pop()
-                node[3] = squeezed(node[3])
-            places.pop()
-        elif kind == "text" and (words := value.split()):
-            if not stack[-1][3] or stack[-1][3][-1][0] != "#":
-                stack[-1][3].append(["#", False, False, []])
-            texts.append((places[-1], " ".join(words)))
-    root[3] = squeezed(root[3])
-    texts = [] if main else [(p, t) for (p, other), t in texts if not other]
-    return root, [zlib.crc32(f"\n{t}".encode(), p) for p, t in texts], content([t for _, t in texts])
-
-
-def blocks(page: str, wrapper: list, template: frozenset) -> Iterator[str]:
-    """The blocks of a page's article. The form of the page is part of its host's wrapper, so each of its texts has
-    a slot there, and none is dropped for its place in the alignment; the wrapper tells whether pages of the host
-    have an article or main element. Text of a page with one is kept inside it, else everywhere but where it is
-    part of the host's template; never inside an element that is not the article."""
-    places, inside, held = [(0, False)], [False], []  # inside: in the article
-    has_main = any(k == "open" and v in MAIN_TAGS for k, v in tokens(page)) if in_wrapper(wrapper) else False
-
-    def out() -> Iterator[str]:
-        if text := " ".join(entities.unescape("".join(held)).split()):
-            yield text
-        held.clear()
+            chrome -= other
+            main -= value in MAIN_TAGS
+            if not chrome:
+                yield "close", value, main > 0
+    if held:
+        yield "text", "".join(held), False
 
-    for kind, value in tokens(page):
-        if kind == "text":
-            place, other = places[-1]
-            if other or has_main and not inside[-1]:
-                continue
-            if not has_main and template and zlib.crc32(("\n" + " ".join(value.split())).encode(), place) in template:
-                continue
-            held.append(value)
-            continue
-        tag = value.rstrip("!")
-        if tag not in INLINE or value.endswith("!"):
-            yield from out()
+
+def clean(raw: str) -> str:
+    return " ".join(entities.unescape(raw).split())
+
+
+def form(page: str) -> tuple[list, list[int], int]:
+    """A page as a wrapper of its own; if it has no article or main element, a hash of each of its texts, in order; and its
+    content."""
+    root: list = ["", False, []]
+    stack, texts, main = [root], [], False
+    for kind, value, _ in block_texts(page):
         if kind == "open":
-            places.append(below(places[-1], value))
-            inside.append(inside[-1] or value in MAIN_TAGS)
+            stack.append(["!" if value.endswith("!") else value, False, []])
+            stack[-2][2].append(stack[-1])
+            main = main or value in MAIN_TAGS
+        elif kind == "close":
+            stack.pop()
+        elif text := clean(value):
+            stack[-1][2].append(["#", False, []])
+            texts.append(text)
+    texts = [] if main else texts
+    return root, [text_hash(t) for t in texts], content(texts)
+
+
+def text_hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def blocks(page: str, walk: Walk | None, template: frozenset) -> Iterator[str]:
+    """The blocks of a page's article. A page with an article or main element has its text there. Of another page the
+    wrapper of its host decides: a text that is part of the template in the slot that the wrapper gives it is left out, and
+    all else is kept, also text that the wrapper has no place for."""
+    has_main, found = False, []
+    if walk:
+        walk.restart()
+    for kind, value, main in block_texts(page):
+        if kind == "open":
+            if value in MAIN_TAGS and not has_main:
+                has_main, found = True, []
+            elif walk and not has_main:
+                walk.open("!" if value.endswith("!") else value)
         elif kind == "close":
-            places.pop()
-            inside.pop()
-    yield from out()
+            if walk and not has_main:
+                walk.close()
+        elif (main or not has_main) and (text := clean(value)):
+            if walk and not has_main and (walk.text(), text_hash(text)) in template:
+                continue
+            found.append(text)
+    yield from found
 
 
-def in_wrapper(node: list) -> bool:
-    return node[0] in MAIN_TAGS or any(in_wrapper(c) for c in node[3])
+def slotted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(host, content, slot, text) of the texts of forms with the wrapper of their host."""
+    walks: dict[str, Walk] = {}
+    for frame in frames:
+        out = []
+        for host, own, loose, what, wrapper in zip(frame["host"], frame["form"], frame["loose"], frame["content"], frame["wrapper"], strict=True):
+            walk = followed(walks, wrapper)
+            left, todo = iter(loose), [parsed(own)[2]]
+            steps = [iter(todo[0])]
+            walk.restart()
+            while steps:
+                node = next(steps[-1], None)
+                if node is None:
+                    steps.pop()
+                    if steps:
+                        walk.close()
+                elif node[0] == "#":
+                    if (slot := walk.text()) is not None:
+                        out.append((host, what, slot, next(left)))
+                    else:
+                        next(left)
+                else:
+                    walk.open(node[0])
+                    steps.append(iter(node[2]))
+        yield pd.DataFrame(out, columns=["host", "content", "slot", "text"])
+
+
+#: Wrappers that a worker keeps parsed before it starts anew: a bound on its memory, not on input.
+KEPT_WRAPPERS = 256
+
+
+def followed(walks: dict[str, Walk], wrapper: str) -> Walk:
+    if wrapper not in walks:
+        if len(walks) >= KEPT_WRAPPERS:
+            walks.clear()
+        walks[wrapper] = Walk(parsed(wrapper))
+    return walks[wrapper]
 
 
 def forms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         made = [form(h or "") for h in frame["html"]]
-        yield pd.DataFrame({"host": frame["host"], "form": [json.dumps(f) for f, _, _ in made], "loose": [x for _, x, _ in made], "content": [c for _, _, c in made]})
+        yield pd.DataFrame({"host": frame["host"], "form": [written(f) for f, _, _ in made], "loose": [x for _, x, _ in made], "content": [c for _, _, c in made]})
 
 
 def infer(frame: pd.DataFrame) -> pd.DataFrame:
     """Forms of a host, longest first, aligned into one."""
     rows = sorted(frame["form"], key=lambda x: (-len(x), x))
-    wrapper = json.loads(rows[0])
-    for row in rows[1:]:
-        wrapper = merged(wrapper, json.loads(row))
-    return pd.DataFrame({"host": frame["host"].iloc[:1], "form": [json.dumps(wrapper)]})
+    wrapper = merged([parsed(row) for row in rows])
+    return pd.DataFrame({"host": frame["host"].iloc[:1], "form": [written(wrapper)]})
 
 
 def folded(forms: DataFrame, fold: int = FOLD) -> DataFrame:
     """The wrapper of each host from its distinct forms (host, form): groups of some `fold` forms are aligned, then
     what they give in the same way, until a host has one."""
     while True:
-        sized = small(cut(forms.groupBy("host").agg(F.ceil(F.count("*") / F.lit(float(fold))).alias("parts"))))
-        salted = forms.join(sized, "host").withColumn("part", F.pmod(F.xxhash64("form"), F.col("parts")))
+        sized = cut(forms.groupBy("host").agg(F.ceil(F.count("*") / F.lit(float(fold))).alias("parts")))
+        salted = forms.join(small(sized), "host").withColumn("part", F.pmod(F.xxhash64("form"), F.col("parts")))
         forms = cut(salted.groupBy("host", "part").applyInPandas(infer, "host string, form string").distinct())
         if sized.where("parts > 1").isEmpty():
             return forms
 
 
 def extracted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    read: dict[str, list] = {}
+    walks: dict[str, Walk] = {}
     for frame in frames:
         texts = []
         for page, wrapper, template in zip(frame["html"], frame["wrapper"], frame["template"], strict=True):
-            if wrapper not in read:
-                read = {wrapper: json.loads(wrapper)} if len(read) > 5000 else read | {wrapper: json.loads(wrapper)}
-            texts.append("\n".join(blocks(page or "", read[wrapper], frozenset() if template is None else frozenset(template))))
+            known = frozenset() if template is None else frozenset((x["slot"], x["text"]) for x in template)
+            texts.append("\n".join(blocks(page or "", followed(walks, wrapper) if known else None, known)))
         yield pd.DataFrame({"key": frame["key"], "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per row of pages: key, url, text (the article), n_chars.
 
-    Every page is reduced to the form of its token stream, with repeated groups folded and text as slots;
-    equal forms of a host are counted in the map, and its distinct forms are
-    aligned into its wrapper, a fixed number in a task, then the results in the same way. Pages are then read with the wrapper of their host. For pages without
-    an article or main element, text that at least half of such pages of the host (and three) have in the
-    same place is template; pages that share more than half of their text count as one. Character references are decoded, white space in a block is one space, blocks
-    are joined by a line feed; nothing else is dropped or capped.
+    Every page is reduced to the form of its token stream: its block elements, with slots for text. The distinct forms
+    of a host are aligned into its wrapper, a union-free expression: mismatches become optional parts or repeated
+    groups; a fixed number of forms is aligned in a task, then the results in the same way. A page's article or main
+    element has its text. Where a page has none, the wrapper decides: its texts get the wrapper's slots, and a text that
+    comes in the same slot on two pages of different content and on at least half of the pages with that slot is
+    template and left out. Pages that share more than half of their text count as one.
+
+    Elements that their names mark as navigation, adverts, forms, notices or comments are not the article. Character
+    references are decoded, white space in a block is one space, blocks are joined by a line feed; nothing else is
+    dropped or capped, at any depth or length.
 
     Null and empty html have an empty text; a null url has the empty host. Repeated rows are extracted
-    each. No rows give no rows. Other columns are ignored.
+    each. No rows give no rows. Other columns, whatever their names, are ignored.
     """
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
-    made = cut(rows.select("host", "html").mapInPandas(forms, "host string, form string, loose array<long>, content long"))
-    wrappers = folded(cut(made.select("host", "form").distinct())).select(F.col("host").alias("h"), F.col("form").alias("wrapper"))
-    loose = made.where(F.size("loose") > 0)
-    seen = loose.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("n"))
-    common = loose.select("host", "content", F.explode("loose").alias("text")).distinct().groupBy("host", "text").agg(F.count("*").alias("k")).join(seen, "host")
-    common = common.where("k >= 3 AND 2 * k >= n").groupBy(F.col("host").alias("th")).agg(F.collect_list("text").alias("template"))
-    known = cut(wrappers.join(common, F.col("h") == F.col("th"), "left").drop("th"))
-    size = known.agg(F.sum(F.length("h") + F.length("wrapper") + 8 * F.coalesce(F.size("template"), F.lit(0)))).first()[0] or 0
-    joined = rows.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, F.col("host") == F.col("h")).select("key", "url", "html", "wrapper", "template")
+    with workspace(pages.sparkSession) as keep:
+        made = cut(rows.select("host", "html").mapInPandas(forms, "host string, form string, loose array<long>, content long"))
+        wrappers = folded(cut(made.select("host", "form").distinct())).select(F.col("host").alias("h"), F.col("form").alias("wrapper"))
+        loose = made.where(F.size("loose") > 0).distinct()
+        slots = loose.join(small(wrappers), F.col("host") == F.col("h")).select("host", "form", "loose", "content", "wrapper")
+        seen = cut(slots.mapInPandas(slotted, "host string, content long, slot int, text long").distinct())
+        sizes = seen.select("host", "slot", "content").distinct().groupBy("host", "slot").agg(F.count("*").alias("n"))
+        common = seen.groupBy("host", "slot", "text").agg(F.count("*").alias("k")).where("k >= 2").join(sizes, ["host", "slot"]).where("2 * k >= n")
+        common = common.groupBy(F.col("host").alias("th")).agg(F.collect_list(F.struct("slot", "text")).alias("template"))
+        known = keep(cut(wrappers.join(common, F.col("h") == F.col("th"), "left").select("h", F.when(F.col("template").isNotNull(), F.col("wrapper")).alias("wrapper"), "template")))
+    joined = rows.join(small(known, BROADCAST_BYTES), F.col("host") == F.col("h")).select("key", "url", "html", "wrapper", "template")
     kind = pages.schema[key].dataType.simpleString()
     return joined.mapInPandas(extracted, f"key {kind}, url string, text string, n_chars long").withColumnRenamed("key", key).withColumnRenamed("url", url)
 
