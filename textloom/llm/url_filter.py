@@ -6,7 +6,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, small, workspace
 
 #: (host, path, verdict): a rule fits its host and all subdomains, if the url's path starts with its path.
 RULES = (
@@ -16,10 +16,9 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.005, 0.6, 1.5
-#: A rule needs so many bad urls at least, however small its share may be.
-MIN_COUNT = 20
-BAD = "label=block"
+#: What a mined rule needs: bad urls that it fits, their share of all labelled urls that it fits, and so many standard
+#: errors (Wilson's lower limit of that share) by which it is above the share of bad urls among all.
+MIN_COUNT, MIN_CONFIDENCE, ERRORS = 3, 0.5, 1.96
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -78,45 +77,71 @@ def tokens(url: Column) -> Column:
     )
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_count: int = MIN_COUNT) -> DataFrame:
-    """(id, antecedent, confidence, support, lift) of rules that say block, from rows of (url, bad).
+def wilson(share: Column, n: Column, z: float) -> Column:
+    """The lower limit of a share that was seen in n cases."""
+    return (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
+
+def mine(labelled: DataFrame, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, errors: float = ERRORS) -> DataFrame:
+    """(id, antecedent, bad, total, confidence, support, lift) of rules that say block, from rows of (url, bad).
+
+    FP-growth finds the token combinations that at least min_count bad urls share, the same number at every size; it reads
+    bad urls only, which loses no rule. How many urls of all each combination fits is counted by an inverted index. Of
+    combinations with several domains of one host the one with the longest alone is taken, as it fits the same urls.
     A rule goes if a rule of fewer of its tokens is as confident. No labels give no rules.
     """
-    baskets = cut(labelled.select(F.concat(tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")))
-    none = baskets.sparkSession.createDataFrame([], "id long, antecedent array<string>, confidence double, support double, lift double")
-    if baskets.where(F.array_contains("items", BAD)).isEmpty():
-        return none
-    support = max(min_support, min_count / baskets.count())
-    if support > 1:
-        return none
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BAD) & (F.col("lift") >= min_lift))
-    rules = cut(rules.select(F.monotonically_increasing_id().alias("id"), F.array_sort("antecedent").alias("antecedent"), "confidence", "support", "lift"))
-    a = rules.select("id", "confidence", "antecedent", F.explode("antecedent").alias("token"))
-    b = rules.select(F.col("id").alias("o"), F.col("confidence").alias("c"), F.size("antecedent").alias("n"), F.explode("antecedent").alias("token"))
-    covered = a.join(b, "token").where((F.col("o") != F.col("id")) & (F.col("n") < F.size("antecedent")) & (F.col("c") >= F.col("confidence")))
-    covered = covered.groupBy("id", "o", "n").agg(F.count("*").alias("k")).where("k = n").select("id").distinct()
-    return cut(rules.join(covered, "id", "left_anti"))
+    with workspace(labelled.sparkSession) as keep:
+        baskets = cut(labelled.groupBy("url", "bad").agg(F.count("*").alias("n")).select("n", "bad", tokens(F.col("url")).alias("items")))
+        bad, every = baskets.agg(F.sum(F.when(F.col("bad"), F.col("n"))), F.sum("n")).first()
+        kind = "id long, antecedent array<string>, bad long, total long, confidence double, support double, lift double"
+        if not bad or bad < min_count:
+            return labelled.sparkSession.createDataFrame([], kind)
+        copies = baskets.where("bad").select("items", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))))
+        model = FPGrowth(itemsCol="items", minSupport=(min_count - 0.5) / bad).fit(copies.select("items"))
+        sets = model.freqItemsets.where(F.size(F.filter("items", lambda t: F.startswith(t, F.lit("host=")))) <= 1)
+        sets = cut(sets.select(F.monotonically_increasing_id().alias("id"), F.array_sort("items").alias("antecedent"), F.col("freq").alias("bad")))
+        fits = held(baskets.select("n", F.col("items").alias("have")), posted(sets, baskets.select(F.explode("items").alias("token"), "n")))
+        total = fits.groupBy("id").agg(F.sum("n").alias("total"))
+        base = bad / every
+        rules = sets.join(total, "id").withColumn("confidence", F.col("bad") / F.col("total"))
+        rules = rules.where((F.col("confidence") >= min_confidence) & (wilson(F.col("confidence"), F.col("total").cast("double"), errors) > base))
+        rules = cut(rules.withColumn("support", F.col("bad") / F.lit(every)).withColumn("lift", F.col("confidence") / base))
+        a = rules.select("id", "confidence", "antecedent", F.explode("antecedent").alias("token"))
+        b = rules.select(F.col("id").alias("o"), F.col("confidence").alias("c"), F.size("antecedent").alias("n"), F.explode("antecedent").alias("token"))
+        covered = a.join(b, "token").where((F.col("o") != F.col("id")) & (F.col("n") < F.size("antecedent")) & (F.col("c") >= F.col("confidence")))
+        covered = covered.groupBy("id", "o", "n").agg(F.count("*").alias("k")).where("k = n").select("id").distinct()
+        return keep(cut(rules.join(covered, "id", "left_anti")))
+
+
+def posted(rules: DataFrame, spread: DataFrame) -> DataFrame:
+    """The inverted index: each rule (id, antecedent) under one token, the rarest by the numbers of spread (token, n)."""
+    posts = rules.select("id", "antecedent", F.explode("antecedent").alias("token"))
+    count = spread.groupBy("token").agg(F.sum("n").alias("n"))
+    return posts.join(count, "token", "left").groupBy("id").agg(F.min_by("token", F.struct("n", "token")).alias("token"), F.first("antecedent").alias("antecedent"))
+
+
+def held(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """rows (have, ...) with every rule (id) whose tokens they have: tokens are looked up in the index and the rule's others
+    compared."""
+    looked = rows.withColumn("token", F.explode("have"))
+    return looked.join(small(cut(index)), "token").where(F.size(F.array_except("antecedent", "have")) == 0)
 
 
 def fired(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url, confidence) of the urls that a mined rule fits: each rule is posted under one token, its rarest in
-    the rules, and a url looks its tokens up there."""
-    posts = rules.select("id", "antecedent", "confidence", F.explode("antecedent").alias("token"))
-    spread = posts.groupBy("token").agg(F.count("*").alias("n"))
-    index = cut(posts.join(spread, "token").groupBy("id").agg(F.min_by("token", F.struct("n", "token")).alias("token"), F.first("antecedent").alias("antecedent"), F.first("confidence").alias("confidence")))
-    looked = urls.select("url", tokens(F.col("url")).alias("have")).select("url", "have", F.explode("have").alias("token"))
-    hits = looked.join(small(index, 20_000), "token").where(F.size(F.array_except("antecedent", "have")) == 0)
+    """(url, confidence) of the urls that a mined rule fits."""
+    have = urls.select("url", tokens(F.col("url")).alias("have"))
+    index = posted(rules, rules.select(F.explode("antecedent").alias("token"), F.lit(1).alias("n")))
+    hits = held(have, index.join(rules.select("id", "confidence"), "id"))
     return hits.groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
 def judge(pages: DataFrame, labelled: DataFrame, key: str = "page_id", url: str = "url", rules: tuple = RULES, **options) -> DataFrame:
     """One row per row of pages: key, host, path, rule, verdict, confidence (of the mined rule that blocks).
 
-    The longest fixed rule that fits decides. Else a url is blocked if a mined rule fits it, and allowed if
-    none does. Null urls and urls without :// have an empty host and path. Repeated rows are judged each;
-    no rows give no rows; other columns are ignored. labelled has url and bad; rows with null bad are left out.
+    The longest fixed rule that fits decides; of rules of one length the one with the longer host. Else a url is blocked
+    if a mined rule fits it, and allowed if none does. Null urls and urls without :// have an empty host and path. Very
+    long urls are judged whole. Repeated rows and null keys are judged each; no rows give no rows; other columns,
+    whatever their names, are ignored. labelled has url and bad; rows with null bad are left out.
     """
     mined = mine(labelled.where("bad IS NOT NULL"), **options)
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
