@@ -63,6 +63,18 @@ def test_mix_targets_and_draws(docs):
     for r in mixed.collect():
         drawn[r["doc_id"]] = drawn.get(r["doc_id"], 0) + 1
     assert all(drawn.get(r["doc_id"], 0) * r["size"] == r["taken"] for r in got)
+    assert all(drawn.get(r["doc_id"], 0) == len(r["shards"]) <= 3 for r in got)  # also without words
+    in_shard: dict = {}
+    for r in got:
+        for x in r["shards"]:
+            in_shard[x] = in_shard.get(x, 0) + r["size"]
+    assert set(in_shard) == set(range(7)) and max(in_shard.values()) < 2 * sum(took.values()) / 7
+
+
+def test_mix_of_one_source_takes_no_text_a_fourth_time(docs):
+    """One source of all words has a target of its own size; a text without words goes along once at most."""
+    got = m.taken(docs([(1, "a b", "x"), (2, "", "x"), (3, None, "x"), (None, "c " * 50_000, "y")])).collect()
+    assert all(len(r["shards"]) <= 3 and r["taken"] == r["size"] * len(r["shards"]) for r in got)
 
 
 def test_mix_without_words(docs):

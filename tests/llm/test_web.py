@@ -53,6 +53,28 @@ def test_mined_rules_block_what_labels_say(spark):
     assert {r["url"] for r in u.fired(urls, mined).collect()} == {x for x, t in have.items() if any(f <= t for f in found)}
 
 
+def test_mined_rules_equal_brute_force(spark):
+    from itertools import combinations
+
+    rng = random.Random(4)
+    urls = [f"http://{rng.choice('ab')}.{rng.choice(['x', 'y'])}/{rng.choice('pqr')}" for _ in range(60)]
+    rows = [(x, rng.random() < (0.8 if "a.x" in x or x.endswith("q") else 0.15)) for x in urls] + [(None, True), ("http://a.x/p", False)]
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    have = {r["url"]: frozenset(r["t"]) for r in labelled.select("url", u.tokens(labelled["url"]).alias("t")).distinct().collect()}
+    bad = sum(b for _, b in rows)
+    found = {}
+    for f in {frozenset(c) for t in have.values() for k in range(1, len(t) + 1) for c in combinations(sorted(t), k)}:
+        k, n = sum(f <= have[x] for x, b in rows if b), sum(f <= have[x] for x, _ in rows)
+        if k < 3 or k / n < 0.5 or sum(t.startswith("host=") for t in f) > 1:
+            continue
+        share, z = k / n, 1.96
+        if (share + z * z / (2 * n) - z * (share * (1 - share) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n) > bad / len(rows):
+            found[f] = (k, n, round(share, 9), round(k / len(rows), 9), round(share * len(rows) / bad, 9))
+    want = {f: v for f, v in found.items() if not any(len(o) < len(f) and o < f and found[o][2] >= v[2] for o in found)}
+    got = {frozenset(r["antecedent"]): (r["bad"], r["total"], *(round(r[c], 9) for c in ("confidence", "support", "lift"))) for r in u.mine(labelled).collect()}
+    assert got == want and want
+
+
 PAGE = (
     '<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><article>";</script></head><body class="has-sidebar"><nav><ul><li>Home</ul></nav>'
     '<div id="cookie-notice">We use cookies</div><div class="ad">Buy</div><article><h1>Head &amp; line</h1><p>One  <b>bold</b>\n text &eacute;&#233;&#xe9;<p><i>Two</i><aside>Side</aside><form>F<button>B</button></form>'
@@ -221,6 +243,21 @@ def test_license_cases(spark, docs):
     assert ls.license_scan(docs([])).count() == 0
 
 
+def test_templates_as_a_table_and_whole_licenses(spark, docs):
+    table = spark.createDataFrame([("own", "alpha beta gamma delta epsilon"), ("none", " "), (None, "x"), ("empty", None)], "license string, text string")
+    data = [(1, "say alpha beta gamma delta epsilon now"), (None, "alpha beta gamma delta epsilon"), (2, "word " * 300_000 + ls.TEMPLATES["bsd-3-clause"]), (2, None)]
+    assert sorted(((r["doc_id"], r["license"]) for r in ls.license_scan(docs(data), texts=table).collect()), key=repr) == [(1, "own"), (None, "own")]
+    assert ls.license_scan(docs(data), texts=table.limit(0)).count() == 0
+    got = [(r["doc_id"], r["license"], r["coverage"]) for r in ls.license_scan(docs(data)).collect()]
+    assert got == [(2, "bsd-3-clause", 1.0)]
+    for name in ("mit", "isc", "zlib", "unlicense", "bsd-2-clause"):
+        text = "Copyright (c) 2001 A. Person\n\n" + ls.TEMPLATES[name].replace(". ", ".\n  * ") + "\nint main() {}"
+        assert [f["license"] for f in ls.found_in(text, ls.templates())] == [name]
+    broken = " ".join(w for i, w in enumerate(ls.TEMPLATES["apache-2.0-header"].split()) if i % 8)
+    for text in (broken + " x " + ls.TEMPLATES["apache-2.0-header"], ls.TEMPLATES["apache-2.0-header"] + " x " + broken):
+        assert [f["license"] for f in ls.found_in(text, ls.templates())] == ["apache-2.0-header"] * 2
+
+
 def test_every_copy_of_a_notice_is_a_row():
     known = ls.templates()
     assert len(ls.found_in("aa bb cc Released under the MIT License. x y Released under the MIT License. dd ee", known)) == 2

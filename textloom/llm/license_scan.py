@@ -13,11 +13,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import BROADCAST_BYTES, width
+
 #: Share of a template's words, aligned in order, from which a text carries it.
 COVERAGE = 0.8
 
-#: Public license notices, one per line or paragraph.
+#: Texts of public licenses, and notices that stand for longer ones.
+MIT_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
+    "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, "
+    "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+)
+BSD_TERMS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. "
+)
+BSD_NAMES = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission. "
+)
+BSD_WARRANTY = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS "
+    "BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+    "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
 TEMPLATES = {
+    "mit": MIT_GRANT
+    + (
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "bsd-2-clause": BSD_TERMS + BSD_WARRANTY,
+    "bsd-3-clause": BSD_TERMS + BSD_NAMES + BSD_WARRANTY,
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+        'copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD '
+        "TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+        "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE "
+        "OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from "
+        "the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+        "redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you "
+        "wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not "
+        "required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may "
+        "not be removed or altered from any source distribution."
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this "
+        "software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that "
+        "recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make "
+        "this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of "
+        "relinquishment in perpetuity of all present and future rights to this software under copyright law."
+    ),
     "mit-notice": "Released under the MIT License.",
     "mit-licensed": "This project is licensed under the MIT License.",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
@@ -36,11 +91,7 @@ TEMPLATES = {
     "cc-by-4.0-notice": "Licensed under CC BY 4.0.",
     "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "mit-grant": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, "
-        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, "
-        "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
-    ),
+    "mit-grant": MIT_GRANT.rsplit(",", 1)[0],
     "isc-grant": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
         "provided that the above copyright notice and this permission notice appear in all copies."
@@ -227,17 +278,26 @@ def scanned(batches: Iterator[pa.RecordBatch], coverage: float, texts: dict[str,
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, kind)], names=["key", "licenses"])
 
 
-def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", coverage: float = COVERAGE, texts: dict[str, str] | None = None) -> DataFrame:
-    """One row per license notice found: key, license, coverage, start, end (offsets in code points).
+def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", coverage: float = COVERAGE, texts: DataFrame | dict[str, str] | None = None) -> DataFrame:
+    """One row per license found: key, license, coverage, start, end (offsets in code points).
 
     Words compare in lower case without surrounding marks. A text carries a template if patience alignment
     puts at least `coverage` of the template's words in order into a stretch of twice its length; all
-    occurrences in one text are rows of their own, as many as stretches without common words hold; of overlapping ones that with most aligned words stays. The work is one pass without a shuffle.
+    occurrences in one text are rows of their own, as many as stretches without common words hold; of overlapping ones
+    that with most aligned words stays, then that of the most coverage, the earlier, and the first name. The work is one
+    pass without a shuffle.
 
-    Null, empty and blank texts have no rows; repeated rows and keys are scanned each; other columns are
-    ignored.
+    texts: the templates by name, or a table (license, text) of at most BROADCAST_BYTES, which goes to every task.
+    Templates without words match nothing. Null, empty and blank texts have no rows; very long texts are scanned
+    whole; repeated rows and null or repeated keys are scanned each; other columns, whatever their names, are ignored.
     """
+    if isinstance(texts, DataFrame):
+        table = texts.select("license", "text").where("license IS NOT NULL AND text IS NOT NULL")
+        if width(table) > BROADCAST_BYTES:
+            raise ValueError(f"templates of more than {BROADCAST_BYTES} bytes")
+        texts = {r["license"]: r["text"] for r in table.orderBy("license", "text").collect()}
     texts = TEMPLATES if texts is None else texts
+    texts = {name: t for name, t in texts.items() if WORD.search(t)}
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     found = rows.mapInArrow(lambda it: scanned(it, coverage, texts), f"key {kind}, licenses array<struct<license:string,coverage:double,start:long,end:long>>")
