@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, small
+from .common import SPACE, cut, small, workspace
 
 WEIGHTS, CAP, SEED = (1, 2, 3), 3, 17
-#: Words in a block and in an output shard, about; and the most blocks of a source (two levels of FAN).
+#: Words in a block and in an output shard, about; and the blocks that are summed together first.
 BLOCK_WORDS, SHARD_WORDS, FAN = 50_000, 2_000_000, 256
 
 
@@ -81,38 +81,39 @@ def plan(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.0, cap: flo
     source (sid, draws) goes through the driver; everything else stays in tables keyed by source and block.
     """
     spark = docs.sparkSession
-    sized = cut(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), draw_hash(F.col(key), F.col(text), seed).alias("h")))
-    sources = source_targets(sized, weights, share, cap).withColumn("passes", F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("int"))
-    sources = sources.withColumn("need", F.col("target") - F.col("passes") * F.col("source_size"))
-    sources = cut(sources.withColumn("n", F.least(F.lit(FAN * FAN), F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words))).cast("int")).coalesce(1))
-    near = small(sources.select(F.col("source").alias("s"), "sid", "n", "need"))
-    placed = sized.join(near, F.col("source").eqNullSafe(F.col("s"))).withColumn("block", F.pmod("h", "n").cast("int"))
-    sums = cut(placed.groupBy("sid", "block", "need").agg(F.sum("size").alias("words")))
-    before = Window.partitionBy("sid").orderBy("upper").rowsBetween(Window.unboundedPreceding, -1)
-    upper = sums.groupBy("sid", "need", (F.col("block") / FAN).cast("int").alias("upper")).agg(F.sum("words").alias("words"))
-    upper = upper.withColumn("past", F.coalesce(F.sum("words").over(before), F.lit(0))).where("past <= need AND need < past + words").select("sid", "upper", "past")
-    inner = Window.partitionBy("sid").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    edge = sums.withColumn("upper", (F.col("block") / FAN).cast("int")).join(upper, ["sid", "upper"])
-    edge = edge.withColumn("past", F.col("past") + F.coalesce(F.sum("words").over(inner), F.lit(0))).where("past <= need AND need < past + words")
-    edge = cut(edge.select("sid", F.col("block").alias("last"), (F.col("need") - F.col("past")).alias("rest")))
-    rows = placed.join(small(edge.withColumnRenamed("sid", "e")), (F.col("sid") == F.col("e")) & (F.col("block") == F.col("last")))
-    running = F.sum("size").over(Window.partitionBy("sid").orderBy("h").rangeBetween(Window.unboundedPreceding, 0))
-    ranked = cut(rows.groupBy("sid", "rest", "h").agg(F.sum("size").alias("size")).withColumn("upto", running))
-    at = ranked.groupBy("sid").agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.struct("upto", "h"))).alias("fits"))
-    at = at.select("sid", F.col("fits.h").alias("h_last"), F.coalesce("fits.upto", F.lit(0)).alias("upto_last"))
-    gap = F.col("rest") - F.col("upto_last")
-    more = ranked.join(at, "sid").where((F.col("upto") > F.col("upto_last")) & (F.abs(gap - F.col("size")) < gap))
-    at = at.join(more.groupBy("sid").agg(F.min_by("h", F.struct(F.abs(gap - F.col("size")), "h")).alias("h_more")), "sid", "left").drop("upto_last")
-    sources = cut(sources.join(edge.join(at, "sid", "left"), "sid", "left").withColumn("last", F.coalesce("last", F.lit(-1))).withColumn("draws", F.col("passes") * F.col("n") + F.col("last") + 1).coalesce(1))
-    per_source = sources.where("draws > 0").select("sid", "draws").orderBy("sid").collect()
-    words = sources.agg(F.sum("target")).first()[0] or 0
-    shards = shards or max(1, int(words // SHARD_WORDS))
-    leaves = spark.range(0, shards, 1, min(shards, max(1, shards // 64) + 1))
-    sids, draws = [r["sid"] for r in per_source], [r["draws"] for r in per_source]
-    quotas = leaves.mapInPandas(lambda it: split_quotas(it, sids, draws, shards, seed), "shard int, sid int, first long, quota long") if sids else spark.createDataFrame([], "shard int, sid int, first long, quota long")
-    dealt = quotas.select("sid", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("quota") - 1)).alias("draw"))
-    dealt = dealt.join(small(sources.select("sid", "n")), "sid").select("sid", (F.col("draw") % F.col("n")).cast("int").alias("block"), (F.col("draw") / F.col("n")).cast("int").alias("pass"), "shard")
-    blocks = cut(dealt.groupBy("sid", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("dealt")))
+    with workspace(spark) as keep:
+        sized = keep(cut(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), draw_hash(F.col(key), F.col(text), seed).alias("h"))))
+        sources = source_targets(sized, weights, share, cap).withColumn("passes", F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("int"))
+        sources = sources.withColumn("need", F.col("target") - F.col("passes") * F.col("source_size"))
+        sources = cut(sources.withColumn("n", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("int")).coalesce(1))
+        near = small(sources.select(F.col("source").alias("s"), "sid", "n", "need"))
+        placed = sized.join(near, F.col("source").eqNullSafe(F.col("s"))).withColumn("block", F.pmod("h", "n").cast("int"))
+        sums = cut(placed.groupBy("sid", "block", "need").agg(F.sum("size").alias("words")))
+        before = Window.partitionBy("sid").orderBy("upper").rowsBetween(Window.unboundedPreceding, -1)
+        upper = sums.groupBy("sid", "need", (F.col("block") / FAN).cast("int").alias("upper")).agg(F.sum("words").alias("words"))
+        upper = upper.withColumn("past", F.coalesce(F.sum("words").over(before), F.lit(0))).where("need > 0 AND past <= need AND need < past + words").select("sid", "upper", "past")
+        inner = Window.partitionBy("sid").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        edge = sums.withColumn("upper", (F.col("block") / FAN).cast("int")).join(upper, ["sid", "upper"])
+        edge = edge.withColumn("past", F.col("past") + F.coalesce(F.sum("words").over(inner), F.lit(0))).where("past <= need AND need < past + words")
+        edge = cut(edge.select("sid", F.col("block").alias("last"), (F.col("need") - F.col("past")).alias("rest")))
+        rows = placed.join(small(edge.withColumnRenamed("sid", "e")), (F.col("sid") == F.col("e")) & (F.col("block") == F.col("last")))
+        running = F.sum("size").over(Window.partitionBy("sid").orderBy("h").rangeBetween(Window.unboundedPreceding, 0))
+        ranked = cut(rows.groupBy("sid", "rest", "h").agg(F.sum("size").alias("size")).withColumn("upto", running))
+        at = ranked.groupBy("sid").agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.struct("upto", "h"))).alias("fits"))
+        at = at.select("sid", F.col("fits.h").alias("h_last"), F.coalesce("fits.upto", F.lit(0)).alias("upto_last"))
+        gap = F.col("rest") - F.col("upto_last")
+        more = ranked.join(at, "sid").where((F.col("upto") > F.col("upto_last")) & (F.abs(gap - F.col("size")) < gap))
+        at = at.join(more.groupBy("sid").agg(F.min_by("h", F.struct(F.abs(gap - F.col("size")), "h")).alias("h_more")), "sid", "left").drop("upto_last")
+        sources = keep(cut(sources.join(edge.join(at, "sid", "left"), "sid", "left").withColumn("last", F.coalesce("last", F.lit(-1))).withColumn("draws", F.col("passes") * F.col("n") + F.col("last") + 1).coalesce(1)))
+        per_source = sources.where("draws > 0").select("sid", "draws").orderBy("sid").collect()
+        words = sources.agg(F.sum("target")).first()[0] or 0
+        shards = shards or max(1, int(words // SHARD_WORDS))
+        leaves = spark.range(0, shards, 1, min(shards, max(1, shards // 64) + 1))
+        sids, draws = [r["sid"] for r in per_source], [r["draws"] for r in per_source]
+        quotas = leaves.mapInPandas(lambda it: split_quotas(it, sids, draws, shards, seed), "shard int, sid int, first long, quota long") if sids else spark.createDataFrame([], "shard int, sid int, first long, quota long")
+        dealt = quotas.select("sid", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("quota") - 1)).alias("draw"))
+        dealt = dealt.join(small(sources.select("sid", "n")), "sid").select("sid", (F.col("draw") % F.col("n")).cast("int").alias("block"), (F.col("draw") / F.col("n")).cast("int").alias("pass"), "shard")
+        blocks = keep(cut(dealt.groupBy("sid", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("dealt"))))
     return sized, sources, blocks, shards
 
 
@@ -129,10 +130,11 @@ def drawn(rows: DataFrame, sources: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, **options) -> DataFrame:
     """The rows of the mix, each as often as it is drawn, with the columns of docs and shard: dealt into
-    shards and shuffled within them. A document is drawn at most `cap` times. Reruns agree.
+    shards and shuffled within them. A document is drawn at most `cap` times, if cap is whole. Reruns agree.
 
-    Null or empty texts have no words; they go along with their block. Rows that are repeated with key and
-    text are drawn together. No rows make no mix. Columns of docs named like those used here are safe.
+    Null or empty texts have no words; they go along with their block. Very long texts are taken whole or not at all.
+    Rows that are repeated with key and text are drawn together. Null keys and sources are values like others. No rows
+    make no mix. Columns of docs named like those used here are safe.
     """
     _, sources, blocks, shards = plan(docs, key=key, text=text, source=source, seed=seed, **options)
     packed = docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), draw_hash(F.col(key), F.col(text), seed).alias("h"))
@@ -142,10 +144,11 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 
 def taken(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """One row per row of docs: key, size, source_size, target (its source's), taken (words that the mix takes)."""
+    """One row per row of docs: key, size, source_size, target (its source's), taken (words that the mix takes), shards
+    (the shards that the splitting tree deals it to, one for each time it is taken). Cases as in mix()."""
     sized, sources, blocks, _ = plan(docs, key=key, **options)
     rows = drawn(sized, sources, blocks)
-    return rows.select(F.col("key").alias(key), "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("size") * F.size("draws")).cast("long").alias("taken"))
+    return rows.select(F.col("key").alias(key), "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("size") * F.size("draws")).cast("long").alias("taken"), F.col("draws.shard").alias("shards"))
 
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
