@@ -140,7 +140,8 @@ def first_met(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
 
 
 def verified(frame: pd.DataFrame, threshold: float, n: int) -> pd.DataFrame:
-    """Of the blocks of a frame: the links of each node, and edges that connect what is linked. Only pairs that meet in a
+    """Of the blocks of a frame: the links of each node, and edges from what is linked to its smallest node, which are few
+    as the blocks of a group mostly name the same ones. Only pairs that meet in a
     band are compared, by their n-grams and not by hashes of them."""
     frame = frame.reset_index(drop=True)
     sets = gram_ids(frame["text"].tolist(), n)
@@ -163,12 +164,14 @@ def verified(frame: pd.DataFrame, threshold: float, n: int) -> pd.DataFrame:
         a, b = left[xs[true]], right[ys[true]]
         count = np.bincount(a, copies[b], len(frame)) + np.bincount(b, copies[a], len(frame))
         out += [(names[x], None, int(count[x])) for x in np.flatnonzero(count)]
-        out += [(names[x], names[y], 0) for x, y in forest(a.tolist(), b.tolist())]
+        for members in joined(a.tolist(), b.tolist()):
+            hub = min(names[x] for x in members)
+            out += [(names[x], hub, 0) for x in members if names[x] != hub]
     return pd.DataFrame(out, columns=["node", "peer", "links"])
 
 
-def forest(a: list[int], b: list[int]) -> Iterator[tuple[int, int]]:
-    """Those of the edges that connect what the ones before do not."""
+def joined(a: list[int], b: list[int]) -> list[list[int]]:
+    """What the edges between a and b connect, as groups."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -177,10 +180,11 @@ def forest(a: list[int], b: list[int]) -> Iterator[tuple[int, int]]:
         return x
 
     for x, y in zip(a, b, strict=True):
-        p, q = root(x), root(y)
-        if p != q:
-            parent[p] = q
-            yield x, y
+        parent[root(x)] = root(y)
+    groups: dict[int, list[int]] = {}
+    for x in parent:
+        groups.setdefault(root(x), []).append(x)
+    return list(groups.values())
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -238,7 +242,7 @@ def noded(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N,
 
     Rows with equal n-gram sets are one node with a number of copies, so copies are counted and not
     paired. MinHash bands, sized for the recall, are shuffled; pairs that meet in a band are verified on their true
-    n-grams, in blocks of bounded size (see candidate_blocks); blocks return counts and a spanning forest, never pairs.
+    n-grams, in blocks of bounded size (see candidate_blocks); blocks return counts and stars that connect what is linked, never pairs.
 
     Texts of fewer than n words have one n-gram, the whole text. Texts without words (null, empty, white
     space) have equal, empty sets and form one class. Very long texts are compared whole. Words compare as written.
