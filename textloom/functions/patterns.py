@@ -23,21 +23,30 @@ def _compiles(pattern: str) -> bool:
 
 
 def search_pattern(terms: list[str], regex: bool | None = None, case_sensitive: bool = False) -> str:
-    """The pattern of a search (X2). Several terms are an OR of literals. One term is a regular expression if asked for
-    or if it looks like one, with grep's backslash-bar as alternation; one that does not compile is literal unless it
-    was asked for. A plain identifier matches as a whole word."""
+    """The pattern of a search (X2), by what the terms are:
+
+    several terms                                   any of them, literally
+    one, asked for as an expression                 as it is; an error if it does not compile
+    one that looks like an expression, and is one   as it is
+    an identifier                                   that whole word
+    any other                                       literally
+
+    An expression may have grep's backslash-bar as alternation.
+    """
     flags = "(?m)" if case_sensitive else "(?miu)"
-    if len(terms) > 1:
-        return flags + "|".join(map(_escape, terms))
-    term = terms[0]
-    looks = "|" in term or any(s in term for s in REGEX_SIGNS) or term.startswith("^") or term.endswith("$")
-    if looks if regex is None else regex:
-        pattern = term.replace(r"\|", "|")
-        if _compiles(pattern):
-            return flags + pattern
-        if regex:
-            raise ValueError(f"not a regular expression: {term}")
-    return flags + (rf"\b{_escape(term)}\b" if re.fullmatch(r"\w+", term) else _escape(term))
+    expression = terms[0].replace(r"\|", "|") if len(terms) == 1 and regex is not False else None
+    if expression and regex and not _compiles(expression):
+        raise ValueError(f"not a regular expression: {terms[0]}")
+    if expression and (regex or _looks_regular(terms[0]) and _compiles(expression)):
+        return flags + expression
+    literals = [_escape(t) for t in terms]
+    if len(terms) == 1 and re.fullmatch(r"\w+", terms[0]):
+        literals = [rf"\b{literals[0]}\b"]
+    return flags + "|".join(literals)
+
+
+def _looks_regular(term: str) -> bool:
+    return bool(re.search(r"\||^\^|\$$", term)) or any(sign in term for sign in REGEX_SIGNS)
 
 
 def smart_pattern(pattern: str) -> str:

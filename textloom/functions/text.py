@@ -99,3 +99,14 @@ def canonical_type(name: Column) -> Column:
     """The type that an impl block is for."""
     target = F.trim(F.regexp_extract(name, r"^impl (?:.* for )?([^<]*)", 1))
     return F.when(F.startswith(name, F.lit("impl ")), target).otherwise(name)
+
+
+def line_of(text: Column, offset: Column) -> Column:
+    """The number of the line, from 1, that a place in a text (from 0) is on (X11)."""
+    return F.regexp_count(F.substring(text, F.lit(1), offset), F.lit("\n")) + 1
+
+
+def break_counts(text: Column) -> Column:
+    """struct<crlf, lf>: how many line breaks of each kind a text has; both above 0 is mixed."""
+    crlf = F.regexp_count(text, F.lit("\r\n"))
+    return F.struct(crlf.alias("crlf"), (F.regexp_count(text, F.lit("\n")) - crlf).alias("lf"))

@@ -105,25 +105,43 @@ def spans(decls: DataFrame, rows: DataFrame) -> DataFrame:
     """Declarations with end_line and has_body.
 
     A block starts at the first brace before the next declaration and ends where the depth is back; in Python it ends
-    before the next line that is indented no deeper. Without a block a declaration ends before the next one.
+    before the next line that is indented no deeper. Without a block a declaration ends before the next one. Everything is
+    looked up by windows and joins on equal numbers: the end of a block is the next line of the file that closes its depth, and a
+    row that closes several depths is posted under each.
     """
     order = Window.partitionBy("file_id").orderBy("line")
-    total = rows.groupBy("file_id").agg(F.max("line").alias("n_lines"))
-    bounded = decls.join(total, "file_id").withColumn("next", F.coalesce(F.lead("line").over(order), F.col("n_lines") + 1))
-    body = rows.select("file_id", F.col("line").alias("at"), "opens", F.col("after").alias("after_at"), F.col("indent").alias("indent_at"))
-    met = bounded.join(body, "file_id").where("at >= line")
+    later = order.rowsBetween(0, Window.unboundedFollowing)
+    facts = rows.withColumn("n_lines", F.max("line").over(Window.partitionBy("file_id")))
+    facts = facts.withColumn("opening", F.min(F.when(F.col("opens") > 0, F.col("line"))).over(later))
+    at = facts.select("file_id", "line", "opening", "n_lines")
+    bounded = decls.withColumn("next", F.lead("line").over(order)).join(at, ["file_id", "line"])
+    bounded = bounded.withColumn("next", F.coalesce("next", F.col("n_lines") + 1))
+    opened = F.when((F.col("opening") < F.col("next")) | (F.col("opening") == F.col("line")), F.col("opening"))
+    bounded = bounded.withColumn("open", F.when(F.col("language") != "Python", opened))
+    # ends by depth: a line on which the depth falls from above d to d or below ends what was opened at d
+    ends = rows.withColumn("top", F.greatest("depth", F.col("depth") + F.col("opens"))).where("after < top")
+    ends = ends.select("file_id", F.col("line").alias("at"), F.explode(F.sequence(F.greatest("after", F.lit(0)), F.col("top") - 1)).alias("depth"))
+    starts = bounded.where("open IS NOT NULL").select("file_id", "depth", F.col("open").alias("at"), "line")
+    closed = following(starts, ends, ["file_id", "depth"], "at", same=True).select("file_id", "line", F.col("met").alias("closed"))
+    # ends by indentation: the next line that is indented no deeper, posted under every indentation a file's declarations have
+    indents = bounded.where("language = 'Python'").select("file_id", "indent").distinct()
+    edges = rows.where("indent IS NOT NULL").select("file_id", F.col("indent").alias("own"), F.col("line").alias("at"))
+    edges = edges.join(indents.groupBy("file_id").agg(F.collect_set("indent").alias("levels")), "file_id").select("file_id", "at", F.explode(F.filter("levels", lambda x: x >= F.col("own"))).alias("indent"))
+    blocks = bounded.where("language = 'Python'").select("file_id", "indent", F.col("line").alias("at"), "line")
+    dedent = following(blocks, edges, ["file_id", "indent"], "at", same=False).select("file_id", "line", (F.col("met") - 1).alias("dedent"))
+    out = bounded.join(closed, ["file_id", "line"], "left").join(dedent, ["file_id", "line"], "left")
     python = F.col("language") == "Python"
-    opened = F.min(F.when((F.col("opens") > 0) & ((F.col("at") < F.col("next")) | (F.col("at") == F.col("line"))), F.col("at"))).alias("open")
-    keys = ["file_id", "line"]
-    first = met.groupBy(*keys).agg(opened)
-    met = met.join(first, keys)
-    closed = F.min(F.when(~python & (F.col("at") >= F.col("open")) & (F.col("after_at") <= F.col("depth")), F.col("at"))).alias("closed")
-    dedent = F.min(F.when(python & (F.col("at") > F.col("line")) & (F.col("indent_at") <= F.col("indent")), F.col("at") - 1)).alias("dedent")
-    ends = met.groupBy(*keys).agg(F.first("open").alias("open"), closed, dedent)
-    out = bounded.join(ends, keys)
-    has_body = python | F.col("closed").isNotNull()
     end = F.when(python, F.coalesce("dedent", "n_lines")).otherwise(F.coalesce("closed", F.col("next") - 1))
-    return out.withColumn("has_body", has_body).withColumn("end_line", F.greatest("line", end)).drop("open", "closed", "dedent", "next", "n_lines")
+    out = out.withColumn("has_body", python | F.col("closed").isNotNull()).withColumn("end_line", F.greatest("line", end))
+    return out.drop("open", "opening", "closed", "dedent", "next", "n_lines")
+
+
+def following(rows: DataFrame, marks: DataFrame, keys: list[str], at: str, same: bool) -> DataFrame:
+    """rows with met: the first mark of their keys behind them, or at their place if same. One window over both."""
+    side = lambda df, mark, rank: df.withColumn("_mark", F.lit(mark)).withColumn("_rank", F.lit(rank))
+    both = side(rows, False, 1 if same else 2).unionByName(side(marks.select(*keys, at), True, 2 if same else 1), allowMissingColumns=True)
+    behind = Window.partitionBy(*keys).orderBy(at, "_rank").rowsBetween(1, Window.unboundedFollowing)
+    return both.withColumn("met", F.min(F.when(F.col("_mark"), F.col(at))).over(behind)).where("NOT _mark").drop("_mark", "_rank")
 
 
 def symbols(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -133,7 +151,9 @@ def symbols(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = kept(numbered(files))
     all_spans = kept(spans(declared(rows), rows))
     holders = all_spans.where("kind IN ('class', 'impl')").select("file_id", F.col("line").alias("c_start"), F.col("end_line").alias("c_end"), F.col("name").alias("c_name"), F.col("depth").alias("c_depth"))
-    inner = all_spans.join(holders, "file_id").where("line > c_start AND line <= c_end").groupBy("file_id", "line").agg(F.max(F.struct("c_start", "c_name", "c_depth")).alias("c"))
+    # a class is posted under each line it holds, so lines meet classes by equal numbers
+    holders = holders.where("c_end > c_start").withColumn("line", F.explode(F.sequence(F.col("c_start") + 1, F.col("c_end"))))
+    inner = all_spans.select("file_id", "line").join(holders, ["file_id", "line"]).groupBy("file_id", "line").agg(F.max(F.struct("c_start", "c_name", "c_depth")).alias("c"))
     owned = all_spans.join(inner, ["file_id", "line"], "left").where("kind <> 'impl'").where("kind <> 'member' OR depth = c.c_depth + 1")
     is_class = F.col("kind") == "class"
     owned = owned.withColumn("owner", F.when(~is_class, F.coalesce("hint", "c.c_name")))
@@ -150,25 +170,51 @@ def symbols(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 _CALL = r"(?:([A-Za-z_]\w*)(\([^()]*\))?[?! ]*(\.|->|::))?\s*\b([A-Za-z_]\w*)\s*\("
-_TYPED = (
-    (r"\b(?:shared_ptr|unique_ptr|weak_ptr|sp|RefPtr)\s*<\s*(?:\w+::)*([A-Z]\w*)\s*>\s*[*&]*\s*([A-Za-z_]\w*)", True),
-    (r"\b([A-Za-z_]\w*)\s*:\s*(?:&\s*)?(?:mut\s+)?(?:\w+\.)*([A-Z]\w*)\b", False),
-    (r"\b([A-Z]\w*)(?:<[^<>;(){}]*>)?(?:\s+[*&]*\s*|\s*[*&]+\s*)([a-z_]\w*)\s*(?:=|;|,|\)|\{|\()", True),
-    (r"\b([A-Za-z_]\w*)\s*=\s*(?:new\s+)?([A-Z]\w*)\s*[(<{]", False),
-)
+#: A line as words and signs, and wrappers whose argument is the type that counts.
+_TOKEN = r"(::|->|\w+|[^\s\w])"
+_WRAPPERS = ["shared_ptr", "unique_ptr", "weak_ptr", "sp", "RefPtr"]
+
+
+def typed_names(line: Column) -> Column:
+    """array<struct<rank, ident, type>> of the names a line declares with a type, by what stands beside each word: a type
+    in angle brackets or bare before it (in a wrapper rank 0, else 2), a colon and a type behind it (1), or = and a type that
+    makes a value (3). Types are words with a capital; reference signs do not count."""
+    tokens = F.regexp_extract_all(line, F.lit(_TOKEN), 1)
+    plain = F.filter(tokens, lambda t: ~t.isin("&", "*", "mut", "new"))
+
+    def at(i: Column) -> Column:
+        return F.coalesce(F.get(plain, i), F.lit(""))
+
+    def is_type(word: Column) -> Column:
+        return word.rlike(r"^\p{Lu}")
+
+    def declared(word: Column, i: Column) -> Column:
+        before, after = at(i - 1), at(i + 1)
+        ends = after.isin("=", ";", ",", ")", "{", "(")
+        # Vec < Item > name: the bracket that opens last before the one that closes here
+        opened = i - F.array_position(F.reverse(F.slice(plain, F.lit(1), i)), "<").cast("int")
+        inner = F.filter(F.slice(plain, opened + 2, F.greatest(i - opened - 2, F.lit(0))), is_type)
+        wrapped = at(opened - 1).isin(_WRAPPERS)
+        closed = (before == ">") & (opened < i) & (opened > 0)
+        path = F.slice(plain, i + 3, F.greatest(F.size(plain) - i - 2, F.lit(0)))
+        behind = F.get(F.filter(path, lambda t, k: is_type(t) & ~F.exists(F.slice(path, F.lit(1), k), lambda x: ~x.rlike(r"^(\.|[\p{Ll}_]\w*)$"))), F.lit(0))
+        out = F.when(closed & wrapped & (F.size(inner) > 0), F.struct(F.lit(0).alias("rank"), word.alias("ident"), F.element_at(inner, -1).alias("type")))
+        out = out.when((after == ":") & behind.isNotNull(), F.struct(F.lit(1).alias("rank"), word.alias("ident"), behind.alias("type")))
+        small = word.rlike(r"^[\p{Ll}_]")
+        out = out.when(ends & small & is_type(before) & (at(i - 2) != "."), F.struct(F.lit(2).alias("rank"), word.alias("ident"), before.alias("type")))
+        out = out.when(ends & small & closed & ~wrapped & is_type(at(opened - 1)), F.struct(F.lit(2).alias("rank"), word.alias("ident"), at(opened - 1).alias("type")))
+        made = (after == "=") & is_type(at(i + 2)) & at(i + 3).isin("(", "<", "{")
+        return out.when(made, F.struct(F.lit(3).alias("rank"), word.alias("ident"), at(i + 2).alias("type")))
+
+    found = F.transform(plain, lambda word, i: F.when(word.rlike(r"^[\p{L}_]\w*$"), declared(word, i)))
+    return F.array_compact(found)
 
 
 def declared_types(rows: DataFrame) -> DataFrame:
-    """(file_id, ident, type): what the file declares a name to be; the first pattern and line decide."""
-    found = []
-    for i, (pattern, type_first) in enumerate(_TYPED):
-        pairs = F.arrays_zip(F.regexp_extract_all("line_text", F.lit(pattern), 1).alias("a"), F.regexp_extract_all("line_text", F.lit(pattern), 2).alias("b"))
-        row = rows.select("file_id", "line", F.explode(pairs).alias("p")).select("file_id", "line", F.lit(i).alias("rule"), F.col("p.b" if type_first else "p.a").alias("ident"), F.col("p.a" if type_first else "p.b").alias("type"))
-        found.append(row)
-    every = found[0]
-    for row in found[1:]:
-        every = every.unionByName(row)
-    return every.groupBy("file_id", "ident").agg(F.min_by("type", F.struct("rule", "line", "type")).alias("type"))
+    """(file_id, ident, type): what the file declares a name to be; the surest form and the first line decide."""
+    likely = rows.where(F.col("line_text").rlike(r"\p{Lu}"))
+    found = likely.select("file_id", "line", F.explode(typed_names(F.col("line_text"))).alias("d")).select("file_id", "line", "d.*")
+    return found.groupBy("file_id", "ident").agg(F.min_by("type", F.struct("rank", "line", "type")).alias("type"))
 
 
 def call_sites(bodies: DataFrame, rows: DataFrame) -> DataFrame:
@@ -184,7 +230,8 @@ def call_sites(bodies: DataFrame, rows: DataFrame) -> DataFrame:
     chained = sites.where("p <> ''").select("file_id", "line", F.lit("").alias("r"), F.lit("").alias("p"), F.lit("").alias("d"), F.col("r").alias("c"))
     sites = sites.unionByName(chained).where(~F.col("c").isin(NOT_CALLS) & ~((F.col("r") == "std") & (F.col("d") == "::")))
     methods = bodies.where("kind <> 'class'")
-    in_body = sites.join(methods, "file_id").where("line >= start_line AND line <= end_line").where(~((F.col("language") == "C/C++") & (F.col("d") == "") & F.col("c").isin(LIBC)))
+    methods = methods.withColumn("line", F.explode(F.sequence("start_line", "end_line")))
+    in_body = sites.join(methods, ["file_id", "line"]).where(~((F.col("language") == "C/C++") & (F.col("d") == "") & F.col("c").isin(LIBC)))
     types = declared_types(rows)
     typed = in_body.join(types.withColumnRenamed("ident", "r"), ["file_id", "r"], "left")
     recv = (
@@ -267,13 +314,38 @@ def dispatch_edges(syms: DataFrame) -> DataFrame:
     return override_links(bases, methods).withColumn("kind", F.lit("DISPATCH"))
 
 
+def bridge_edges(syms: DataFrame) -> DataFrame:
+    """CALLS edges from native methods to the functions that carry them out."""
+    from .lookup import suffix_join
+
+    natives = syms.where("detail = 'native'").select("id", "owner", "name")
+    functions = syms.where(F.startswith("name", F.lit("Java_"))).select("id", "name", "has_body")
+    return suffix_join(natives, functions).select(F.col("native_id").alias("from_id"), F.col("function_id").alias("to_id"), F.lit("CALLS").alias("kind"))
+
+
+def linked(sites: DataFrame, syms: DataFrame) -> DataFrame:
+    """All edges between symbols: calls, bridges between languages, and dispatch to overrides."""
+    return resolve(sites, syms).unionByName(bridge_edges(syms)).unionByName(dispatch_edges(syms)).distinct()
+
+
+def with_definitions(index: dict[str, DataFrame]) -> DataFrame:
+    """(from_name, to_name, kind): the whole graph by readable names, with DEFINES edges of files and classes (G-9)."""
+    from .graph import full_graph
+
+    named = index["symbols"].withColumn("node", F.concat_ws(":", "path", F.concat(F.coalesce(F.concat("owner", F.lit(".")), F.lit("")), "name")))
+    a = named.select(F.col("id").alias("from_id"), F.col("node").alias("from_name"))
+    b = named.select(F.col("id").alias("to_id"), F.col("node").alias("to_name"))
+    edges = index["edges"].join(a, "from_id").join(b, "to_id").select(F.col("from_name").alias("from_id"), F.col("to_name").alias("to_id"), "kind")
+    return full_graph(edges, named.select("node", "path", "name", "owner", "kind")).withColumnsRenamed({"from_id": "from_name", "to_id": "to_name"})
+
+
 def build(files: DataFrame) -> dict[str, DataFrame]:
     """The index of files (path, content, mtime, size) as tables: files, symbols, call_sites, edges."""
     syms, bodies, rows = symbols(files)
     sites = effective_receivers(call_sites(bodies, rows), returned_types(rows, bodies))
     known = files.select(file_id(F.col("path")).alias("id"), "path", language_of(F.col("path")).alias("language"), "mtime", "size").where("language IS NOT NULL")
     syms, sites = kept(syms), kept(sites)
-    return {"files": known, "symbols": syms, "call_sites": sites, "edges": kept(resolve(sites, syms))}
+    return {"files": known, "symbols": syms, "call_sites": sites, "edges": kept(linked(sites, syms))}
 
 
 def refresh(index: dict[str, DataFrame], files: DataFrame) -> dict[str, DataFrame]:
@@ -293,12 +365,13 @@ def refresh(index: dict[str, DataFrame], files: DataFrame) -> dict[str, DataFram
     sites = index["call_sites"].join(gone, "file_id", "left_anti").unionByName(new["call_sites"])
     n_changed, n_all = touched.count(), all_files.count()
     if n_changed * 4 >= n_all:
-        edges = resolve(sites, syms)
+        edges = linked(sites, syms)
     else:
         names = index["symbols"].join(touched, "path", "left_semi").select("name").union(new["symbols"].select("name")).distinct()
         affected = sites.join(names.withColumnRenamed("name", "callee"), "callee", "left_semi").select("symbol_id").union(new["call_sites"].select("symbol_id")).union(index["call_sites"].join(gone, "file_id", "left_semi").select("symbol_id")).distinct()
-        old = index["edges"].join(affected.withColumnRenamed("symbol_id", "from_id"), "from_id", "left_anti")
-        edges = old.unionByName(resolve(sites.join(affected, "symbol_id", "left_semi"), syms)).distinct()
+        others = bridge_edges(syms).unionByName(dispatch_edges(syms))  # cheap, and a change reaches far
+        old = index["edges"].where("kind = 'CALLS'").join(affected.withColumnRenamed("symbol_id", "from_id"), "from_id", "left_anti")
+        edges = old.unionByName(resolve(sites.join(affected, "symbol_id", "left_semi"), syms)).unionByName(others).distinct()
     return {"files": all_files, "symbols": syms, "call_sites": sites, "edges": edges}
 
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_crlf, with_endings
+from ..functions.text import bigrams, break_counts, is_crlf, with_endings
 
 
 def occurrences(text: Column, part: str) -> Column:
@@ -43,25 +43,117 @@ def plan(content: Column, old: str, new: str) -> Column:
 
 
 def patch(files: DataFrame, old: str, new: str, replace_all: bool = False, text: str = "content") -> DataFrame:
-    """Files with strategy, matches, status and result (R3): ok, not_found, or ambiguous if there are several matches and
-    not all are asked for; the result of what is not ok is the text as it was."""
-    rows = files.withColumn("_p", plan(F.col(text), old, new))
-    status = F.when(F.col("_p").isNull(), "not_found").when((F.col("_p.matches") > 1) & F.lit(not replace_all), "ambiguous").otherwise("ok")
+    """Files with strategy, matches, status and result (R3): ok, not_found, ambiguous if there are several matches and not
+    all are asked for, or refused if there is nothing to look for; the result of what is not ok is the text as it was."""
+    rows = files.withColumn("_p", plan(F.col(text), old, new) if old else F.lit(None).cast("struct<strategy:string,matches:int,result:string>"))
+    status = F.when(F.lit(not old), "refused").when(F.col("_p").isNull(), "not_found").when((F.col("_p.matches") > 1) & F.lit(not replace_all), "ambiguous").otherwise("ok")
     rows = rows.withColumn("strategy", F.col("_p.strategy")).withColumn("matches", F.coalesce("_p.matches", F.lit(0))).withColumn("status", status)
     return rows.withColumn("result", F.when(F.col("status") == "ok", F.col("_p.result")).otherwise(F.col(text))).drop("_p")
 
 
+def _times(text: Column, part: Column) -> Column:
+    """How often a part occurs; null if the part is empty."""
+    return (F.length(text) - F.length(F.replace(text, part, F.lit("")))) / F.nullif(F.length(part), F.lit(0))
+
+
+def apply_in_turn(files: DataFrame, edits: DataFrame) -> DataFrame:
+    """(path, result, applied, failed_at): ordered blocks (path, ord, old, new) applied in turn to each file up to the first that
+    finds no text or an ambiguous one, whose ord is failed_at; what went before stays (R9)."""
+    blocks = edits.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("ord", "old", "new"))).alias("blocks"))
+    rows = files.join(blocks, "path")
+    start = F.struct(F.col("content").alias("text"), F.lit(0).alias("applied"), F.lit(None).cast(edits.schema["ord"].dataType).alias("failed_at"))
+
+    def step(acc: Column, b: Column) -> Column:
+        good = acc["failed_at"].isNull() & F.coalesce(_times(acc["text"], b["old"]) == 1, F.lit(False))
+        text = F.when(good, F.replace(acc["text"], b["old"], b["new"])).otherwise(acc["text"])
+        failed = F.when(good, F.lit(None)).otherwise(F.coalesce(acc["failed_at"], b["ord"]))
+        return F.struct(text.alias("text"), (acc["applied"] + F.when(good, 1).otherwise(0)).cast("int").alias("applied"), failed.cast(edits.schema["ord"].dataType).alias("failed_at"))
+
+    return rows.withColumn("done", F.aggregate("blocks", start, step)).select("path", F.col("done.text").alias("result"), "done.applied", "done.failed_at")
+
+
+def match_lines(content: Column, part: str) -> Column:
+    """The lines, from 1, on which the occurrences of a non-empty part start."""
+    pieces = F.split(content, _literal(part), -1)
+    inside = part.count("\n")
+    zero = F.struct(F.lit(1).alias("line"), F.array().cast("array<int>").alias("found"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        line = (acc["line"] + F.regexp_count(piece, F.lit("\n"))).cast("int")
+        return F.struct((line + inside).cast("int").alias("line"), F.concat(acc["found"], F.array(line)).alias("found"))
+
+    return F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), zero, step)["found"]
+
+
+def preview(files: DataFrame, old: str, new: str, text: str = "content", around: int = 1) -> DataFrame:
+    """Files that an edit would change, without changing them (R4): path, status, lines of the matches, and the lines around the first one
+    before and after."""
+    rows = patch(files, old, new, True, text).where("status = 'ok'")
+    first = F.get(match_lines(F.col(text), old), F.lit(0))
+    cut = lambda c, extra: F.array_join(F.slice(F.split(c, "\n"), F.greatest(first - around, F.lit(1)), F.lit(1 + extra.count("\n")) + F.least(first - 1, F.lit(around)) + around), "\n")
+    rows = rows.where(F.contains(text, F.lit(old)))
+    return rows.select(*[c for c in files.columns if c != text], match_lines(F.col(text), old).alias("lines"), cut(F.col(text), old).alias("before"), cut(F.col("result"), new).alias("after"))
+
+
+def numbered_bigrams(text: Column) -> Column:
+    """Bigrams with the number of their occurrence, so that sets of them are multisets."""
+    found = bigrams(text)
+    return F.transform(found, lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice(found, F.lit(1), i + 1), lambda x: x == g))))
+
+
+def hints(files: DataFrame, old: str, text: str = "content", least: float = 0.6) -> DataFrame:
+    """For files in which an edit finds no text (R5): the line that resembles the first line looked for most, by Dice of bigrams, and
+    whether line breaks are mixed. (path, line, line_text, dice, mixed)"""
+    from ..sources.tables import lines
+
+    probe = old.strip("\n").split("\n")[0]
+    missing = patch(files, old, "", True, text).where("status = 'not_found'").select("path", F.col(text).alias("_text"))
+    breaks = break_counts(F.col("_text"))
+    rows = lines(missing.withColumn("mixed", (breaks["crlf"] > 0) & (breaks["lf"] > 0)), "_text")
+    rows = rows.where(F.length("line_text").between(int(len(probe) / 2), 2 * len(probe)))
+    a, b = numbered_bigrams(F.lit(probe)), numbered_bigrams(F.col("line_text"))
+    rows = rows.withColumn("dice", 2.0 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))).where(F.col("dice") >= least)
+    return rows.groupBy("path").agg(F.min_by(F.struct("line", "line_text", "dice", "mixed"), F.struct((-F.col("dice")).alias("d"), "line")).alias("x")).select("path", "x.*")
+
+
+def put(files: DataFrame, rows: DataFrame, only_new: bool = False) -> DataFrame:
+    """Files with others (path, content) written over them or beside them; with only_new, those that exist stay."""
+    if only_new:
+        return files.unionByName(rows.join(files, "path", "left_anti"))
+    return files.join(rows, "path", "left_anti").unionByName(rows)
+
+
+def appended(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """Files with texts (path, content) at their ends, on a line of their own; new files where there are none."""
+    more = rows.select("path", F.col("content").alias("_more"))
+    both = files.join(more, "path", "full_outer")
+    gap = F.when(F.endswith("content", F.lit("\n")) | (F.col("content") == ""), "").otherwise("\n")
+    return both.select("path", F.when(F.col("_more").isNull(), F.col("content")).when(F.col("content").isNull(), F.col("_more")).otherwise(F.concat("content", gap, "_more")).alias("content"))
+
+
+def moved_to(files: DataFrame, old: str, new: str, copy: bool = False) -> DataFrame:
+    """Files with a file or folder under another name, or copied to it (R10). A name that is taken keeps its file."""
+    inside = (F.col("path") == old) | F.startswith("path", F.lit(old + "/"))
+    named = files.where(inside).withColumn("path", F.concat(F.lit(new), F.substring("path", len(old) + 1, 1 << 20)))
+    left = files if copy else files.where(~inside)
+    return put(left, named, only_new=True)
+
+
+def without(files: DataFrame, name: str) -> DataFrame:
+    """Files without a file or folder."""
+    return files.where(~((F.col("path") == name) | F.startswith("path", F.lit(name + "/"))))
+
+
 def apply_blocks(files: DataFrame, edits: DataFrame) -> DataFrame:
     """(path, content, result, failed): ordered blocks (path, ord, old, new) applied in turn to each file, and all files or
     none (R6): if any block finds no text or an ambiguous one, every result is the content as it was. A block for a path
-    without file fails as well. The fold is per file, over that file's blocks."""
+    without file fails as well, and so does one without anything to look for. The fold is per file, over that file's blocks."""
     blocks = edits.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("ord", "old", "new"))).alias("blocks"))
     both = files.join(blocks, "path", "full_outer")
     start = F.struct(F.col("content").alias("text"), F.when(F.col("content").isNull(), 1).otherwise(0).alias("failed"))
 
     def step(acc: Column, b: Column) -> Column:
-        n = (F.length(acc["text"]) - F.length(F.replace(acc["text"], b["old"], F.lit("")))) / F.length(b["old"])
-        good = n == 1
+        good = F.coalesce(_times(acc["text"], b["old"]) == 1, F.lit(False))
         return F.struct(F.when(good, F.replace(acc["text"], b["old"], b["new"])).otherwise(acc["text"]).alias("text"), (acc["failed"] + F.when(good, 0).otherwise(1)).cast("int").alias("failed"))
 
     rows = both.withColumn("done", F.aggregate(F.coalesce("blocks", F.array().cast(both.schema["blocks"].dataType)), start, step)).where("content IS NOT NULL OR blocks IS NOT NULL")

@@ -104,3 +104,41 @@ def override_links(bases: DataFrame, methods: DataFrame, fanout: int = 4) -> Dat
     near = met.groupBy("id").agg(F.min_by("base_id", F.struct("depth", "owner")).alias("from_id"))
     pairs = near.select("from_id", F.col("id").alias("to_id")).distinct()
     return pairs.withColumn("n", F.count("*").over(Window.partitionBy("from_id"))).where(F.col("n") <= fanout).drop("n")
+
+
+def full_graph(edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """All edges with DEFINES edges from files and classes to what they hold (G-9). symbols: as in defines()."""
+    return edges.select("from_id", "to_id", "kind").unionByName(defines(symbols).select(F.col("parent").alias("from_id"), F.col("node").alias("to_id"), F.lit("DEFINES").alias("kind")))
+
+
+def card(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, other, role) of each of the ids: its callers and callees (G-4)."""
+    up = edges.join(ids.select(F.col("id").alias("to_id")), "to_id", "left_semi").select(F.col("to_id").alias("id"), F.col("from_id").alias("other"), F.lit("caller").alias("role"))
+    down = edges.join(ids.select(F.col("id").alias("from_id")), "from_id", "left_semi").select(F.col("from_id").alias("id"), F.col("to_id").alias("other"), F.lit("callee").alias("role"))
+    return up.unionByName(down).distinct()
+
+
+def flow(edges: DataFrame, seeds: DataFrame, depth: int, children: int = 8) -> DataFrame:
+    """(id, parent, level, seen): calls from the seeds as a tree, level by level (G-5). Of each node at most `children` callees are
+    followed, the first by id; one that a level before had, or another parent of its level has first, is marked as seen and not
+    followed again."""
+    met = kept(seeds.select("id").distinct().withColumn("parent", F.lit(None).cast("string")).withColumn("level", F.lit(0)).withColumn("seen", F.lit(False)))
+    frontier, found = met, met
+    for level in range(1, min(max(depth, 1), 5) + 1):
+        step = edges.join(frontier.where("NOT seen").select(F.col("id").alias("from_id")), "from_id").select(F.col("from_id").alias("parent"), F.col("to_id").alias("id")).distinct()
+        step = step.withColumn("n", F.row_number().over(Window.partitionBy("parent").orderBy("id"))).where(F.col("n") <= children).drop("n")
+        known = found.select("id").distinct().withColumn("known", F.lit(True))
+        again = F.coalesce("known", F.lit(False)) | (F.row_number().over(Window.partitionBy("id").orderBy("parent")) > 1)
+        frontier = kept(step.join(known, "id", "left").select("id", "parent", F.lit(level).alias("level"), again.alias("seen")))
+        found = found.unionByName(frontier)
+    return found
+
+
+def neighbours(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id) of what is linked to any of the ids in either direction, without the ids themselves."""
+    return callers(edges, ids).union(callees(edges, ids)).distinct().join(ids, "id", "left_anti")
+
+
+def label(symbol: str = "name", owner: str = "owner", path: str = "path"):
+    """Owner.name and the file it is in, as views print a symbol."""
+    return F.concat(F.coalesce(F.concat(F.col(owner), F.lit(".")), F.lit("")), F.col(symbol), F.lit(" ("), F.substring_index(path, "/", -1), F.lit(")"))

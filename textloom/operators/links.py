@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 #: Words before a bracket that are no calls; modules that come with the runtime.
 NOT_CALLS = "if for while switch match return catch fn def function class sizeof typeof new await async else loop when with assert super this self LOGD LOGE LOGI LOGW".split()
-BUILTINS = "assert buffer child_process crypto dns events fs http https net os path process querystring readline stream timers tls tty url util v8 vm worker_threads zlib".split()
+BUILTINS = [
+    "assert", "async_hooks", "buffer", "child_process", "cluster", "console", "constants", "crypto", "dgram", "diagnostics_channel", "dns", "domain", "events",
+    "fs", "http", "http2", "https", "inspector", "module", "net", "os", "path", "perf_hooks", "process", "punycode", "querystring", "readline", "repl",
+    "stream", "string_decoder", "sys", "timers", "tls", "trace_events", "tty", "url", "util", "v8", "vm", "wasi", "worker_threads", "zlib",
+]
 
 
 def called(text: Column) -> Column:
@@ -23,11 +27,11 @@ def imported(line: Column) -> Column:
 
 
 def package_of(spec: Column, aliases: tuple = ("@", "~")) -> Column:
-    """The package of a specifier (X21): scope and name, or the first part; null for paths, urls, aliases and modules of the
-    runtime."""
+    """The package of a specifier (X21): scope and name, or the first part; null for paths, urls, aliases, modules of the
+    runtime, and what no package is named: blanks, braces, $ and *."""
     parts = F.split(spec, "/")
     name = F.when(F.startswith(spec, F.lit("@")) & (F.size(parts) > 1), F.concat_ws("/", F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))).otherwise(F.get(parts, F.lit(0)))
-    local = spec.rlike(r"^(\.|/|#|[a-z]+:)") | F.get(parts, F.lit(0)).isin(list(aliases)) | name.isin(BUILTINS) | (spec == "")
+    local = spec.rlike(r"^(\.|/|#|[a-z]+:)|[\s{}$*]") | F.get(parts, F.lit(0)).isin(list(aliases)) | name.isin(BUILTINS) | (spec == "")
     return F.when(~local, name)
 
 

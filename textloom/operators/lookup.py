@@ -100,3 +100,21 @@ def closest_line(probes: DataFrame, lines: DataFrame, least: float = 0.6) -> Dat
     score = met.groupBy("probe_id", "line_id", "n_p", "n_l").agg(F.sum(F.least("k_p", "k_l")).alias("common"))
     score = score.withColumn("dice", 2.0 * F.col("common") / (F.col("n_p") + F.col("n_l"))).where(F.col("dice") >= least)
     return score.groupBy("probe_id").agg(F.max(F.struct("dice", (-F.col("line_id")).alias("m"))).alias("x")).select("probe_id", (-F.col("x.m")).alias("line_id"), "x.dice")
+
+
+def switched(rows: DataFrame, asked: str, name: str = "name", owner: str = "owner", path: str = "path", key: str = "id", most: int = 8) -> DataFrame:
+    """(key, answer) of what was asked (F25, G-8): answer is one or many for rows of that name, the name as written before any case;
+    path for rows of a file or folder of that name; similar for at most eight names that hold it. No row is not found. A
+    class and its own constructor count as one. One pass gives each row its tier."""
+    q = asked.strip()
+    low = q.lower()
+    same = (F.col(name) == q) | F.endswith(F.concat_ws("/", path, name), F.lit("/" + q)) | (F.concat_ws(".", owner, name) == q)
+    there = (F.lower(path) == low) | F.endswith(F.lower(path), F.lit("/" + low)) | F.startswith(F.lower(path), F.lit(low.rstrip("/") + "/"))
+    found = tiers(rows, [same, F.lower(name) == low, there, F.contains(F.lower(name), F.lit(low))])
+    exact = found.where("tier <= 2")
+    things = exact.withColumn("_thing", F.when(F.col(owner) == F.col(name), F.col(owner)).otherwise(F.concat_ws(".", owner, name)))
+    n = things.agg(F.count_distinct("_thing", path).alias("_n"), F.lit(1).alias("_one"))
+    exact = exact.withColumn("_one", F.lit(1)).join(F.broadcast(n), "_one").select(key, F.when(F.col("_n") > 1, "many").otherwise("one").alias("answer"))  # one row
+    rest = found.where("tier = 3").select(key, F.lit("path").alias("answer"))
+    similar = found.where("tier = 4").orderBy(F.length(name), name, key).limit(most).select(key, F.lit("similar").alias("answer"))
+    return exact.unionByName(rest).unionByName(similar)

@@ -50,7 +50,7 @@ def parse_source_snippets(spark, sf_dir):
     ('core/sound.rs:Sound.rate_of', 'core/sound.rs:compute_rate'), ('srv/main.go:Server.Run', 'srv/main.go:listen_on')) v(from_name, to_name)"""
 )
 def resolve_fixture(spark, sf_dir):
-    return readable_edges(c.build(files(spark)))
+    return readable_edges(c.build(files(spark))).where("kind = 'CALLS'")
 
 
 @query("SELECT * FROM (VALUES ('app/Base.kt:Base.play', 'app/Player.kt:Player.play', 'DISPATCH')) v(from_name, to_name, kind)")
@@ -67,8 +67,47 @@ def incremental_equals_full(spark, sf_dir):
     """A refreshed index against one built anew: edges that only one of them has."""
     old = c.build(files(spark))
     after = spark.createDataFrame([(p, t, 2 if t != SNIPPETS.get(p) else 1, len(t)) for p, t in CHANGED.items()], "path string, content string, mtime long, size long")
-    inc, full = c.refresh(old, after)["edges"], c.build(after)["edges"]
+    calls = lambda index: index["edges"].where("kind = 'CALLS'")
+    inc, full = calls(c.refresh(old, after)), calls(c.build(after))
     side = lambda df, n: df.select("from_id", "to_id", F.lit(n).alias("side"))
     both = side(full, 1).union(side(inc, 2)).groupBy("from_id", "to_id").agg(F.sum("side").alias("s"))
     count = lambda k: F.count_if(F.col("s") == k).cast("int")
     return both.agg(count(1).alias("only_full"), count(2).alias("only_incremental"), count(3).alias("edges"))
+
+
+#: More languages, and a signature over several lines.
+MORE = {
+    "net/Room.cs": "public class Room\n{\n    public int Size { get; }\n    public Room(int n)\n    {\n        Fill(n);\n    }\n    private void Fill(int n)\n    {\n    }\n}\n",
+    "ui/page.dart": "class Page {\n  void build(int x) {\n    paintAll(x);\n  }\n}\n\nvoid paintAll(int x) {\n}\n",
+    "ios/Feed.swift": "class Feed {\n    func load(\n        id: Int,\n        more: Bool\n    ) {\n        refresh(id)\n    }\n    func refresh(_ id: Int) {\n    }\n}\n",
+    "jni/Base.cpp": "int Java_app_Base_nativeOpen(int env) {\n    return 0;\n}\n",
+}
+
+
+@query(
+    """SELECT * FROM (VALUES ('net/Room.cs', 'Room', NULL, 'class', 1, 11), ('net/Room.cs', 'Size', 'Room', 'method', 3, 3), ('net/Room.cs', 'Fill', 'Room', 'method', 8, 10),
+    ('ui/page.dart', 'Page', NULL, 'class', 1, 5), ('ui/page.dart', 'build', 'Page', 'method', 2, 4), ('ui/page.dart', 'paintAll', NULL, 'function', 7, 8),
+    ('ios/Feed.swift', 'Feed', NULL, 'class', 1, 10), ('ios/Feed.swift', 'load', 'Feed', 'method', 2, 7), ('ios/Feed.swift', 'refresh', 'Feed', 'method', 8, 9),
+    ('jni/Base.cpp', 'Java_app_Base_nativeOpen', NULL, 'function', 1, 3)) v(path, name, owner, kind, start_line, end_line)"""
+)
+def parse_more_languages(spark, sf_dir):
+    """C#, Dart, Swift and C; the constructor has its class's name and owner, so it is not asked for here."""
+    found = c.symbols(files(spark, MORE))[0]
+    return found.where("owner IS NULL OR owner <> name").select("path", "name", "owner", "kind", "start_line", "end_line")
+
+
+@query("SELECT * FROM (VALUES ('app/Base.kt:Base.nativeOpen', 'jni/Base.cpp:Java_app_Base_nativeOpen', 'CALLS'), ('app/Base.kt:Base.play', 'app/Player.kt:Player.play', 'DISPATCH'), ('app/Base.kt:Base', 'app/Base.kt:Base.play', 'DEFINES'), ('app/Base.kt:Base', 'app/Base.kt:Base.nativeOpen', 'DEFINES'), ('file:app/Base.kt', 'app/Base.kt:Base', 'DEFINES')) v(from_name, to_name, kind)")
+def full_graph_fixture(spark, sf_dir):
+    """Edges of all kinds that start at one file: the bridge to native code, dispatch to an override, and what is defined."""
+    graph = c.with_definitions(c.build(files(spark, SNIPPETS | MORE)))
+    return graph.where(F.startswith("from_name", F.lit("app/Base.kt")) | (F.col("from_name") == "file:app/Base.kt"))
+
+
+@query("SELECT * FROM (VALUES ('ios/Feed.swift', 'load', 'func load( id: Int, more: Bool )', 'id: Int, more: Bool'), ('ios/Feed.swift', 'refresh', 'func refresh(_ id: Int)', '_ id: Int')) v(path, name, signature, params)")
+def multi_line_signatures(spark, sf_dir):
+    from ..operators import signatures as g
+    from ..sources.tables import lines
+
+    source = files(spark, MORE)
+    found = g.gathered(c.symbols(source)[0].where("kind = 'method' AND path LIKE '%.swift'"), lines(source.select("path", "content"), "content"))
+    return found.select("path", "name", "signature", g.parameters(F.col("signature")).alias("params"))
