@@ -47,20 +47,19 @@ def words(text: Column) -> Column:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components: (node, label), label the smallest node of the component.
 
-    Each round takes the smallest label among a node, its neighbours and its label's label, so long chains
-    shorten by doubling. Hubs are safe: rows meet in joins that Spark can split and in pre-aggregated minima. A
-    round's table goes when the next is written.
+    Edges are contracted by turns to the smallest node around their lower end and around their upper end, until every
+    component is a star, which takes a few rounds even for long chains; there are never more edges than at first and
+    nodes. Hubs are safe: a round joins edges with one minimum per node, which Spark can split, and minima are pre-aggregated.
+    What a round does not pass on goes at its end.
     """
-    with workspace(edges.sparkSession) as keep:
-        both = cut(edges.select(F.col(a).alias("node"), F.col(b).alias("peer")).union(edges.select(b, a)).where("node <> peer").groupBy("node", "peer").agg(F.count("*").alias("n")).drop("n"))
-        labels = cut(both.groupBy("node").agg(F.min("peer").alias("m")).select("node", F.least("node", "m").alias("label")))
-        while True:
-            around = both.join(labels.withColumnRenamed("node", "peer"), "peer").groupBy("node").agg(F.min("label").alias("near"))
-            jump = labels.select(F.col("node").alias("label"), F.col("label").alias("jumped"))
-            step = labels.join(around, "node").join(jump, "label", "left")
-            step = cut(step.select("node", F.least("label", "near", F.coalesce("jumped", "label")).alias("new"), "label"))
-            changed = step.where("new <> label").limit(1).count()
-            labels = step.select("node", F.col("new").alias("label"))
-            if not changed:
-                keep(step)
-                return labels
+    star = cut(edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo").distinct())
+    while True:
+        with workspace(edges.sparkSession) as keep:
+            around = star.select(F.col("lo").alias("u"), F.col("lo").alias("v")).unionByName(star.select(F.col("hi").alias("u"), F.col("lo").alias("v"))).groupBy("u").agg(F.min("v").alias("m"))
+            large = cut(star.join(around, F.col("lo") == F.col("u")).select("hi", F.col("m").alias("lo")).distinct())
+            least = large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
+            inner = large.join(least, F.col("hi") == F.col("u")).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+            star = keep(cut(inner.unionByName(least.select(F.col("u").alias("hi"), F.col("m").alias("lo"))).distinct()))
+        several = star.groupBy("hi").agg(F.count("*").alias("n")).where("n > 1").select("hi")
+        if several.unionByName(star.join(star.select(F.col("hi").alias("lo")), "lo", "left_semi").select("hi")).isEmpty():
+            return star.select(F.col("hi").alias("node"), F.col("lo").alias("label")).unionByName(star.select(F.col("lo").alias("node"), F.col("lo").alias("label")).distinct())
