@@ -84,9 +84,9 @@ def suffix_join(natives: DataFrame, functions: DataFrame) -> DataFrame:
     return met
 
 
-def closest_line(probes: DataFrame, lines: DataFrame, least: float = 0.6) -> DataFrame:
+def closest_line(probes: DataFrame, lines: DataFrame, least: float = 0.6, others: bool = False) -> DataFrame:
     """For each probe (probe_id, probe) the line (line_id, line) that resembles it most (A29, T11): Dice of the bigrams, of
-    lines from half to twice its length, at least `least`; the first among equals. Bigrams meet in a join, so only
+    lines from half to twice its length, at least `least`; the first among equals. With others, a line of the probe's id is not its own. Bigrams meet in a join, so only
     lines that share one are scored."""
     from ..functions.text import bigrams
 
@@ -97,6 +97,7 @@ def closest_line(probes: DataFrame, lines: DataFrame, least: float = 0.6) -> Dat
 
     a, b = counted(probes, "probe_id", "probe", "p"), counted(lines, "line_id", "line", "l")
     met = a.join(b, "gram").where("len_l >= 0.5 * len_p AND len_l <= 2 * len_p")
+    met = met.where("probe_id <> line_id") if others else met
     score = met.groupBy("probe_id", "line_id", "n_p", "n_l").agg(F.sum(F.least("k_p", "k_l")).alias("common"))
     score = score.withColumn("dice", 2.0 * F.col("common") / (F.col("n_p") + F.col("n_l"))).where(F.col("dice") >= least)
     return score.groupBy("probe_id").agg(F.max(F.struct("dice", (-F.col("line_id")).alias("m"))).alias("x")).select("probe_id", (-F.col("x.m")).alias("line_id"), "x.dice")

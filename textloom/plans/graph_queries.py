@@ -65,14 +65,15 @@ def closest_name_levenshtein(spark, sf_dir):
     r"""WITH c AS (SELECT item_id, lower(regexp_replace(text, '\s', '', 'g')) AS t, length(text) AS n FROM benchmark),
     g AS (SELECT item_id, n, length(t) - 1 AS m, substr(t, i, 2) AS gram FROM (SELECT *, unnest(range(1, length(t))) AS i FROM c)),
     k AS (SELECT item_id, n, m, gram, count(*) AS k FROM g GROUP BY ALL),
-    s AS (SELECT a.item_id AS probe_id, b.item_id AS line_id, 2.0 * sum(least(a.k, b.k)) / (a.m + b.m) AS dice FROM k a JOIN k b ON a.gram = b.gram AND a.item_id % 2 = 0 AND b.item_id % 2 = 1
+    s AS (SELECT a.item_id AS probe_id, b.item_id AS line_id, 2.0 * sum(least(a.k, b.k)) / (a.m + b.m) AS dice FROM k a JOIN k b ON a.gram = b.gram AND a.item_id <> b.item_id
       WHERE b.n >= 0.5 * a.n AND b.n <= 2 * a.n GROUP BY a.item_id, b.item_id, a.m, b.m)
     SELECT probe_id, line_id, dice FROM (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY dice DESC, line_id) AS r FROM s WHERE dice >= 0.6) WHERE r = 1"""
 )
 def closest_line_dice(spark, sf_dir):
+    """Of each benchmark item the other item that resembles it most."""
     items = load(spark, sf_dir, "benchmark")
-    probes = items.where("item_id % 2 = 0").select(F.col("item_id").alias("probe_id"), F.col("text").alias("probe"))
-    return k.closest_line(probes, items.where("item_id % 2 = 1").select(F.col("item_id").alias("line_id"), F.col("text").alias("line")))
+    probes = items.select(F.col("item_id").alias("probe_id"), F.col("text").alias("probe"))
+    return k.closest_line(probes, items.select(F.col("item_id").alias("line_id"), F.col("text").alias("line")), others=True)
 
 
 def edges(spark, sf_dir):
@@ -92,9 +93,9 @@ _EDGES = """WITH RECURSIVE raw AS (
   edges AS (SELECT from_id, to_id, min(kind) AS kind FROM raw GROUP BY from_id, to_id)"""
 
 
-@query(_EDGES + " SELECT from_id, to_id, kind FROM edges WHERE from_id LIKE 's:%'")
+@query(_EDGES + " SELECT from_id, to_id, kind FROM edges")
 def call_edges(spark, sf_dir):
-    return edges(spark, sf_dir).where(F.startswith("from_id", F.lit("s:")))
+    return edges(spark, sf_dir)
 
 
 def _seed(spark, *ids):
@@ -221,3 +222,43 @@ def suffix_theta_join(spark, sf_dir):
     natives = spark.createDataFrame([(1, "UsbBridge", "open"), (2, "UsbBridge", "read_all"), (3, "Other", "none")], "id int, owner string, name string")
     functions = [(11, "Java_org_x_UsbBridge_open", False), (12, "Java_org_x_UsbBridge_open", True), (13, "Java_org_x_UsbBridge_read_1all__I", True), (14, "UsbBridge", True)]
     return k.suffix_join(natives, spark.createDataFrame(functions, "id int, name string, has_body boolean"))
+
+
+@query(_EDGES + " SELECT to_id AS id, from_id AS other, 'caller' AS role FROM edges WHERE to_id IN ('p:3', 'o:7') UNION SELECT from_id, to_id, 'callee' FROM edges WHERE from_id IN ('p:3', 'o:7')")
+def symbol_card(spark, sf_dir):
+    return g.card(edges(spark, sf_dir), _seed(spark, "p:3", "o:7"))
+
+
+@query(_EDGES + " SELECT id FROM (SELECT from_id AS id FROM edges WHERE to_id IN ('p:3', 's:1') UNION SELECT to_id FROM edges WHERE from_id IN ('p:3', 's:1')) WHERE id NOT IN ('p:3', 's:1')")
+def neighbours_without_self(spark, sf_dir):
+    return g.neighbours(edges(spark, sf_dir), _seed(spark, "p:3", "s:1"))
+
+
+@query(
+    _EDGES
+    + """, e AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY to_id) AS n FROM edges), k AS (SELECT from_id, to_id FROM e WHERE n <= 8),
+    l1 AS (SELECT to_id AS id, from_id AS parent, 1 AS level, FALSE AS seen FROM k WHERE from_id = 's:1'),
+    l2 AS (SELECT to_id AS id, from_id AS parent, 2 AS level, row_number() OVER (PARTITION BY to_id ORDER BY from_id) > 1 AS seen FROM k WHERE from_id IN (SELECT id FROM l1)),
+    l3 AS (SELECT to_id AS id, from_id AS parent, 3 AS level, row_number() OVER (PARTITION BY to_id ORDER BY from_id) > 1 AS seen FROM k WHERE from_id IN (SELECT id FROM l2 WHERE NOT seen))
+    SELECT 's:1' AS id, NULL AS parent, 0 AS level, FALSE AS seen UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3"""
+)
+def call_flow(spark, sf_dir):
+    """Supplier 1, its parts, their orders and customers, at most eight of each."""
+    return g.flow(kept(edges(spark, sf_dir)), _seed(spark, "s:1"), 3)
+
+
+@query(_NAMED + """, q AS (SELECT id, CASE WHEN name = 'red plate' THEN 1 WHEN lower(name) = 'red plate' THEN 2 END AS t FROM named)
+    SELECT 'red plate' AS q, id, 'many' AS answer FROM q WHERE t = (SELECT min(t) FROM q) UNION ALL
+    SELECT 'Supplier#000000003', id, 'one' FROM named WHERE name = 'Supplier#000000003' UNION ALL
+    SELECT 'p/brand#2', id, 'path' FROM named WHERE starts_with(lower(path), 'p/brand#2/') UNION ALL
+    SELECT * FROM (SELECT '#00000001', id, 'similar' FROM named WHERE contains(lower(name), '#00000001') ORDER BY length(name), name, id LIMIT 8)""")
+def lookup_switch(spark, sf_dir):
+    """Four questions: several of one name, one of it, a folder, and a part of a name."""
+    rows = named(spark, sf_dir)
+    found = [k.switched(rows, q).select(F.lit(q).alias("q"), "id", "answer") for q in ("red plate", "Supplier#000000003", "p/brand#2", "#00000001")]
+    return found[0].union(found[1]).union(found[2]).union(found[3])
+
+
+@query(_NAMED + "SELECT id, owner || '.' || name || ' (x)' AS label FROM named")
+def symbol_label(spark, sf_dir):
+    return named(spark, sf_dir).select("id", g.label().alias("label"))

@@ -99,13 +99,13 @@ def crash_lookahead(spark, sf_dir):
 
 
 @query(
-    """WITH steps AS (SELECT o_orderkey AS step_id, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (o_orderkey * 7) AS start, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (o_orderkey * 7 + 9) AS fin FROM orders WHERE o_orderkey < 100)
+    """WITH steps AS (SELECT o_orderkey AS step_id, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (o_orderkey * 7) AS start, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (o_orderkey * 7 + 9) AS fin FROM orders)
     SELECT event_id, step_id FROM events JOIN steps ON ts >= start AND ts < fin"""
 )
 def step_attribution(spark, sf_dir):
     hour = lambda h: F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01").cast("timestamp")) + 3600 * h)
     key = F.col("o_orderkey")
-    steps = load(spark, sf_dir, "orders").where("o_orderkey < 100").select(key.alias("step_id"), hour(key * 7).alias("start"), hour(key * 7 + 9).alias("end"))
+    steps = load(spark, sf_dir, "orders").select(key.alias("step_id"), hour(key * 7).alias("start"), hour(key * 7 + 9).alias("end"))
     return g.attributed(load(spark, sf_dir, "events"), steps)
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.patterns import ERRORS_PATTERN, FLAGS, search_pattern
 from ..operators import search as s
+from ..operators import text_index as ti
+from ..operators.storage import kept, shared_folder
 from ..sources.tables import LINES_SQL, load
 from .registry import query
 
@@ -98,22 +102,62 @@ def search_context_blocks(spark, sf_dir):
 
 @query(LINES_SQL + r"SELECT doc_id, line, line_text FROM lines WHERE regexp_matches(line_text, 'worthle.*|clown', 'i')")
 def search_indexed(spark, sf_dir):
+    """The index of a table is written once in a session, and read by every search after it."""
+    docs = _docs(spark, sf_dir)
+    return s.indexed_hits(docs, spark.read.parquet(written_index(spark, sf_dir)), search_pattern(["worthle.*|clown"]), "doc_id")
+
+
+_written: dict[tuple[str, str], str] = {}
+
+
+def written_index(spark, sf_dir):
+    made = (spark.sparkContext.applicationId, sf_dir)
+    if made not in _written:
+        path = f"{shared_folder(spark)}/grams-{uuid.uuid4().hex}"
+        s.write_gram_index(_docs(spark, sf_dir), path, "doc_id")
+        _written[made] = path
+    return _written[made]
+
+
+def files_of(docs, changed=0):
+    """Documents as files; with changed, every so many-th has a new first line and a later mtime."""
+    touched = (F.col("doc_id") % changed == 0) if changed else F.lit(False)
+    text = F.when(touched, F.concat(F.lit("clown\n"), "text")).otherwise(F.col("text"))
+    return docs.select(F.concat(F.lit("d/"), "doc_id").alias("path"), F.when(touched, 2).otherwise(1).cast("long").alias("mtime"), F.length(text).cast("long").alias("size"), text.alias("content"))
+
+
+@query(
+    LINES_SQL.replace("FROM documents", "FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'clown' || chr(10) || text ELSE text END AS text FROM documents WHERE doc_id % 7 <> 3)")
+    + r"SELECT 'd/' || doc_id AS path, line, line_text FROM lines WHERE regexp_matches(line_text, 'worthle.*|clown', 'i')"
+)
+def search_after_changes(spark, sf_dir):
+    """An index of all documents, after which every tenth changed and every seventh went: a search reads what the index does not know."""
+    docs = _docs(spark, sf_dir)
+    before = files_of(docs)
+    index = {"files": kept(before.select("path", "mtime", "size", F.lit(False).alias("binary"))), "grams": spark.read.parquet(written_index(spark, sf_dir)).select("gram", F.concat(F.lit("d/"), "doc_id").alias("path"))}
+    now = files_of(docs.where("doc_id % 7 <> 3"), 10)
+    return ti.search(index, now, search_pattern(["worthle.*|clown"]))
+
+
+@query("SELECT CASE WHEN doc_id % 7 = 3 THEN 'gone' WHEN doc_id % 10 = 0 THEN 'stale' ELSE 'fresh' END AS state, count(*) AS n FROM documents GROUP BY 1")
+def text_index_plan(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    return s.indexed_hits(docs, s.gram_index(docs, "doc_id"), search_pattern(["worthle.*|clown"]), "doc_id")
+    known = files_of(docs).select("path", "mtime", "size", F.lit(False).alias("binary"))
+    return ti.plan({"files": known}, files_of(docs.where("doc_id % 7 <> 3"), 10)).groupBy("state").agg(F.count("*").alias("n"))
 
 
-_GRAMS = r"""WITH g AS (SELECT DISTINCT item_id, substr(lower(text), i, 3) AS gram FROM (
-  SELECT item_id, text, unnest(range(1, length(text) - 1)) AS i FROM benchmark)), ok AS (SELECT * FROM g WHERE NOT regexp_matches(gram, '[\n\r]')) """
+_GRAMS = r"""WITH g AS (SELECT DISTINCT doc_id, substr(lower(text), i, 3) AS gram FROM (
+  SELECT doc_id, text, unnest(range(1, length(text) - 1)) AS i FROM documents)), ok AS (SELECT * FROM g WHERE NOT regexp_matches(gram, '[\n\r]')) """
 
 
 @query(_GRAMS + "SELECT gram, count(*) AS n FROM ok GROUP BY gram")
 def gram_index(spark, sf_dir):
-    return s.gram_index(load(spark, sf_dir, "benchmark"), "item_id").groupBy("gram").agg(F.count("*").alias("n"))
+    return s.gram_index(_docs(spark, sf_dir), "doc_id").groupBy("gram").agg(F.count("*").alias("n"))
 
 
-@query(_GRAMS + "SELECT item_id FROM ok WHERE gram IN ('tio', 'ion') GROUP BY item_id HAVING count(*) = 2 UNION SELECT item_id FROM ok WHERE gram IN ('nth', 'the') GROUP BY item_id HAVING count(*) = 2")
+@query(_GRAMS + "SELECT doc_id FROM ok WHERE gram IN ('tio', 'ion') GROUP BY doc_id HAVING count(*) = 2 UNION SELECT doc_id FROM ok WHERE gram IN ('nth', 'the') GROUP BY doc_id HAVING count(*) = 2")
 def gram_candidates(spark, sf_dir):
-    return s.candidates(s.gram_index(load(spark, sf_dir, "benchmark"), "item_id"), ["tion", "nthe"], "item_id")
+    return s.candidates(s.gram_index(_docs(spark, sf_dir), "doc_id"), ["tion", "nthe"], "doc_id")
 
 
 @query(r"SELECT conv_id, turn, role, text FROM conversations WHERE regexp_matches(text, 'tion', 'i') AND NOT regexp_matches(text, 'The')")

@@ -18,25 +18,25 @@ def _docs(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-@query(LINES_SQL + "SELECT doc_id, count(*) AS n_lines, CAST(max(length(line_text)) AS BIGINT) AS longest FROM lines GROUP BY doc_id")
+@query(LINES_SQL + "SELECT d.doc_id, count(line) AS n_lines, CAST(coalesce(max(length(line_text)), 0) AS BIGINT) AS longest FROM documents d LEFT JOIN lines l ON l.doc_id = d.doc_id GROUP BY d.doc_id")
 def line_stats(spark, sf_dir):
     t = F.col("text")
     longest = F.array_max(F.transform(F.split(t, "\n"), lambda s: F.length(s)))
-    return _docs(spark, sf_dir).where("text <> ''").select("doc_id", x.line_count(t).cast("long").alias("n_lines"), longest.cast("long").alias("longest"))
+    return _docs(spark, sf_dir).select("doc_id", x.line_count(t).cast("long").alias("n_lines"), longest.cast("long").alias("longest"))
 
 
-@query("SELECT doc_id, doc_id % 2 = 0 AS equal, doc_id % 3 = 0 AS crlf FROM documents WHERE contains(text, chr(10)) AND NOT contains(text, chr(13))")
+@query("SELECT doc_id, doc_id % 2 = 0 AS equal, doc_id % 3 = 0 AND contains(text, chr(10)) AS crlf FROM documents")
 def eol_normalised_equal(spark, sf_dir):
     """Each document against a copy: even ones with carriage returns added, odd ones with a mark as well."""
-    docs = _docs(spark, sf_dir).where(F.contains("text", F.lit("\n")) & ~F.contains("text", F.lit("\r")))
+    docs = _docs(spark, sf_dir)
     crlf = F.replace(F.col("text"), F.lit("\n"), F.lit("\r\n"))
     copy = F.when(F.col("doc_id") % 2 == 0, crlf).otherwise(F.concat(crlf, F.lit("!")))
     return docs.select("doc_id", (x.without_returns(F.col("text")) == x.without_returns(copy)).alias("equal"), x.is_crlf(F.when(F.col("doc_id") % 3 == 0, crlf).otherwise(F.col("text"))).alias("crlf"))
 
 
-@query(LINES_SQL + "SELECT doc_id, line, CASE WHEN length(line_text) > 240 THEN substr(line_text, 1, 240) || '...' ELSE line_text END AS clipped FROM lines WHERE line <= 3")
+@query(LINES_SQL + "SELECT doc_id, line, CASE WHEN length(line_text) > 240 THEN substr(line_text, 1, 240) || '...' ELSE line_text END AS clipped FROM lines")
 def clip_lines(spark, sf_dir):
-    return lines(_docs(spark, sf_dir)).where("line <= 3").select("doc_id", "line", x.clip(F.col("line_text")).alias("clipped"))
+    return lines(_docs(spark, sf_dir)).select("doc_id", "line", x.clip(F.col("line_text")).alias("clipped"))
 
 
 @query(LINES_SQL + "SELECT doc_id, line, line_text FROM lines WHERE line BETWEEN 5 AND 9")
@@ -57,10 +57,10 @@ def heading_outline(spark, sf_dir):
     return outline(heads, "page_id", "pos")
 
 
-@query(LINES_SQL + "SELECT doc_id, line, sum(CASE WHEN line_text LIKE '%|%' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) % 2 = 1 AS inside FROM lines WHERE doc_id % 5 = 0")
+@query(LINES_SQL + "SELECT doc_id, line, sum(CASE WHEN line_text LIKE '%|%' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) % 2 = 1 AS inside FROM lines")
 def fence_parity(spark, sf_dir):
     """Lines inside fences; lines with a bar stand for fences here."""
-    rows = lines(_docs(spark, sf_dir).where("doc_id % 5 = 0"))
+    rows = lines(_docs(spark, sf_dir))
     return fences(rows, "doc_id", F.contains("line_text", F.lit("|"))).select("doc_id", "line", "inside")
 
 
@@ -87,12 +87,11 @@ def patch_strategy(spark, sf_dir):
 
 
 @query(
-    """SELECT status, count(*) AS n FROM (SELECT CASE WHEN k = 0 THEN 'not_found' WHEN k > 1 THEN 'ambiguous' ELSE 'ok' END AS status FROM (
-    SELECT (length(text) - length(replace(text, ' with ', ''))) // 6 AS k, contains(text, 'with') AS t, (length(text) - length(replace(text, 'with', ''))) // 4 AS w FROM documents) WHERE k > 0 OR NOT t) GROUP BY status"""
+    """SELECT status, count(*) AS n FROM (SELECT CASE WHEN m = 0 THEN 'not_found' WHEN m > 1 THEN 'ambiguous' ELSE 'ok' END AS status FROM (SELECT CASE WHEN k > 0 THEN k ELSE w END AS m FROM (
+    SELECT (length(text) - length(replace(text, ' with ', ''))) // 6 AS k, (length(text) - length(replace(text, 'with', ''))) // 4 AS w FROM documents))) GROUP BY status"""
 )
 def ambiguity_status(spark, sf_dir):
-    docs = _docs(spark, sf_dir).where(F.contains("text", F.lit(" with ")) | ~F.contains("text", F.lit("with")))
-    return e.patch(docs, " with ", " WITH ", text="text").groupBy("status").agg(F.count("*").alias("n"))
+    return e.patch(_docs(spark, sf_dir), " with ", " WITH ", text="text").groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -156,3 +155,65 @@ def bounded_by_next(spark, sf_dir):
     w = Window.partitionBy("l_orderkey")
     rows = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
     return rows.withColumn("last_line", F.max("l_linenumber").over(w)).withColumn("end_line", F.lead("l_linenumber").over(w.orderBy("l_linenumber")) - 1)
+
+
+@query(
+    LINES_SQL.replace("FROM documents", "FROM (SELECT doc_id, CASE WHEN contains(text, ' the ') THEN text END AS text FROM documents)")
+    + """, n AS (SELECT doc_id, line, (length(line_text) - length(replace(line_text, ' the ', ''))) // 5 AS k FROM lines)
+    SELECT doc_id, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS lines FROM (SELECT doc_id, line, unnest(range(0, k)) FROM n WHERE k > 0) GROUP BY doc_id"""
+)
+def match_lines(spark, sf_dir):
+    """The line of every occurrence of a word in documents that have it."""
+    docs = _docs(spark, sf_dir).where(F.contains("text", F.lit(" the ")))
+    return docs.select("doc_id", F.array_join(e.match_lines(F.col("text"), " the "), ",").alias("lines"))
+
+
+@query(
+    """WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS r, string_split(replace(text, ' the ', ' THE '), chr(10)) AS q FROM documents WHERE contains(text, ' the ')),
+    f AS (SELECT *, list_position(list_transform(r, lambda x: contains(x, ' the ')), TRUE) AS k FROM p)
+    SELECT doc_id, array_to_string(list_slice(r, greatest(k - 1, 1), k + 1), chr(10)) AS before, array_to_string(list_slice(q, greatest(k - 1, 1), k + 1), chr(10)) AS after FROM f"""
+)
+def edit_preview(spark, sf_dir):
+    return e.preview(_docs(spark, sf_dir), " the ", " THE ", "text").select("doc_id", "before", "after")
+
+
+@query(
+    """WITH d AS (SELECT doc_id, text, contains(text, ' and ') AND (length(text) - length(replace(text, ' and ', ''))) = 5 AS one, contains(text, '.') AND length(text) - length(replace(text, '.', '')) = 1 AS dot FROM documents)
+    SELECT doc_id, CAST(CASE WHEN one AND dot THEN 2 WHEN one THEN 1 ELSE 0 END AS INTEGER) AS applied, CASE WHEN one AND dot THEN NULL WHEN one THEN 2 ELSE 1 END AS failed_at,
+    CASE WHEN one AND dot THEN replace(replace(text, ' and ', ' AND '), '.', '!') WHEN one THEN replace(text, ' and ', ' AND ') ELSE text END AS result FROM d"""
+)
+def edits_in_turn(spark, sf_dir):
+    """Two edits of each document; what comes behind one that fails is left out."""
+    files = _docs(spark, sf_dir).select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    blocks = files.select("path", F.explode(F.array(F.struct(F.lit(1).alias("ord"), F.lit(" and ").alias("old"), F.lit(" AND ").alias("new")), F.struct(F.lit(2).alias("ord"), F.lit(".").alias("old"), F.lit("!").alias("new")))).alias("b")).select("path", "b.*")
+    return e.apply_in_turn(files, blocks).withColumnRenamed("path", "doc_id")
+
+
+@query("SELECT * FROM (VALUES ('a.txt', 2, 'the quick brown fox', true), ('b.txt', 1, 'the quick brown f', false)) v(path, line, line_text, mixed)")
+def edit_hints(spark, sf_dir):
+    files = spark.createDataFrame([("a.txt", "x\r\nthe quick brown fox\nz"), ("b.txt", "the quick brown f"), ("c.txt", "nothing like it at all"), ("d.txt", "the quick brown fax")], "path string, content string")
+    return e.hints(files, "the quick brown fax\nnext").where("dice < 1").select("path", "line", "line_text", "mixed")
+
+
+@query(
+    """SELECT 'c/' || doc_id AS path, text AS content FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT 'd/' || doc_id, CASE WHEN doc_id % 5 = 0 THEN 'new' WHEN doc_id % 7 = 0 THEN text || CASE WHEN text = '' OR suffix(text, chr(10)) THEN '' ELSE chr(10) END || 'end' ELSE text END
+    FROM documents WHERE doc_id % 3 <> 0"""
+)
+def file_catalogue(spark, sf_dir):
+    """Documents as files: a third moves to another folder, every fifth is written anew, every seventh of the rest gets a line more."""
+    docs = _docs(spark, sf_dir)
+    name = lambda folder: F.concat(F.lit(folder + "/"), "doc_id").alias("path")
+    files = docs.select(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("a/"), "doc_id")).otherwise(name("d")).alias("path"), F.col("text").alias("content"))
+    files = e.moved_to(files, "a", "c")
+    files = e.put(files, docs.where("doc_id % 3 <> 0 AND doc_id % 5 = 0").select(name("d"), F.lit("new").alias("content")))
+    files = e.appended(files, docs.where("doc_id % 3 <> 0 AND doc_id % 5 <> 0 AND doc_id % 7 = 0").select(name("d"), F.lit("end").alias("content")))
+    files = e.put(files, docs.limit(0).select(name("d"), F.col("text").alias("content")), only_new=True)
+    return e.without(files.unionByName(spark.createDataFrame([("gone/x", "y")], "path string, content string")), "gone")
+
+
+@query("SELECT doc_id, (length(text) - length(replace(text, chr(10), ''))) AS crlf, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS lf FROM documents")
+def break_counts(spark, sf_dir):
+    """Documents with carriage returns added, even ones with one more line feed alone."""
+    text = F.concat(F.replace(F.col("text"), F.lit("\n"), F.lit("\r\n")), F.when(F.col("doc_id") % 2 == 0, "\n").otherwise(""))
+    counts = x.break_counts(text)
+    return _docs(spark, sf_dir).select("doc_id", counts["crlf"].cast("long").alias("crlf"), counts["lf"].cast("int").alias("lf"))
