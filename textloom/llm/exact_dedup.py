@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE_CHARS, cut
@@ -27,10 +27,11 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", heavy:
 
     A Misra-Gries summary (Spark's approx_top_k, a frequent-items sketch of that family) names the digests
     that may be frequent. Their exact counts and winners come from a pre-aggregated pass; they are broadcast
-    and their rows settle in the map, without a shuffle. The other digests are shuffled and ranked.
+    and their rows settle in the map, without a shuffle. The other digests are shuffled: they are counted and ranked with
+    reduction in the map as well and joined back, so no task holds a group, however many rows one not named may have.
 
-    Null and empty texts form one group. Repeated rows with the same key count as separate members, of
-    which one is kept. No rows give no rows. Other columns of docs are ignored.
+    Null and empty texts form one group; very long texts are digested whole. Repeated rows with the same key count as
+    separate members, of which one is kept. No rows give no rows. Other columns of docs, whatever their names, are ignored.
     """
     prints = cut(
         docs.select(
@@ -52,9 +53,9 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", heavy:
     settled = marked.where("best IS NOT NULL").select(
         "key", F.col("best.key").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "digest"
     )
-    group = Window.partitionBy("digest")
-    rest = marked.where("best IS NULL").select("key", "n_chars", "digest", "row").withColumn("best", F.min(rank).over(group))
-    rest = rest.select("key", F.col("best.key").alias("keep_id"), F.count("*").over(group).alias("group_size"), (F.col("row") == F.col("best.row")).alias("kept"), "digest")
+    others = marked.where("best IS NULL").select("key", "n_chars", "digest", "row")
+    groups = others.groupBy("digest").agg(F.count("*").alias("group_size"), F.min(rank).alias("best"))
+    rest = others.join(groups, "digest").select("key", F.col("best.key").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "digest")
     return settled.unionByName(rest).select(
         F.col("key").alias(key), "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.col("digest").alias("text_sha256")
     )
