@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents.
+
+Every stage judges rows by their own text. Null and repeated doc_ids, null and empty texts, repeated rows and texts of any
+length are rows like others; other columns, whatever their names, are carried along. No documents, labels or benchmark
+items give a stage nothing to drop: without labels every document has the score 0.5 and stays, without items none leaks.
+Of equal documents the smallest doc_id stays (null is the largest), of rows of one doc_id and class one; the mix of no words is empty.
 """
 
 from __future__ import annotations
@@ -49,8 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents. What a stage wrote for itself is deleted when its result is written, and the results of
+    stages when the last is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = common.cut(stage(spark, docs, sf_dir))
-    return docs
+    with common.workspace(spark) as keep_last:
+        for _, stage in STAGES:
+            with common.workspace(spark) as keep:
+                docs = keep(common.cut(stage(spark, docs, sf_dir)))
+        return keep_last(docs)
