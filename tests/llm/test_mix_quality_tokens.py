@@ -112,6 +112,42 @@ def test_quality_learns_and_leaves_held_out_labels(spark, docs):
     assert q.score(docs([]), labels).count() == 0
 
 
+def test_compiled_rules_equal_rules_in_python(spark, docs):
+    """The statistics of texts by plain Python, and the score by walking the rules, are those of the columns."""
+    import math
+    import re
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcXY 12.,!|#\n ") for _ in range(rng.randint(0, 120))) for _ in range(60)] + [None, "", "the the cat", "a | b |", "é É x"]
+    df = docs(list(enumerate(texts)))
+    rows, names = q.with_statistics(df.select("doc_id", "text"), "text")
+
+    def stats(t):
+        t = t or ""
+        ws = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if x.strip(" ")]
+        over = lambda part, whole: part / whole if whole else 0.0
+        return {
+            "log_chars": math.log1p(len(t)), "log_words": math.log1p(len(ws)), "word_length": over(sum(map(len, ws)), len(ws)), "upper": over(sum(c.isupper() for c in t), len(t)),
+            "symbols": over(sum(c in "#$%&*|<>{}=_~^@\\/+!" for c in t), len(t)), "marks": over(sum(c in ".,;:?" for c in t), len(t)), "digits": over(sum(c in "0123456789" for c in t), len(t)),
+            "bars": over(ws.count("|"), len(ws)), "odd_ends": over(sum(w[-1] in "!#$%&*|<>=+~^_" for w in ws), len(ws)), "distinct_words": over(len(set(ws)), len(ws)),
+            "short_words": over(sum(len(w) <= 3 for w in ws), len(ws)), "distinct_lines": over(len(set(lines)), len(lines)), "line_words": over(len(ws), len(lines)),
+        }
+
+    found = {r["doc_id"]: r.asDict() for r in rows.drop("text").collect()}
+    for i, t in enumerate(texts):
+        for k, v in stats(t).items():
+            assert abs(found[i][f"s_{k}"] - v) < 1e-9, (k, t)
+    label = {i: int(v["s_upper"] < 0.1) for i, v in found.items()}
+    labelled = rows.join(spark.createDataFrame(list(label.items()), "doc_id int, label int"), "doc_id")
+    model = q.fit(labelled.select("label", *names), names)
+    assert model.weights
+    got = {r["doc_id"]: r["p"] for r in rows.select("doc_id", model.score().alias("p")).collect()}
+    for i, v in found.items():
+        logit = model.intercept + sum(w for rule, w in model.weights.items() if all((v[n] <= at) == most for n, most, at in rule))
+        assert abs(got[i] - 1 / (1 + math.exp(-logit))) < 1e-9
+
+
 def test_token_counts_equal_brute_force(docs):
     path = tokenizers.path("piece_bpe_32k.model")
     scores, unknown = tc.pieces(path)
@@ -125,7 +161,7 @@ def test_token_counts_equal_brute_force(docs):
             f.append((s, -n))
         return f[-1][1]
 
-    texts = [(1, "the quick the"), (2, None), (3, ""), (4, " \n\t"), (5, "été 漢字 ☃ x̂ " * 3), (5, "again"), (None, "a" * 300)]
+    texts = [(1, "the quick the"), (2, None), (3, ""), (4, " \n\t"), (5, "été 漢字 ☃ x̂ " * 3), (5, "again"), (None, "a" * 300), (6, "word " * 100_000)]
     want = [(k, len((t or "").encode().split()), sum(best(tc.WORD_MARK + w.decode()) for w in (t or "").encode().split())) for k, t in texts]
     assert rows(tc.token_counts(docs(texts), path), "doc_id", "n_words", "n_tokens") == sorted(want, key=repr)
     assert tc.token_counts(docs([]), path).count() == 0

@@ -53,7 +53,9 @@ def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
     Items of fewer than n words are one shingle of their own length; items and documents without words
     match nothing. Rows that share a key are read as one document, rows that share an item_key as one item.
-    Null keys are a key of their own. Words compare in lower case, by their letters and digits.
+    Null keys are a key of their own, of documents and of items. Words compare in lower case, by their letters and
+    digits; very long texts are searched whole. Repeated rows add nothing. No documents or no items give no pairs. Other
+    columns of either table, whatever their names, are ignored.
     """
     terms = items.select(F.col(item_key).alias("item"), words(F.col(item_text)).alias("w")).where(F.size("w") > 0)
     sizes = sorted(r[0] for r in terms.select(F.least(F.size("w"), F.lit(n))).distinct().collect())  # at most n values

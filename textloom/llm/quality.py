@@ -116,8 +116,10 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """One row per row of docs: key, held_out, score (0 to 1), predicted (1 if score >= 0.3).
 
     Only statistics of the text enter the score: not the labels, language, source or key of a row. Null
-    counts as empty; empty texts are scored by the rules that hold for statistics of 0. A key with several
-    labels is learnt with the lowest. No rows give no rows; other columns of docs are ignored.
+    counts as empty; empty texts are scored by the rules that hold for statistics of 0; very long texts are scored whole. A
+    key with several labels is learnt with the lowest, and with every text it has; labels that are null or neither 0 nor
+    1, and labels of null keys, are left out. Repeated rows and null keys are scored each. No rows give no rows, no labels the
+    score 0.5; other columns of docs and labels, whatever their names, are ignored.
     """
     model, _ = train(docs, labels, key, text, **options)
     rows, _ = with_statistics(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "text")
@@ -126,7 +128,7 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that the classifier accepts, with all their columns."""
+    """The rows of docs that the classifier accepts, with all their columns. Cases as in score()."""
     model, _ = train(docs, labels, key, text)
     rows, _ = with_statistics(docs.select(F.struct("*").alias("row"), F.col(text).alias("text")), "text")
     return rows.where(model.score() >= ACCEPT).select(*[F.col("row")[c].alias(c) for c in docs.columns])

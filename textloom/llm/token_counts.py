@@ -104,10 +104,13 @@ def counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 
 def token_counts(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: key, n_words (pre-tokens) and n_tokens (pieces of the best unigram split of
-    each word, opened by the word mark; bytes that no piece covers count one each).
+    each word, opened by the word mark; bytes that no piece covers count one each). The public vocabulary states no
+    probabilities, so the scores are assumed: Zipf's law over its ids. Counts are those of the best split by these scores, and
+    not of the vocabulary's own tokenizer.
 
     The work is one pass without a shuffle: a worker keeps its trie from batch to batch. Null, empty and
-    blank texts have no tokens. Repeated rows and keys are counted each. Other columns are ignored.
+    blank texts have no tokens; very long texts and words are counted whole. Repeated rows and null or repeated keys are
+    counted each. Other columns, whatever their names, are ignored. No rows give no rows.
     """
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
