@@ -5,8 +5,6 @@ Ids are hashes of what identifies a row, so a refresh keeps the ids of what did
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,7 +84,7 @@ def numbered(files: DataFrame) -> DataFrame:
 def declared(rows: DataFrame) -> DataFrame:
     """Declarations of numbered lines: (file_id, path, language, line, kind, name, owner_hint, depth, indent, text)."""
     comment = F.col("line_text").rlike(r"^\s*(//|/\*|\*|#(?!\s*\[))") & (F.col("language") != "Python")
-    parts = []
+    any_of = F.lit(None).cast("struct<kind:string,name:string,hint:string>")
     for language, rules in DECLARATIONS.items():
         found = F.lit(None).cast("struct<kind:string,name:string,hint:string>")
         for kind, pattern in reversed(rules):
@@ -96,9 +94,9 @@ def declared(rows: DataFrame) -> DataFrame:
             row = F.struct(F.lit(kind).alias("kind"), name.alias("name"), F.nullif(first, F.lit("")).alias("hint") if two_groups else F.lit(None).cast("string").alias("hint"))
             fits = F.col("line_text").rlike(pattern) & (name != "") & ~name.isin([w for w in NOT_CALLS if w != "new"])
             found = F.when(fits, row).otherwise(found)
-        own = rows.where((F.col("language") == language) & ~comment).withColumn("d", found).where("d IS NOT NULL")
-        parts.append(own.select("file_id", "path", "language", "line", "d.kind", "d.name", "d.hint", "depth", "indent", F.col("line_text").alias("text")))
-    return reduce(DataFrame.unionByName, parts)
+        any_of = F.when(F.col("language") == language, found).otherwise(any_of)
+    found = rows.where(~comment).withColumn("d", any_of).where("d IS NOT NULL")
+    return found.select("file_id", "path", "language", "line", "d.kind", "d.name", "d.hint", "depth", "indent", F.col("line_text").alias("text"))
 
 
 def spans(decls: DataFrame, rows: DataFrame) -> DataFrame:

@@ -32,8 +32,16 @@ def reached(edges: DataFrame, seeds: DataFrame, depth: int, forward: bool = True
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """The edges within `depth` steps in either direction, the two directions walked apart; kinds as in distinct_edges."""
-    down = reached(edges, seeds, depth).where(F.col("hop") < depth).select(F.col("id").alias("from_id"))
-    up = reached(edges, seeds, depth, forward=False).where(F.col("hop") < depth).select(F.col("id").alias("to_id"))
+    depth = min(max(depth, 1), 5)
+    both = edges.select(F.col("from_id").alias("at"), F.col("to_id").alias("id"), F.lit(True).alias("down")).unionByName(edges.select(F.col("to_id").alias("at"), F.col("from_id").alias("id"), F.lit(False).alias("down")))
+    seed = seeds.select("id").distinct()
+    met = kept(seed.withColumn("down", F.lit(True)).unionByName(seed.withColumn("down", F.lit(False))))
+    frontier = met
+    for _ in range(1, depth):  # both directions step together; what is met on the way down tells nothing of the way up
+        step = both.join(frontier.withColumnRenamed("id", "at"), ["at", "down"]).select("id", "down").distinct()
+        frontier = kept(step.join(met, ["id", "down"], "left_anti"))
+        met = met.unionByName(frontier)
+    down, up = met.where("down").select(F.col("id").alias("from_id")), met.where("NOT down").select(F.col("id").alias("to_id"))
     return distinct_edges(edges.join(down, "from_id", "left_semi").unionByName(edges.join(up, "to_id", "left_semi").select(edges.columns)))
 
 

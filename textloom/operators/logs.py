@@ -117,7 +117,8 @@ def grouped_diagnostics(rows: DataFrame, most: int = 10) -> DataFrame:
     Samples are minima of (pos, place), so no group is gathered."""
     sample = F.when(F.col("location") != "", F.struct("pos", "location"))
     found = rows.groupBy("message").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.min(sample).alias("a"))
-    second = rows.join(found.select("message", F.col("a.pos").alias("p")), "message").where("location <> '' AND pos > p").groupBy("message").agg(F.min(F.struct("pos", "location")).alias("b"))
+    found = found.orderBy(F.desc("n"), "first").limit(most)  # a few messages, so the join for their second places is small
+    second = rows.join(F.broadcast(found.select("message", F.col("a.pos").alias("p"))), "message").where("location <> '' AND pos > p").groupBy("message").agg(F.min(F.struct("pos", "location")).alias("b"))
     found = found.join(second, "message", "left").withColumn("sample", F.array_compact(F.array(F.col("a.location"), F.col("b.location"))))
     return found.select("message", "n", "first", "sample", (F.col("n") - F.size("sample")).alias("more")).orderBy(F.desc("n"), "first").limit(most)
 
@@ -127,9 +128,14 @@ def distinct_first(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("pos").alias("first"))
 
 
+def recording_seconds(asked: int | None = None) -> int:
+    """The length of a recording: what is asked, from 10 to 60 s, or 20 s (M2)."""
+    return min(max(20 if asked is None else asked, 10), 60)
+
+
 def fixed_windows(log: DataFrame, seconds: int = 20) -> DataFrame:
-    """Entries per recording window of 10 to 60 s or longer (M2). (start, n, errors)."""
-    rows = log.groupBy(F.window("ts", f"{max(seconds, 10)} seconds")).agg(F.count("*").alias("n"), F.count_if(F.col("level").isin("E", "F")).alias("errors"))
+    """Entries per window of so many seconds (M2). (start, n, errors)."""
+    rows = log.groupBy(F.window("ts", f"{seconds} seconds")).agg(F.count("*").alias("n"), F.count_if(F.col("level").isin("E", "F")).alias("errors"))
     return rows.select(F.col("window.start").alias("start"), "n", "errors")
 
 

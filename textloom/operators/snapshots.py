@@ -40,6 +40,20 @@ def line_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return rows.where("added + removed > 0")
 
 
+def restore_preview(current: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """(path, action) of what restore() would do: create, overwrite, or keep for files that the snapshot lacks."""
+    now = manifest(current, 1 << 62)
+    both = now.select("path", F.col("hash").alias("now")).join(snapshot.select("path", "hash"), "path", "full_outer")
+    action = F.when(F.col("now").isNull(), "create").when(F.col("hash").isNull(), "keep").when(F.col("now") != F.col("hash"), "overwrite")
+    return both.select("path", action.alias("action")).where("action IS NOT NULL")
+
+
+def unlike(restored: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """(path) of the snapshot's files that a restored tree does not have as they were; none if all is well."""
+    now = restored.select("path", F.sha2("content", 256).alias("hash"))
+    return snapshot.select("path", "hash").join(now, ["path", "hash"], "left_anti").select("path")
+
+
 def restore(current: DataFrame, snapshot: DataFrame, contents: DataFrame) -> DataFrame:
     """The files (path, content) as the snapshot has them: contents by hash for what differs, the rest as it is. Files that
     the snapshot lacks stay (M14)."""

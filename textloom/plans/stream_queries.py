@@ -31,3 +31,17 @@ def stream_windows(spark, sf_dir):
 
     rows = r.run_to(r.windows(r.read_events(spark, f"{sf_dir}/events.parquet", 1000), 86_400), _folder(spark))
     return rows.withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+
+
+@query(
+    LOG_SQL
+    + """, s AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 12 HOUR THEN 1 ELSE 0 END AS st FROM log WINDOW w AS (PARTITION BY pid ORDER BY ts, pos)),
+    r AS (SELECT *, sum(st) OVER (PARTITION BY pid ORDER BY ts, pos) AS k FROM s), g AS (SELECT pid, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", count(*) AS n FROM r GROUP BY pid, k)
+    SELECT pid, epoch_us(start) // 1000000 AS start, epoch_us("end") // 1000000 AS "end", n FROM g WHERE "end" <= (SELECT max(ts) FROM log) - INTERVAL 1 HOUR"""
+)
+def stream_sessions(spark, sf_dir):
+    """Idle sessions that the watermark has closed by the end of the stream, in whole seconds."""
+    from pyspark.sql import functions as F
+
+    rows = r.run_to(r.sessions(r.read_events(spark, f"{sf_dir}/events.parquet", 1000), 12 * 3600), _folder(spark))
+    return rows.select("pid", F.unix_seconds("start").alias("start"), F.unix_seconds("end").alias("end"), "n")

@@ -217,3 +217,37 @@ def break_counts(spark, sf_dir):
     text = F.concat(F.replace(F.col("text"), F.lit("\n"), F.lit("\r\n")), F.when(F.col("doc_id") % 2 == 0, "\n").otherwise(""))
     counts = x.break_counts(text)
     return _docs(spark, sf_dir).select("doc_id", counts["crlf"].cast("long").alias("crlf"), counts["lf"].cast("int").alias("lf"))
+
+
+@query(
+    LINES_SQL
+    + r""", h AS (SELECT doc_id, line, CASE WHEN line_text LIKE 'T%' THEN 1 ELSE 2 END AS level, trim(line_text) AS title FROM lines WHERE regexp_matches(line_text, '^[TA][a-z]')),
+    n AS (SELECT doc_id, max(line) AS n FROM lines GROUP BY doc_id)
+    SELECT doc_id, line, level, title, CAST(CASE WHEN level = 2 THEN max(CASE WHEN level = 1 THEN line END) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS INTEGER) AS parent,
+    CAST(coalesce(lead(line) OVER (PARTITION BY doc_id ORDER BY line) - 1, n) AS INTEGER) AS end_line FROM h JOIN n USING (doc_id)"""
+)
+def markdown_outline(spark, sf_dir):
+    """Lines that start with T and a small letter as headings of the first level, those with A of the second."""
+    from ..operators.outline import markdown
+
+    rows = lines(_docs(spark, sf_dir))
+    mark = F.when(F.col("line_text").rlike("^T[a-z]"), F.concat(F.lit("# "), "line_text")).when(F.col("line_text").rlike("^A[a-z]"), F.concat(F.lit("## "), "line_text")).otherwise(F.lit("x"))
+    return markdown(rows.select("doc_id", "line", mark.alias("line_text")), "doc_id")
+
+
+@query(
+    LINES_SQL
+    + """, m AS (SELECT doc_id, line, line_text AS t, position(' the ' IN line_text) - 1 AS p, length(line_text) AS n FROM lines WHERE contains(line_text, ' the ')), w AS (SELECT *, least(greatest(p - 60, 0), n - 240) AS s FROM m)
+    SELECT doc_id, line, CASE WHEN n <= 260 THEN trim(t) ELSE CASE WHEN s > 0 THEN '...(' || s || ' chars) ' ELSE '' END || trim(substr(t, s + 1, 240)) || CASE WHEN n - s - 240 > 0 THEN ' ...(+' || (n - s - 240) || ' chars)' ELSE '' END END AS shown FROM w"""
+)
+def clip_window(spark, sf_dir):
+    """Lines with a word, long ones as a window around it."""
+    rows = lines(_docs(spark, sf_dir)).where(F.contains("line_text", F.lit(" the ")))
+    return rows.select("doc_id", "line", x.clip_at(F.col("line_text"), F.instr("line_text", " the ") - 1).alias("shown"))
+
+
+@query("SELECT p_partkey, contains(p_name, '_') OR contains(p_brand, '#2') AS found FROM part")
+def like_escaped(spark, sf_dir):
+    """Terms with the wildcards of LIKE are found as they are."""
+    found = F.col("p_name").like(f"%{x.like_literal('_')}%") | F.col("p_brand").like(f"%{x.like_literal('#2')}%")
+    return load(spark, sf_dir, "part").select("p_partkey", found.alias("found"))

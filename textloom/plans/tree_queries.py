@@ -211,3 +211,55 @@ def snapshot_manifest(spark, sf_dir):
 
     docs = document_paths(spark, sf_dir).drop("size").join(load(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content")), "doc_id")
     return manifest(docs)
+
+
+@query(
+    PAGE_SQL
+    + "SELECT path, CASE WHEN path LIKE '%7' THEN 'secret' WHEN size > 2000 THEN 'size' END AS reason FROM paths WHERE path LIKE '%7' OR size > 2000"
+)
+def snapshot_left_out(spark, sf_dir):
+    """Pages whose number ends in 7 get the name of a key file; pages of over 2,000 bytes are too large here."""
+    from ..operators.snapshots import left_out
+
+    pages = page_paths(spark, sf_dir)
+    name = F.when(F.endswith("path", F.lit("7")), F.concat("path", F.lit("/key.pem"))).otherwise(F.col("path"))
+    found = left_out(pages.select(name.alias("path"), F.repeat(F.lit("x"), F.col("size").cast("int")).alias("content")), 2000)
+    return found.select(F.regexp_replace("path", "/key[.]pem$", "").alias("path"), "reason")
+
+
+@query(
+    """WITH o AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS r FROM documents), n AS (SELECT doc_id, unnest(string_split(replace(text, '.' || chr(10), '!' || chr(10)) || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'end' ELSE '' END, chr(10))) AS r FROM documents),
+    c AS (SELECT doc_id, r, sum(d) AS d FROM (SELECT doc_id, r, -1 AS d FROM o UNION ALL SELECT doc_id, r, 1 FROM n) GROUP BY ALL),
+    s AS (SELECT doc_id, CAST(sum(greatest(d, 0)) AS BIGINT) AS added, CAST(sum(greatest(-d, 0)) AS BIGINT) AS removed FROM c GROUP BY doc_id) SELECT doc_id, added, removed FROM s WHERE added + removed > 0"""
+)
+def snapshot_line_changes(spark, sf_dir):
+    """Documents against copies with other line ends, even ones with a line more."""
+    from ..operators.snapshots import line_changes
+
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    more = F.when(F.col("path") % 2 == 0, "\nend").otherwise("")
+    return line_changes(docs, docs.select("path", F.concat(F.replace("text", F.lit(".\n"), F.lit("!\n")), more).alias("text"))).withColumnRenamed("path", "doc_id")
+
+
+@query("SELECT doc_id AS path, CASE WHEN doc_id % 4 = 0 THEN 'create' WHEN doc_id % 4 = 1 THEN 'overwrite' ELSE 'keep' END AS action FROM documents WHERE doc_id % 4 < 3")
+def restore_preview(spark, sf_dir):
+    """Of documents a quarter is gone, a quarter changed, a quarter is new since the snapshot."""
+    from ..operators.snapshots import manifest
+    from ..operators.snapshots import restore_preview as preview
+
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").cast("binary").alias("content"))
+    now = docs.where("path % 4 <> 0").withColumn("content", F.when(F.col("path") % 4 == 1, F.concat("content", F.lit(b"!"))).otherwise(F.col("content")))
+    return preview(now, manifest(docs.where("path % 4 <> 2")))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 4 = 1 AND doc_id % 8 = 1")
+def restore_verify(spark, sf_dir):
+    """A restored tree in which every eighth document was damaged afterwards."""
+    from ..operators import snapshots as sn
+
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").cast("binary").alias("content"))
+    snapshot = sn.manifest(docs)
+    stored = docs.select(F.sha2("content", 256).alias("hash"), "content").dropDuplicates(["hash"])
+    restored = sn.restore(docs.where("path % 4 <> 1"), snapshot, stored)
+    damaged = restored.withColumn("content", F.when(F.col("path") % 8 == 1, F.concat("content", F.lit(b"!"))).otherwise(F.col("content")))
+    return sn.unlike(damaged, snapshot).withColumnRenamed("path", "doc_id")

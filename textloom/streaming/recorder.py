@@ -13,9 +13,15 @@ from ..operators.logs import has_keyword
 
 
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """Event files as a stream of log entries (S10). The path is a file or a folder, so it is read as a pattern."""
+    """Event files as a stream of log entries (S10). The path is a folder of files, or one file, which is its folder's only one
+    by that name."""
     schema = spark.read.parquet(path).schema
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path + "*")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile():
+        path, _, name = path.rpartition("/")
+        reader = reader.option("pathGlobFilter", name)
+    rows = reader.parquet(path)
     level = F.when(F.col("event_type") == "error", "E").when(F.col("event_type") == "purchase", "W").otherwise("I")
     return rows.select(F.col("event_id").alias("pos"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("pid"), level.alias("level"), F.col("event_type").alias("tag"), F.col("props").alias("msg"))
 
@@ -46,10 +52,15 @@ def sessions(stream: DataFrame, gap_seconds: int, late: str = "1 hour") -> DataF
     return rows.select("pid", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
+#: Milliseconds after which the state of a silent key goes (M3).
+IDLE = 30 * 60 * 1000
 PROGRESS = "pid long, entries long, errors long, warnings long, stage string"
 
 
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     entries, errors, warnings, stage = state.get if state.exists else (0, 0, 0, "")
     for frame in frames:
         frame = frame.sort_values("pos")
@@ -59,10 +70,11 @@ def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
         named = frame.loc[frame["stage"].notna(), "stage"]
         stage = named.iloc[-1] if len(named) else stage
     state.update((entries, errors, warnings, stage))
+    state.setTimeoutDuration(IDLE)
     yield pd.DataFrame({"pid": [key[0]], "entries": [entries], "errors": [errors], "warnings": [warnings], "stage": [stage]})
 
 
 def progress(stream: DataFrame) -> DataFrame:
     """The state of each key after every batch (M6): counts and the last stage, from rows with a stage column. Entries
-    without a stage keep the one before."""
-    return stream.groupBy("pid").applyInPandasWithState(_advance, PROGRESS, "entries long, errors long, warnings long, stage string", "update", GroupStateTimeout.NoTimeout)
+    without a stage keep the one before. A key from which nothing comes for IDLE is forgotten and starts anew."""
+    return stream.groupBy("pid").applyInPandasWithState(_advance, PROGRESS, "entries long, errors long, warnings long, stage string", "update", GroupStateTimeout.ProcessingTimeTimeout)
