@@ -59,3 +59,24 @@ def test_languages_and_paths(spark):
     ask = lambda w: [r["path"] for r in rows.where(g.matches_language(F.col("path"), F.col("language"), w)).collect()]
     assert ask("kt") == ["a/x.kt", "a/y.kts"] and ask("kot") == ["a/x.kt", "a/y.kts"] and ask("c++") == ["b/z.c"] and ask("rs") == []
     assert g.has_path(rows, "a") and g.has_path(rows, "b/q") and not g.has_path(rows, "c")
+
+
+def test_ignore_rules(spark):
+    from textloom.sources import files as src
+
+    rules = "# comment\n*.log\n/build\nout/\n!keep.log\nsrc/**/gen_?.py\n"
+    paths = ["a.log", "x/b.log", "x/keep.log", "build/a.py", "x/build/a.py", "x/out/a.py", "out", "src/gen_1.py", "src/a/b/gen_2.py", "src/gen_10.py", "a+log"]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    got = [r["path"] for r in df.where(src.is_ignored(F.col("path"), src.ignore_rules(rules))).collect()]
+    assert got == ["a.log", "x/b.log", "build/a.py", "x/out/a.py", "src/gen_1.py", "src/a/b/gen_2.py"]
+
+
+def test_recording_goes_on_where_it_ended(spark, tmp_path):
+    from textloom.streaming import recorder as r
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    events.where("event_id % 2 = 0").coalesce(1).write.parquet(folder)
+    assert r.run_to(r.recorded(r.read_events(spark, folder), ["error"]), out).count() == events.where("event_id % 2 = 0 AND (event_type = 'error' OR props LIKE '%error%')").count()
+    events.where("event_id % 2 = 1").coalesce(1).write.mode("append").parquet(folder)
+    assert r.run_to(r.recorded(r.read_events(spark, folder), ["error"]), out).count() == events.where("event_type = 'error' OR props LIKE '%error%'").count()

@@ -219,21 +219,25 @@ def call_sites(bodies: DataFrame, rows: DataFrame) -> DataFrame:
     """(symbol_id, file_id, language, caller_owner, callee, dotted, recv_type), each once.
 
     Constructs, C library functions and names behind std:: are no calls. A receiver is this or self, a name with a declared
-    type, a type itself, or the result of a call (ret:name).
+    type, a type itself, or the result of a call (ret:name). Native code that asks for a method of the virtual machine by its
+    name calls it (receiver @jvm), and a component's tag in a script is a call of it.
     """
     code = rows.where(~F.col("line_text").rlike(r"^\s*(//|/\*|\*|#)")).select("file_id", "line", F.regexp_extract_all("bare", F.lit(_CALL), 1).alias("r"), F.regexp_extract_all("bare", F.lit(_CALL), 2).alias("p"), F.regexp_extract_all("bare", F.lit(_CALL), 3).alias("d"), F.regexp_extract_all("bare", F.lit(_CALL), 4).alias("c"))
     inner = F.arrays_zip("r", "p", "d", "c")
     sites = code.select("file_id", "line", F.explode(inner).alias("x")).select("file_id", "line", "x.r", "x.p", "x.d", "x.c")
     # A chained call hides in the receiver's brackets: a().b() is a call of a as well.
     chained = sites.where("p <> ''").select("file_id", "line", F.lit("").alias("r"), F.lit("").alias("p"), F.lit("").alias("d"), F.col("r").alias("c"))
-    sites = sites.unionByName(chained).where(~F.col("c").isin(NOT_CALLS) & ~((F.col("r") == "std") & (F.col("d") == "::")))
+    named = lambda some, pattern, mark: some.select("file_id", "line", F.lit(mark).alias("r"), F.lit("").alias("p"), F.lit("").alias("d"), F.explode(F.regexp_extract_all("line_text", F.lit(pattern), 1)).alias("c"))
+    callbacks = named(rows.where("language = 'C/C++'"), r'Get(?:Static)?MethodID\s*\([^"]*"(\w+)"', "@jvm")
+    tags = named(rows.where(F.lower("path").rlike(r"\.[jt]sx$")), r"<(\p{Lu}\w*)(?=[\s/>])", "")
+    sites = sites.unionByName(chained).unionByName(callbacks).unionByName(tags).where(~F.col("c").isin(NOT_CALLS) & ~((F.col("r") == "std") & (F.col("d") == "::")))
     methods = bodies.where("kind <> 'class'")
     methods = methods.withColumn("line", F.explode(F.sequence("start_line", "end_line")))
     in_body = sites.join(methods, ["file_id", "line"]).where(~((F.col("language") == "C/C++") & (F.col("d") == "") & F.col("c").isin(LIBC)))
     types = declared_types(rows)
     typed = in_body.join(types.withColumnRenamed("ident", "r"), ["file_id", "r"], "left")
     recv = (
-        F.when(F.col("d") == "", "").when(F.col("p") != "", F.concat(F.lit("ret:"), "r")).when(F.col("r").isin("this", "self", "Self"), F.coalesce("owner", F.lit("")))
+        F.when(F.col("r") == "@jvm", "@jvm").when(F.col("d") == "", "").when(F.col("p") != "", F.concat(F.lit("ret:"), "r")).when(F.col("r").isin("this", "self", "Self"), F.coalesce("owner", F.lit("")))
         .when(F.col("r") == "super", "").when(F.col("type").isNotNull(), F.col("type")).when(F.col("r").rlike("^[A-Z]"), F.col("r")).otherwise("")
     )
     out = typed.select(F.col("id").alias("symbol_id"), "file_id", "language", F.col("owner").alias("caller_owner"), F.col("c").alias("callee"), (F.col("d") != "").alias("dotted"), recv.alias("recv_type"), "name")

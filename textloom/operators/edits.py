@@ -182,8 +182,10 @@ def edit_line(text: Column, line: int, action: str, new: str = "", expect: str |
     return F.when(good, result)
 
 
-def read_range(rows: DataFrame, first: int, second: int | None = None, most: int = 200) -> DataFrame:
-    """A window of numbered lines (X16): a second number above the first is the last line, else a count; at most so many."""
+def read_range(rows: DataFrame, first: int, second: int | None = None, full: bool = False) -> DataFrame:
+    """A window of numbered lines (X16): a second number above the first is the last line, else a count; at most 200 lines, or 600
+    of a full read."""
+    most = 600 if full else 200
     last = first + 119 if second is None else second if second > first else first + second - 1
     return rows.where(F.col("line").between(first, min(last, first + most - 1)))
 

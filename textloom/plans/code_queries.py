@@ -84,6 +84,19 @@ MORE = {
 }
 
 
+#: Native code that calls into the virtual machine, and a component that uses another.
+CALLBACKS = {
+    "jni/Call.cpp": 'void notify_all(int env) {\n    jmethodID m = env->GetMethodID(cls, "helper", "()V");\n}\n',
+    "web/App.tsx": "export function App() {\n  return <Panel size={1} />;\n}\nexport function Panel(p: any) {\n  return null;\n}\n",
+}
+
+
+@query("SELECT * FROM (VALUES ('jni/Call.cpp:notify_all', 'app/Player.kt:Player.helper', 'CALLS'), ('web/App.tsx:App', 'web/App.tsx:Panel', 'CALLS')) v(from_name, to_name, kind)")
+def callback_fixture(spark, sf_dir):
+    edges = readable_edges(c.build(files(spark, SNIPPETS | CALLBACKS)))
+    return edges.where(F.startswith("from_name", F.lit("jni/")) | F.startswith("from_name", F.lit("web/App")))
+
+
 @query(
     """SELECT * FROM (VALUES ('net/Room.cs', 'Room', NULL, 'class', 1, 11), ('net/Room.cs', 'Size', 'Room', 'method', 3, 3), ('net/Room.cs', 'Fill', 'Room', 'method', 8, 10),
     ('ui/page.dart', 'Page', NULL, 'class', 1, 5), ('ui/page.dart', 'build', 'Page', 'method', 2, 4), ('ui/page.dart', 'paintAll', NULL, 'function', 7, 8),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,14 +28,40 @@ def scan(spark: SparkSession, root: str, pattern: str | None = None) -> DataFram
     return reader.load(root).select(F.replace(plain, base, F.lit("")).alias("path"), (F.unix_micros("modificationTime") / 1000).cast("long").alias("mtime"), F.col("length").alias("size"), "content")
 
 
+def ignore_rules(text: str) -> list[tuple[str, bool]]:
+    """(pattern, keeps) of the lines of an ignore file (S1): * stays in a name, ** does not, a slash at the end means folders, one before it
+    ties the rule to the root, ! keeps what rules before it ignore."""
+    rules = []
+    for line in text.splitlines():
+        rule = line.strip()
+        if not rule or rule.startswith("#"):
+            continue
+        keeps, rule = rule.startswith("!"), rule.lstrip("!")
+        folder, rule = rule.endswith("/"), rule.rstrip("/")
+        parts = re.split(r"(/\*\*/|\*\*/|/\*\*|\*|\?)", rule.lstrip("/"))
+        signs = {"/**/": "/(?:.*/)?", "**/": "(?:.*/)?", "/**": "/.*", "*": "[^/]*", "?": "[^/]"}
+        body = "".join(signs.get(x, re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", x)) for x in parts)
+        rules.append((("^" if "/" in rule else "(?:^|/)") + body + ("/" if folder else "(?:/|$)"), keeps))
+    return rules
+
+
+def is_ignored(path: Column, rules: list[tuple[str, bool]]) -> Column:
+    """Whether the last rule that fits a path ignores it."""
+    out = F.lit(False)
+    for pattern, keeps in rules:
+        out = F.when(path.rlike(pattern), F.lit(not keeps)).otherwise(out)
+    return out
+
+
 def is_binary(content: Column) -> Column:
     """A NUL among the first 8 KB."""
     return F.contains(F.substring(content, 1, 8192), F.lit(b"\x00"))
 
 
-def code_files(tree: DataFrame) -> DataFrame:
-    """Files of a language the index knows, outside skipped folders."""
-    return tree.where(extension(F.col("path")).isin(list(LANGUAGES)) & ~is_skipped(F.col("path"), SKIP_DIRS))
+def code_files(tree: DataFrame, ignore: str = "") -> DataFrame:
+    """Files of a language the index knows, outside skipped folders and what an ignore file names."""
+    wanted = extension(F.col("path")).isin(list(LANGUAGES)) & ~is_skipped(F.col("path"), SKIP_DIRS)
+    return tree.where(wanted & ~is_ignored(F.col("path"), ignore_rules(ignore)))
 
 
 def searchable(tree: DataFrame, types: list[str] | None = None, prose: bool = False, vendor: bool = False) -> DataFrame:
