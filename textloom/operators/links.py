@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words before a bracket that are no calls; modules that come with the runtime.
-NOT_CALLS = "if for while switch match return catch fn def function class sizeof typeof new await async else loop when with assert super this self LOGD LOGE LOGI LOGW".split()
+NOT_CALLS = [
+    "if", "for", "while", "switch", "match", "return", "catch", "fn", "def", "function", "class", "sizeof", "typeof", "new", "await", "async", "else", "loop", "when", "with",
+    "assert", "super", "this", "self", "LOGD", "LOGE", "LOGI", "LOGW",
+]
 BUILTINS = [
     "assert", "async_hooks", "buffer", "child_process", "cluster", "console", "constants", "crypto", "dgram", "diagnostics_channel", "dns", "domain", "events",
     "fs", "http", "http2", "https", "inspector", "module", "net", "os", "path", "perf_hooks", "process", "punycode", "querystring", "readline", "repl",

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Folders of copied or generated code that walks skip, and files that hold secrets.
-SKIP_DIRS = (
-    ".git node_modules external externals extern third_party third-party thirdparty 3rdparty 3rd-party 3rd_party vendor contrib Pods".split()
-)
-SECRET_NAMES = "keystore.properties local.properties google-services-private.json id_rsa id_ed25519 credentials.json .env".split()
-SECRET_EXTENSIONS = "jks keystore pem p12 pfx key ppk".split()
+SKIP_DIRS = [
+    ".git", "node_modules", "external", "externals", "extern", "third_party", "third-party", "thirdparty", "3rdparty", "3rd-party", "3rd_party", "vendor", "contrib", "Pods",
+]
+SECRET_NAMES = ["keystore.properties", "local.properties", "google-services-private.json", "id_rsa", "id_ed25519", "credentials.json", ".env"]
+SECRET_EXTENSIONS = ["jks", "keystore", "pem", "p12", "pfx", "key", "ppk"]
 
 
 def basename(path: Column) -> Column:

@@ -11,9 +11,12 @@ from ..operators.code_index import LANGUAGES
 from ..operators.trees import SKIP_DIRS, extension, is_skipped
 
 #: Extensions that are never text, prose that a code search leaves out, and copied-library folders.
-BINARY_EXTENSIONS = "png jpg jpeg gif ico webp svg mp3 wav ogg flac mp4 avi mov mkv zip tar gz 7z rar jar aar apk aab dex so dylib dll exe bin class pyc pdf db sqlite sqlite3".split()
+BINARY_EXTENSIONS = [
+    "png", "jpg", "jpeg", "gif", "ico", "webp", "svg", "mp3", "wav", "ogg", "flac", "mp4", "avi", "mov", "mkv", "zip", "tar", "gz", "7z", "rar", "jar", "aar", "apk", "aab", "dex",
+    "so", "dylib", "dll", "exe", "bin", "class", "pyc", "pdf", "db", "sqlite", "sqlite3",
+]
 PROSE_EXTENSIONS = ["md", "txt", "rst"]
-VENDOR_DIRS = "external externals extern third_party third-party thirdparty 3rdparty 3rd-party 3rd_party vendor contrib".split()
+VENDOR_DIRS = ["external", "externals", "extern", "third_party", "third-party", "thirdparty", "3rdparty", "3rd-party", "3rd_party", "vendor", "contrib"]
 MOST_BYTES, MOST_NAMED_BYTES = 1_500_000, 256_000_000
 
 
