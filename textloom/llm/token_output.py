@@ -21,7 +21,7 @@ from .tokenfile import Reader, Writer, key_bytes, key_value
 END = 1
 #: Leading characters of a text by which rows of one key are cut into shards; the driver samples them. Rows that agree
 #: in them are cut by a hash of their texts.
-PREFIX = 256
+PREFIX = 16
 #: Bytes of text in a shard, about; a row counts ROW_BYTES more, so that a shard of empty texts has a bounded Bloom filter.
 SHARD_BYTES, ROW_BYTES = 256 << 20, 64
 #: Pieces that a worker remembers before it starts anew: a bound on its memory, not on input.
