@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_extract, license_scan, mixing, ngram_join, quality, token_counts, token_output, url_filter
+from . import decontaminate, exact_dedup, html_extract, license_scan, merkle, mixing, ngram_join, quality, token_alignment, token_counts, token_output, url_filter, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_token_output": token_output.op8_token_output,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_warc": warc.op12_warc,
+    "op13_token_alignment": token_alignment.op13_token_alignment,
 }
 
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.SQL,
     "op5_ngram_join": ngram_join.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op11_merkle_manifest": merkle.SQL,
+    "op12_warc": warc.SQL,
 }
