@@ -40,7 +40,7 @@ def test_link_rules(spark):
 def test_index_versions(spark):
     folder = tempfile.mkdtemp(prefix="spark-index-")
     index = c.build(files(spark))
-    c.write_index(index, folder, "v1")
+    c.write_index(index, folder)
     assert edges(c.read_index(spark, folder)) == edges(index)
 
 

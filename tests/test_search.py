@@ -2,6 +2,7 @@ import pytest
 
 from textloom.functions.patterns import required_literals, search_pattern, smart_pattern
 from textloom.operators import search as s
+from textloom.operators import text_index as ti
 
 
 def test_patterns():
@@ -25,11 +26,11 @@ def test_required_literals():
 def test_indexed_search_equals_full_scan(spark):
     texts = [(0, "Worthless\nline"), (1, "worth"), (2, "xx"), (3, ""), (4, "the Kelvin word\nWORTHLESS"), (5, "kelvin")]
     df = spark.createDataFrame(texts, "k int, text string")
-    index = s.gram_index(df, "k")
+    index = ti.learn(df.selectExpr("string(k) AS path", "1 AS mtime", "1 AS size", "text AS content")).cache()
     for term in (["worthless"], ["kelvin"], ["x"], ["worthless|kelvin"]):
         pattern = search_pattern(term)
         full = {tuple(r) for r in s.hits(df, pattern).collect()}
-        assert {tuple(r) for r in s.indexed_hits(df, index, pattern, "k").collect()} == full
+        assert {tuple(r) for r in ti.indexed_hits(df, index, pattern, "k").collect()} == full
 
 
 def test_lines_and_context(spark):

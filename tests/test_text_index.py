@@ -5,6 +5,8 @@ from textloom.operators import edits as e
 from textloom.operators import search as s
 from textloom.operators import signatures as g
 from textloom.operators import text_index as ti
+from textloom.operators import versions
+from textloom.operators.storage import kept
 
 TREE = "path string, mtime long, size long, content string"
 
@@ -21,7 +23,7 @@ def test_index_reads_what_it_does_not_know_and_misses_nothing(spark):
     names = lambda df: sorted(r["path"] for r in df.collect())
     full = lambda t: sorted(tuple(r) for r in s.hits(t.where(~F.contains("content", F.lit("\0"))).select("path", "content"), pattern, "content").collect())
     assert names(ti.to_read(index, now, pattern)) == ["a", "b", "c", "d"]
-    index = ti.learn(index, now, now)
+    index = kept(ti.learn(now, now))
     assert names(ti.to_read(index, now, pattern)) == ["a"]  # c is known to be binary
     assert names(ti.to_read(index, now, "(?i)w.*s")) == ["a", "b", "d"]  # no literal: all texts
     # edited, added, deleted
@@ -34,16 +36,99 @@ def test_index_reads_what_it_does_not_know_and_misses_nothing(spark):
     assert sorted(tuple(r) for r in ti.search(index, then, pattern).collect()) == full(then)
     # a file that changed while it was read is not learnt
     moving = tree(spark, later | {"e": (3, "other words")})
-    index = ti.learn(index, then.where("path IN ('b', 'e')"), moving)
-    assert {r["path"]: r["state"] for r in ti.plan(index, moving).collect()} == {"b": "fresh", "c": "binary", "d": "fresh", "e": "unknown"}
+    index = index.unionByName(kept(ti.learn(then.where("path IN ('b', 'e')"), moving)))
+    assert {r["path"]: r["state"] for r in ti.plan(index, moving).collect()} == {"a": "gone", "b": "fresh", "c": "binary", "d": "fresh", "e": "unknown"}
     assert sorted(tuple(r) for r in ti.search(index, moving, pattern).collect()) == full(moving)
 
 
-def test_index_is_written_and_read(spark, tmp_path):
-    now = tree(spark, {"a": (1, "worthless"), "b": (1, "none")})
-    ti.write(ti.learn(ti.empty(spark), now, now), str(tmp_path))
-    index = ti.read(spark, str(tmp_path))
-    assert [r["path"] for r in ti.to_read(index, now, search_pattern(["worthless"])).collect()] == ["a"]
+def test_filters_are_exact_in_size_and_miss_nothing():
+    text = "the quick brown\nfox İstanbul \U0001f600 " * 3
+    found = ti.trigrams(text)
+    plain = {text[i : i + 3] for i in range(len(text) - 2)} - {x for x in (text[i : i + 3] for i in range(len(text) - 2)) if "\n" in x}
+    assert len(found) == len(plain)
+    words = ti.bloom(found)
+    assert len(words) * 64 == max(256, 1 << (6 * len(found) - 1).bit_length())
+    assert all(int(words[p % (len(words) * 64) >> 6]) >> (p & 63) & 1 for p in ti.positions(found).tolist())
+    assert len(ti.bloom(ti.trigrams("ab"))) == 4
+
+
+def test_a_filter_rules_most_texts_out(spark):
+    texts = spark.range(2000).select(F.col("id").cast("string").alias("path"), F.lit(1).alias("mtime"), F.lit(1).alias("size"), F.expr("sha2(string(id), 512)").alias("content"))
+    index = ti.learn(texts)
+    maybe = index.where(ti.allows(F.col("bits"), ["abcde"])).count()
+    truly = texts.where(F.col("content").contains("abcde")).count()
+    assert truly <= maybe < 2000 * 0.02
+
+
+def test_index_learns_and_compacts(spark, tmp_path):
+    """Created, edited, added and deleted files: every search finds what a full one does and reads little."""
+    folder, pattern = f"file://{tmp_path}/index", search_pattern(["worthless"])
+    names = lambda df: sorted(r["path"] for r in df.collect())
+    now = tree(spark, {"a": (1, "worthless"), "b": (1, "none"), "c": (1, None or "\0")})
+    assert names(ti.to_read(ti.open_index(spark, folder), now, pattern)) == ["a", "b", "c"]
+    assert ti.refresh(spark, folder, now) == 1
+    assert names(ti.to_read(ti.open_index(spark, folder), now, pattern)) == ["a"]
+    then = tree(spark, {"b": (2, "worthless"), "c": (1, "\0"), "d": (1, "some words")})
+    old = ti.open_index(spark, folder)
+    assert ti.refresh(spark, folder, then) == 2
+    assert names(ti.to_read(ti.open_index(spark, folder), then, pattern)) == ["b"]
+    assert ti.open_index(spark, folder).count() == 5 and old.count() == 3  # only what changed was added
+    assert ti.compact(spark, folder, then) == 3
+    assert names(ti.open_index(spark, folder)) == ["b", "c", "d"] and old.count() == 3
+    versions.expire(spark, folder)
+    assert names(ti.open_index(spark, folder)) == ["b", "c", "d"]
+    assert len(list((tmp_path / "index" / "tables").iterdir())) == 1 and len(list((tmp_path / "index" / "log").glob("*.json"))) == 1
+
+
+def test_a_reader_between_the_steps_sees_the_old_version(spark, tmp_path):
+    folder = f"file://{tmp_path}/v"
+    table = lambda n: versions.add_table(spark.range(n), folder, "rows")
+    assert versions.latest(spark, folder) == (0, {})
+    assert versions.commit(spark, folder, 0, {"rows": [table(3)]}) == 1
+    new = table(5)
+    (tmp_path / "v" / "log" / ".draft-x").write_text('{"rows"')  # of a writer that died
+    number, content = versions.latest(spark, folder)
+    assert number == 1 and spark.read.parquet(*content["rows"]).count() == 3
+    versions.commit(spark, folder, 1, {"rows": [new]})
+    assert spark.read.parquet(*versions.latest(spark, folder)[1]["rows"]).count() == 5
+    assert spark.read.parquet(*versions.read(spark, folder, 1)["rows"]).count() == 3
+
+
+def test_of_two_writers_one_commits(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    folder = f"file://{tmp_path}/v"
+    path = versions.add_table(spark.range(1), folder, "rows")
+    versions.commit(spark, folder, 0, {"rows": [path]})
+
+    def write(n):
+        try:
+            return versions.commit(spark, folder, 1, {"rows": [path], "by": [str(n)]})
+        except versions.Conflict:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        done = list(pool.map(write, range(8)))
+    assert done.count(2) == 1 and done.count(None) == 7
+    assert versions.latest(spark, folder)[1]["by"] == [str(done.index(2))]
+
+
+def test_two_threads_keep_their_tables_apart(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from textloom.operators.storage import kept, release, workspace
+
+    def work(n):
+        with workspace(spark) as keep:
+            table = keep(kept(spark.range(n)))
+            for _ in range(3):
+                kept(spark.range(5))
+        found = table.count()
+        release(spark)
+        return found
+
+    with ThreadPoolExecutor(4) as pool:
+        assert list(pool.map(work, range(1, 9))) == list(range(1, 9))
 
 
 def test_empty_old_texts_are_refused(spark):

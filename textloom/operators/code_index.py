@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import lines
+from . import versions
 from .links import NOT_CALLS
 from .storage import kept
 
@@ -379,20 +380,23 @@ def refresh(index: dict[str, DataFrame], files: DataFrame) -> dict[str, DataFram
     return {"files": all_files, "symbols": syms, "call_sites": sites, "edges": edges}
 
 
-def write_index(index: dict[str, DataFrame], folder: str, version: str) -> None:
-    """The tables as a new version, then the pointer to it (K10): a reader sees the old tables or the new."""
-    spark: SparkSession = index["files"].sparkSession
-    for name, df in index.items():
-        df.write.parquet(f"{folder}/{version}/{name}")
-    spark.createDataFrame([(version, SCHEMA_VERSION)], "version string, schema int").coalesce(1).write.mode("overwrite").json(f"{folder}/_current")
+SCHEMA_VERSION = "1"
+TABLES = ("files", "symbols", "call_sites", "edges")
 
 
-SCHEMA_VERSION = 1
+def write_index(index: dict[str, DataFrame], folder: str) -> int:
+    """The tables as a new version (K10): a reader sees the old tables or the new, whole. If another writer made a version
+    meanwhile, Conflict."""
+    spark: SparkSession = index["files"].sparkSession
+    base, _ = versions.latest(spark, folder)
+    tables = {name: [versions.add_table(index[name], folder, name)] for name in TABLES}
+    return versions.commit(spark, folder, base, tables | {"schema": [SCHEMA_VERSION]})
 
 
 def read_index(spark: SparkSession, folder: str) -> dict[str, DataFrame] | None:
-    """The current tables, or None if their schema is of another version: the index is a cache and is built again."""
-    current = spark.read.schema("version string, schema int").json(f"{folder}/_current").first()
-    if current is None or current["schema"] != SCHEMA_VERSION:
+    """The tables of the greatest version, or None if there is none or their schema is another one: the index is a cache and
+    is built again."""
+    _, content = versions.latest(spark, folder)
+    if content.get("schema") != [SCHEMA_VERSION]:
         return None
-    return {name: spark.read.parquet(f"{folder}/{current['version']}/{name}") for name in ("files", "symbols", "call_sites", "edges")}
+    return {name: spark.read.parquet(*content[name]) for name in TABLES}

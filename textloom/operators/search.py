@@ -1,11 +1,11 @@
-"""Line search: hits, counts, context, pages, filters, and pruning by trigrams."""
+"""Line search: hits, counts, context, pages, filters, and exact trigrams."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.patterns import required_literals, smart_pattern
+from ..functions.patterns import smart_pattern
 from ..sources.tables import lines
 
 
@@ -86,12 +86,6 @@ def gram_index(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return chars.select(F.explode(grams(F.col("chars"))).alias("gram"), key)
 
 
-def write_gram_index(df: DataFrame, path: str, key: str, text: str = "text") -> None:
-    """The index as Parquet, sorted by gram with Bloom filters, so that a lookup skips most row groups (O3)."""
-    rows = gram_index(df, key, text).repartitionByRange("gram").sortWithinPartitions("gram", key)
-    rows.write.mode("overwrite").option("parquet.bloom.filter.enabled#gram", "true").parquet(path)
-
-
 def candidates(index: DataFrame, literals: list[str], key: str) -> DataFrame:
     """Keys of texts with all trigrams of any literal (I5). The literals are a constant of the query."""
     spark = index.sparkSession
@@ -100,11 +94,3 @@ def candidates(index: DataFrame, literals: list[str], key: str) -> DataFrame:
     size = need.groupBy("literal").agg(F.count("*").alias("need"))
     found = index.where(F.col("gram").isin(sorted({g for _, g in wanted}))).join(F.broadcast(need), "gram").groupBy(key, "literal").agg(F.count_distinct("gram").alias("have"))
     return found.join(F.broadcast(size), "literal").where("have = need").select(key).distinct()
-
-
-def indexed_hits(df: DataFrame, index: DataFrame, pattern: str, key: str, text: str = "text") -> DataFrame:
-    """As hits(), reading only texts that the index cannot rule out (I8); all texts if the pattern tells nothing."""
-    literals = required_literals(pattern)
-    if literals:
-        df = df.join(candidates(index, literals, key), key, "left_semi")
-    return hits(df, pattern, text)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions.patterns import ERRORS_PATTERN, FLAGS, search_pattern
 from ..operators import search as s
 from ..operators import text_index as ti
-from ..operators.storage import kept, shared_folder
+from ..operators.storage import kept, scratch
 from ..sources.tables import LINES_SQL, load
 from .registry import query
 
@@ -102,21 +100,14 @@ def search_context_blocks(spark, sf_dir):
 
 @query(LINES_SQL + r"SELECT doc_id, line, line_text FROM lines WHERE regexp_matches(line_text, 'worthle.*|clown', 'i')")
 def search_indexed(spark, sf_dir):
-    """The index of a table is written once in a session, and read by every search after it."""
+    """Filters of all documents are built first, and texts that they rule out are not searched."""
     docs = _docs(spark, sf_dir)
-    return s.indexed_hits(docs, spark.read.parquet(written_index(spark, sf_dir)), search_pattern(["worthle.*|clown"]), "doc_id")
-
-
-_written: dict[tuple[str, str], str] = {}
+    return ti.indexed_hits(docs, kept(ti.learn(keyed(docs))), search_pattern(["worthle.*|clown"]), "doc_id")
 
 
-def written_index(spark, sf_dir):
-    made = (spark.sparkContext.applicationId, sf_dir)
-    if made not in _written:
-        path = f"{shared_folder(spark)}/grams-{uuid.uuid4().hex}"
-        s.write_gram_index(_docs(spark, sf_dir), path, "doc_id")
-        _written[made] = path
-    return _written[made]
+def keyed(docs):
+    """Documents as files that are named by their id and never change."""
+    return docs.select(F.col("doc_id").cast("string").alias("path"), F.lit(1).alias("mtime"), F.length("text").alias("size"), F.col("text").alias("content"))
 
 
 def files_of(docs, changed=0):
@@ -133,23 +124,50 @@ def files_of(docs, changed=0):
 def search_after_changes(spark, sf_dir):
     """An index of all documents, after which every tenth changed and every seventh went: a search reads what the index does not know."""
     docs = _docs(spark, sf_dir)
-    before = files_of(docs)
-    index = {"files": kept(before.select("path", "mtime", "size", F.lit(False).alias("binary"))), "grams": spark.read.parquet(written_index(spark, sf_dir)).select("gram", F.concat(F.lit("d/"), "doc_id").alias("path"))}
+    folder = scratch(spark, "index")
+    ti.add(spark, folder, ti.learn(files_of(docs)))
     now = files_of(docs.where("doc_id % 7 <> 3"), 10)
-    return ti.search(index, now, search_pattern(["worthle.*|clown"]))
+    return ti.search(ti.open_index(spark, folder), now, search_pattern(["worthle.*|clown"]))
 
 
 @query("SELECT CASE WHEN doc_id % 7 = 3 THEN 'gone' WHEN doc_id % 10 = 0 THEN 'stale' ELSE 'fresh' END AS state, count(*) AS n FROM documents GROUP BY 1")
 def text_index_plan(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    known = files_of(docs).select("path", "mtime", "size", F.lit(False).alias("binary"))
-    return ti.plan({"files": known}, files_of(docs.where("doc_id % 7 <> 3"), 10)).groupBy("state").agg(F.count("*").alias("n"))
+    known = files_of(docs).select("path", "mtime", "size", F.array().cast("array<long>").alias("bits"))
+    return ti.plan(known, files_of(docs.where("doc_id % 7 <> 3"), 10)).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT 'refreshed' AS step, CASE WHEN doc_id % 7 = 3 THEN 'gone' ELSE 'fresh' END AS state, count(*) AS n FROM documents GROUP BY 2
+    UNION ALL SELECT 'compacted' AS step, 'fresh' AS state, count(*) AS n FROM documents WHERE doc_id % 7 <> 3"""
+)
+def text_index_refresh(spark, sf_dir):
+    """A version that learns what changed, and one without the rows of files and states that are gone."""
+    docs, folder = _docs(spark, sf_dir), scratch(spark, "index")
+    ti.add(spark, folder, ti.learn(files_of(docs)))
+    now = files_of(docs.where("doc_id % 7 <> 3"), 10)
+    ti.refresh(spark, folder, now)
+    states = lambda step: ti.plan(ti.open_index(spark, folder), now).groupBy("state").agg(F.count("*").alias("n")).select(F.lit(step).alias("step"), "state", "n")
+    refreshed = kept(states("refreshed"))
+    ti.compact(spark, folder, now)
+    return refreshed.unionByName(states("compacted"))
 
 
 _GRAMS = r"""WITH g AS (SELECT DISTINCT doc_id, substr(lower(text), i, 3) AS gram FROM (
   SELECT doc_id, text, unnest(range(1, length(text) - 1)) AS i FROM documents)), ok AS (SELECT * FROM g WHERE NOT regexp_matches(gram, '[\n\r]')) """
 
 
+@query(
+    _GRAMS
+    + """, n AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS grams FROM ok GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(grams, 0) AS grams, greatest(256, CAST(2 ** ceil(log2(6 * coalesce(grams, 1))) AS BIGINT)) AS n_bits FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id"""
+)
+def text_filters(spark, sf_dir):
+    """The filter of every document: how many distinct trigrams it holds, and its bits."""
+    rows = ti.learn(keyed(_docs(spark, sf_dir)))
+    return rows.select(F.col("path").cast("long").alias("doc_id"), "grams", (F.size("bits").cast("long") * 64).alias("n_bits"))
+
+
 @query(_GRAMS + "SELECT gram, count(*) AS n FROM ok GROUP BY gram")
 def gram_index(spark, sf_dir):
     return s.gram_index(_docs(spark, sf_dir), "doc_id").groupBy("gram").agg(F.count("*").alias("n"))

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
-from ..operators.storage import shared_folder
+from ..operators.storage import scratch
 from ..sources.tables import LOG_SQL
 from ..streaming import recorder as r
 from .registry import query
 
 
 def _folder(spark):
-    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    return scratch(spark, "stream")
 
 
 @query(LOG_SQL + "SELECT pos, pid, level, tag, msg FROM log WHERE contains(lower(tag || ' ' || msg), 'signup') OR contains(lower(tag || ' ' || msg), 'error')")
