@@ -68,15 +68,34 @@ def test_manifest_sections(spark):
     assert [tuple(x) for x in df.select(src.manifest_packages(F.col("content")).alias("p")).first()["p"]] == [("a", "dependencies"), ("b", "devDependencies")]
 
 
-def test_progress_stream(spark):
-    folder = tempfile.mkdtemp(prefix="spark-stream-")
-    stage = F.when(F.col("tag") == "signup", "setup")
-    stream = recorder.read_events(spark, "/root/testdata/sf0.001/events.parquet").withColumn("stage", stage)
-    got = []
-    query = recorder.progress(stream).writeStream.outputMode("update").option("checkpointLocation", folder).trigger(availableNow=True).foreachBatch(lambda df, _: got.extend(df.collect())).start()
-    query.awaitTermination()
-    expected = spark.read.parquet("/root/testdata/sf0.001/events.parquet").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("e")).collect()
-    assert sorted((r["pid"], r["entries"], r["errors"]) for r in got) == sorted((r["user_id"], r["n"], r["e"]) for r in expected)
+LOG = "pid long, pos long, ts timestamp, level string, stage string"
+
+
+def at(minute):
+    from datetime import UTC, datetime, timedelta
+
+    return datetime(2024, 1, 1, tzinfo=UTC) + timedelta(minutes=minute)
+
+
+def run_progress(spark, rows, folder, out):
+    """One more file of entries, and a run over what there is; rows of state at its end."""
+    spark.createDataFrame([(p, i, at(m), lv, st) for i, (p, m, lv, st) in enumerate(rows)], LOG).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(LOG).parquet(folder)
+    query = recorder.progress(stream, 30 * 60_000, "5 minutes").writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    assert query.awaitTermination(240)
+    return query.recentProgress[-1].stateOperators[0].numRowsTotal
+
+
+def test_idle_keys_leave_the_state_and_runs_end(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    found = lambda: sorted((r["pid"], r["start"].minute, r["entries"], r["errors"], r["warnings"], r["stage"]) for r in spark.read.parquet(f"{out}/rows").collect())
+    assert run_progress(spark, [(1, 0, "I", "setup"), (1, 3, "E", None), (2, 1, "W", None), (3, 50, "I", "run")], folder, out) == 1
+    assert found() == [(1, 0, 2, 1, 0, "setup"), (2, 1, 1, 0, 1, "")]  # idle by minute 45, the watermark
+    assert run_progress(spark, [(3, 55, "E", "test"), (1, 50, "I", None)], folder, out) == 2  # 1 starts anew
+    assert len(found()) == 2
+    # within one batch: 3 is idle between two of its entries
+    assert run_progress(spark, [(3, 120, "I", None), (3, 57, "I", None)], folder, out) == 1
+    assert found()[2:] == [(2, 1, 1, 0, 1, ""), (3, 50, 3, 1, 0, "test")] and found()[1] == (1, 50, 1, 0, 0, "")
 
 
 def test_totals_and_stats(spark):

@@ -43,3 +43,27 @@ def stream_sessions(spark, sf_dir):
 
     rows = r.run_to(r.sessions(r.read_events(spark, f"{sf_dir}/events.parquet", 1000), 12 * 3600), _folder(spark))
     return rows.select("pid", F.unix_seconds("start").alias("start"), F.unix_seconds("end").alias("end"), "n")
+
+
+#: Stages of the progress queries by event type; other events keep the stage before.
+STAGES = {"signup": "setup", "purchase": "pay", "error": "failed"}
+
+
+@query(
+    LOG_SQL
+    + """, s AS (SELECT *, CASE tag WHEN 'signup' THEN 'setup' WHEN 'purchase' THEN 'pay' WHEN 'error' THEN 'failed' END AS stage,
+      CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS st FROM log WINDOW w AS (PARTITION BY pid ORDER BY ts, pos)),
+    r AS (SELECT *, sum(st) OVER (PARTITION BY pid ORDER BY ts, pos) AS k, max(ts) OVER () AS latest FROM s),
+    g AS (SELECT pid, k, min(ts) AS first, max(ts) AS last, count(*) AS entries, count(*) FILTER (level = 'E') AS errors, count(*) FILTER (level = 'W') AS warnings,
+      coalesce(last(stage ORDER BY ts, pos) FILTER (stage IS NOT NULL), '') AS stage, any_value(latest) AS latest, max(k) OVER (PARTITION BY pid) AS final FROM r GROUP BY pid, k)
+    SELECT pid, epoch_us(first) AS start, epoch_us(last) AS "end", entries, errors, warnings, stage FROM g
+    WHERE k < final OR epoch_us(last) // 1000 + 6 * 3600000 < epoch_us(latest) // 1000 - 600000"""
+)
+def stream_progress(spark, sf_dir):
+    """Episodes of users that have ended by the end of the stream: six hours without an event."""
+    from pyspark.sql import functions as F
+
+    events = r.read_events(spark, f"{sf_dir}/events.parquet", 1000)
+    stage = F.create_map(*[F.lit(x) for pair in STAGES.items() for x in pair])[F.col("tag")]
+    rows = r.run_to(r.progress(events.withColumn("stage", stage), 6 * 3600 * 1000), _folder(spark))
+    return rows.select("pid", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "entries", "errors", "warnings", "stage")

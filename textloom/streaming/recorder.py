@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -52,29 +53,46 @@ def sessions(stream: DataFrame, gap_seconds: int, late: str = "1 hour") -> DataF
     return rows.select("pid", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-#: Milliseconds after which the state of a silent key goes (M3).
+#: Milliseconds of event time after which a silent key is idle (M3).
 IDLE = 30 * 60 * 1000
-PROGRESS = "pid long, entries long, errors long, warnings long, stage string"
+EPISODE = "pid long, start timestamp, end timestamp, entries long, errors long, warnings long, stage string"
 
 
-def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _episode(key: tuple, state: tuple) -> tuple:
+    first, last, entries, errors, warnings, stage = state
+    return (*key, pd.Timestamp(first, unit="us", tz="UTC"), pd.Timestamp(last, unit="us", tz="UTC"), entries, errors, warnings, stage)
+
+
+def _advance(idle: int, key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    ended: list[tuple] = []
     if state.hasTimedOut:
+        ended.append(_episode(key, state.get))
         state.remove()
-        return
-    entries, errors, warnings, stage = state.get if state.exists else (0, 0, 0, "")
-    for frame in frames:
-        frame = frame.sort_values("pos")
-        entries += len(frame)
-        errors += int((frame["level"] == "E").sum())
-        warnings += int((frame["level"] == "W").sum())
-        named = frame.loc[frame["stage"].notna(), "stage"]
-        stage = named.iloc[-1] if len(named) else stage
-    state.update((entries, errors, warnings, stage))
-    state.setTimeoutDuration(IDLE)
-    yield pd.DataFrame({"pid": [key[0]], "entries": [entries], "errors": [errors], "warnings": [warnings], "stage": [stage]})
-
-
-def progress(stream: DataFrame) -> DataFrame:
-    """The state of each key after every batch (M6): counts and the last stage, from rows with a stage column. Entries
-    without a stage keep the one before. A key from which nothing comes for IDLE is forgotten and starts anew."""
-    return stream.groupBy("pid").applyInPandasWithState(_advance, PROGRESS, "entries long, errors long, warnings long, stage string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    else:
+        held = state.get if state.exists else None
+        rows = pd.concat(list(frames)).sort_values(["ts", "pos"])
+        times = rows["ts"].astype("datetime64[us, UTC]" if rows["ts"].dt.tz else "datetime64[us]").astype("int64")
+        for at, level, stage in zip(times, rows["level"], rows["stage"], strict=True):
+            if held is not None and at - held[1] > idle * 1000:
+                ended.append(_episode(key, held))
+                held = None
+            first, last, entries, errors, warnings, named = held or (at, at, 0, 0, 0, "")
+            held = (min(first, at), max(last, at), entries + 1, errors + (level == "E"), warnings + (level == "W"), named if pd.isna(stage) else stage)
+        state.update(tuple(x if isinstance(x, str) else int(x) for x in held))
+        # the first watermark past this time finds the key idle; one that is past it already does so in its next batch
+        state.setTimeoutTimestamp(max(held[1] // 1000 + idle, state.getCurrentWatermarkMs() + 1))
+    yield pd.DataFrame(ended, columns=[c.split()[0] for c in EPISODE.split(", ")])
+
+
+def progress(stream: DataFrame, idle: int = IDLE, late: str = "10 minutes") -> DataFrame:
+    """What each key did from its first entry until idle milliseconds of event time passed without one (M6): counts and the
+    last stage, from rows (pid, pos, ts, level, stage). Entries without a stage keep the one before.
+
+    A row comes when an episode has ended: when a later entry of the key shows it, or when the watermark passes, which also
+    takes the key out of the state. So the state holds the keys of the last idle + late of event time, whatever the stream's
+    length, and a run over what there is ends; keys that are not idle by its end stay for the next run. Entries that come
+    behind the watermark are dropped, as in every operator with one. Null keys are one key.
+    """
+    rows = stream.withWatermark("ts", late)
+    held = "first long, last long, entries long, errors long, warnings long, stage string"
+    return rows.groupBy("pid").applyInPandasWithState(partial(_advance, idle), EPISODE, held, "append", GroupStateTimeout.EventTimeTimeout)
