@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import lines
 from . import versions
+from .lexer import with_code
 from .links import NOT_CALLS
 from .storage import kept
 
@@ -66,40 +66,110 @@ def file_id(path: Column) -> Column:
     return F.xxhash64(path)
 
 
-def bare(line: Column) -> Column:
-    """A line without the text of literals and without a comment at its end."""
-    plain = F.regexp_replace(line, r'"(?:\\.|[^"\\])*"', '""')
-    plain = F.regexp_replace(plain, r"'(?:\\.|[^'\\])'", "''")
-    return F.regexp_replace(plain, r"//.*$", "")
-
-
 def numbered(files: DataFrame) -> DataFrame:
-    """Lines of files (path, content) with their language, the brace depth before and after, and the indentation."""
-    known = files.select("path", "content", language_of(F.col("path")).alias("language")).where("language IS NOT NULL")
-    rows = lines(known, "content").withColumn("file_id", file_id(F.col("path"))).withColumn("bare", bare(F.col("line_text")))
+    """Lines of files (path, content) with their language, their code without comments and literals (bare), the brace depth before and
+    after, and the indentation."""
+    known = files.select("path", F.col("content"), language_of(F.col("path")).alias("language")).where("language IS NOT NULL")
+    coded = with_code(known).withColumn("pair", F.arrays_zip(F.split("content", "\n").alias("line_text"), F.split("code", "\n").alias("bare")))
+    n_lines = F.size("pair") - (F.element_at("pair", -1)["line_text"] == "").cast("int")
+    rows = coded.select("path", "language", F.posexplode(F.slice("pair", F.lit(1), n_lines)).alias("line", "x"))
+    unended = lambda c: F.regexp_replace(c, r"\r\z", "")
+    rows = rows.select("path", "language", (F.col("line") + 1).alias("line"), unended(F.col("x.line_text")).alias("line_text"), unended(F.col("x.bare")).alias("bare"), file_id(F.col("path")).alias("file_id"))
     order = Window.partitionBy("file_id").orderBy("line")
     opens, closes = F.regexp_count("bare", F.lit(r"\{")), F.regexp_count("bare", F.lit(r"\}"))
     rows = rows.withColumn("opens", opens).withColumn("after", F.sum(opens - closes).over(order)).withColumn("depth", F.col("after") - opens + closes)
     indent = F.length("line_text") - F.length(F.ltrim("line_text"))
-    return rows.withColumn("indent", F.when(F.trim("line_text") != "", indent))
+    head = F.concat_ws(" ", "bare", *[F.lead("bare", k).over(order) for k in range(1, HEAD_LINES)])
+    return rows.withColumn("indent", F.when(F.trim("bare") != "", indent)).withColumn("head", F.when(F.col("bare").rlike(r"\b(class|struct|interface|object|record|mixin|enum)\b"), head))
+
+
+#: Lines that a type's head may have, and how deep brackets in it may nest.
+HEAD_LINES, DEEPEST = 4, 8
+
+
+def unbracketed(text: Column, brackets: tuple[str, ...] = (r"<[^<>]*>", r"\([^()]*\)", r"\[[^\[\]]*\]")) -> Column:
+    """A text without what is in brackets, from the inside out, so that the commas left are those of depth 0."""
+    for _ in range(DEEPEST):
+        for pair in brackets:
+            text = F.regexp_replace(text, pair, "")
+    return text
+
+
+def base_names(head: Column, name: Column, language: Column) -> Column:
+    """The bases that a type's head names (E16): behind the name to the first brace or semicolon, at commas of bracket depth 0, without
+    access words, type arguments and namespaces. Of Python what stands in the brackets, elsewhere what follows extends and
+    implements (in Dart also with and on) or the first single colon."""
+    behind = F.regexp_extract(F.substr(head, F.instr(head, name) + F.length(name)), r"^([^{;]*)", 1)
+    plain = unbracketed(behind)
+    dart = F.when(language == "Dart", F.regexp_replace(F.regexp_replace(plain, r"\bwith\b", ","), r"\bon\b", "extends")).otherwise(plain)
+    named = F.concat_ws(",", F.regexp_extract(dart, r"\bextends\b(.*?)(?:\bimplements\b|$)", 1), F.regexp_extract(dart, r"\bimplements\b(.*?)(?:\bextends\b|$)", 1))
+    colon = F.regexp_extract(dart, r"(?<!:):(?!:)(.*)$", 1)
+    python = unbracketed(F.regexp_extract(behind, r"^\s*\((.*)\)", 1))
+    listed = F.when(language == "Python", python).when(dart.rlike(r"\b(extends|implements)\b"), named).otherwise(colon)
+    listed = F.regexp_replace(F.regexp_extract(listed, r"^(.*?)(?:\bwhere\b|$)", 1), r"\b(public|protected|private|virtual|final|internal|open|abstract)\b", " ")
+    items = F.filter(F.split(listed, ","), lambda item: ~item.contains("="))  # keyword arguments are no bases
+    return F.filter(F.transform(items, lambda item: F.regexp_extract(item, r"([\p{L}_]\w*)\W*$", 1)), lambda word: word != "")
+
+
+def enclosing(points: DataFrame, intervals: DataFrame) -> DataFrame:
+    """points (file_id, line, ...) with within: the innermost interval (file_id, start, end, ...) that starts on an earlier line and
+    holds the line, as a struct, and level, how many hold it. Two windows over starts, ends and points: what is open is
+    counted, and of an interval's level the last one started is the one that holds what is one level deeper."""
+    row = F.struct(*[c for c in intervals.columns if c != "file_id"])
+    kind = intervals.select(row.alias("r")).schema["r"].dataType.simpleString()
+    none = F.lit(None).cast(kind)
+    starts = intervals.select("file_id", F.col("start").alias("at"), F.lit(2).alias("rank"), F.lit(1).alias("step"), row.alias("interval"))
+    ends = intervals.select("file_id", F.col("end").alias("at"), F.lit(3).alias("rank"), F.lit(-1).alias("step"), none.alias("interval"))
+    asked = points.select("file_id", F.col("line").alias("at"), F.lit(1).alias("rank"), F.lit(0).alias("step"), none.alias("interval"), F.struct(*points.columns).alias("point"))
+    both = asked.unionByName(starts.unionByName(ends), allowMissingColumns=True)
+    # of starts on one line the longer one is outside
+    order = Window.partitionBy("file_id").orderBy("at", "rank", F.desc_nulls_last("interval.end")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("level", F.sum("step").over(order) - (F.col("rank") == 2).cast("int"))
+    deeper = both.where("rank <> 3").withColumn("key", F.when(F.col("rank") == 2, F.col("level") + 1).otherwise(F.col("level")))
+    met = F.last("interval", ignorenulls=True).over(Window.partitionBy("file_id", "key").orderBy("at", "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = deeper.withColumn("within", met).where("rank = 1")
+    return found.select("point.*", F.when((F.col("level") > 0) & (F.col("within.end") >= F.col("at")), F.col("within")).alias("within"), F.col("level").cast("int").alias("level"))
+
+
+def scopes(spans: DataFrame) -> DataFrame:
+    """Declarations with level and parent: the innermost declaration, a type or a function, that holds them."""
+    held = spans.where("end_line > line").select("file_id", F.col("line").alias("start"), F.col("end_line").alias("end"), "kind", "name")
+    found = enclosing(spans, held)
+    return found.select(*spans.columns, "level", F.col("within.name").alias("parent"), F.col("within.start").alias("parent_line"), F.col("within.kind").alias("parent_kind"))
+
+
+def definitions(files: DataFrame, name: str, most: int = 60) -> DataFrame:
+    """(path, start_line, end_line) of the first definition of a name in each file (E21): a line of code that holds the name, with a
+    brace on it or the next one, to the line on which its braces are closed, at most so many lines further."""
+    rows = numbered(files)
+    order = Window.partitionBy("file_id").orderBy("line")
+    target = name.rsplit("::", 1)[-1].strip()
+    braced = F.col("opens") + F.coalesce(F.lead("opens").over(order), F.lit(0)) > 0
+    fits = F.contains("bare", F.lit(target)) & (braced | F.startswith(F.ltrim("bare"), F.lit("def ")))
+    rows = rows.withColumn("start_line", F.min(F.when(fits, F.col("line"))).over(Window.partitionBy("file_id"))).where("line >= start_line")
+    before = F.first("depth").over(order)
+    opened = F.sum("opens").over(order) > 0
+    rows = rows.withColumn("closes", opened & (F.col("after") <= before))
+    ends = rows.groupBy("path", "start_line").agg(F.min(F.when(F.col("closes"), F.col("line"))).alias("closed"), F.max("line").alias("last"))
+    return ends.select("path", "start_line", F.least(F.coalesce("closed", "last"), F.col("start_line") + most).alias("end_line"))
 
 
 def declared(rows: DataFrame) -> DataFrame:
     """Declarations of numbered lines: (file_id, path, language, line, kind, name, owner_hint, depth, indent, text)."""
-    comment = F.col("line_text").rlike(r"^\s*(//|/\*|\*|#(?!\s*\[))") & (F.col("language") != "Python")
+    directive = F.col("bare").rlike(r"^\s*#(?!\s*\[)")
     any_of = F.lit(None).cast("struct<kind:string,name:string,hint:string>")
     for language, rules in DECLARATIONS.items():
         found = F.lit(None).cast("struct<kind:string,name:string,hint:string>")
         for kind, pattern in reversed(rules):
-            first = F.regexp_extract("line_text", pattern, 1)
+            first = F.regexp_extract("bare", pattern, 1)
             two_groups = kind == "receiver" or language == "C/C++" and kind == "function"
-            name = F.regexp_extract("line_text", pattern, 2) if two_groups else first
+            name = F.regexp_extract("bare", pattern, 2) if two_groups else first
             row = F.struct(F.lit(kind).alias("kind"), name.alias("name"), F.nullif(first, F.lit("")).alias("hint") if two_groups else F.lit(None).cast("string").alias("hint"))
-            fits = F.col("line_text").rlike(pattern) & (name != "") & ~name.isin([w for w in NOT_CALLS if w != "new"])
+            fits = F.col("bare").rlike(pattern) & (name != "") & ~name.isin([w for w in NOT_CALLS if w != "new"])
             found = F.when(fits, row).otherwise(found)
         any_of = F.when(F.col("language") == language, found).otherwise(any_of)
-    found = rows.where(~comment).withColumn("d", any_of).where("d IS NOT NULL")
-    return found.select("file_id", "path", "language", "line", "d.kind", "d.name", "d.hint", "depth", "indent", F.col("line_text").alias("text"))
+    found = rows.where(~directive).withColumn("d", any_of).where("d IS NOT NULL")
+    return found.select("file_id", "path", "language", "line", "d.kind", "d.name", "d.hint", "depth", "indent", F.col("line_text").alias("text"), "head")
 
 
 def spans(decls: DataFrame, rows: DataFrame) -> DataFrame:
@@ -151,18 +221,15 @@ def symbols(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     of later overloads, with the id of the symbol that it counts for."""
     rows = kept(numbered(files))
     all_spans = kept(spans(declared(rows), rows))
-    holders = all_spans.where("kind IN ('class', 'impl')").select("file_id", F.col("line").alias("c_start"), F.col("end_line").alias("c_end"), F.col("name").alias("c_name"), F.col("depth").alias("c_depth"))
-    # a class is posted under each line it holds, so lines meet classes by equal numbers
-    holders = holders.where("c_end > c_start").withColumn("line", F.explode(F.sequence(F.col("c_start") + 1, F.col("c_end"))))
-    inner = all_spans.select("file_id", "line").join(holders, ["file_id", "line"]).groupBy("file_id", "line").agg(F.max(F.struct("c_start", "c_name", "c_depth")).alias("c"))
-    owned = all_spans.join(inner, ["file_id", "line"], "left").where("kind <> 'impl'").where("kind <> 'member' OR depth = c.c_depth + 1")
+    holders = all_spans.where("kind IN ('class', 'impl') AND end_line > line").select("file_id", F.col("line").alias("start"), F.col("end_line").alias("end"), "name", "depth")
+    owned = enclosing(all_spans, holders).where("kind <> 'impl'").where("kind <> 'member' OR depth = within.depth + 1")
     is_class = F.col("kind") == "class"
-    owned = owned.withColumn("owner", F.when(~is_class, F.coalesce("hint", "c.c_name")))
-    bases = F.filter(F.transform(F.split(F.regexp_replace(F.regexp_extract("text", r"(?:\bextends\b|\bimplements\b|:(?!:)|^\s*class\s+\w+\()([^{]*)", 1), r"\b(public|private|protected|virtual|implements|extends)\b|[()]|<[^>]*>", " "), r"[,\s]+"), lambda b: F.substring_index(b, "::", -1)), lambda b: b.rlike(r"^[A-Z]\w*$"))
+    owned = owned.withColumn("owner", F.when(~is_class, F.coalesce("hint", "within.name")))
+    bases = base_names(F.col("head"), F.col("name"), F.col("language"))
     made = owned.select(
         F.xxhash64("path", F.coalesce("owner", F.lit("")), "name").alias("id"), "file_id", "path", "language", "name", F.lower("name").alias("name_lower"),
         F.when(is_class, "class").when(F.col("owner").isNotNull(), "method").otherwise("function").alias("kind"), F.when(F.col("text").rlike(r"\b(external|native)\b") & ~is_class, "native").otherwise(F.col("kind")).alias("detail"),
-        "owner", F.col("line").alias("start_line"), "end_line", "has_body", F.when(is_class, bases).otherwise(F.array().cast("array<string>")).alias("bases"),
+        "owner", F.col("line").alias("start_line"), "end_line", "has_body", F.when(is_class & F.col("head").isNotNull(), bases).otherwise(F.array().cast("array<string>")).alias("bases"),
     )
     order = Window.partitionBy("file_id", F.coalesce("owner", F.lit("")), "name").orderBy(F.col("kind") != "class", "start_line")
     made = kept(made)
@@ -225,7 +292,7 @@ def call_sites(bodies: DataFrame, rows: DataFrame) -> DataFrame:
     type, a type itself, or the result of a call (ret:name). Native code that asks for a method of the virtual machine by its
     name calls it (receiver @jvm), and a component's tag in a script is a call of it.
     """
-    code = rows.where(~F.col("line_text").rlike(r"^\s*(//|/\*|\*|#)")).select("file_id", "line", F.regexp_extract_all("bare", F.lit(_CALL), 1).alias("r"), F.regexp_extract_all("bare", F.lit(_CALL), 2).alias("p"), F.regexp_extract_all("bare", F.lit(_CALL), 3).alias("d"), F.regexp_extract_all("bare", F.lit(_CALL), 4).alias("c"))
+    code = rows.where(~F.col("bare").rlike(r"^\s*#")).select("file_id", "line", F.regexp_extract_all("bare", F.lit(_CALL), 1).alias("r"), F.regexp_extract_all("bare", F.lit(_CALL), 2).alias("p"), F.regexp_extract_all("bare", F.lit(_CALL), 3).alias("d"), F.regexp_extract_all("bare", F.lit(_CALL), 4).alias("c"))
     inner = F.arrays_zip("r", "p", "d", "c")
     sites = code.select("file_id", "line", F.explode(inner).alias("x")).select("file_id", "line", "x.r", "x.p", "x.d", "x.c")
     # A chained call hides in the receiver's brackets: a().b() is a call of a as well.
