@@ -297,9 +297,9 @@ def call_sites(bodies: DataFrame, rows: DataFrame) -> DataFrame:
     sites = code.select("file_id", "line", F.explode(inner).alias("x")).select("file_id", "line", "x.r", "x.p", "x.d", "x.c")
     # A chained call hides in the receiver's brackets: a().b() is a call of a as well.
     chained = sites.where("p <> ''").select("file_id", "line", F.lit("").alias("r"), F.lit("").alias("p"), F.lit("").alias("d"), F.col("r").alias("c"))
-    named = lambda some, pattern, mark: some.select("file_id", "line", F.lit(mark).alias("r"), F.lit("").alias("p"), F.lit("").alias("d"), F.explode(F.regexp_extract_all("line_text", F.lit(pattern), 1)).alias("c"))
-    callbacks = named(rows.where("language = 'C/C++'"), r'Get(?:Static)?MethodID\s*\([^"]*"(\w+)"', "@jvm")
-    tags = named(rows.where(F.lower("path").rlike(r"\.[jt]sx$")), r"<(\p{Lu}\w*)(?=[\s/>])", "")
+    named = lambda some, text, pattern, mark: some.select("file_id", "line", F.lit(mark).alias("r"), F.lit("").alias("p"), F.lit("").alias("d"), F.explode(F.regexp_extract_all(text, F.lit(pattern), 1)).alias("c"))
+    callbacks = named(rows.where("language = 'C/C++' AND contains(bare, 'MethodID')"), "line_text", r'Get(?:Static)?MethodID\s*\([^"]*"(\w+)"', "@jvm")
+    tags = named(rows.where(F.lower("path").rlike(r"\.[jt]sx$")), "bare", r"<(\p{Lu}\w*)(?=[\s/>])", "")
     sites = sites.unionByName(chained).unionByName(callbacks).unionByName(tags).where(~F.col("c").isin(NOT_CALLS) & ~((F.col("r") == "std") & (F.col("d") == "::")))
     methods = bodies.where("kind <> 'class'")
     methods = methods.withColumn("line", F.explode(F.sequence("start_line", "end_line")))
