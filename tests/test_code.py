@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
+from snippets import CALLBACKS, CALLS, MORE, MORE_SPANS, SNIPPETS, SPANS, files
 
 from textloom.operators import code_index as c
 from textloom.operators import lexer
@@ -92,3 +93,17 @@ def test_comments_and_literals_hide_no_brace_and_invent_no_call(spark):
     edges = {(r["from_name"], r["to_name"]) for r in readable_edges(c.build(df)).collect()}
     assert ("a/A.kt:A.go", "a/A.kt:A.real") in edges and not [e for e in edges if e[1].split(":")[1] in ("start", "end", "fake")]
     assert [tuple(r) for r in c.definitions(df, "X::real").collect()] == [("a/A.kt", 9, 13)]
+
+
+@pytest.mark.parametrize("sources, spans", [(SNIPPETS, SPANS), (MORE, MORE_SPANS)])
+def test_spans_of_snippets(spark, sources, spans):
+    found = c.symbols(files(spark, sources))[0].where("owner IS NULL OR owner <> name").select("path", "name", "owner", "kind", "start_line", "end_line")
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(spans, key=repr)
+
+
+def test_calls_of_snippets(spark):
+    from textloom.plans.code_queries import readable_edges
+
+    found = readable_edges(c.build(files(spark, SNIPPETS | CALLBACKS))).where("kind = 'CALLS'").select("from_name", "to_name")
+    extra = [("jni/Call.cpp:notify_all", "app/Player.kt:Player.helper"), ("web/App.tsx:App", "web/App.tsx:Panel")]
+    assert sorted(map(tuple, found.collect())) == sorted(CALLS + extra)

@@ -1,10 +1,11 @@
 import tempfile
 
 from pyspark.sql import functions as F
+from snippets import SNIPPETS, files
 
 from textloom.operators import code_index as c
 from textloom.operators import logs
-from textloom.plans.code_queries import SNIPPETS, files, readable_edges
+from textloom.plans.code_queries import readable_edges
 from textloom.sources import files as src
 from textloom.streaming import recorder
 

@@ -82,7 +82,8 @@ def like_literal(term: str) -> str:
 def bigrams(text: Column) -> Column:
     """Pairs of neighbouring characters without white space, in lower case."""
     chars = F.split(F.lower(F.regexp_replace(text, r"(?U)\s", "")), "")
-    return F.when(F.size(chars) >= 2, F.transform(F.sequence(F.lit(1), F.size(chars) - 1), lambda i: F.concat(F.element_at(chars, i), F.element_at(chars, i + 1)))).otherwise(F.array().cast("array<string>"))
+    pairs = F.greatest(F.size(chars) - 1, F.lit(0))
+    return F.zip_with(F.slice(chars, F.lit(1), pairs), F.slice(chars, F.lit(2), pairs), lambda a, b: F.concat(a, b))
 
 
 def simplify_type(text: Column) -> Column:

@@ -86,19 +86,21 @@ def match_lines(content: Column, part: str) -> Column:
 
 
 def preview(files: DataFrame, old: str, new: str, text: str = "content", around: int = 1) -> DataFrame:
-    """Files that an edit would change, without changing them (R4): path, status, lines of the matches, and the lines around the first one
-    before and after."""
+    """Files that an edit would change, without changing them (R4): lines of the matches, and the lines around the first one before and
+    after. Of files that match only with tolerant line ends or trimmed, the match is the first line that differs."""
     rows = patch(files, old, new, True, text).where("status = 'ok'")
-    first = F.get(match_lines(F.col(text), old), F.lit(0))
-    cut = lambda c, extra: F.array_join(F.slice(F.split(c, "\n"), F.greatest(first - around, F.lit(1)), F.lit(1 + extra.count("\n")) + F.least(first - 1, F.lit(around)) + around), "\n")
-    rows = rows.where(F.contains(text, F.lit(old)))
-    return rows.select(*[c for c in files.columns if c != text], match_lines(F.col(text), old).alias("lines"), cut(F.col(text), old).alias("before"), cut(F.col("result"), new).alias("after"))
+    rows = rows.withColumn("_a", F.split(text, "\n")).withColumn("_b", F.split("result", "\n"))
+    rows = rows.withColumn("_head", F.array_position(F.zip_with("_a", "_b", lambda a, b: ~a.eqNullSafe(b)), True).cast("int")).where("_head > 0")
+    first = F.greatest(F.col("_head") - around, F.lit(1))
+    cut = lambda c, extra: F.array_join(F.slice(c, first, F.lit(1 + extra.count("\n")) + F.col("_head") - first + around), "\n")
+    lines = F.when(F.contains(text, F.lit(old)), match_lines(F.col(text), old)).otherwise(F.array("_head"))
+    return rows.select(*[c for c in files.columns if c != text], lines.alias("lines"), cut("_a", old).alias("before"), cut("_b", new).alias("after"))
 
 
-def numbered_bigrams(text: Column) -> Column:
-    """Bigrams with the number of their occurrence, so that sets of them are multisets."""
-    found = bigrams(text)
-    return F.transform(found, lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice(found, F.lit(1), i + 1), lambda x: x == g))))
+def numbered(grams: str) -> Column:
+    """The bigrams of a sorted array column, each with the number of its occurrence, so that sets of them are multisets. The array has to
+    be a column of its own: an expression would be computed anew for every element."""
+    return F.transform(grams, lambda g, i: F.concat(g, F.lit("#"), i - F.array_position(F.col(grams), g)))
 
 
 def hints(files: DataFrame, old: str, text: str = "content", least: float = 0.6) -> DataFrame:
@@ -111,8 +113,8 @@ def hints(files: DataFrame, old: str, text: str = "content", least: float = 0.6)
     breaks = break_counts(F.col("_text"))
     rows = lines(missing.withColumn("mixed", (breaks["crlf"] > 0) & (breaks["lf"] > 0)), "_text")
     rows = rows.where(F.length("line_text").between(int(len(probe) / 2), 2 * len(probe)))
-    a, b = numbered_bigrams(F.lit(probe)), numbered_bigrams(F.col("line_text"))
-    rows = rows.withColumn("dice", 2.0 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))).where(F.col("dice") >= least)
+    rows = rows.withColumn("_a", F.array_sort(bigrams(F.lit(probe)))).withColumn("_b", F.array_sort(bigrams(F.col("line_text"))))
+    rows = rows.withColumn("dice", 2.0 * F.size(F.array_intersect(numbered("_a"), numbered("_b"))) / (F.size("_a") + F.size("_b"))).where(F.col("dice") >= least)
     return rows.groupBy("path").agg(F.min_by(F.struct("line", "line_text", "dice", "mixed"), F.struct((-F.col("dice")).alias("d"), "line")).alias("x")).select("path", "x.*")
 
 

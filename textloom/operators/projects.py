@@ -23,7 +23,7 @@ ENTRY_NAMES = [
     "main.tsx", "main.ts", "index.tsx", "index.ts", "main.jsx", "index.jsx", "main.js", "index.js", "app.tsx", "App.tsx", "main.rs", "lib.rs", "main.py", "__main__.py", "app.py",
     "main.go", "MainActivity.kt", "Main.kt", "MainActivity.java", "Main.java", "Program.cs", "main.dart", "main.cpp", "main.c", "main.swift", "App.swift",
 ]
-GENERATED_DIRS = ["build", "target", "dist", "out", ".gradle", ".cxx", "node_modules", "__pycache__", ".next", "coverage"]
+GENERATED_DIRS = [".git", "node_modules", ".gradle", "build", ".cxx", "target", ".idea", ".dart_tool", "__pycache__", ".next", ".vs", "pods", "intermediates"]
 SOURCE_EXTENSIONS = ["ts", "tsx", "js", "jsx", "mjs", "cjs", "mts", "cts", "vue", "svelte"]
 MOST_SOURCE_BYTES = 2 << 20
 
@@ -40,7 +40,7 @@ def entries_below(tree: DataFrame, start: str = "", hidden: bool = False) -> Dat
 
 def generated(path: Column, dirs: list[str] = GENERATED_DIRS) -> Column:
     """The outermost generated folder of a path, null if it has none."""
-    inner = F.filter(folders(path), lambda f: F.substring_index(f, "/", -1).isin(list(dirs)))
+    inner = F.filter(folders(path), lambda f: F.lower(F.substring_index(f, "/", -1)).isin(list(dirs)))
     return F.get(inner, F.lit(0))
 
 

@@ -203,25 +203,47 @@ def first_wins_dedup(spark, sf_dir):
     return k.first_wins(load(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
 
 
-_BASES = [("Widget", "View"), ("Button", "Widget"), ("Toggle", "Button"), ("Slider", "Widget"), ("Widget", "Object"), ("Loop", "Loop")]
-_METHODS = [(1, "View", "draw", True), (2, "Widget", "size", False), (3, "Button", "draw", True), (4, "Toggle", "draw", True), (5, "Slider", "size", True), (6, "Toggle", "size", True), (7, "Object", "draw", True)]
 
 
-@query("SELECT * FROM (VALUES ('Widget','View',1),('Widget','Object',1),('Button','Widget',1),('Button','View',2),('Button','Object',2),('Slider','Widget',1),('Slider','View',2),('Slider','Object',2),('Toggle','Button',1),('Toggle','Widget',2),('Toggle','View',3),('Toggle','Object',3)) v(class, ancestor, depth)")
+def _part_classes(spark, sf_dir):
+    """Parts as classes: three of them have one base, and every fifth a second one."""
+    part = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    base = part.select("k", F.expr("k div 3").alias("b")).unionByName(part.where("k % 5 = 0").select("k", F.expr("k div 4").alias("b")))
+    return base.select(F.concat(F.lit("P"), "k").alias("class"), F.concat(F.lit("P"), "b").alias("base"))
+
+
+_PART_CLASSES = """WITH RECURSIVE bases AS (SELECT p_partkey AS k, p_partkey // 3 AS b FROM part UNION SELECT p_partkey, p_partkey // 4 FROM part WHERE p_partkey % 5 = 0),
+up(k, a, depth) AS (SELECT k, b, 1 FROM bases WHERE k <> b UNION SELECT up.k, b, depth + 1 FROM up JOIN bases ON bases.k = up.a WHERE b <> up.k AND depth < 12),
+near AS (SELECT k, a, min(depth) AS depth FROM up GROUP BY k, a)
+"""
+
+
+@query(_PART_CLASSES + "SELECT 'P' || k AS class, 'P' || a AS ancestor, depth FROM near")
 def nearest_ancestor(spark, sf_dir):
-    return g.ancestors(spark.createDataFrame(_BASES, "class string, base string"))
+    return g.ancestors(_part_classes(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES (7, 3), (3, 4), (2, 5), (2, 6)) v(from_id, to_id)")
+@query(
+    _PART_CLASSES
+    + """, met AS (SELECT n.k AS id, n.a, n.depth FROM near n JOIN part c ON c.p_partkey = n.k JOIN part b ON b.p_partkey = n.a AND b.p_size % 4 = c.p_size % 4),
+    links AS (SELECT id, arg_min(a, [depth, rank]) AS a FROM (SELECT *, row_number() OVER (ORDER BY 'P' || a) AS rank FROM met) GROUP BY id)
+    SELECT a AS from_id, id AS to_id FROM links QUALIFY count(*) OVER (PARTITION BY a) <= 4"""
+)
 def override_fanout(spark, sf_dir):
-    return g.override_links(spark.createDataFrame(_BASES, "class string, base string"), spark.createDataFrame(_METHODS, "id int, owner string, name string, has_body boolean"))
+    """A part has one method, named by its size."""
+    part = load(spark, sf_dir, "part")
+    methods = part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("P"), "p_partkey").alias("owner"), F.concat(F.lit("m"), F.col("p_size") % 4).alias("name"), (F.col("p_size") > 25).alias("has_body"))
+    return g.override_links(_part_classes(spark, sf_dir), methods)
 
 
-@query("SELECT * FROM (VALUES (1, 12), (2, 13)) v(native_id, function_id)")
+@query("SELECT s_suppkey AS native_id, CASE WHEN s_suppkey % 3 = 0 THEN 1000000 ELSE 2000000 END + s_suppkey AS function_id FROM supplier WHERE s_suppkey % 7 <> 2")
 def suffix_theta_join(spark, sf_dir):
-    natives = spark.createDataFrame([(1, "UsbBridge", "open"), (2, "UsbBridge", "read_all"), (3, "Other", "none")], "id int, owner string, name string")
-    functions = [(11, "Java_org_x_UsbBridge_open", False), (12, "Java_org_x_UsbBridge_open", True), (13, "Java_org_x_UsbBridge_read_1all__I", True), (14, "UsbBridge", True)]
-    return k.suffix_join(natives, spark.createDataFrame(functions, "id int, name string, has_body boolean"))
+    """Suppliers as native methods; every seventh has no function, every third only a declared one, every second one's has a signature."""
+    rows = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
+    natives = rows.select("id", F.concat(F.lit("Usb_"), F.col("id") % 4).alias("owner"), F.concat(F.lit("read_"), "id").alias("name"))
+    name = F.concat(F.lit("Java_org_x_Usb_1"), F.col("id") % 4, F.lit("_read_1"), "id", F.when(F.col("id") % 2 == 0, "__I").otherwise(""))
+    declared = rows.where("id % 7 <> 2").select((F.col("id") + 1_000_000).alias("id"), name.alias("name"), F.lit(False).alias("has_body"))
+    return k.suffix_join(natives, declared.unionByName(rows.where("id % 7 <> 2 AND id % 3 <> 0").select((F.col("id") + 2_000_000).alias("id"), name.alias("name"), F.lit(True).alias("has_body"))))
 
 
 @query(_EDGES + " SELECT to_id AS id, from_id AS other, 'caller' AS role FROM edges WHERE to_id IN ('p:3', 'o:7') UNION SELECT from_id, to_id, 'callee' FROM edges WHERE from_id IN ('p:3', 'o:7')")

@@ -58,13 +58,17 @@ def stage_first_task(spark, sf_dir):
     return g.stage_spans(_stages(spark, sf_dir), ["pid"], ["ts", "pos"]).groupBy("pid", "stage").agg(F.min("started").alias("started"))
 
 
+TASKS = ["compileDebugKotlin", "kspDebug", "mergeDexDebug", "preBuild", "externalNativeBuildDebug", "hello", "packageRelease"]
+
+
 @query(
-    """SELECT * FROM (VALUES (':app:compileDebugKotlin', 'Kotlin compile'), (':app:kspDebug', 'annotation processing'), (':app:mergeDexDebug', 'dexing'), (':app:preBuild', 'resources/manifest'),
-    (':native:externalNativeBuildDebug', 'native C++'), (':app:hello', NULL), (':app:packageRelease', 'packaging')) v(task, stage)"""
+    """SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'Kotlin compile' WHEN 1 THEN 'annotation processing' WHEN 2 THEN 'dexing' WHEN 3 THEN 'resources/manifest'
+    WHEN 4 THEN 'native C++' WHEN 6 THEN 'packaging' END AS stage FROM events"""
 )
 def stage_of_task(spark, sf_dir):
-    tasks = ":app:compileDebugKotlin :app:kspDebug :app:mergeDexDebug :app:preBuild :native:externalNativeBuildDebug :app:hello :app:packageRelease".split()
-    return spark.createDataFrame([(t,) for t in tasks], "task string").withColumn("stage", g.stage_of(F.col("task")))
+    """Events as tasks of a module named by their type."""
+    task = F.concat(F.lit(":"), "event_type", F.lit(":"), F.get(F.array(*map(F.lit, TASKS)), (F.col("event_id") % 7).cast("int")))
+    return load(spark, sf_dir, "events").select("event_id", g.stage_of(task).alias("stage"))
 
 
 @query(LOG_SQL + "SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n, count(*) FILTER (level = 'E') AS errors FROM log GROUP BY 1")
@@ -141,8 +145,14 @@ def settle_detection(spark, sf_dir):
     return g.settled(load(spark, sf_dir, "events"), "user_id", "event_id", "event_type")
 
 
-@query("SELECT * FROM (VALUES ('01:02:03.4', '12', 'E', 'AudioTrack', 'lost: 3'), ('01:02:04.0', '12', 'W', 'usb', '')) v(time, pid, level, tag, msg)")
+@query(
+    LOG_SQL
+    + """SELECT pos, strftime(ts, '%H:%M:%S.%g') AS time, CAST(pid AS VARCHAR) AS pid, level, tag, CASE WHEN pos % 3 = 0 THEN '' ELSE msg END AS msg FROM log WHERE pos % 5 <> 4"""
+)
 def threadtime_parse(spark, sf_dir):
-    lines = ["01-02 01:02:03.4  12  34 E AudioTrack : lost: 3", "01-02 01:02:04.0 12 34 W usb:", "--------- beginning of main", "1 2 3 4 X t: m"]
-    rows = spark.createDataFrame([(x,) for x in lines], "line string").select(g.parse_threadtime(F.col("line")).alias("e"))
-    return rows.where("e IS NOT NULL").select("e.*")
+    """Events as lines of a log; every fifth line has another form, every third no message."""
+    log = log_entries(spark, sf_dir)
+    head = F.concat(F.date_format("ts", "MM-dd HH:mm:ss.SSS"), F.lit("  "), "pid", F.lit("   7 "), F.when(F.col("pos") % 5 == 4, "X").otherwise(F.col("level")), F.lit(" "), "tag")
+    line = F.concat(head, F.when(F.col("pos") % 3 == 0, ":").otherwise(F.concat(F.lit(" : "), "msg")))
+    rows = log.select("pos", g.parse_threadtime(line).alias("e"))
+    return rows.where("e IS NOT NULL").select("pos", "e.*")
\ No newline at end of file

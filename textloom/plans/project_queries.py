@@ -47,10 +47,17 @@ def entry_point(spark, sf_dir):
     return p.entry_point(tree, names=["1", "10", "100", "200", "300"])
 
 
-@query("SELECT * FROM (VALUES ('a', 'web'), ('b', 'rust'), ('c', NULL), ('d', 'android')) v(project, stack)")
+MARKER_FILES = ["package.json", "api/pyproject.toml", "Cargo.toml", "readme", "settings.gradle", "go.mod", "pubspec.yaml", "x/pom.xml", "docs/a.md"]
+
+
+@query(
+    """WITH r AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS project, CASE page_id % 9 WHEN 4 THEN 0 WHEN 0 THEN 1 WHEN 2 THEN 2 WHEN 7 THEN 3 WHEN 1 THEN 4 WHEN 5 THEN 5 WHEN 6 THEN 6 END AS rank FROM pages)
+    SELECT project, ['android', 'web', 'rust', 'java', 'python', 'go', 'dart'][min(rank) + 1] AS stack FROM r GROUP BY project"""
+)
 def project_stack(spark, sf_dir):
-    rows = [("a", "package.json"), ("a", "api/pyproject.toml"), ("b", "Cargo.toml"), ("c", "readme"), ("d", "settings.gradle"), ("d", "build.gradle"), ("d", "web/package.json")]
-    return p.stack(spark.createDataFrame(rows, "project string, path string"))
+    """Hosts as projects, each page a file of it."""
+    pages = load(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1).alias("project"), F.get(F.array(*map(F.lit, MARKER_FILES)), (F.col("page_id") % 9).cast("int")).alias("path"))
+    return p.stack(pages)
 
 
 @query(
@@ -65,10 +72,12 @@ def importing_files(spark, sf_dir):
     return p.importing_files(p.imports(files, ["@"])).select("package", "files", F.array_join("names", ",").alias("names"))
 
 
-@query("SELECT * FROM (VALUES ('@,~,lib')) v(aliases)")
+@query("SELECT doc_id, '@' || doc_id || ',~' || lang || ',lib' AS aliases FROM documents")
 def path_aliases(spark, sf_dir):
-    config = '{\n  // comment\n  "compilerOptions": { /* more */\n    "paths": {\n      "@/*": ["./src/*"],\n      "~/*": ["./app/*"],\n      "lib": ["./lib"]\n    }\n  }\n}'
-    return spark.createDataFrame([(config,)], "config string").select(F.array_join(p.path_aliases(F.col("config")), ",").alias("aliases"))
+    """A configuration with comments per document."""
+    head = '{\n  // "paths": { "no/*": [] }\n  "compilerOptions": { /* "paths": more */\n    "paths": {\n      "@'
+    config = F.concat(F.lit(head), "doc_id", F.lit('/*": ["./src/*"],\n      // "not": []\n      "~'), "lang", F.lit('/*": ["./app/*"],\n      "lib": ["./lib"]\n    }\n  }\n}'))
+    return load(spark, sf_dir, "documents").select("doc_id", F.array_join(p.path_aliases(config), ",").alias("aliases"))
 
 
 @query("SELECT o_custkey AS project, max(o_orderdate) AS mtime, min(path) AS path FROM (SELECT *, 'o' || o_orderkey AS path, max(o_orderdate) OVER (PARTITION BY o_custkey) AS newest FROM orders WHERE o_orderstatus = 'F') WHERE o_orderdate = newest GROUP BY o_custkey")
@@ -116,16 +125,26 @@ def by_size_change(spark, sf_dir):
     return p.by_size_change(compared(side(tree), side(tree.where("page_id % 2 = 0")))).select("path", "change").limit(20)
 
 
-@query("SELECT * FROM (VALUES ('app/build', 'build output'), ('src/build', ''), ('.git', 'git history: keep'), ('x/.idea', 'IDE settings'), ('node_modules', 'dependencies'), ('docs', '')) v(path, tag)")
+@query(
+    """SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'build output' WHEN 2 THEN 'git history: keep' WHEN 3 THEN 'IDE settings' WHEN 4 THEN 'dependencies' WHEN 6 THEN 'dependencies' ELSE '' END AS tag FROM pages"""
+)
 def folder_kinds(spark, sf_dir):
-    rows = [(x,) for x in ("app/build", "src/build", ".git", "x/.idea", "node_modules", "docs")]
-    return spark.createDataFrame(rows, "path string").withColumn("tag", p.kind_tag(F.col("path")))
+    """Folders below the hosts of pages."""
+    names = ["build", "src/a/build", ".git", "x/.idea", "node_modules", "docs", "ios/Pods"]
+    path = F.concat(F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1), F.lit("/"), F.get(F.array(*map(F.lit, names)), (F.col("page_id") % 7).cast("int")))
+    return load(spark, sf_dir, "pages").select("page_id", p.kind_tag(path).alias("tag"))
 
 
-@query("SELECT * FROM (VALUES ('a/b', 'https://github.com/a/b'), ('git@host.org:a/b.git', 'https://host.org/a/b'), ('ssh://git@host.org/a/b', 'https://host.org/a/b'), ('https://host.org/a/b.git', 'https://host.org/a/b')) v(remote, url)")
+@query(
+    """SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'https://github.com/o.x/p-' || page_id ELSE 'https://' || regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) || '/o/p-' || page_id END AS url FROM pages"""
+)
 def remote_urls(spark, sf_dir):
-    rows = [(x,) for x in ("a/b", "git@host.org:a/b.git", "ssh://git@host.org/a/b", "https://host.org/a/b.git")]
-    return spark.createDataFrame(rows, "remote string").withColumn("url", p.remote_url(F.col("remote")))
+    """Remotes of four forms on the hosts of pages."""
+    host, name = F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1), F.concat(F.lit("p-"), "page_id")
+    n = F.col("page_id") % 4
+    remote = F.when(n == 0, F.concat(F.lit("o.x/"), name)).when(n == 1, F.concat(F.lit("git@"), host, F.lit(":o/"), name, F.lit(".git")))
+    remote = remote.when(n == 2, F.concat(F.lit("ssh://git@"), host, F.lit("/o/"), name)).otherwise(F.concat(F.lit(" https://"), host, F.lit("/o/"), name, F.lit(".git/ ")))
+    return load(spark, sf_dir, "pages").select("page_id", p.remote_url(remote).alias("url"))
 
 
 @query("SELECT page_id, replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&amp;', '&') AS text FROM pages")
@@ -145,11 +164,13 @@ def shortened_paths(spark, sf_dir):
     return p.shortened(docs, known.withColumn("short", F.concat(F.lit("<"), "path", F.lit(">"))), "doc_id")
 
 
-@query("SELECT * FROM (VALUES ('API_KEY,HOME_DIR', 'c:/dev/app', true)) v(names, folder, zip)")
+@query("SELECT doc_id, 'A' || doc_id || '_KEY,HOME_' || upper(lang) AS names, 'c:/dev/' || source || '/d' || doc_id AS folder, doc_id % 3 = 0 AS zip FROM documents")
 def build_file_facts(spark, sf_dir):
-    rows = [('key = System.getenv("API_KEY"); x = process.env.HOME_DIR', "A=1\nCMAKE_HOME_DIRECTORY:INTERNAL=C:\\Dev\\App\\\n", bytearray(b"PK\x03\x04rest"))]
-    df = spark.createDataFrame(rows, "build string, cache string, content binary")
-    return df.select(F.array_join(p.environment_names(F.col("build")), ",").alias("names"), p.cache_dir(F.col("cache")).alias("folder"), p.is_zip(F.col("content")).alias("zip"))
+    """A build file, a cache and an archive's first bytes per document."""
+    build = F.concat(F.lit('key = System.getenv("A'), "doc_id", F.lit('_KEY"); lower = getenv("none"); x = process.env.HOME_'), F.upper("lang"))
+    cache = F.concat(F.lit("A=1\nCMAKE_HOME_DIRECTORY:INTERNAL=C:\\Dev\\"), "source", F.lit("\\D"), "doc_id", F.lit("\\\nB=2\n"))
+    content = F.concat(F.when(F.col("doc_id") % 3 == 0, F.lit(b"PK\x03\x04")).otherwise(F.lit(b"PK\x03")), F.col("text").cast("binary"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.array_join(p.environment_names(build), ",").alias("names"), p.cache_dir(cache).alias("folder"), p.is_zip(content).alias("zip"))
 
 
 # Build output
@@ -207,17 +228,22 @@ def crash_reason(spark, sf_dir):
     return d.reasons(log, F.startswith("msg", F.lit("error[")), F.contains("msg", F.lit("-->")), 7)
 
 
-@query("SELECT * FROM (VALUES ('src\\Main.kt:3 and lib/x.c', 'http://localhost:5173/', 5173, 'https://site.example/x', 340, 12, 3.53, 812)) v(rel, url, port, deployed, frames, janky, share, cold)")
+@query(
+    """SELECT doc_id, 'src\\' || lang || '.kt:' || doc_id || ' and lib/x.c' AS rel, CASE WHEN doc_id % 2 = 0 THEN 'http://localhost:' || (3000 + doc_id % 5000) || '/' ELSE 'http://10.0.0.2:' || (3000 + doc_id % 5000) || '/' END AS url,
+    CAST(3000 + doc_id % 5000 AS INTEGER) AS port, 'https://' || source || '.example/' || doc_id AS deployed, CAST(n_chars AS INTEGER) AS frames, CAST(doc_id % 100 AS INTEGER) AS janky, CAST(doc_id % 10 AS DOUBLE) + 0.5 AS share, CAST(doc_id AS INTEGER) AS cold FROM documents"""
+)
 def output_scalars(spark, sf_dir):
-    text = "C:\\Dev\\App\\src\\Main.kt:3 and c:/dev/app/lib/x.c"
-    server = "  \x1b[32mNetwork\x1b[0m: http://10.0.0.2:5173/\n  Local: \x1b[36mhttp://localhost:5173/\x1b[0m\n"
-    frames = "Total frames rendered: 340\nJanky frames: 12 (3.53%)\n"
-    df = spark.createDataFrame([(text, server, '{"url": "https://site.example/x"}', frames, "TotalTime: 812\n")], "a string, b string, c string, f string, t string")
-    stats = d.frame_stats(F.col("f"))
-    url = d.served_url(F.col("b"))
-    return df.select(
-        d.relative(F.col("a"), "C:/Dev/App").alias("rel"), url.alias("url"), d.port(url).alias("port"), d.deploy_url(F.col("c")).alias("deployed"),
-        stats["frames"].cast("int").alias("frames"), stats["janky"].cast("int").alias("janky"), stats["janky_percent"].alias("share"), d.number_after(F.col("t"), "TotalTime").cast("int").alias("cold"),
+    """Output of tools per document, with its paths, addresses and numbers."""
+    n, port = F.col("doc_id"), 3000 + F.col("doc_id") % 5000
+    text = F.concat(F.lit("C:\\Dev\\App\\src\\"), "lang", F.lit(".kt:"), n, F.lit(" and c:/dev/app/lib/x.c"))
+    server = F.concat(F.lit("  \x1b[32mNetwork\x1b[0m: http://10.0.0.2:"), port, F.lit("/\n"), F.when(n % 2 == 0, F.concat(F.lit("  Local: \x1b[36mhttp://localhost:"), port, F.lit("/\x1b[0m\n"))).otherwise(""))
+    address = F.concat(F.lit("https://"), "source", F.lit(".example/"), n)
+    report = F.when(n % 2 == 0, F.concat(F.lit('{"url": "'), address, F.lit('"}'))).otherwise(F.concat(F.lit("see https://first.example, now at "), address))
+    stats = d.frame_stats(F.concat(F.lit("Total frames rendered: "), "n_chars", F.lit("\nJanky frames: "), n % 100, F.lit(" ("), n % 10, F.lit(".5%)\n")))
+    url = d.served_url(server)
+    return load(spark, sf_dir, "documents").select(
+        "doc_id", d.relative(text, "C:/Dev/App").alias("rel"), url.alias("url"), d.port(url).alias("port"), d.deploy_url(report).alias("deployed"), stats["frames"].cast("int").alias("frames"),
+        stats["janky"].cast("int").alias("janky"), stats["janky_percent"].alias("share"), d.number_after(F.concat(F.lit("TotalTime: "), n, F.lit("\n")), "TotalTime").cast("int").alias("cold"),
     )
 
 

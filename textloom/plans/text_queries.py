@@ -104,11 +104,19 @@ def line_edit(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", e.edit_line(t, 2, "replace", "new line").alias("replaced"), e.edit_line(t, 2, "delete").alias("deleted"), e.edit_line(t, 2, "after", "new line").alias("inserted"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'one two', 'ONE TWO', 0), ('b', 'x', 'x', 0)) v(path, content, result, failed)")
+@query("SELECT doc_id, 'start: ' || text || chr(10) || 'end' AS result, CAST(0 AS INTEGER) AS failed FROM documents UNION ALL SELECT -1 - doc_id, 'begin' || doc_id || ' ' || text, CAST(CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END AS INTEGER) FROM documents")
 def apply_blocks(spark, sf_dir):
-    files = spark.createDataFrame([("a", "one two"), ("b", "x")], "path string, content string")
-    blocks = spark.createDataFrame([("a", 1, "one", "ONE"), ("a", 2, "two", "TWO")], "path string, ord int, old string, new string")
-    return e.apply_blocks(files, blocks)
+    """Three blocks per document of which each needs the one before; and the same with every ninth document without one of the texts, so
+    that no file changes."""
+    docs = load(spark, sf_dir, "documents")
+    mark = F.concat(F.lit("begin"), "doc_id", F.lit(" "))
+    files = docs.select(F.col("doc_id").cast("string").alias("path"), F.concat(mark, "text").alias("content"))
+    block = lambda n, old, new: F.struct(F.lit(n).alias("ord"), old.alias("old"), new.alias("new"))
+    steps = [block(1, mark, F.lit("\x01middle: ")), block(2, F.lit("\x01middle: "), F.lit("start: ")), block(3, F.concat(F.lit("start: "), "text"), F.concat(F.lit("start: "), "text", F.lit("\nend")))]
+    blocks = docs.select(F.col("doc_id").cast("string").alias("path"), F.explode(F.array(*steps)).alias("x")).select("path", "x.*")
+    done = e.apply_blocks(files, blocks).select(F.col("path").cast("long").alias("doc_id"), "result", "failed")
+    refused = e.apply_blocks(files, blocks.where("ord = 1 AND path % 9 <> 0").unionByName(blocks.where("ord = 2 AND path % 9 = 0")))
+    return done.unionByName(refused.select((-1 - F.col("path").cast("long")).alias("doc_id"), "result", "failed"))
 
 
 @query("SELECT page_id, regexp_replace(regexp_replace(url, '://', '://user:secret@'), '://[^/@]*@', '://***@') AS masked FROM pages")
@@ -143,10 +151,14 @@ def link_used_vs_declared(spark, sf_dir):
     return ln.used_and_declared(used, declared)
 
 
-@query("SELECT * FROM (VALUES ('@scope/pkg/sub', '@scope/pkg'), ('lodash/fp', 'lodash'), ('./local', NULL), ('fs', NULL), ('https://x/y', NULL), ('@/alias', NULL)) v(spec, package)")
+@query(
+    """SELECT page_id, CASE page_id % 7 WHEN 0 THEN '@s' || page_id || '/pkg' WHEN 1 THEN 'lodash' || page_id END AS package FROM pages"""
+)
 def package_names(spark, sf_dir):
-    specs = ["@scope/pkg/sub", "lodash/fp", "./local", "fs", "https://x/y", "@/alias"]
-    return spark.createDataFrame([(s,) for s in specs], "spec string").withColumn("package", ln.package_of(F.col("spec")))
+    """Specifiers that the numbers and urls of pages make."""
+    n = F.col("page_id")
+    forms = [F.concat(F.lit("@s"), n, F.lit("/pkg/sub")), F.concat(F.lit("lodash"), n, F.lit("/fp")), F.concat(F.lit("./local"), n), F.lit("fs"), F.col("url"), F.concat(F.lit("@/alias"), n), F.concat(F.lit("a b"), n)]
+    return load(spark, sf_dir, "pages").select("page_id", ln.package_of(F.get(F.array(*forms), (n % 7).cast("int"))).alias("package"))
 
 
 @query("SELECT l_orderkey, l_linenumber, max(l_linenumber) OVER (PARTITION BY l_orderkey) AS last_line, lead(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS end_line FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)")
@@ -169,11 +181,13 @@ def match_lines(spark, sf_dir):
 
 
 @query(
-    """WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS r, string_split(replace(text, ' the ', ' THE '), chr(10)) AS q FROM documents WHERE contains(text, ' the ')),
-    f AS (SELECT *, list_position(list_transform(r, lambda x: contains(x, ' the ')), TRUE) AS k FROM p)
+    """WITH w AS (SELECT doc_id, text, CASE WHEN contains(text, ' the ') THEN ' the ' ELSE 'the' END AS old FROM documents WHERE contains(text, 'the')),
+    p AS (SELECT doc_id, old, string_split(text, chr(10)) AS r, string_split(replace(text, old, upper(old)), chr(10)) AS q FROM w),
+    f AS (SELECT *, list_position(list_transform(r, lambda x: contains(x, old)), TRUE) AS k FROM p)
     SELECT doc_id, array_to_string(list_slice(r, greatest(k - 1, 1), k + 1), chr(10)) AS before, array_to_string(list_slice(q, greatest(k - 1, 1), k + 1), chr(10)) AS after FROM f"""
 )
 def edit_preview(spark, sf_dir):
+    """Texts without the words between blanks match trimmed."""
     return e.preview(_docs(spark, sf_dir), " the ", " THE ", "text").select("doc_id", "before", "after")
 
 
@@ -189,10 +203,24 @@ def edits_in_turn(spark, sf_dir):
     return e.apply_in_turn(files, blocks).withColumnRenamed("path", "doc_id")
 
 
-@query("SELECT * FROM (VALUES ('a.txt', 2, 'the quick brown fox', true), ('b.txt', 1, 'the quick brown f', false)) v(path, line, line_text, mixed)")
+@query(
+    LINES_SQL
+    + """, rows AS (SELECT doc_id, 1 AS line, 'the quick brown f' || CASE WHEN doc_id % 3 = 0 THEN 'ox' ELSE '' END AS line_text FROM documents WHERE doc_id % 3 <> 2
+      UNION ALL SELECT doc_id, line + CASE WHEN doc_id % 3 = 2 THEN 0 ELSE 1 END, line_text FROM lines),
+    near AS (SELECT * FROM rows WHERE length(line_text) BETWEEN 9 AND 38),
+    grams AS (SELECT doc_id, line, line_text, lower(regexp_replace(line_text, '\\s', '', 'g')) AS s FROM near),
+    g AS (SELECT doc_id, line, line_text, length(s) - 1 AS n, unnest(range(1, length(s))) AS i, s FROM grams WHERE length(s) > 1),
+    c AS (SELECT doc_id, line, line_text, n, substr(s, i, 2) AS gram, count(*) AS k FROM g GROUP BY ALL),
+    w AS (SELECT substr('thequickbrownfax', i, 2) AS gram, count(*) AS k FROM range(1, 16) r(i) GROUP BY 1),
+    d AS (SELECT doc_id, line, line_text, 2.0 * sum(least(c.k, w.k)) / (n + 15) AS dice FROM c JOIN w USING (gram) GROUP BY doc_id, line, line_text, n)
+    SELECT doc_id, line, line_text FROM d WHERE dice >= 0.6 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, line) = 1"""
+)
 def edit_hints(spark, sf_dir):
-    files = spark.createDataFrame([("a.txt", "x\r\nthe quick brown fox\nz"), ("b.txt", "the quick brown f"), ("c.txt", "nothing like it at all"), ("d.txt", "the quick brown fax")], "path string, content string")
-    return e.hints(files, "the quick brown fax\nnext").where("dice < 1").select("path", "line", "line_text", "mixed")
+    """Two thirds of the documents begin with a line that resembles the one looked for."""
+    docs = load(spark, sf_dir, "documents")
+    head = F.when(F.col("doc_id") % 3 == 0, "the quick brown fox\n").when(F.col("doc_id") % 3 == 1, "the quick brown f\n").otherwise("")
+    files = docs.select(F.col("doc_id").alias("path"), F.concat(head, "text").alias("content"))
+    return e.hints(files, "the quick brown fax\nnext").select(F.col("path").alias("doc_id"), "line", "line_text")
 
 
 @query(

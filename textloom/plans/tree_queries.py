@@ -76,13 +76,16 @@ def find_by_name(spark, sf_dir):
     return t.find_by_name(page_paths(spark, sf_dir).select("path"), "25")
 
 
-_SECRETS = ["a/id_rsa", "b/.env", "b/.env.local", "b/.env.example", "c/key.PEM", "c/pem", "d/release.jks", "d/readme.md", "e/credentials.json.bak"]
 
 
-@query("SELECT path FROM (VALUES ('a/id_rsa'), ('b/.env'), ('b/.env.local'), ('c/key.PEM'), ('d/release.jks')) v(path)")
+_SECRET_NAMES = ["id_rsa", ".env", ".env.local", ".env.example", "key.PEM", "pem", "release.jks", "readme.md", "credentials.json.bak"]
+
+
+@query(PAGE_SQL + "SELECT page_id FROM paths WHERE page_id % 9 IN (0, 1, 2, 4, 6)")
 def secret_paths(spark, sf_dir):
-    rows = spark.createDataFrame([(p,) for p in _SECRETS], "path string")
-    return rows.where(t.is_secret(F.col("path")))
+    """Files of nine names in the folders that pages are."""
+    name = F.get(F.array(*map(F.lit, _SECRET_NAMES)), (F.col("page_id") % 9).cast("int"))
+    return page_paths(spark, sf_dir).where(t.is_secret(F.concat("path", F.lit("/"), name))).select("page_id")
 
 
 @query(DOC_PATH_SQL + "SELECT path FROM paths WHERE NOT list_contains(string_split(path, '/'), 'src3') AND NOT list_contains(string_split(path, '/'), 'vendor')")
