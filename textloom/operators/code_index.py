@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import versions
+from .intervals import enclosing, following
 from .lexer import with_code
 from .links import NOT_CALLS
 from .storage import kept
@@ -111,26 +112,6 @@ def base_names(head: Column, name: Column, language: Column) -> Column:
     return F.filter(F.transform(items, lambda item: F.regexp_extract(item, r"([\p{L}_]\w*)\W*$", 1)), lambda word: word != "")
 
 
-def enclosing(points: DataFrame, intervals: DataFrame) -> DataFrame:
-    """points (file_id, line, ...) with within: the innermost interval (file_id, start, end, ...) that starts on an earlier line and
-    holds the line, as a struct, and level, how many hold it. Two windows over starts, ends and points: what is open is
-    counted, and of an interval's level the last one started is the one that holds what is one level deeper."""
-    row = F.struct(*[c for c in intervals.columns if c != "file_id"])
-    kind = intervals.select(row.alias("r")).schema["r"].dataType.simpleString()
-    none = F.lit(None).cast(kind)
-    starts = intervals.select("file_id", F.col("start").alias("at"), F.lit(2).alias("rank"), F.lit(1).alias("step"), row.alias("interval"))
-    ends = intervals.select("file_id", F.col("end").alias("at"), F.lit(3).alias("rank"), F.lit(-1).alias("step"), none.alias("interval"))
-    asked = points.select("file_id", F.col("line").alias("at"), F.lit(1).alias("rank"), F.lit(0).alias("step"), none.alias("interval"), F.struct(*points.columns).alias("point"))
-    both = asked.unionByName(starts.unionByName(ends), allowMissingColumns=True)
-    # of starts on one line the longer one is outside
-    order = Window.partitionBy("file_id").orderBy("at", "rank", F.desc_nulls_last("interval.end")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = both.withColumn("level", F.sum("step").over(order) - (F.col("rank") == 2).cast("int"))
-    deeper = both.where("rank <> 3").withColumn("key", F.when(F.col("rank") == 2, F.col("level") + 1).otherwise(F.col("level")))
-    met = F.last("interval", ignorenulls=True).over(Window.partitionBy("file_id", "key").orderBy("at", "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    found = deeper.withColumn("within", met).where("rank = 1")
-    return found.select("point.*", F.when((F.col("level") > 0) & (F.col("within.end") >= F.col("at")), F.col("within")).alias("within"), F.col("level").cast("int").alias("level"))
-
-
 def scopes(spans: DataFrame) -> DataFrame:
     """Declarations with level and parent: the innermost declaration, a type or a function, that holds them."""
     held = spans.where("end_line > line").select("file_id", F.col("line").alias("start"), F.col("end_line").alias("end"), "kind", "name")
@@ -207,14 +188,6 @@ def spans(decls: DataFrame, rows: DataFrame) -> DataFrame:
     return out.drop("open", "opening", "closed", "dedent", "next", "n_lines")
 
 
-def following(rows: DataFrame, marks: DataFrame, keys: list[str], at: str, same: bool) -> DataFrame:
-    """rows with met: the first mark of their keys behind them, or at their place if same. One window over both."""
-    side = lambda df, mark, rank: df.withColumn("_mark", F.lit(mark)).withColumn("_rank", F.lit(rank))
-    both = side(rows, False, 1 if same else 2).unionByName(side(marks.select(*keys, at), True, 2 if same else 1), allowMissingColumns=True)
-    behind = Window.partitionBy(*keys).orderBy(at, "_rank").rowsBetween(1, Window.unboundedFollowing)
-    return both.withColumn("met", F.min(F.when(F.col("_mark"), F.col(at))).over(behind)).where("NOT _mark").drop("_mark", "_rank")
-
-
 def symbols(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(symbols, bodies, lines). symbols: (id, file_id, path, language, name, name_lower, kind, detail, owner, start_line,
     end_line, has_body, bases); the first of a file, owner and name stays (K1). bodies: the span of every declaration, also
