@@ -111,3 +111,14 @@ def test_containment_cases(spark, docs):
 def test_sketch_sizes():
     assert dc.sketch_size(1) == 1 and dc.sketch_size(8) == 2  # all but one of the few that can be missing
     assert all(dc.sketch_size(2**p) <= 12 for p in range(20))
+
+
+def test_blocks_are_bounded_by_bytes(spark, docs, monkeypatch):
+    from textloom.llm import ngram_join
+
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:-1] + [f"x{i}"])) for i in range(40)] + [(100 + i, " ".join(f"y{i}-{j}" for j in range(50))) for i in range(5)]
+    expected = sorted(map(tuple, ngram_join.classes(docs(rows)).drop("th").collect()))
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(ngram_join.chunked, "__defaults__", (2000,))
+    assert sorted(map(tuple, ngram_join.classes(docs(rows)).drop("th").collect())) == expected

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ N, THRESHOLD, RECALL = 5, 0.8, 0.99999
 #: Sets in one side of a verification block: a bound on memory, not on partners. Larger groups are cut into blocks that
 #: together hold every pair.
 BLOCK = 512
+#: Bytes of text in a verification block and in a bundle of small blocks, about; one text that is longer is a side of its own.
+BLOCK_BYTES = 8 << 20
 #: Share of a block's pairs from which all are counted by matrix products, and not one by one.
 DENSE = 0.05
 
@@ -38,7 +41,7 @@ def banding(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 12
 
 
 def signatures(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """(key, th, text) to (key, th, node, grams, bands). node: a digest of the whole n-gram set."""
+    """(key, th, text) to (key, th, bytes, node, grams, bands). node: a digest of the whole n-gram set."""
     a = mix(np.arange(1, bands * rows + 1, dtype=np.uint64)) | np.uint64(1)
     b = mix(np.arange(1001, bands * rows + 1001, dtype=np.uint64))
     fold = mix(np.arange(2001, rows + 2001, dtype=np.uint64)) | np.uint64(1)
@@ -55,8 +58,8 @@ def signatures(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int)
                 np.minimum(least, (part[:, None] * a + b).min(axis=0), out=least)
             keys.append(mix((least.reshape(bands, rows) * fold).sum(axis=1)).view(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("key"), batch.column("th"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
-            names=["key", "th", "node", "grams", "bands"],
+            [batch.column("key"), batch.column("th"), pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64()), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
+            names=["key", "th", "bytes", "node", "grams", "bands"],
         )
 
 
@@ -192,44 +195,49 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", **options)
     return noded(docs, key, text, **options).drop("class")
 
 
-def bundled(blocks: DataFrame, rows: int) -> DataFrame:
-    """Blocks dealt to bundles of about `rows` rows, a group of work for one call."""
-    bundles = max(1, blocks.count() // rows)
+def bundled(blocks: DataFrame, rows: int, most: int | None = None) -> DataFrame:
+    """Blocks dealt to bundles of about `rows` rows, and of about `most` bytes of text, a group of work for one call."""
+    count, size = blocks.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    bundles = max(1, count // rows, size // most if most else 0)
     return blocks.withColumn("bundle", F.pmod(F.xxhash64("label", "band", "bucket", "i", "j"), F.lit(bundles)))
 
 
-def chunked(rows: DataFrame, size: str, block: int) -> DataFrame:
-    """rows with chunk, i and j: each row in every block of its group that it belongs to."""
-    rows = rows.withColumn("parts", F.ceil(F.col(size) / F.lit(float(block))).cast("int"))
+def chunked(rows: DataFrame, size: str, weight: str, block: int, most: int = BLOCK_BYTES) -> DataFrame:
+    """rows with chunk, i and j: each row in every block of its group that it belongs to. A group has as many chunks as its rows
+    and its bytes ask for, at most one a row."""
+    parts = F.greatest(F.ceil(F.col(size) / F.lit(float(block))), F.least(F.ceil(F.col(weight) / F.lit(most / 2)), F.col(size)))
+    rows = rows.withColumn("parts", parts.cast("int"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return rows.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("parts", "other", size)
+    return rows.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("parts", "other", size, weight)
 
 
 def candidate_blocks(nodes: DataFrame, block: int, threshold: float) -> DataFrame:
-    """(label, band, bucket, i, j, chunk, node, copies, rep, bands): blocks in which every pair of nodes that meets in a band is
+    """(label, band, bucket, i, j, chunk, node, copies, rep, bytes, bands): blocks in which every pair of nodes that meets in a band is
     once to be compared.
 
     Nodes that meet in a bucket are connected to its smallest node, not to each other. A connected component of at most
-    `block` nodes is one block. A larger one, such as a chain of texts that resemble only their neighbours, is dealt by
+    `block` nodes and BLOCK_BYTES of text is one block. A larger one, such as a chain of texts that resemble only their neighbours, is dealt by
     its buckets: a pair belongs to the first band that it meets in, and a node goes only to buckets where it has such a
     partner, so the work grows with the pairs that meet and not with the square of the component.
     """
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    hubs = cut(banded.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"))
-    met = cut(banded.join(hubs, ["band", "bucket"]))
+    banded = nodes.select("node", "bytes", F.posexplode("bands").alias("band", "bucket"))
+    hubs = cut(banded.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.sum("bytes").alias("weight"), F.min("node").alias("hub")).where("n > 1"))
+    met = cut(banded.drop("bytes").join(hubs, ["band", "bucket"]))
     spokes = met.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("k"))
     member = cut(components(spokes, "node", "hub"))
-    member = cut(member.join(member.groupBy("label").agg(F.count("*").alias("size")), "label"))
-    facts = nodes.select("node", "copies", "rep", "bands")
-    columns = ["label", "band", "bucket", "i", "j", "chunk", "node", "copies", "rep", "bands"]
+    weighed = member.join(nodes.select("node", "bytes"), "node").groupBy("label").agg(F.count("*").alias("size"), F.sum("bytes").alias("weight"))
+    fits = (F.col("size") <= block) & (F.col("weight") <= BLOCK_BYTES)
+    member = cut(member.join(weighed.select("label", fits.alias("fits")), "label"))
+    facts = nodes.select("node", "copies", "rep", "bytes", "bands")
+    columns = ["label", "band", "bucket", "i", "j", "chunk", "node", "copies", "rep", "bytes", "bands"]
     zero = F.lit(0)
-    whole = member.where(F.col("size") <= block).join(facts, "node")
-    whole = whole.select("label", F.lit(-1).alias("band"), F.lit(0).cast("long").alias("bucket"), zero.alias("i"), zero.alias("j"), zero.alias("chunk"), "node", "copies", "rep", "bands")
-    large = member.where(F.col("size") > block)
+    whole = member.where("fits").join(facts, "node")
+    whole = whole.select("label", F.lit(-1).alias("band"), F.lit(0).cast("long").alias("bucket"), zero.alias("i"), zero.alias("j"), zero.alias("chunk"), "node", "copies", "rep", "bytes", "bands")
+    large = member.where("NOT fits")
     if large.isEmpty():
         return whole
-    dealt = met.join(large.select("node"), "node").join(nodes.select("node", "grams", "copies", "rep", "bands"), "node").drop("hub")
-    dealt = bundled(cut(chunked(dealt, "n", block).withColumn("label", F.lit(b""))), 8 * block)
+    dealt = met.join(large.select("node"), "node").join(nodes.select("node", "grams", "copies", "rep", "bytes", "bands"), "node").drop("hub")
+    dealt = bundled(cut(chunked(dealt, "n", "weight", block).withColumn("label", F.lit(b""))), 8 * block)
     kinds = {f.name: f.dataType.simpleString() for f in dealt.schema.fields}
     first = dealt.groupBy("bundle").applyInPandas(lambda frame: first_met(frame, threshold)[columns], ", ".join(f"{c} {kinds[c]}" for c in columns))
     return whole.unionByName(first)
@@ -253,13 +261,13 @@ def noded(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N,
     keyed = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
     with workspace(docs.sparkSession) as keep:
-        signed = keep(cut(keyed.mapInArrow(lambda it: signatures(it, n, bands, rows), f"key {kind}, th long, node binary, grams int, bands array<long>")))
-        nodes = signed.groupBy("node").agg(F.count("*").alias("copies"), F.min("key").alias("least"), F.min(F.struct("th", "key")).alias("rep"), F.first("grams").alias("grams"), F.first("bands").alias("bands"))
+        signed = keep(cut(keyed.mapInArrow(lambda it: signatures(it, n, bands, rows), f"key {kind}, th long, bytes long, node binary, grams int, bands array<long>")))
+        nodes = signed.groupBy("node").agg(F.count("*").alias("copies"), F.min("key").alias("least"), F.min(F.struct("th", "key")).alias("rep"), F.max("bytes").alias("bytes"), F.first("grams").alias("grams"), F.first("bands").alias("bands"))
         nodes = cut(nodes)
         blocks = cut(candidate_blocks(nodes, block, threshold))
         wanted = blocks.select("rep").distinct()
         texts = keyed.withColumn("rep", F.struct("th", "key")).join(small(cut(wanted)), "rep", "left_semi").select("rep", "text")
-        work = bundled(blocks, 2 * block).join(texts, "rep").drop("rep")
+        work = bundled(blocks, 2 * block, BLOCK_BYTES).join(texts, "rep").drop("rep")
         found = cut(work.groupBy("bundle").applyInPandas(lambda frame: verified(frame, threshold, n), "node binary, peer binary, links long"))
         links = found.where("peer IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
         merged = components(found.where("peer IS NOT NULL").select(F.col("node").alias("a"), F.col("peer").alias("b")))
