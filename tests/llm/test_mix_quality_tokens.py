@@ -234,3 +234,15 @@ def test_table_file_blocks_and_lookup():
     file.write(b"\xff\xff")
     with pytest.raises(ValueError):
         list(Reader(file, file.seek(0, 2)).block(0))
+
+
+def test_more_draws_than_the_generator_takes():
+    quota = np.array([10**12, 3 * 10**11, 7, 0, 5 * 10**9], np.int64)
+    total, out = int(quota.sum()), []
+    for take in (0, 5, total // 3, total - 5, total):
+        got = m.dealt_draws(np.random.default_rng([1, take % 97]), quota, take)
+        assert got.sum() == take and (got >= 0).all() and (got <= quota).all()
+        out.append(got)
+    assert abs(out[2][0] / quota[0] - 1 / 3) < 1e-4
+    again = m.dealt_draws(np.random.default_rng([1, (total // 3) % 97]), quota, total // 3)
+    assert (again == out[2]).all()

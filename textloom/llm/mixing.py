@@ -47,6 +47,34 @@ def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = 1.
     return sources.select("source", "sid", "source_size", F.when(F.col("stops"), F.col("most")).otherwise(F.col("weight") * left / F.nullif(free, F.lit(0.0))).alias("target"))
 
 
+#: Draws from which the generator's own hypergeometric sampler refuses.
+LARGE = 10**9
+
+
+def drawn_of(rng: np.random.Generator, own: int, others: int, take: int) -> int:
+    """How many of `take` draws without replacement come from `own` and not from `others`; of LARGE or more by the normal
+    distribution with that mean and variance, within what is possible."""
+    if own + others < LARGE:
+        return int(rng.hypergeometric(own, others, take))
+    n = own + others
+    mean, share = take * own / n, own / n
+    spread = (take * share * (1 - share) * (n - take) / (n - 1)) ** 0.5
+    return int(min(max(round(rng.normal(mean, spread)), take - others, 0), own, take))
+
+
+def dealt_draws(rng: np.random.Generator, quota: np.ndarray, take: int) -> np.ndarray:
+    """A multivariate hypergeometric draw, one source after the other beyond LARGE."""
+    left = int(quota.sum())
+    if left < LARGE:
+        return rng.multivariate_hypergeometric(quota, take, method="marginals")
+    out = []
+    for own in quota.tolist():
+        left -= own
+        out.append(drawn_of(rng, own, left, take) if left else take)
+        take -= out[-1]
+    return np.array(out, np.int64)
+
+
 def split_quotas(shards: Iterator[pd.DataFrame], sids: list[int], draws: list[int], count: int, seed: int) -> Iterator[pd.DataFrame]:
     """For each shard (a leaf) its first draw and number of draws of every source.
 
@@ -62,7 +90,7 @@ def split_quotas(shards: Iterator[pd.DataFrame], sids: list[int], draws: list[in
                 mid = (lo + hi) // 2
                 rng = np.random.default_rng([seed, lo, hi])
                 take = int(quota.sum()) * (mid - lo) // (hi - lo)
-                left = rng.multivariate_hypergeometric(quota, take, method="marginals")
+                left = dealt_draws(rng, quota, take)
                 if shard < mid:
                     quota, hi = left, mid
                 else:
@@ -151,5 +179,28 @@ def taken(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     return rows.select(F.col("key").alias(key), "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("size") * F.size("draws")).cast("long").alias("taken"), F.col("draws.shard").alias("shards"))
 
 
+def mix_targets(spark, sf_dir: str) -> DataFrame:
+    """What op2_mix_sources aims at: doc_id, size, source_size, target."""
+    sized = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    sources = source_targets(sized).withColumnRenamed("source", "s")
+    return sized.join(small(sources), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", F.coalesce(F.round("target", 6), F.lit(0.0)).alias("target"))
+
+
+#: The targets of mix_targets, by filling sources one after the other: of those left the one that stops first, if it does.
+SQL_TARGETS = r"""
+WITH RECURSIVE sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 3.0 * sum(size) AS most, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1.0 AS weight FROM sized GROUP BY source),
+o AS (SELECT *, row_number() OVER (ORDER BY most / weight, source NULLS LAST) AS k, count(*) OVER () AS n FROM s),
+fill(k, words, weights, level) AS (
+  SELECT CAST(1 AS BIGINT), CAST(sum(source_size) AS DOUBLE), CAST(sum(weight) AS DOUBLE), CAST(NULL AS DOUBLE) FROM s
+  UNION ALL
+  SELECT f.k + 1, f.words - CASE WHEN f.words / f.weights >= most / weight THEN most ELSE 0 END, f.weights - CASE WHEN f.words / f.weights >= most / weight THEN weight ELSE 0 END,
+    CASE WHEN f.words / f.weights >= most / weight THEN NULL ELSE f.words / f.weights END
+  FROM fill f JOIN o ON o.k = f.k WHERE f.level IS NULL AND f.weights > 1e-9),
+level AS (SELECT coalesce(max(level), 1e300) AS level FROM fill)
+SELECT doc_id, size, source_size, round(least(most, weight * level), 6) AS target FROM sized JOIN o ON o.source IS NOT DISTINCT FROM sized.source CROSS JOIN level
+"""
+
+
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
     return taken(spark.read.parquet(f"{sf_dir}/documents.parquet"))

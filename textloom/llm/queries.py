@@ -18,6 +18,8 @@ QUERIES = {
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op12_warc": warc.op12_warc,
     "op13_token_alignment": token_alignment.op13_token_alignment,
+    "mix_targets": mixing.mix_targets,
+    "url_rules": url_filter.url_rules,
 }
 
 ORACLE_SQL = {
@@ -26,4 +28,6 @@ ORACLE_SQL = {
     "op10_exact_dedup": exact_dedup.SQL,
     "op11_merkle_manifest": merkle.SQL,
     "op12_warc": warc.SQL,
+    "mix_targets": mixing.SQL_TARGETS,
+    "url_rules": url_filter.SQL_RULES,
 }

@@ -155,6 +155,20 @@ def judge(pages: DataFrame, labelled: DataFrame, key: str = "page_id", url: str
     return rows.select(F.col("key").alias(key), "host", "path", F.col("fixed.rule").alias("rule"), verdict.alias("verdict"), "confidence")
 
 
+def url_rules(spark, sf_dir: str) -> DataFrame:
+    """The fixed part of op6_url_filter: page_id, host, path, rule."""
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    return rows.select("page_id", "host", "path", matched_rule(F.col("host"), F.col("path"), RULES)["rule"].alias("rule"))
+
+
+SQL_RULES = r"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r(h, p) AS (VALUES ('org', '/'), ('example.org', '/es/'), ('example.org', '/en/1'), ('com', '/fr/'), ('com', '/de/'))
+SELECT page_id, host, path, (SELECT arg_max(r.h || r.p, length(r.h || r.p)) FROM r WHERE (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.p)) AS rule FROM p
+"""
+
+
 def op6_url_filter(spark, sf_dir: str) -> DataFrame:
     """Labels of urls: the quality of the label whose doc_id is the page's page_id; 0 counts as bad."""
     pages, labels = spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
