@@ -1,6 +1,7 @@
 import difflib
 import random
 import time
+from statistics import NormalDist
 
 from textloom.llm import html_extract as h
 from textloom.llm import license_scan as ls
@@ -62,19 +63,46 @@ def test_mined_rules_equal_brute_force(spark):
     labelled = spark.createDataFrame(rows, "url string, bad boolean")
     have = {r["url"]: frozenset(r["t"]) for r in labelled.select("url", u.tokens(labelled["url"]).alias("t")).distinct().collect()}
     bad = sum(b for _, b in rows)
-    found = {}
-    for f in {frozenset(c) for t in have.values() for k in range(1, len(t) + 1) for c in combinations(sorted(t), k)}:
-        k, n = sum(f <= have[x] for x, b in rows if b), sum(f <= have[x] for x, _ in rows)
-        if k < 3 or k / n < 0.5 or sum(t.startswith("host=") for t in f) > 1:
-            continue
-        share, z = k / n, 1.96
-        if (share + z * z / (2 * n) - z * (share * (1 - share) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n) > bad / len(rows):
+    alike = {}
+    for t in set().union(*have.values()):
+        urls_ = frozenset(x for x, b in rows if b and t in have[x])
+        if sum(b for x, b in rows if b and t in have[x]) >= 3:
+            alike.setdefault(urls_, []).append((sum(t in have[x] for x, _ in rows), t))
+    first = {min(ts)[1] for ts in alike.values()}
+    hosts = lambda ts: [t for t in ts if t.startswith("host=")]
+    sets = {frozenset(c) for t in have.values() for k in range(1, len(t) + 1) for c in combinations(sorted(t & first), k) if len(hosts(c)) <= 1}
+    whole = {frozenset(t for _, t in ts if not t.startswith("host=") or t == max(hosts(u for _, u in ts), key=len)) for ts in alike.values()} - sets
+    tested = {f: (sum(f <= have[x] for x, b in rows if b), sum(f <= have[x] for x, _ in rows)) for f in sets | {f for f in whole if len(f) > 1}}
+    tested = {f: v for f, v in tested.items() if v[0] >= 3}
+    z, found = NormalDist().inv_cdf(1 - 0.025 / len(tested)), {}
+    for f, (k, n) in tested.items():
+        share = k / n
+        if share >= 0.5 and (share + z * z / (2 * n) - z * (share * (1 - share) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n) > bad / len(rows):
             found[f] = (k, n, round(share, 9), round(k / len(rows), 9), round(share * len(rows) / bad, 9))
-    want = {f: v for f, v in found.items() if not any(len(o) < len(f) and o < f and found[o][2] >= v[2] for o in found)}
+    want = {f: v for f, v in found.items() if not any(o < f and found[o][2] >= v[2] for o in found if f in sets or len(o) == 1)}
     got = {frozenset(r["antecedent"]): (r["bad"], r["total"], *(round(r[c], 9) for c in ("confidence", "support", "lift"))) for r in u.mine(labelled).collect()}
     assert got == want and want
 
 
+def test_urls_that_share_many_tokens_are_mined_in_little_time(spark):
+    import time
+
+    long = "/".join(f"part{i}" for i in range(30))
+    rows = [(f"http://bad.net/{long}/x{i}?q{i % 7}=1", True) for i in range(1000)] + [(f"http://good.net/{long.replace('part3', 'other')}/x{i}", False) for i in range(1000)]
+    rng = random.Random(3)
+    rows += [("http://mix.net/" + "/".join(rng.sample([f"seg{k}" for k in range(40)], 30)), rng.random() < 0.5) for _ in range(300)]
+    start = time.time()
+    found = [set(r["antecedent"]) for r in u.mine(spark.createDataFrame(rows, "url string, bad boolean")).collect()]
+    assert time.time() - start < 90
+    assert any(len(f) == 1 and f <= {"host=bad.net", "path=part3"} | {f"path=part3{k}" for k in range(10)} for f in found)
+
+
+def test_labels_that_say_nothing_give_no_rules(spark):
+    rng = random.Random(6)
+    rows = [(f"http://{rng.choice('abcdefgh')}.{rng.choice(['com', 'net'])}/{rng.choice('pqrstuvw')}/{rng.choice('xyz')}?{rng.choice('klmn')}=1", rng.random() < 0.4) for _ in range(1500)]
+    assert u.mine(spark.createDataFrame(rows, "url string, bad boolean")).count() == 0
+
+
 PAGE = (
     '<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><article>";</script></head><body class="has-sidebar"><nav><ul><li>Home</ul></nav>'
     '<div id="cookie-notice">We use cookies</div><div class="ad">Buy</div><article><h1>Head &amp; line</h1><p>One  <b>bold</b>\n text &eacute;&#233;&#xe9;<p><i>Two</i><aside>Side</aside><form>F<button>B</button></form>'
@@ -279,10 +307,31 @@ def test_every_copy_of_a_notice_is_a_row():
         assert all(f["words"] >= t.need for f in found)
 
 
+def test_whole_licenses_in_little_time():
+    texts = ls.all_templates()
+    assert {"apache-2.0", "gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "mpl-2.0"} <= set(texts)
+    known = ls.templates()
+    took = {}
+    for name in ("apache-2.0", "gpl-2.0", "lgpl-2.1", "gpl-3.0", "mpl-2.0"):
+        start = time.process_time()
+        found = ls.found_in("Copyright X\n" + texts[name] + "\nend", known)
+        took[name] = time.process_time() - start
+        assert [(f["license"], round(f["coverage"], 3)) for f in found if f["words"] > 600] == [(name, 1.0)]
+    gpl = texts["gpl-3.0"]
+    assert took["gpl-3.0"] < 3, took
+    one = [t for t in known if t.name == "gpl-3.0"]
+    start = time.process_time()
+    ls.found_in(gpl, one)
+    assert time.process_time() - start < 1
+    broken = " ".join(w for i, w in enumerate(gpl.split()) if i % 9)
+    found = ls.found_in(broken + " between " * 50 + gpl + " word " * 20_000 + broken, one)
+    assert [round(f["coverage"], 1) for f in found] == [0.9, 1.0, 0.9]
+
+
 def test_filter_words_lose_no_license():
     """A text that covers a template has one of its filter words: checked against a plain scan with difflib."""
     rng = random.Random(8)
-    known = ls.templates()
+    known = ls.templates(texts=ls.TEMPLATES)
     for t in known:
         for _ in range(20):
             kept = [w for w in t.words if rng.random() < 0.9]

@@ -6,9 +6,9 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from importlib import resources
 from math import ceil
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -161,6 +161,12 @@ def common(a: list[str], b: list[str], i: int, j: int, p: int, q: int) -> list[t
     return rising([(x, y) for x in range(i, j) for y in where.get(a[x], ())])  # in one x the places fall, so a run takes x once
 
 
+def all_templates() -> dict[str, str]:
+    """TEMPLATES and the whole licenses in the folder beside this file, by name."""
+    whole = sorted(x for x in resources.files(__package__).joinpath("licenses").iterdir() if x.name.endswith(".txt"))
+    return TEMPLATES | {x.name.removesuffix(".txt"): x.read_text() for x in whole}
+
+
 class Template:
     """A template's words and those of which every text that carries it must have one: all but
     COVERAGE of the words can be missing, so of any more words one is there; the rarest serve."""
@@ -169,6 +175,13 @@ class Template:
         self.name = name
         self.words = [normal(w) for w in WORD.findall(text)]
         self.need = ceil(coverage * len(self.words) - 1e-9)
+        self.times = Counter(self.words)
+        #: The places of each word, as the bits of a whole number, from the template's start and from its end.
+        self.places: dict[str, int] = {}
+        self.backwards: dict[str, int] = {}
+        for y, word in enumerate(self.words):
+            self.places[word] = self.places.get(word, 0) | 1 << y
+            self.backwards[word] = self.backwards.get(word, 0) | 1 << (len(self.words) - 1 - y)
         self.must: set[str] = set()
         missing = 0
         for word, n in sorted(Counter(self.words).items(), key=lambda x: (rarity[x[0]], -len(x[0]), x[0])):
@@ -179,7 +192,7 @@ class Template:
 
 
 def templates(coverage: float = COVERAGE, texts: dict[str, str] | None = None) -> list[Template]:
-    texts = TEMPLATES if texts is None else texts
+    texts = all_templates() if texts is None else texts
     rarity = Counter(w for t in texts.values() for w in {normal(x) for x in WORD.findall(t)} if len(w) <= 5)
     return [Template(name, text, rarity, coverage) for name, text in texts.items()]
 
@@ -200,36 +213,69 @@ def windows(words: list[str], t: Template) -> Iterator[tuple[int, int]]:
         yield start, min(end, len(words))
 
 
+def reached(hits: list[int], bits: list[int], at: int, step: int, full: int, need: int) -> int:
+    """The first of hits from `at` on (step 1) or back (-1) by which `need` of the template's words came in order, or -1. bits has the
+    places of each hit's word in the template; the lengths of common subsequences with its starts are the zeros of one whole
+    number, which a word changes by one addition."""
+    state = full
+    while 0 <= at < len(hits):
+        places = state & bits[at]
+        state = ((state + places) | (state - places)) & full
+        if full.bit_length() - state.bit_count() >= need:
+            return at
+        at += step
+    return -1
+
+
 def stretches(words: list[str], t: Template) -> list[tuple[int, int]]:
     """(first, last) of stretches without common words, each shorter than twice the template with t.need of its
-    words in order: the one that ends first, from its latest start, then the next behind it. No choice has more."""
-    m = len(t.words)
-    where: dict[str, list[int]] = {}
-    for y in range(m - 1, -1, -1):
-        where.setdefault(t.words[y], []).append(y)
-    if sum(w in where for w in words) < t.need:
-        return []
-    none, out = -2 * m, []
-    latest = np.full((t.need + 1, m + 1), none)  # the latest start of k words in order out of the first j of the template
-    for x, word in enumerate(words):
-        latest[0] = x
-        for y in where.get(word, ()):  # from the last place, so that a word is taken once
-            np.maximum(latest[1:, y + 1 :], latest[:-1, y, None], out=latest[1:, y + 1 :])
-        first = int(latest[t.need, m])
-        if x - first < 2 * m and first >= 0:
-            out.append((first, x))
-            latest[:] = none
-    return out
+    words in order: the one that ends first, from its latest start, then the next behind it. No choice has more.
+
+    A stretch can only end where so many words of the template, each as often as the template has it, lie within that reach. From
+    the first such place the words that count in order are found forwards, and the latest start backwards from there.
+    """
+    m, full = len(t.words), (1 << len(t.words)) - 1
+    hits = [x for x, w in enumerate(words) if w in t.places]
+    ends, inside, count, lo = [], Counter(), 0, 0
+    for k, x in enumerate(hits):
+        word = words[x]
+        inside[word] += 1
+        count += inside[word] <= t.times[word]
+        while hits[lo] <= x - 2 * m:
+            count -= inside[words[hits[lo]]] <= t.times[words[hits[lo]]]
+            inside[words[hits[lo]]] -= 1
+            lo += 1
+        if count >= t.need:
+            ends.append((k, lo))
+    forwards, backwards = [t.places[words[x]] for x in hits], [t.backwards[words[x]] for x in hits]
+    out, at, e = [], 0, 0
+    while True:
+        while e < len(ends) and ends[e][0] < at:
+            e += 1
+        if e == len(ends):
+            return out
+        at = max(at, ends[e][1])
+        last = reached(hits, forwards, at, 1, full, t.need)
+        if last < 0:
+            return out
+        first = reached(hits, backwards, last, -1, full, t.need)
+        if hits[last] - hits[first] < 2 * m:
+            out.append((hits[first], hits[last]))
+            at = last + 1
+        else:
+            at = first + 1
 
 
 def occurrences(words: list[str], t: Template) -> Iterator[list[tuple[int, int]]]:
-    """The alignment of every occurrence of a template: each stretch with the words up to its neighbours."""
+    """The alignment of every occurrence of a template: patience on each stretch with the words up to its neighbours, whose anchors reach
+    beyond the stretch; if that has fewer than t.need words, as where nothing in it is unique, on the stretch alone without anchors."""
     found = stretches(words, t)
     lo = 0
     for (first, last), (hi, _) in zip(found, [*found[1:], (len(words), 0)], strict=False):
         lo, hi = max(lo, last + 1 - 2 * len(t.words)), min(hi, first + 2 * len(t.words))
-        ways = [(lo, tight(patience(words[lo:hi], t.words), t)), (first, common(words[first : last + 1], t.words, 0, last + 1 - first, 0, len(t.words)))]
-        at, best = max(ways, key=lambda w: len(w[1]))
+        at, best = lo, tight(patience(words[lo:hi], t.words), t)
+        if len(best) < t.need:
+            at, best = first, common(words[first : last + 1], t.words, 0, last + 1 - first, 0, len(t.words))
         yield [(at + x, y) for x, y in best]
         lo = at + best[-1][0] + 1
 
@@ -296,7 +342,7 @@ def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", cover
         if width(table) > BROADCAST_BYTES:
             raise ValueError(f"templates of more than {BROADCAST_BYTES} bytes")
         texts = {r["license"]: r["text"] for r in table.orderBy("license", "text").collect()}
-    texts = TEMPLATES if texts is None else texts
+    texts = all_templates() if texts is None else texts
     texts = {name: t for name, t in texts.items() if WORD.search(t)}
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))

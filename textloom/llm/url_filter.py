@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, small, workspace
@@ -16,9 +18,12 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-#: What a mined rule needs: bad urls that it fits, their share of all labelled urls that it fits, and so many standard
-#: errors (Wilson's lower limit of that share) by which it is above the share of bad urls among all.
-MIN_COUNT, MIN_CONFIDENCE, ERRORS = 3, 0.5, 1.96
+#: What a mined rule needs: bad urls that it fits, their share of all labelled urls that it fits, and a lower limit of that share
+#: (Wilson's) above the share of bad urls among all. CHANCE is that of any rule by chance, however many combinations are tested.
+MIN_COUNT, MIN_CONFIDENCE, CHANCE = 3, 0.5, 0.025
+#: Tokens of a url that are combined with each other, the rarest among bad urls: a bound on the 2^k combinations that urls can share. Every
+#: token makes a rule of its own.
+MOST_COMBINED = 12
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -82,35 +87,79 @@ def wilson(share: Column, n: Column, z: float) -> Column:
     return (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def mine(labelled: DataFrame, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, errors: float = ERRORS) -> DataFrame:
+def classed(posts: DataFrame, min_count: int) -> DataFrame:
+    """(token, bad, total, members): of tokens that the same bad urls have the one that fits fewest urls, with all of them. Sets of urls
+    are compared by two hashes of 64 bits, gathered with reduction in the map. posts: (url, token, bad, n)."""
+    print_ = lambda seed: F.bit_xor(F.when(F.col("bad"), F.xxhash64("url", F.lit(seed)))).alias(f"h{seed}")
+    per_token = posts.groupBy("token").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("bad"), F.sum("n").alias("total"), print_(1), print_(2))
+    alike = per_token.where(F.col("bad") >= min_count).groupBy("bad", "h1", "h2")
+    return alike.agg(F.min(F.struct("total", "token")).alias("x"), F.collect_list("token").alias("members")).select("x.token", "bad", "x.total", "members")
+
+
+def one_host(tokens_: Column) -> Column:
+    """Tokens with the longest of their domains only, sorted: they fit the same urls."""
+    hosts = F.filter(tokens_, lambda t: F.startswith(t, F.lit("host=")))
+    longest = F.array_max(F.transform(hosts, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    return F.array_sort(F.filter(tokens_, lambda t: ~F.startswith(t, F.lit("host=")) | t.eqNullSafe(longest)))
+
+
+def mine(labelled: DataFrame, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, chance: float = CHANCE, most_combined: int = MOST_COMBINED) -> DataFrame:
     """(id, antecedent, bad, total, confidence, support, lift) of rules that say block, from rows of (url, bad).
 
     FP-growth finds the token combinations that at least min_count bad urls share, the same number at every size; it reads
-    bad urls only, which loses no rule. How many urls of all each combination fits is counted by an inverted index. Of
-    combinations with several domains of one host the one with the longest alone is taken, as it fits the same urls.
-    A rule goes if a rule of fewer of its tokens is as confident. No labels give no rules.
+    bad urls only, which loses no rule. Tokens that the same bad urls have count as one, that which fits fewest urls of all, so what
+    copies of a url share is not combined in all ways; all of such tokens together are a candidate of their own. Of a url the
+    most_combined rarest such tokens are combined, and each makes a candidate alone. How many urls, bad and of all, each candidate fits is
+    counted exactly by an inverted index. Of combinations with several domains of one host the longest alone is taken, as it
+    fits the same urls. The limit of a rule's confidence is corrected for the number of candidates, so that labels which say
+    nothing about urls give no rules. A rule goes if a rule of fewer of its tokens is as confident, which is looked up among
+    combinations of one token less, size by size. No labels give no rules.
     """
-    with workspace(labelled.sparkSession) as keep:
-        baskets = cut(labelled.groupBy("url", "bad").agg(F.count("*").alias("n")).select("n", "bad", tokens(F.col("url")).alias("items")))
+    spark = labelled.sparkSession
+    with workspace(spark) as keep:
+        baskets = cut(labelled.groupBy("url", "bad").agg(F.count("*").alias("n")).select("url", "n", "bad", tokens(F.col("url")).alias("items")))
         bad, every = baskets.agg(F.sum(F.when(F.col("bad"), F.col("n"))), F.sum("n")).first()
         kind = "id long, antecedent array<string>, bad long, total long, confidence double, support double, lift double"
         if not bad or bad < min_count:
-            return labelled.sparkSession.createDataFrame([], kind)
-        copies = baskets.where("bad").select("items", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))))
+            return spark.createDataFrame([], kind)
+        posts = baskets.select("url", "n", "bad", F.explode("items").alias("token"))
+        alike = cut(classed(posts, min_count))
+        order = Window.partitionBy("url").orderBy("k", "token")  # the tokens of one url
+        told = posts.where("bad").join(small(alike.select("token", F.col("bad").alias("k"))), "token").withColumn("at", F.row_number().over(order))
+        copies = told.where(F.col("at") <= most_combined).groupBy("url", "n").agg(F.collect_list("token").alias("items"))
+        copies = copies.select("items", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))))
         model = FPGrowth(itemsCol="items", minSupport=(min_count - 0.5) / bad).fit(copies.select("items"))
-        sets = model.freqItemsets.where(F.size(F.filter("items", lambda t: F.startswith(t, F.lit("host=")))) <= 1)
-        sets = cut(sets.select(F.monotonically_increasing_id().alias("id"), F.array_sort("items").alias("antecedent"), F.col("freq").alias("bad")))
-        fits = held(baskets.select("n", F.col("items").alias("have")), posted(sets, baskets.select(F.explode("items").alias("token"), "n")))
-        total = fits.groupBy("id").agg(F.sum("n").alias("total"))
+        found = model.freqItemsets.where(F.size(F.filter("items", lambda t: F.startswith(t, F.lit("host=")))) <= 1).select(F.array_sort("items").alias("antecedent"))
+        found = found.unionByName(alike.select(F.array("token").alias("antecedent"))).distinct().withColumn("together", F.lit(False))
+        whole = alike.where(F.size("members") > 1).select(one_host(F.col("members")).alias("antecedent"), F.lit(True).alias("together")).where(F.size("antecedent") > 1)
+        sets = cut(found.unionByName(whole).groupBy("antecedent").agg(F.min("together").alias("together")).withColumn("id", F.monotonically_increasing_id()))
+        fits = held(baskets.select("n", "bad", F.col("items").alias("have")), posted(sets, posts.select("token", "n")))
+        counted = fits.groupBy("id").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("bad"), F.sum("n").alias("total"))
+        sets = cut(sets.join(counted, "id").where(F.col("bad") >= min_count).withColumn("confidence", F.col("bad") / F.col("total")))
+        errors = NormalDist().inv_cdf(1 - chance / max(1, sets.count()))
         base = bad / every
-        rules = sets.join(total, "id").withColumn("confidence", F.col("bad") / F.col("total"))
-        rules = rules.where((F.col("confidence") >= min_confidence) & (wilson(F.col("confidence"), F.col("total").cast("double"), errors) > base))
-        rules = cut(rules.withColumn("support", F.col("bad") / F.lit(every)).withColumn("lift", F.col("confidence") / base))
-        a = rules.select("id", "confidence", "antecedent", F.explode("antecedent").alias("token"))
-        b = rules.select(F.col("id").alias("o"), F.col("confidence").alias("c"), F.size("antecedent").alias("n"), F.explode("antecedent").alias("token"))
-        covered = a.join(b, "token").where((F.col("o") != F.col("id")) & (F.col("n") < F.size("antecedent")) & (F.col("c") >= F.col("confidence")))
-        covered = covered.groupBy("id", "o", "n").agg(F.count("*").alias("k")).where("k = n").select("id").distinct()
-        return keep(cut(rules.join(covered, "id", "left_anti")))
+        sound = (F.col("confidence") >= min_confidence) & (wilson(F.col("confidence"), F.col("total").cast("double"), errors) > base)
+        rules = cut(best_of(cut(sets.withColumn("sound", sound))).where("sound AND (best IS NULL OR best < confidence)").drop("sound", "best", "together"))
+        return keep(cut(rules.withColumn("support", F.col("bad") / F.lit(every)).withColumn("lift", F.col("confidence") / base)))
+
+
+def best_of(sets: DataFrame) -> DataFrame:
+    """sets (antecedent, together, confidence, sound) with best, the largest confidence of sound ones that have fewer of its tokens. Combinations
+    look up those of one token less, which know their own best; tokens that come together look up each of them alone."""
+    value = F.greatest(F.when(F.col("sound"), F.col("confidence")), F.col("best"))  # nulls are passed over
+    level = sets.where("NOT together AND size(antecedent) = 1").withColumn("best", F.lit(None).cast("double"))
+    single = level.select(F.col("antecedent").alias("less"), value.alias("v"))
+    out, below, size = level, single, 2
+    while True:
+        level = sets.where((~F.col("together")) & (F.size("antecedent") == size))
+        if level.isEmpty():
+            break
+        less = level.select("id", F.explode(F.transform("antecedent", lambda t: F.array_remove("antecedent", t))).alias("less"))
+        level = cut(level.join(less.join(below, "less").groupBy("id").agg(F.max("v").alias("best")), "id", "left"))
+        out, below, size = out.unionByName(level), level.select(F.col("antecedent").alias("less"), value.alias("v")), size + 1
+    whole = sets.where("together")
+    alone = whole.select("id", F.explode(F.transform("antecedent", lambda t: F.array(t))).alias("less"))
+    return out.unionByName(whole.join(alone.join(single, "less").groupBy("id").agg(F.max("v").alias("best")), "id", "left"))
 
 
 def posted(rules: DataFrame, spread: DataFrame) -> DataFrame:
