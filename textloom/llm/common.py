@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.storage import kept as cut
-from ..operators.storage import release, shared_folder, workspace
+from ..operators.storage import release, scratch, shared_folder, workspace
 
-__all__ = ["BROADCAST_BYTES", "SPACE", "SPACE_CHARS", "components", "cut", "release", "shared_folder", "small", "width", "words", "workspace"]
+__all__ = ["BROADCAST_BYTES", "SPACE", "SPACE_CHARS", "components", "cut", "release", "scratch", "shared_folder", "small", "width", "words", "workspace"]
 
 #: The white space that separates words everywhere in this folder.
 SPACE = r"[\x20\x09-\x0D]"

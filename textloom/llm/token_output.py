@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shared_folder
+from .common import cut, scratch
 from .shingles import hashed, spans
 from .tokenfile import Reader, Writer, key_bytes, key_value
 
@@ -223,10 +223,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, sha
     Keys are integers. A null key comes first; rows with one key follow each other in the order of their
     first PREFIX characters, then of a hash of the text; null and empty texts have the end id alone. Very long texts are
     encoded whole. No rows make no shard. Other columns are ignored. There are as many shards as shuffle partitions, and
-    more if a shard would have over SHARD_BYTES of text.
+    more if a shard would have over SHARD_BYTES of text. Without a folder the shards are in one that goes with the workspace.
     """
     spark = docs.sparkSession
-    folder = folder or f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    folder = folder or scratch(spark, "tokens")
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     if shards is None:
         size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(ROW_BYTES).cast("long"))).first()[0] or 0

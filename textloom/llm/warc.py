@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import cut, shared_folder, small, workspace
+from .common import cut, scratch, small, workspace
 from .token_output import store_of
 from .warcfile import page_of, page_record, record, record_id, records, successors
 
@@ -156,16 +156,20 @@ def read_chunk(batches: Iterator[pa.RecordBatch], folder: str, chunk: int, schem
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
 
-def read_archives(manifest: DataFrame, folder: str, payload: bool = True, key: str = "page_id", key_type: str = "long", chunk: int = CHUNK) -> DataFrame:
-    """Every page of the archives: key, url, payload_bytes, payload_digest (SHA-1 of the full payload), record_type, refers_to
-    (the key of the response that a revisit refers to) and, if wanted, payload (null for revisits of another record)."""
+def read_records(manifest: DataFrame, folder: str, payload: bool = True, chunk: int = CHUNK) -> DataFrame:
+    """The response and revisit records of the archives, read once and written: key, url, payload_bytes, payload_digest, record_type,
+    record_id, refers_id and, if wanted, payload."""
     schema = "key string, url string, payload_bytes long, payload_digest string, record_type string, record_id string, refers_id string" + (", payload binary" if payload else "")
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = entries(manifest, folder, chunk).repartition(parts, "file", "at")
-    pages = found.mapInArrow(lambda it: read_chunk(it, folder, chunk, arrow), schema)
-    if not payload:
-        pages = cut(pages)  # the archives are read once
+    return cut(found.mapInArrow(lambda it: read_chunk(it, folder, chunk, arrow), schema))
+
+
+def resolved(pages: DataFrame, key: str = "page_id", key_type: str = "long") -> DataFrame:
+    """Records with the key of the response that a revisit refers to as refers_to: key, url, payload_bytes, payload_digest, record_type,
+    refers_to and, if there is one, payload (null for revisits)."""
+    payload = "payload" in pages.columns
     revisits = pages.where("refers_id IS NOT NULL")
     responses = pages.where("record_type = 'response'").select(F.col("record_id").alias("refers_id"), F.col("key").alias("refers_to"))
     names = ["url", "payload_bytes", "payload_digest", "record_type", "refers_to", *(["payload"] if payload else [])]
@@ -176,12 +180,18 @@ def read_archives(manifest: DataFrame, folder: str, payload: bool = True, key: s
     return both.withColumns({"key": F.col("key").cast(key_type), "refers_to": F.col("refers_to").cast(key_type)}).withColumnRenamed("key", key)
 
 
+def read_archives(manifest: DataFrame, folder: str, payload: bool = True, key: str = "page_id", key_type: str = "long", chunk: int = CHUNK) -> DataFrame:
+    """Every page of the archives: key, url, payload_bytes, payload_digest (SHA-1 of the full payload), record_type, refers_to
+    (the key of the response that a revisit refers to) and, if wanted, payload (null for revisits of another record)."""
+    return resolved(read_records(manifest, folder, payload, chunk), key, key_type)
+
+
 def op12_warc(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
-    manifest = write_archives(pages, folder)
-    found = read_archives(manifest, folder, payload=False)
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    with workspace(spark) as keep:
+        folder = scratch(spark, "warc")
+        found = keep(read_records(write_archives(pages, folder), folder, payload=False))
+    return resolved(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
 SQL = r"""
