@@ -139,6 +139,22 @@ def test_copies_of_a_page_are_no_template(spark):
     assert [got[20 + i]["text"] for i in range(9)] == ["A copied story"] * 5 + [f"The long story {i}" for i in range(5, 9)]
 
 
+def test_template_inside_articles(spark):
+    """Lines that every article of a host has in one place are template; the texts equal those of a plain count per place."""
+    rng = random.Random(9)
+    rows, wanted = [], {}
+    quote = "a passage that several articles quote word for word"
+    for k in range(30):
+        body = [f"story {k} " + " ".join(rng.choice("abcdefgh") for _ in range(30)) for _ in range(rng.randint(2, 5))] + ([quote] if k % 3 == 0 else [])
+        page = "<body><nav>Menu</nav><article><h1>Title %d</h1><ul><li>Share this story<li>Print</ul>%s<div>Read more on our site</div></article><p>outside</p></body>" % (k, "".join(f"<p>{b}</p>" for b in body))
+        rows.append((k, f"http://{'small' if k < 4 else 'h'}.x/{k}", page))
+        lines = [f"Title {k}", "Share this story", "Print", *body, "Read more on our site"]
+        wanted[k] = "\n".join(lines if k < 4 else [x for x in lines if x not in ("Share this story", "Print", "Read more on our site")])
+    got = extract(spark, rows + [(100, "http://h.x/100", rows[10][2])])
+    assert {k: r["text"] for k, r in got.items() if k < 100} == wanted
+    assert got[100]["text"] == wanted[10]
+
+
 def test_later_siblings_of_one_kind_keep_their_text(spark):
     rows = [(1, "http://s.x/1", "<article><div><img></div><h1>T</h1><div>Lead text</div></article>"), (2, "http://s.x/2", "<article><p><b><i>x</i></b> and <u>q</u> <b>y</b></p></article>")]
     got = extract(spark, rows)

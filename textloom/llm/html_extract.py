@@ -40,6 +40,9 @@ MAIN_TAGS = frozenset(["article", "main"])
 #: Elements whose names say what they are; only these words count on them, and none on html and body.
 NAMED = frozenset("article main h1 h2 h3 h4 h5 h6".split())
 NAMED_WORDS = frozenset("ad advert advertisement sponsored promo related comment comments reply replies".split())
+#: In an article or main element a text is template if it comes in its slot on so many pages of different content, and on this share of
+#: the pages that have the slot: a share bar or a notice of every page, and not a passage that some pages quote.
+MAIN_PAGES, MAIN_SHARE = 5, 0.8
 #: Forms that are aligned in one task, on average, and bytes of wrappers up to which they are broadcast.
 FOLD, BROADCAST_BYTES = 64, 16 << 20
 
@@ -335,12 +338,12 @@ def clean(raw: str) -> str:
     return " ".join(entities.unescape(raw).split())
 
 
-def form(page: str) -> tuple[list, list[int], int]:
-    """A page as a wrapper of its own; if it has no article or main element, a hash of each of its texts, in order; and its
-    content."""
+def form(page: str) -> tuple[list, list[int], int, bool]:
+    """A page as a wrapper of its own; a hash of each of its texts, in order, or 0 where the page has an article or main element
+    and the text is outside; its content; and whether it has such an element."""
     root: list = ["", False, []]
     stack, texts, main = [root], [], False
-    for kind, value, _ in block_texts(page):
+    for kind, value, inside in block_texts(page):
         if kind == "open":
             stack.append(["!" if value.endswith("!") else value, False, []])
             stack[-2][2].append(stack[-1])
@@ -349,19 +352,19 @@ def form(page: str) -> tuple[list, list[int], int]:
             stack.pop()
         elif text := clean(value):
             stack[-1][2].append(["#", False, []])
-            texts.append(text)
-    texts = [] if main else texts
-    return root, [text_hash(t) for t in texts], content(texts)
+            texts.append((text, inside))
+    own = [t for t, inside in texts if inside or not main]
+    return root, [text_hash(t) if inside or not main else 0 for t, inside in texts], content(own), main
 
 
 def text_hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True) or 1
 
 
 def blocks(page: str, walk: Walk | None, template: frozenset) -> Iterator[str]:
-    """The blocks of a page's article. A page with an article or main element has its text there. Of another page the
-    wrapper of its host decides: a text that is part of the template in the slot that the wrapper gives it is left out, and
-    all else is kept, also text that the wrapper has no place for."""
+    """The blocks of a page's article: what is in its article or main element, if it has one, else all. The wrapper of the host
+    decides what of it is template: a text that is part of the template in the slot that the wrapper gives it is left out,
+    and all else is kept, also text that the wrapper has no place for."""
     has_main, found = False, []
     if walk:
         walk.restart()
@@ -369,24 +372,24 @@ def blocks(page: str, walk: Walk | None, template: frozenset) -> Iterator[str]:
         if kind == "open":
             if value in MAIN_TAGS and not has_main:
                 has_main, found = True, []
-            elif walk and not has_main:
+            if walk:
                 walk.open("!" if value.endswith("!") else value)
         elif kind == "close":
-            if walk and not has_main:
+            if walk:
                 walk.close()
-        elif (main or not has_main) and (text := clean(value)):
-            if walk and not has_main and (walk.text(), text_hash(text)) in template:
-                continue
-            found.append(text)
+        elif text := clean(value):
+            slot = walk.text() if walk else None
+            if (main or not has_main) and (slot, text_hash(text) if walk else 0, has_main) not in template:
+                found.append(text)
     yield from found
 
 
 def slotted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(host, content, slot, text) of the texts of forms with the wrapper of their host."""
+    """(host, content, main, slot, text) of the texts of forms with the wrapper of their host."""
     walks: dict[str, Walk] = {}
     for frame in frames:
         out = []
-        for host, own, loose, what, wrapper in zip(frame["host"], frame["form"], frame["loose"], frame["content"], frame["wrapper"], strict=True):
+        for host, own, loose, what, main, wrapper in zip(frame["host"], frame["form"], frame["loose"], frame["content"], frame["main"], frame["wrapper"], strict=True):
             walk = followed(walks, wrapper)
             left, todo = iter(loose), [parsed(own)[2]]
             steps = [iter(todo[0])]
@@ -398,14 +401,13 @@ def slotted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if steps:
                         walk.close()
                 elif node[0] == "#":
-                    if (slot := walk.text()) is not None:
-                        out.append((host, what, slot, next(left)))
-                    else:
-                        next(left)
+                    slot, text = walk.text(), next(left)
+                    if slot is not None and text:
+                        out.append((host, what, main, slot, text))
                 else:
                     walk.open(node[0])
                     steps.append(iter(node[2]))
-        yield pd.DataFrame(out, columns=["host", "content", "slot", "text"])
+        yield pd.DataFrame(out, columns=["host", "content", "main", "slot", "text"])
 
 
 #: Wrappers that a worker keeps parsed before it starts anew: a bound on its memory, not on input.
@@ -423,7 +425,7 @@ def followed(walks: dict[str, Walk], wrapper: str) -> Walk:
 def forms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         made = [form(h or "") for h in frame["html"]]
-        yield pd.DataFrame({"host": frame["host"], "form": [written(f) for f, _, _ in made], "loose": [x for _, x, _ in made], "content": [c for _, _, c in made]})
+        yield pd.DataFrame({"host": frame["host"], "form": [written(f) for f, _, _, _ in made], "loose": [x for _, x, _, _ in made], "content": [c for _, _, c, _ in made], "main": [m for _, _, _, m in made]})
 
 
 def infer(frame: pd.DataFrame) -> pd.DataFrame:
@@ -449,7 +451,7 @@ def extracted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         texts = []
         for page, wrapper, template in zip(frame["html"], frame["wrapper"], frame["template"], strict=True):
-            known = frozenset() if template is None else frozenset((x["slot"], x["text"]) for x in template)
+            known = frozenset() if template is None else frozenset((x["slot"], x["text"], x["main"]) for x in template)
             texts.append("\n".join(blocks(page or "", followed(walks, wrapper) if known else None, known)))
         yield pd.DataFrame({"key": frame["key"], "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
@@ -460,9 +462,11 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     Every page is reduced to the form of its token stream: its block elements, with slots for text. The distinct forms
     of a host are aligned into its wrapper, a union-free expression: mismatches become optional parts or repeated
     groups; a fixed number of forms is aligned in a task, then the results in the same way. A page's article or main
-    element has its text. Where a page has none, the wrapper decides: its texts get the wrapper's slots, and a text that
-    comes in the same slot on two pages of different content and on at least half of the pages with that slot is
-    template and left out. Pages that share more than half of their text count as one.
+    element, or the whole page if it has none, holds its text, and the wrapper decides what of it is template: texts get
+    the wrapper's slots, and a text that comes in the same slot on two pages of different content and on at least half of
+    the pages with that slot is left out; in an article or main element it has to come on MAIN_PAGES pages and MAIN_SHARE of
+    them. Pages that share more than half of their text count as one. A slot's template texts are at most twice as many as a
+    page of the host has there on average, so a host's row in the table of templates is of a page's size.
 
     Elements that their names mark as navigation, adverts, forms, notices or comments are not the article. Character
     references are decoded, white space in a block is one space, blocks are joined by a line feed; nothing else is
@@ -473,14 +477,15 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     """
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
     with workspace(pages.sparkSession) as keep:
-        made = cut(rows.select("host", "html").mapInPandas(forms, "host string, form string, loose array<long>, content long"))
+        made = cut(rows.select("host", "html").mapInPandas(forms, "host string, form string, loose array<long>, content long, main boolean"))
         wrappers = folded(cut(made.select("host", "form").distinct())).select(F.col("host").alias("h"), F.col("form").alias("wrapper"))
         loose = made.where(F.size("loose") > 0).distinct()
-        slots = loose.join(small(wrappers), F.col("host") == F.col("h")).select("host", "form", "loose", "content", "wrapper")
-        seen = cut(slots.mapInPandas(slotted, "host string, content long, slot int, text long").distinct())
-        sizes = seen.select("host", "slot", "content").distinct().groupBy("host", "slot").agg(F.count("*").alias("n"))
-        common = seen.groupBy("host", "slot", "text").agg(F.count("*").alias("k")).where("k >= 2").join(sizes, ["host", "slot"]).where("2 * k >= n")
-        common = common.groupBy(F.col("host").alias("th")).agg(F.collect_list(F.struct("slot", "text")).alias("template"))
+        slots = loose.join(small(wrappers), F.col("host") == F.col("h")).select("host", "form", "loose", "content", "main", "wrapper")
+        seen = cut(slots.mapInPandas(slotted, "host string, content long, main boolean, slot int, text long").distinct())
+        sizes = seen.select("host", "main", "slot", "content").distinct().groupBy("host", "main", "slot").agg(F.count("*").alias("n"))
+        enough = F.when(F.col("main"), (F.col("k") >= MAIN_PAGES) & (F.col("k") >= MAIN_SHARE * F.col("n"))).otherwise((F.col("k") >= 2) & (2 * F.col("k") >= F.col("n")))
+        common = seen.groupBy("host", "main", "slot", "text").agg(F.count("*").alias("k")).where("k >= 2").join(sizes, ["host", "main", "slot"]).where(enough)
+        common = common.groupBy(F.col("host").alias("th")).agg(F.collect_list(F.struct("slot", "text", "main")).alias("template"))
         known = keep(cut(wrappers.join(common, F.col("h") == F.col("th"), "left").select("h", F.when(F.col("template").isNotNull(), F.col("wrapper")).alias("wrapper"), "template")))
     joined = rows.join(small(known, BROADCAST_BYTES), F.col("host") == F.col("h")).select("key", "url", "html", "wrapper", "template")
     kind = pages.schema[key].dataType.simpleString()
