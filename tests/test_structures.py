@@ -132,3 +132,29 @@ def test_markup(spark, seed):
             up, at = (at if ns[at][4] in focus else None), ns[at][3]
         down = next((n[0] for n in ns[own[0] + 1 : own[1]] if n[4] in focus), None)
         assert r["target"] == (own[0] if own[4] in focus else up if up is not None else down)
+
+
+def test_closest_line_equals_brute_force(spark):
+    from collections import Counter
+
+    from textloom.operators import lookup
+
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcd e") for _ in range(rng.randint(0, 14))) for _ in range(90)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+
+    def grams(text):
+        s = "".join(text.lower().split())
+        return Counter(s[i : i + 2] for i in range(len(s) - 1))
+
+    wanted = {}
+    for a, x in enumerate(texts[:30]):
+        best = []
+        for b, y in enumerate(texts):
+            p, q = grams(x), grams(y)
+            if p and q and a != b and 0.5 * len(x) <= len(y) <= 2 * len(x) and (dice := 2 * (p & q).total() / (p.total() + q.total())) >= 0.6:
+                best.append((dice, -b))
+        if best:
+            wanted[a] = (-max(best)[1], round(max(best)[0], 9))
+    found = lookup.closest_line(df.where("id < 30").selectExpr("id AS probe_id", "t AS probe"), df.selectExpr("id AS line_id", "t AS line"), others=True)
+    assert {r["probe_id"]: (r["line_id"], round(r["dice"], 9)) for r in found.collect()} == wanted

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bigrams, break_counts, is_crlf, with_endings
+from ..functions.text import bigrams, break_counts, is_crlf, numbered, with_endings
 
 
 def occurrences(text: Column, part: str) -> Column:
@@ -97,12 +97,6 @@ def preview(files: DataFrame, old: str, new: str, text: str = "content", around:
     return rows.select(*[c for c in files.columns if c != text], lines.alias("lines"), cut("_a", old).alias("before"), cut("_b", new).alias("after"))
 
 
-def numbered(grams: str) -> Column:
-    """The bigrams of a sorted array column, each with the number of its occurrence, so that sets of them are multisets. The array has to
-    be a column of its own: an expression would be computed anew for every element."""
-    return F.transform(grams, lambda g, i: F.concat(g, F.lit("#"), i - F.array_position(F.col(grams), g)))
-
-
 def hints(files: DataFrame, old: str, text: str = "content", least: float = 0.6) -> DataFrame:
     """For files in which an edit finds no text (R5): the line that resembles the first line looked for most, by Dice of bigrams, and
     whether line breaks are mixed. (path, line, line_text, dice, mixed)"""

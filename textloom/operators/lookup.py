@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import kept
+
 
 def tiers(rows: DataFrame, tests: list[Column]) -> DataFrame:
     """The rows of the first test that any row passes, with tier (from 1). One pass: each row has its first tier, the best
@@ -86,20 +88,32 @@ def suffix_join(natives: DataFrame, functions: DataFrame) -> DataFrame:
 
 def closest_line(probes: DataFrame, lines: DataFrame, least: float = 0.6, others: bool = False) -> DataFrame:
     """For each probe (probe_id, probe) the line (line_id, line) that resembles it most (A29, T11): Dice of the bigrams, of
-    lines from half to twice its length, at least `least`; the first among equals. With others, a line of the probe's id is not its own. Bigrams meet in a join, so only
-    lines that share one are scored."""
-    from ..functions.text import bigrams
+    lines from half to twice its length, at least `least`; the first among equals. With others, a line of the probe's id is not its own.
+
+    Of n bigrams two texts that are so similar share least * n / (2 - least) at least, so of each text's bigrams, ordered by how
+    rare they are, those that can all be missing and one more are enough to meet by. Only pairs that share one of these rare
+    ones are scored, exactly, and common bigrams meet nobody.
+    """
+    from ..functions.text import bigrams, numbered
+
+    def prepared(df: DataFrame, key: str, text: str, mark: str) -> DataFrame:
+        rows = df.select(key, F.length(text).alias(f"len_{mark}"), F.array_sort(bigrams(F.col(text))).alias("_g"))
+        return rows.select(key, f"len_{mark}", numbered("_g").alias(f"grams_{mark}")).where(F.size(f"grams_{mark}") > 0)
+
+    a, b = kept(prepared(probes, "probe_id", "probe", "p")), kept(prepared(lines, "line_id", "line", "l"))
+    spread = a.select(F.explode("grams_p").alias("gram")).unionByName(b.select(F.explode("grams_l").alias("gram"))).groupBy("gram").agg(F.count("*").alias("n"))
+    spread = kept(spread)
 
-    def counted(df: DataFrame, key: str, text: str, mark: str) -> DataFrame:
-        every = df.select(key, F.length(text).alias(f"len_{mark}"), bigrams(F.col(text)).alias("g"))
-        every = every.select(key, f"len_{mark}", F.size("g").alias(f"n_{mark}"), F.explode("g").alias("gram"))
-        return every.groupBy(key, f"len_{mark}", f"n_{mark}", "gram").agg(F.count("*").alias(f"k_{mark}"))
+    def rare(df: DataFrame, key: str, mark: str) -> DataFrame:
+        ranked = df.select(key, f"len_{mark}", F.explode(f"grams_{mark}").alias("gram")).join(spread, "gram")
+        ranked = ranked.groupBy(key, f"len_{mark}").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g"))
+        needed = F.ceil(F.size("g") * F.lit(least / (2 - least)) - 1e-9).cast("int")
+        return ranked.select(key, f"len_{mark}", F.explode(F.slice("g", F.lit(1), F.size("g") - F.greatest(needed, F.lit(1)) + 1)).alias("x")).select(key, f"len_{mark}", "x.gram")
 
-    a, b = counted(probes, "probe_id", "probe", "p"), counted(lines, "line_id", "line", "l")
-    met = a.join(b, "gram").where("len_l >= 0.5 * len_p AND len_l <= 2 * len_p")
+    met = rare(a, "probe_id", "p").join(rare(b, "line_id", "l"), "gram").where("len_l >= 0.5 * len_p AND len_l <= 2 * len_p")
     met = met.where("probe_id <> line_id") if others else met
-    score = met.groupBy("probe_id", "line_id", "n_p", "n_l").agg(F.sum(F.least("k_p", "k_l")).alias("common"))
-    score = score.withColumn("dice", 2.0 * F.col("common") / (F.col("n_p") + F.col("n_l"))).where(F.col("dice") >= least)
+    pairs = met.select("probe_id", "line_id").distinct().join(a, "probe_id").join(b, "line_id")
+    score = pairs.select("probe_id", "line_id", (2.0 * F.size(F.array_intersect("grams_p", "grams_l")) / (F.size("grams_p") + F.size("grams_l"))).alias("dice")).where(F.col("dice") >= least)
     return score.groupBy("probe_id").agg(F.max(F.struct("dice", (-F.col("line_id")).alias("m"))).alias("x")).select("probe_id", (-F.col("x.m")).alias("line_id"), "x.dice")
 
 

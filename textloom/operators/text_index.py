@@ -25,6 +25,8 @@ ROW = "path string, mtime long, size long, grams int, bits array<long>"
 BITS_PER_GRAM, LEAST_BITS = 6, 256
 #: Odd multipliers of the two positions of a trigram: the golden ratio and the square root of two in 64 bits.
 FACTORS = (0x9E3779B97F4A7C15, 0xB504F333F9DE6485)
+#: Keys up to which the files to read are a filter.
+FEW = 5000
 _line_ends = np.array([ord(c) for c in "\n\r\0"], np.uint32)
 
 
@@ -122,9 +124,8 @@ def to_read(index: DataFrame, tree: DataFrame, pattern: str) -> DataFrame:
 
 
 def search(index: DataFrame, tree: DataFrame, pattern: str) -> DataFrame:
-    """The lines (path, line, line_text) that match, as a full search of the text files of the tree finds them. The paths to read
-    are written first, so that their size decides whether they are broadcast."""
-    read = tree.join(kept(to_read(index, tree, pattern)), "path", "left_semi").where(~is_binary(F.col("content")))
+    """The lines (path, line, line_text) that match, as a full search of the text files of the tree finds them. """
+    read = among(tree, to_read(index, tree, pattern), "path").where(~is_binary(F.col("content")))
     return hits(read.select("path", "content"), pattern, "content")
 
 
@@ -133,11 +134,19 @@ def indexed_hits(df: DataFrame, index: DataFrame, pattern: str, key: str, text:
     pattern tells nothing (I9)."""
     literals = required_literals(pattern)
     if literals:
-        maybe = kept(index.where(allows(F.col("bits"), literals)).select(F.col("path").cast(df.schema[key].dataType).alias(key)))
-        df = df.join(maybe, key, "left_semi")
+        df = among(df, index.where(allows(F.col("bits"), literals)).select(F.col("path").cast(df.schema[key].dataType).alias(key)), key)
     return hits(df, pattern, text)
 
 
+def among(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of df with one of the keys. Up to FEW keys are a filter, which the scan of df knows; more are written, so that their size
+    decides how they are joined."""
+    few = keys.limit(FEW + 1).collect()
+    if len(few) <= FEW:
+        return df.where(F.col(key).isin([r[0] for r in few]))
+    return df.join(kept(keys), key, "left_semi")
+
+
 def open_index(spark: SparkSession, folder: str) -> DataFrame:
     """The index of the greatest version in a folder."""
     _, content = versions.latest(spark, folder)
