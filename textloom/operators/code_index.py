@@ -253,8 +253,8 @@ def typed_names(line: Column) -> Column:
 
 def declared_types(rows: DataFrame) -> DataFrame:
     """(file_id, ident, type): what the file declares a name to be; the surest form and the first line decide."""
-    likely = rows.where(F.col("line_text").rlike(r"\p{Lu}"))
-    found = likely.select("file_id", "line", F.explode(typed_names(F.col("line_text"))).alias("d")).select("file_id", "line", "d.*")
+    likely = rows.where(F.col("bare").rlike(r"\p{Lu}"))
+    found = likely.select("file_id", "line", F.explode(typed_names(F.col("bare"))).alias("d")).select("file_id", "line", "d.*")
     return found.groupBy("file_id", "ident").agg(F.min_by("type", F.struct("rank", "line", "type")).alias("type"))
 
 

@@ -42,11 +42,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame, **options: str) -> DataFrame:
     """df written to the shared folder and read again: its lineage ends there, and a lost executor costs a task,
-    not the steps before."""
+    not the steps before. options are those of the Parquet writer."""
     path = scratch(df.sparkSession, "kept")
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._kept_path = path
     return table
