@@ -82,7 +82,7 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     payload = F.coalesce(F.col(html), F.lit(""))
     made = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), F.col(html).alias("html"), F.octet_length(payload).alias("payload_bytes"), F.unhex(F.sha2(payload.cast("binary"), 256)).alias("same"))
     with workspace(pages.sparkSession) as keep:
-        rows = with_winners(cut(made.withColumn("row", F.monotonically_increasing_id())), least)
+        rows = with_winners(cut(made.withColumn("row", F.monotonically_increasing_id()), compression="zstd"), least)
         written = rows.select("row", F.col("key").cast("string").alias("key"), "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("sha1"), "refers")
         return keep(cut(written.mapInArrow(lambda it: write_part(it, folder, date, file_bytes), "file string, size long, records long")))
 
