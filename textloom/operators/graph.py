@@ -119,11 +119,15 @@ def full_graph(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     return edges.select("from_id", "to_id", "kind").unionByName(defines(symbols).select(F.col("parent").alias("from_id"), F.col("node").alias("to_id"), F.lit("DEFINES").alias("kind")))
 
 
-def card(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, other, role) of each of the ids: its callers and callees (G-4)."""
+def card(edges: DataFrame, ids: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """(id, other, role) of each of the ids: its callers and callees, and of a class its members (class_id, id) (G-4)."""
     up = edges.join(ids.select(F.col("id").alias("to_id")), "to_id", "left_semi").select(F.col("to_id").alias("id"), F.col("from_id").alias("other"), F.lit("caller").alias("role"))
     down = edges.join(ids.select(F.col("id").alias("from_id")), "from_id", "left_semi").select(F.col("from_id").alias("id"), F.col("to_id").alias("other"), F.lit("callee").alias("role"))
-    return up.unionByName(down).distinct()
+    found = up.unionByName(down)
+    if members is not None:
+        held = members.select(F.col("class_id").alias("id"), F.col("id").alias("other"), F.lit("member").alias("role"))
+        found = found.unionByName(held.join(ids, "id", "left_semi"))
+    return found.distinct()
 
 
 def flow(edges: DataFrame, seeds: DataFrame, depth: int, children: int = 8) -> DataFrame:

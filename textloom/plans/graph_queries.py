@@ -251,6 +251,17 @@ def symbol_card(spark, sf_dir):
     return g.card(edges(spark, sf_dir), _seed(spark, "p:3", "o:7"))
 
 
+@query(
+    _EDGES
+    + """ SELECT to_id AS id, from_id AS other, 'caller' AS role FROM edges WHERE to_id = 'p:3' UNION SELECT from_id, to_id, 'callee' FROM edges WHERE from_id = 'p:3'
+    UNION SELECT 'b:' || p_brand, 'p:' || p_partkey, 'member' FROM part WHERE p_brand = 'Brand#2'"""
+)
+def class_card(spark, sf_dir):
+    """A brand as a class with its parts, beside one of the parts."""
+    members = load(spark, sf_dir, "part").select(F.concat(F.lit("b:"), "p_brand").alias("class_id"), F.concat(F.lit("p:"), "p_partkey").alias("id"))
+    return g.card(edges(spark, sf_dir), _seed(spark, "p:3", "b:Brand#2"), members)
+
+
 @query(_EDGES + " SELECT id FROM (SELECT from_id AS id FROM edges WHERE to_id IN ('p:3', 's:1') UNION SELECT to_id FROM edges WHERE from_id IN ('p:3', 's:1')) WHERE id NOT IN ('p:3', 's:1')")
 def neighbours_without_self(spark, sf_dir):
     return g.neighbours(edges(spark, sf_dir), _seed(spark, "p:3", "s:1"))
