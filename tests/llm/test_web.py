@@ -97,6 +97,37 @@ def test_urls_that_share_many_tokens_are_mined_in_little_time(spark):
     assert any(len(f) == 1 and f <= {"host=bad.net", "path=part3"} | {f"path=part3{k}" for k in range(10)} for f in found)
 
 
+def test_urls_of_many_tokens_are_combined_whole(spark, monkeypatch):
+    z = 4.5  # whatever number of combinations is counted as tested
+    monkeypatch.setattr(u, "limit", lambda tested, chance: z, raising=False)
+    rng, rows = random.Random(5), []
+    for i in range(300):  # what tells are three tokens that most urls have; of each url the twelve rarest come first
+        tell = [t for t in "pqr" if rng.random() < 0.5]
+        rows += [("http://w.net/" + "/".join(rng.sample([f"s{k}" for k in range(12)], 10) + tell), rng.random() < (0.97 if len(tell) == 3 else 0.2))] * (3 if i % 50 == 0 else 1)
+    rows += [(f"http://w.net/{rng.choice('pqr')}/s{i % 12}", i % 4 == 0) for i in range(60)]
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    have = {r["url"]: set(r["t"]) for r in labelled.select("url", u.tokens(labelled["url"]).alias("t")).distinct().collect()}
+    covers = {t: sum(1 << i for i, (x, _) in enumerate(rows) if t in have[x]) for t in set().union(*have.values())}
+    bad = sum(1 << i for i, (_, b) in enumerate(rows) if b)
+    first = {}  # of tokens that the same bad urls have, the one that fits fewest
+    for t, c in sorted(covers.items(), key=lambda x: (x[1].bit_count(), x[0])):
+        first.setdefault(c & bad, t)
+    names = sorted(first.values())
+    assert max(len(t & set(names)) for x, t in have.items() if (x, True) in rows) > u.MOST_COMBINED
+    fits, best, want = [(1 << len(rows)) - 1], {0: 0.0}, {}  # of every combination, best: the largest confidence of its sound parts
+    for m in range(1, 1 << len(names)):
+        own = [i for i in range(len(names)) if m >> i & 1]
+        fits.append(fits[m & (m - 1)] & covers[names[own[0]]])
+        k, n = (fits[m] & bad).bit_count(), fits[m].bit_count()
+        if k >= 3:
+            best[m] = max(best[m - (1 << i)] for i in own)
+            share = k / n
+            if share >= 0.5 and share > best[m] and (share + z * z / (2 * n) - z * (share * (1 - share) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n) > bad.bit_count() / len(rows):
+                best[m], want[frozenset(names[i] for i in own)] = share, (k, n)
+    assert {"path=p", "path=q", "path=r"} in map(set, want) and max(map(len, want)) > 4
+    assert {frozenset(r["antecedent"]): (r["bad"], r["total"]) for r in u.mine(labelled).collect()} == want
+
+
 def test_labels_that_say_nothing_give_no_rules(spark):
     rng = random.Random(6)
     rows = [(f"http://{rng.choice('abcdefgh')}.{rng.choice(['com', 'net'])}/{rng.choice('pqrstuvw')}/{rng.choice('xyz')}?{rng.choice('klmn')}=1", rng.random() < 0.4) for _ in range(1500)]

@@ -21,8 +21,7 @@ RULES = (
 #: What a mined rule needs: bad urls that it fits, their share of all labelled urls that it fits, and a lower limit of that share
 #: (Wilson's) above the share of bad urls among all. CHANCE is that of any rule by chance, however many combinations are tested.
 MIN_COUNT, MIN_CONFIDENCE, CHANCE = 3, 0.5, 0.025
-#: Tokens of a url that are combined with each other, the rarest among bad urls: a bound on the 2^k combinations that urls can share. Every
-#: token makes a rule of its own.
+#: Tokens of a url up to which FP-growth combines them; urls of more go to grown(), which combines all of theirs, too.
 MOST_COMBINED = 12
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -106,14 +105,14 @@ def one_host(tokens_: Column) -> Column:
 def mine(labelled: DataFrame, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, chance: float = CHANCE, most_combined: int = MOST_COMBINED) -> DataFrame:
     """(id, antecedent, bad, total, confidence, support, lift) of rules that say block, from rows of (url, bad).
 
-    FP-growth finds the token combinations that at least min_count bad urls share, the same number at every size; it reads
-    bad urls only, which loses no rule. Tokens that the same bad urls have count as one, that which fits fewest urls of all, so what
-    copies of a url share is not combined in all ways; all of such tokens together are a candidate of their own. Of a url the
-    most_combined rarest such tokens are combined, and each makes a candidate alone. How many urls, bad and of all, each candidate fits is
-    counted exactly by an inverted index. Of combinations with several domains of one host the longest alone is taken, as it
-    fits the same urls. The limit of a rule's confidence is corrected for the number of candidates, so that labels which say
-    nothing about urls give no rules. A rule goes if a rule of fewer of its tokens is as confident, which is looked up among
-    combinations of one token less, size by size. No labels give no rules.
+    FP-growth finds the token combinations that at least min_count bad urls of up to most_combined tokens share, the same number at
+    every size; it reads bad urls only, which loses no rule. What bad urls of more tokens have is found by grown(), whole as well.
+    Tokens that the same bad urls have count as one, that which fits fewest urls of all, so what copies of a url share is not
+    combined in all ways; all of such tokens together are a candidate of their own, and every token is one alone. How many urls, bad
+    and of all, each candidate fits is counted exactly by an inverted index. Of combinations with several domains of one host the
+    longest alone is taken, as it fits the same urls. The limit of a rule's confidence is corrected for the number of candidates, so
+    that labels which say nothing about urls give no rules. A rule goes if a rule of fewer of its tokens is as confident, which is
+    looked up among combinations of one token less, size by size. No labels give no rules.
     """
     spark = labelled.sparkSession
     with workspace(spark) as keep:
@@ -126,7 +125,8 @@ def mine(labelled: DataFrame, min_count: int = MIN_COUNT, min_confidence: float
         alike = cut(classed(posts, min_count))
         order = Window.partitionBy("url").orderBy("k", "token")  # the tokens of one url
         told = posts.where("bad").join(small(alike.select("token", F.col("bad").alias("k"))), "token").withColumn("at", F.row_number().over(order))
-        copies = told.where(F.col("at") <= most_combined).groupBy("url", "n").agg(F.collect_list("token").alias("items"))
+        wide = cut(told.where(F.col("at") > most_combined).select("url").distinct())
+        copies = told.join(wide, "url", "left_anti").groupBy("url", "n").agg(F.collect_list("token").alias("items"))
         copies = copies.select("items", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))))
         model = FPGrowth(itemsCol="items", minSupport=(min_count - 0.5) / bad).fit(copies.select("items"))
         found = model.freqItemsets.where(F.size(F.filter("items", lambda t: F.startswith(t, F.lit("host=")))) <= 1).select(F.array_sort("items").alias("antecedent"))
@@ -136,13 +136,91 @@ def mine(labelled: DataFrame, min_count: int = MIN_COUNT, min_confidence: float
         fits = held(baskets.select("n", "bad", F.col("items").alias("have")), posted(sets, posts.select("token", "n")))
         counted = fits.groupBy("id").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("bad"), F.sum("n").alias("total"))
         sets = cut(sets.join(counted, "id").where(F.col("bad") >= min_count).withColumn("confidence", F.col("bad") / F.col("total")))
-        errors = NormalDist().inv_cdf(1 - chance / max(1, sets.count()))
-        base = bad / every
+        base, tested = bad / every, sets.count()
+        if bad < every and not wide.isEmpty():
+            more, tested = grown(posts, told, wide, base, tested, min_count, chance)
+            more = more.join(sets.select("antecedent"), "antecedent", "left_anti").withColumn("id", -1 - F.monotonically_increasing_id())
+            sets = cut(sets.unionByName(more.withColumn("together", F.lit(False)).withColumn("confidence", F.col("bad") / F.col("total"))))
+        errors = limit(tested, chance)
         sound = (F.col("confidence") >= min_confidence) & (wilson(F.col("confidence"), F.col("total").cast("double"), errors) > base)
-        rules = cut(best_of(cut(sets.withColumn("sound", sound))).where("sound AND (best IS NULL OR best < confidence)").drop("sound", "best", "together"))
+        rules = cut(best_of(below(cut(sets.withColumn("sound", sound)))).where("sound AND (best IS NULL OR best < confidence)").drop("sound", "best", "together"))
         return keep(cut(rules.withColumn("support", F.col("bad") / F.lit(every)).withColumn("lift", F.col("confidence") / base)))
 
 
+def limit(tested: int, chance: float) -> float:
+    """The normal quantile of a test at chance among so many."""
+    return NormalDist().inv_cdf(1 - chance / max(1, tested))
+
+
+def grown(posts: DataFrame, told: DataFrame, wide: DataFrame, base: float, tested: int, min_count: int, chance: float) -> tuple[DataFrame, int]:
+    """(antecedent, bad, total) of combinations of two or more tokens of the bad urls in wide, whatever their number, and how many
+    candidates are tested with them, after the tested ones before.
+
+    Patterns grow by one token at a time. What is not grown cannot become a rule or lose one: fewer bad urls than a combination
+    without good urls would need to be sound among the candidates so far (their number only rises, and with it the limit), or a
+    token that keeps no good url away, without which the rest is as confident. Tokens come in order of the good urls that have them,
+    so such pairs end at once. posts: (url, n, bad, token), told: the tokens of bad urls that are combined, wide: urls.
+
+    The urls that have a combination are bits, 64 labelled urls of one kind (good 0, bad 1, bad and wide 2) and one binary digit of
+    their count to a slot, so counts are exact and a step moves a 64th of the urls.
+    """
+    spark = posts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a small table of covers can give many combinations
+
+    def least() -> int:
+        return max(min_count, int(max(0.0, limit(tested, chance)) ** 2 * base / (1 - base) * (1 - 1e-9)) + 1)
+
+    with workspace(spark) as keep:
+        used = told.join(small(wide), "url", "left_semi").select("token").distinct()
+        both = posts.join(small(cut(used)), "token").groupBy("token").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("k"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("good"))
+        names = cut(both.where(F.col("k") >= least()).orderBy("good", "token").select("token", "good", F.monotonically_increasing_id().alias("no")))
+        rows = posts.join(small(names.select("token", "no")), "token").join(small(wide.select("url", F.lit(2).alias("kind"))), "url", "left")
+        rows = rows.groupBy("url", "n", F.when(F.col("bad"), F.coalesce("kind", F.lit(1))).otherwise(0).alias("kind")).agg(F.array_sort(F.collect_list("no")).alias("items"))
+        rows = rows.groupBy("kind", "items").agg(F.sum("n").alias("n")).withColumn("digit", F.explode(F.expr("filter(sequence(0, 62), p -> shiftright(n, p) & 1 = 1)")))
+        rows = rows.sortWithinPartitions("kind", "digit", "items").withColumn("row", F.monotonically_increasing_id())
+        rows = cut(rows.selectExpr("items", "shiftleft(shiftright(row, 6), 8) + digit * 4 + kind AS slot", "shiftleft(1L, cast(row & 63 AS int)) AS bits"))
+        ones = cut(rows.select(F.explode("items").alias("no"), "slot", "bits").groupBy("no", "slot").agg(F.bit_or("bits").alias("bits")))
+        pairs = rows.select("slot", "bits", F.posexplode("items").alias("at", "id"), "items").selectExpr("id", "slot", "bits", "explode(slice(items, at + 2, size(items))) AS no")
+        pairs = pairs.groupBy("id", "no", "slot").agg(F.bit_or("bits").alias("bits"))
+        longer = pairs.join(small(names.select(F.col("no").alias("id"), F.col("good").alias("before"))), "id")
+        sets = names.select(F.col("no").alias("id"), F.array("token").alias("antecedent"))
+        own, token, out = small(ones.withColumnRenamed("bits", "own")), small(names.select("no", "token")), []
+        while True:
+            n = F.expr("shiftleft(1L, cast(shiftright(slot, 2) & 63 AS int)) * bit_count(bits)")
+            sums = (F.sum(F.when(fits, n).otherwise(0)).alias(name) for name, fits in (("bad", F.expr("slot & 3 > 0")), ("good", F.expr("slot & 3 = 0")), ("wide", F.expr("slot & 3 = 2"))))
+            counted = cut(longer.groupBy("id", "no", "before").agg(*sums).where("wide > 0").withColumn("next", F.monotonically_increasing_id()))
+            tested += counted.count()
+            counted = cut(counted.where((F.col("bad") >= least()) & (F.col("good") < F.col("before"))))
+            if counted.isEmpty():
+                break
+            named = counted.join(sets, "id").join(token, "no")
+            sets = cut(named.select(F.col("next").alias("id"), F.array_append("antecedent", F.col("token")).alias("antecedent"), "bad", (F.col("bad") + F.col("good")).alias("total")))
+            out.append(sets.select(F.array_sort("antecedent").alias("antecedent"), "bad", "total"))
+            sets = sets.select("id", "antecedent")
+            # a set is grown by the tokens that its prefix was grown by
+            known = counted.select("id", "no", "next", F.col("good").alias("now"))
+            after = counted.alias("a").join(counted.alias("b"), "id").where("a.no < b.no").select(F.col("a.next").alias("id"), F.col("b.no").alias("no"))
+            cover = cut(longer.join(known, ["id", "no"]).select(F.col("next").alias("id"), F.col("now").alias("before"), "slot", "bits"))
+            longer = cover.repartition(parts, "id").join(after, "id").join(own, ["no", "slot"])
+            longer = longer.select("id", "no", "before", "slot", F.col("bits").bitwiseAND(F.col("own")).alias("bits")).where("bits <> 0")
+        found = out[0] if out else spark.createDataFrame([], "antecedent array<string>, bad long, total long")
+        for level in out[1:]:
+            found = found.unionByName(level)
+        return keep(cut(found)), tested
+
+
+def below(sets: DataFrame) -> DataFrame:
+    """The sets that are sound or part of a sound one: what best_of needs."""
+    some, size = sets.where("sound AND NOT together"), sets.where("sound AND NOT together").agg(F.max(F.size("antecedent"))).first()[0] or 1
+    needed, out = some.where(F.size("antecedent") == size), sets.where("together AND sound OR size(antecedent) = 1")
+    while size > 1:
+        needed = cut(needed)
+        out, size = out.unionByName(needed), size - 1
+        less = needed.select(F.explode(F.transform("antecedent", lambda t: F.array_remove("antecedent", t))).alias("antecedent")).unionByName(some.where(F.size("antecedent") == size).select("antecedent"))
+        needed = sets.where((~F.col("together")) & (F.size("antecedent") == size)).join(small(cut(less.distinct())), "antecedent", "left_semi")
+    return out
+
+
 def best_of(sets: DataFrame) -> DataFrame:
     """sets (antecedent, together, confidence, sound) with best, the largest confidence of sound ones that have fewer of its tokens. Combinations
     look up those of one token less, which know their own best; tokens that come together look up each of them alone."""
