@@ -107,3 +107,47 @@ def test_calls_of_snippets(spark):
     found = readable_edges(c.build(files(spark, SNIPPETS | CALLBACKS))).where("kind = 'CALLS'").select("from_name", "to_name")
     extra = [("jni/Call.cpp:notify_all", "app/Player.kt:Player.helper"), ("web/App.tsx:App", "web/App.tsx:Panel")]
     assert sorted(map(tuple, found.collect())) == sorted(CALLS + extra)
+
+
+def kept_bytes(tables):
+    import os
+
+    paths = {p.removeprefix("file://") for t in tables for p in [x.rsplit("/", 1)[0] for x in t.inputFiles()]}
+    return sum(os.path.getsize(os.path.join(p, f)) for p in paths for f in os.listdir(p) if f.endswith(".parquet"))
+
+
+def test_symbols_keep_no_text_of_comments_and_deal_lines_out_once(spark):
+    """What is written and shuffled follows the code of files, not their texts."""
+    import random
+
+    random.seed(5)
+    notes = "".join(f"// {random.getrandbits(2000):x}\n" for _ in range(2000))
+    text = notes + "class A {\n  fun go() {\n  }\n}\n"
+    found, _, rows = c.symbols(spark.createDataFrame([("a/A.kt", text)], "path string, content string"))
+    assert {(r["name"], r["start_line"], r["end_line"]) for r in found.collect()} == {("A", 2001, 2004), ("go", 2002, 2003)}
+    assert kept_bytes([rows]) < len(text) / 10
+    spans = c.spans(c.declared(rows), rows)
+    spans.count()
+    assert spans._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
+
+
+def test_signatures_over_lines_against_a_walk(spark):
+    """Lines up to the closing bracket, 25 at most, from a file with carriage returns; a file is shuffled once, not its lines."""
+    from textloom.operators import signatures as g
+
+    long = "fun far(\n" + "".join(f"  a{i}: Int,\n" for i in range(40)) + ") {\n}\n"
+    text = "class A {\r\n  fun one(a: Int) = f(a)\r\n  fun two(\r\n    a: Map<K, V>,\r\n    b: (Int) -> Int\r\n  ) {\r\n  }\r\n" + long + "fun end(\n"
+    symbols = [("a", 2), ("a", 3), ("a", 8), ("a", 51), ("a", 99), ("gone", 1)]
+    df = spark.createDataFrame(symbols, "path string, start_line int")
+    found = g.gathered(df, spark.createDataFrame([("a", text)], "path string, content string"))
+    got = {(r["path"], r["start_line"]): r["signature"] for r in found.collect()}
+    assert got["a", 2] == "fun one(a: Int) = f(a)" and got["a", 3] == "fun two( a: Map<K, V>, b: (Int) -> Int )"
+    assert got["a", 8] == "fun far( " + " ".join(f"a{i}: Int," for i in range(24)) and got["a", 51] == "fun end("
+    assert got["a", 99] is None and got["gone", 1] is None and len(got) == len(symbols)
+    assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 2
+
+
+def test_lexer_with_the_sign_that_marks_tokens(spark):
+    cases = [('a \x01 "b" // \x01 c\nd', 'a \x01 ""  \nd'), ('a "b" // c\nd', 'a ""  \nd')]
+    df = spark.createDataFrame([("Kotlin", text, code) for text, code in cases], "language string, content string, wanted string")
+    assert lexer.with_code(df).where("code = wanted").count() == len(cases)

@@ -117,3 +117,9 @@ def break_counts(text: Column) -> Column:
     """struct<crlf, lf>: how many line breaks of each kind a text has; both above 0 is mixed."""
     crlf = F.regexp_count(text, F.lit("\r\n"))
     return F.struct(crlf.alias("crlf"), (F.regexp_count(text, F.lit("\n")) - crlf).alias("lf"))
+
+
+def let(value: Column, use) -> Column:
+    """use of a value that is computed once, however often use names it. What use makes is no part of the generated code of a stage, so
+    long rules do not make methods that Java does not compile."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from . import versions
-from .intervals import enclosing, following
+from .intervals import enclosing, nested  # noqa: F401
 from .lexer import with_code
 from .links import NOT_CALLS
 from .storage import kept
@@ -35,21 +36,21 @@ LIBC = [
 _NAME = r"([A-Za-z_]\w*)"
 _MODIFIERS = r"(?:public|private|protected|internal|static|final|abstract|open|override|suspend|inline|data|sealed|inner|operator|virtual|async|export|default|native|external|synchronized|readonly|partial|const|unsafe|pub(?:\([a-z]+\))?|@\w+)"
 #: Declarations by language: (kind, pattern whose first group is the name and whose second, if any, is the owner). The
-#: patterns are tried in order on a line.
+#: patterns are tried in order on a line. Spaces before a word are matched possessively: else each of them is tried again.
 DECLARATIONS: dict[str, list[tuple[str, str]]] = {
-    "Kotlin": [("class", rf"^\s*(?:{_MODIFIERS}\s+)*(?:enum\s+class|annotation\s+class|class|interface|object)\s+{_NAME}"), ("function", rf"^\s*(?:{_MODIFIERS}\s+)*fun\s+(?:<[^>]*>\s*)?(?:[\w<>.?]+\.)?{_NAME}\s*\(")],
-    "Java": [("class", rf"^\s*(?:{_MODIFIERS}\s+)*(?:class|interface|enum|record|@interface)\s+{_NAME}"), ("function", rf"^\s*(?:{_MODIFIERS}\s+)+(?:<[^>]*>\s*)?(?:[\w<>\[\],.?]+\s+)?{_NAME}\s*\([^;=]*$")],
-    "C/C++": [("class", rf"^\s*(?:class|struct|namespace|enum(?:\s+class)?)\s+{_NAME}\s*(?:final\s*)?(?::[^;:]|\{{|$)"), ("function", rf"^\s*(?!return\b|else\b|new\b|delete\b|using\b|typedef\b|std::lock_guard|std::unique_lock)(?:[\w:<>*&,~\s]+?[\s*&]+)?(?:([A-Za-z_]\w*)::)?(~?[A-Za-z_]\w*)\s*\([^;]*(?:\)|,|\{{)\s*(?:const|override|noexcept|final|=\s*0|;|\{{|:|$).*$")],
-    "Rust": [("class", rf"^\s*(?:{_MODIFIERS}\s+)*(?:struct|enum|trait|union)\s+{_NAME}"), ("impl", r"^\s*(?:unsafe\s+)?impl(?:<[^>]*>)?\s+(?:[\w:<>, ]+\s+for\s+)?([A-Za-z_]\w*)"), ("function", rf"^\s*(?:{_MODIFIERS}\s+)*(?:extern\s+\"[^\"]*\"\s+)?fn\s+{_NAME}")],
-    "Python": [("class", rf"^\s*class\s+{_NAME}"), ("function", rf"^\s*(?:async\s+)?def\s+{_NAME}\s*\(")],
+    "Kotlin": [("class", rf"^\s*+(?:{_MODIFIERS}\s+)*(?:enum\s+class|annotation\s+class|class|interface|object)\s+{_NAME}"), ("function", rf"^\s*+(?:{_MODIFIERS}\s+)*fun\s+(?:<[^>]*>\s*)?(?:[\w<>.?]+\.)?{_NAME}\s*\(")],
+    "Java": [("class", rf"^\s*+(?:{_MODIFIERS}\s+)*(?:class|interface|enum|record|@interface)\s+{_NAME}"), ("function", rf"^\s*+(?:{_MODIFIERS}\s+)+(?:<[^>]*>\s*)?(?:[\w<>\[\],.?]+\s+)?{_NAME}\s*\([^;=]*$")],
+    "C/C++": [("class", rf"^\s*+(?:class|struct|namespace|enum(?:\s+class)?)\s+{_NAME}\s*(?:final\s*)?(?::[^;:]|\{{|$)"), ("function", rf"^\s*(?!return\b|else\b|new\b|delete\b|using\b|typedef\b|std::lock_guard|std::unique_lock)(?:[\w:<>*&,~\s]+?[\s*&]+)?(?:([A-Za-z_]\w*)::)?(~?[A-Za-z_]\w*)\s*\([^;]*(?:\)|,|\{{)\s*(?:const|override|noexcept|final|=\s*0|;|\{{|:|$).*$")],
+    "Rust": [("class", rf"^\s*+(?:{_MODIFIERS}\s+)*(?:struct|enum|trait|union)\s+{_NAME}"), ("impl", r"^\s*+(?:unsafe\s+)?impl(?:<[^>]*>)?\s+(?:[\w:<>, ]+\s+for\s+)?([A-Za-z_]\w*)"), ("function", rf"^\s*+(?:{_MODIFIERS}\s+)*(?:extern\s+\"[^\"]*\"\s+)?fn\s+{_NAME}")],
+    "Python": [("class", rf"^\s*+class\s+{_NAME}"), ("function", rf"^\s*+(?:async\s+)?def\s+{_NAME}\s*\(")],
     "TypeScript": [
-        ("class", rf"^\s*(?:{_MODIFIERS}\s+)*(?:class|interface|enum)\s+{_NAME}"), ("class", rf"^\s*(?:export\s+)?type\s+{_NAME}\s*(?:<[^>]*>)?\s*="), ("function", rf"^\s*(?:{_MODIFIERS}\s+)*function\s*\*?\s*{_NAME}\s*[(<]"),
-        ("function", rf"^\s*(?:export\s+)?(?:const|let|var)\s+{_NAME}\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::\s*[\w<>\[\]| ]+)?\s*=>"), ("member", rf"^\s+(?:{_MODIFIERS}\s+)*(?:get\s+|set\s+)?{_NAME}\s*\([^;]*\)\s*(?::\s*[^{{;]+)?\{{"),
+        ("class", rf"^\s*+(?:{_MODIFIERS}\s+)*(?:class|interface|enum)\s+{_NAME}"), ("class", rf"^\s*+(?:export\s+)?type\s+{_NAME}\s*(?:<[^>]*>)?\s*="), ("function", rf"^\s*+(?:{_MODIFIERS}\s+)*function\s*\*?\s*{_NAME}\s*[(<]"),
+        ("function", rf"^\s*+(?:export\s+)?(?:const|let|var)\s+{_NAME}\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::\s*[\w<>\[\]| ]+)?\s*=>"), ("member", rf"^\s++(?:{_MODIFIERS}\s+)*(?:get\s+|set\s+)?{_NAME}\s*\([^;]*\)\s*(?::\s*[^{{;]+)?\{{"),
     ],
     "Go": [("class", rf"^\s*type\s+{_NAME}\s+(?:struct|interface)"), ("function", rf"^func\s+{_NAME}\s*[(\[]"), ("receiver", rf"^func\s+\(\s*\w*\s*\*?\s*([A-Za-z_]\w*)[^)]*\)\s*{_NAME}\s*\(")],
-    "Swift": [("class", rf"^\s*(?:{_MODIFIERS}\s+)*(?:class|struct|protocol|enum|extension|actor)\s+{_NAME}"), ("function", rf"^\s*(?:{_MODIFIERS}\s+)*func\s+{_NAME}"), ("function", r"^\s*(?:\w+\s+)*(init)\s*[?(]")],
-    "C#": [("class", rf"^\s*(?:{_MODIFIERS}\s+)*(?:class|struct|interface|enum|record)\s+{_NAME}"), ("member", rf"^\s*(?:{_MODIFIERS}\s+)+(?:[\w<>\[\],.?]+\s+)?{_NAME}\s*(?:\(|\{{\s*get|=>)")],
-    "Dart": [("class", rf"^\s*(?:abstract\s+|sealed\s+)?(?:class|mixin|enum|extension|typedef)\s+{_NAME}"), ("function", rf"^\s*(?:(?:static|external|final|late)\s+)*(?!return\b|await\b|else\b|new\b|throw\b)(?:[\w<>?,\[\] ]+\s+)(?:get\s+)?{_NAME}\s*\([^;]*\)\s*(?:async\*?\s*)?(?:\{{|=>)")],
+    "Swift": [("class", rf"^\s*+(?:{_MODIFIERS}\s+)*(?:class|struct|protocol|enum|extension|actor)\s+{_NAME}"), ("function", rf"^\s*+(?:{_MODIFIERS}\s+)*func\s+{_NAME}"), ("function", r"^\s*+(?:\w+\s+)*(init)\s*[?(]")],
+    "C#": [("class", rf"^\s*+(?:{_MODIFIERS}\s+)*(?:class|struct|interface|enum|record)\s+{_NAME}"), ("member", rf"^\s*+(?:{_MODIFIERS}\s+)+(?:[\w<>\[\],.?]+\s+)?{_NAME}\s*(?:\(|\{{\s*get|=>)")],
+    "Dart": [("class", rf"^\s*+(?:abstract\s+|sealed\s+)?(?:class|mixin|enum|extension|typedef)\s+{_NAME}"), ("function", rf"^\s*(?:(?:static|external|final|late)\s+)*(?!return\b|await\b|else\b|new\b|throw\b)(?:[\w<>?,\[\] ]+\s+)(?:get\s+)?{_NAME}\s*\([^;]*\)\s*(?:async\*?\s*)?(?:\{{|=>)")],
 }
 
 
@@ -67,21 +68,31 @@ def file_id(path: Column) -> Column:
     return F.xxhash64(path)
 
 
-def numbered(files: DataFrame) -> DataFrame:
-    """Lines of files (path, content) with their language, their code without comments and literals (bare), the brace depth before and
-    after, and the indentation."""
+def numbered(files: DataFrame, more: bool = False) -> DataFrame:
+    """Lines of files (path, content) with their language, their code without comments and literals (bare), the braces that they open and
+    close, and the indentation. With more, also the head of a type (its line and the next ones) and the declaration on a line
+    (decl). Nothing is shuffled: the lines around are those of the file's array."""
     known = files.select("path", F.col("content"), language_of(F.col("path")).alias("language")).where("language IS NOT NULL")
-    coded = with_code(known).withColumn("pair", F.arrays_zip(F.split("content", "\n").alias("line_text"), F.split("code", "\n").alias("bare")))
-    n_lines = F.size("pair") - (F.element_at("pair", -1)["line_text"] == "").cast("int")
-    rows = coded.select("path", "language", F.posexplode(F.slice("pair", F.lit(1), n_lines)).alias("line", "x"))
-    unended = lambda c: F.regexp_replace(c, r"\r\z", "")
-    rows = rows.select("path", "language", (F.col("line") + 1).alias("line"), unended(F.col("x.line_text")).alias("line_text"), unended(F.col("x.bare")).alias("bare"), file_id(F.col("path")).alias("file_id"))
-    order = Window.partitionBy("file_id").orderBy("line")
-    opens, closes = F.regexp_count("bare", F.lit(r"\{")), F.regexp_count("bare", F.lit(r"\}"))
-    rows = rows.withColumn("opens", opens).withColumn("after", F.sum(opens - closes).over(order)).withColumn("depth", F.col("after") - opens + closes)
+    read = with_code(known).select("path", "language", F.split("content", "\n").alias("texts"), F.split("code", "\n").alias("bares"))
+    read = read.withColumn("n_lines", F.size("bares") - (F.element_at("texts", -1) == "").cast("int"))
+    unended = lambda c: F.when(F.endswith(c, F.lit("\r")), F.left(c, F.length(c) - 1)).otherwise(c)
+    read = read.withColumn("bares", F.transform(F.slice("bares", F.lit(1), "n_lines"), unended))
+    head = lambda b, i: F.when(b.rlike(r"\b(class|struct|interface|object|record|mixin|enum)\b"), F.array_join(F.slice("bares", i + 1, F.lit(HEAD_LINES)), " "))
+    parts = [F.slice("texts", F.lit(1), "n_lines").alias("line_text"), F.col("bares").alias("bare")]
+    if more:
+        parts += [F.transform("bares", head).alias("head"), F.transform("bares", lambda b: declaration(b, F.col("language"))).alias("decl")]
+    rows = read.select(file_id(F.col("path")).alias("file_id"), "path", "language", "n_lines", F.posexplode(F.arrays_zip(*parts)).alias("line", "x"))
+    rows = rows.select("file_id", "path", "language", "n_lines", (F.col("line") + 1).alias("line"), unended(F.col("x.line_text")).alias("line_text"), "x.bare", *["x.head", "x.decl"][: 2 * more])
+    count = lambda sign: F.length("bare") - F.length(F.replace("bare", F.lit(sign), F.lit("")))
     indent = F.length("line_text") - F.length(F.ltrim("line_text"))
-    head = F.concat_ws(" ", "bare", *[F.lead("bare", k).over(order) for k in range(1, HEAD_LINES)])
-    return rows.withColumn("indent", F.when(F.trim("bare") != "", indent)).withColumn("head", F.when(F.col("bare").rlike(r"\b(class|struct|interface|object|record|mixin|enum)\b"), head))
+    return rows.withColumn("opens", count("{")).withColumn("closes", count("}")).withColumn("indent", F.when(F.trim("bare") != "", indent))
+
+
+def coded(files: DataFrame) -> DataFrame:
+    """The numbered lines that have code, written once. Their text is kept where it is read: where a line declares something or
+    asks for a method by its name."""
+    read = F.col("decl").isNotNull() | F.contains("bare", F.lit("MethodID"))
+    return kept(numbered(files, more=True).where(F.trim("bare") != "").withColumn("line_text", F.when(read, F.col("line_text"))), compression="zstd")
 
 
 #: Lines that a type's head may have, and how deep brackets in it may nest.
@@ -101,29 +112,32 @@ def base_names(head: Column, name: Column, language: Column) -> Column:
     access words, type arguments and namespaces. Of Python what stands in the brackets, elsewhere what follows extends and
     implements (in Dart also with and on) or the first single colon."""
     behind = F.regexp_extract(F.substr(head, F.instr(head, name) + F.length(name)), r"^([^{;]*)", 1)
-    plain = unbracketed(behind)
-    dart = F.when(language == "Dart", F.regexp_replace(F.regexp_replace(plain, r"\bwith\b", ","), r"\bon\b", "extends")).otherwise(plain)
-    named = F.concat_ws(",", F.regexp_extract(dart, r"\bextends\b(.*?)(?:\bimplements\b|$)", 1), F.regexp_extract(dart, r"\bimplements\b(.*?)(?:\bextends\b|$)", 1))
-    colon = F.regexp_extract(dart, r"(?<!:):(?!:)(.*)$", 1)
-    python = unbracketed(F.regexp_extract(behind, r"^\s*\((.*)\)", 1))
-    listed = F.when(language == "Python", python).when(dart.rlike(r"\b(extends|implements)\b"), named).otherwise(colon)
+    listed = let(behind, lambda b: F.when(language == "Python", unbracketed(F.regexp_extract(b, r"^\s*\((.*)\)", 1))).otherwise(let(unbracketed(b), lambda plain: _listed(plain, language))))
     listed = F.regexp_replace(F.regexp_extract(listed, r"^(.*?)(?:\bwhere\b|$)", 1), r"\b(public|protected|private|virtual|final|internal|open|abstract)\b", " ")
     items = F.filter(F.split(listed, ","), lambda item: ~item.contains("="))  # keyword arguments are no bases
     return F.filter(F.transform(items, lambda item: F.regexp_extract(item, r"([\p{L}_]\w*)\W*$", 1)), lambda word: word != "")
 
 
+def _listed(plain: Column, language: Column) -> Column:
+    """What of a head without brackets names bases."""
+    dart = F.when(language == "Dart", F.regexp_replace(F.regexp_replace(plain, r"\bwith\b", ","), r"\bon\b", "extends")).otherwise(plain)
+    named = F.concat_ws(",", F.regexp_extract(dart, r"\bextends\b(.*?)(?:\bimplements\b|$)", 1), F.regexp_extract(dart, r"\bimplements\b(.*?)(?:\bextends\b|$)", 1))
+    colon = F.regexp_extract(dart, r"(?<!:):(?!:)(.*)$", 1)
+    return F.when(dart.rlike(r"\b(extends|implements)\b"), named).otherwise(colon)
+
+
 def scopes(spans: DataFrame) -> DataFrame:
     """Declarations with level and parent: the innermost declaration, a type or a function, that holds them."""
-    held = spans.where("end_line > line").select("file_id", F.col("line").alias("start"), F.col("end_line").alias("end"), "kind", "name")
-    found = enclosing(spans, held)
+    found = nested(spans, F.col("end_line") > F.col("line"), "kind", "name")
     return found.select(*spans.columns, "level", F.col("within.name").alias("parent"), F.col("within.start").alias("parent_line"), F.col("within.kind").alias("parent_kind"))
 
 
 def definitions(files: DataFrame, name: str, most: int = 60) -> DataFrame:
     """(path, start_line, end_line) of the first definition of a name in each file (E21): a line of code that holds the name, with a
     brace on it or the next one, to the line on which its braces are closed, at most so many lines further."""
-    rows = numbered(files)
     order = Window.partitionBy("file_id").orderBy("line")
+    rows = numbered(files).select("file_id", "path", "line", "bare", "opens", "closes").withColumn("after", F.sum(F.col("opens") - F.col("closes")).over(order))
+    rows = rows.withColumn("depth", F.col("after") - F.col("opens") + F.col("closes"))
     target = name.rsplit("::", 1)[-1].strip()
     braced = F.col("opens") + F.coalesce(F.lead("opens").over(order), F.lit(0)) > 0
     fits = F.contains("bare", F.lit(target)) & (braced | F.startswith(F.ltrim("bare"), F.lit("def ")))
@@ -135,67 +149,72 @@ def definitions(files: DataFrame, name: str, most: int = 60) -> DataFrame:
     return ends.select("path", "start_line", F.least(F.coalesce("closed", "last"), F.col("start_line") + most).alias("end_line"))
 
 
-def declared(rows: DataFrame) -> DataFrame:
-    """Declarations of numbered lines: (file_id, path, language, line, kind, name, owner_hint, depth, indent, text)."""
-    directive = F.col("bare").rlike(r"^\s*#(?!\s*\[)")
+def declaration(bare: Column, language: Column) -> Column:
+    """struct<kind, name, hint> of what a line of code declares, or null; hint is an owner that the line names."""
     any_of = F.lit(None).cast("struct<kind:string,name:string,hint:string>")
-    for language, rules in DECLARATIONS.items():
+    for known, rules in DECLARATIONS.items():
         found = F.lit(None).cast("struct<kind:string,name:string,hint:string>")
         for kind, pattern in reversed(rules):
-            first = F.regexp_extract("bare", pattern, 1)
-            two_groups = kind == "receiver" or language == "C/C++" and kind == "function"
-            name = F.regexp_extract("bare", pattern, 2) if two_groups else first
+            first = F.regexp_extract(bare, pattern, 1)
+            two_groups = kind == "receiver" or known == "C/C++" and kind == "function"
+            name = F.regexp_extract(bare, pattern, 2) if two_groups else first
             row = F.struct(F.lit(kind).alias("kind"), name.alias("name"), F.nullif(first, F.lit("")).alias("hint") if two_groups else F.lit(None).cast("string").alias("hint"))
-            fits = F.col("bare").rlike(pattern) & (name != "") & ~name.isin([w for w in NOT_CALLS if w != "new"])
+            fits = (name != "") & ~name.isin([w for w in NOT_CALLS if w != "new"])  # a pattern that fits has a name
             found = F.when(fits, row).otherwise(found)
-        any_of = F.when(F.col("language") == language, found).otherwise(any_of)
-    found = rows.where(~directive).withColumn("d", any_of).where("d IS NOT NULL")
-    return found.select("file_id", "path", "language", "line", "d.kind", "d.name", "d.hint", "depth", "indent", F.col("line_text").alias("text"), "head")
+        any_of = F.when(language == known, found).otherwise(any_of)
+    return F.when(~(F.contains(bare, F.lit("#")) & bare.rlike(r"^\s*#(?!\s*\[)")), any_of)
+
+
+def declared(rows: DataFrame) -> DataFrame:
+    """Declarations of coded lines: (file_id, path, language, n_lines, line, kind, name, hint, indent, text, head)."""
+    found = rows.where("decl IS NOT NULL")
+    return found.select("file_id", "path", "language", "n_lines", "line", "decl.kind", "decl.name", "decl.hint", "indent", F.col("line_text").alias("text"), "head")
 
 
 def spans(decls: DataFrame, rows: DataFrame) -> DataFrame:
-    """Declarations with end_line and has_body.
+    """Declarations with depth (of braces, before the line), end_line and has_body.
 
     A block starts at the first brace before the next declaration and ends where the depth is back; in Python it ends
-    before the next line that is indented no deeper. Without a block a declaration ends before the next one. Everything is
-    looked up by windows and joins on equal numbers: the end of a block is the next line of the file that closes its depth, and a
-    row that closes several depths is posted under each.
+    before the next line that is indented no deeper. Without a block a declaration ends before the next one. Declarations and the
+    lines that have braces (in Python an indentation) are dealt by file once. A window from the end of the file finds depths, the
+    next brace and the next declaration; then every line that ends something is posted under the depths (indentations) that it
+    ends, and a second window finds the first one behind each declaration's start.
     """
-    order = Window.partitionBy("file_id").orderBy("line")
-    later = order.rowsBetween(0, Window.unboundedFollowing)
-    facts = rows.withColumn("n_lines", F.max("line").over(Window.partitionBy("file_id")))
-    facts = facts.withColumn("opening", F.min(F.when(F.col("opens") > 0, F.col("line"))).over(later))
-    at = facts.select("file_id", "line", "opening", "n_lines")
-    bounded = decls.withColumn("next", F.lead("line").over(order)).join(at, ["file_id", "line"])
-    bounded = bounded.withColumn("next", F.coalesce("next", F.col("n_lines") + 1))
-    opened = F.when((F.col("opening") < F.col("next")) | (F.col("opening") == F.col("line")), F.col("opening"))
-    bounded = bounded.withColumn("open", F.when(F.col("language") != "Python", opened))
-    # ends by depth: a line on which the depth falls from above d to d or below ends what was opened at d
-    ends = rows.withColumn("top", F.greatest("depth", F.col("depth") + F.col("opens"))).where("after < top")
-    ends = ends.select("file_id", F.col("line").alias("at"), F.explode(F.sequence(F.greatest("after", F.lit(0)), F.col("top") - 1)).alias("depth"))
-    starts = bounded.where("open IS NOT NULL").select("file_id", "depth", F.col("open").alias("at"), "line")
-    closed = following(starts, ends, ["file_id", "depth"], "at", same=True).select("file_id", "line", F.col("met").alias("closed"))
-    # ends by indentation: the next line that is indented no deeper, posted under every indentation a file's declarations have
-    indents = bounded.where("language = 'Python'").select("file_id", "indent").distinct()
-    edges = rows.where("indent IS NOT NULL").select("file_id", F.col("indent").alias("own"), F.col("line").alias("at"))
-    edges = edges.join(indents.groupBy("file_id").agg(F.collect_set("indent").alias("levels")), "file_id").select("file_id", "at", F.explode(F.filter("levels", lambda x: x >= F.col("own"))).alias("indent"))
-    blocks = bounded.where("language = 'Python'").select("file_id", "indent", F.col("line").alias("at"), "line")
-    dedent = following(blocks, edges, ["file_id", "indent"], "at", same=False).select("file_id", "line", (F.col("met") - 1).alias("dedent"))
-    out = bounded.join(closed, ["file_id", "line"], "left").join(dedent, ["file_id", "line"], "left")
     python = F.col("language") == "Python"
-    end = F.when(python, F.coalesce("dedent", "n_lines")).otherwise(F.coalesce("closed", F.col("next") - 1))
-    out = out.withColumn("has_body", python | F.col("closed").isNotNull()).withColumn("end_line", F.greatest("line", end))
-    return out.drop("open", "opening", "closed", "dedent", "next", "n_lines")
+    marks = rows.where((F.col("opens") > 0) | (F.col("closes") > 0) | (python & F.col("indent").isNotNull()))
+    marks = marks.select("file_id", "language", "line", "opens", "closes", "indent", F.lit(False).alias("is_decl"))
+    both = marks.unionByName(decls.withColumn("is_decl", F.lit(True)), allowMissingColumns=True)
+    back = Window.partitionBy("file_id").orderBy(F.desc("line"), "is_decl")
+    here, whole = back.rowsBetween(Window.unboundedPreceding, Window.currentRow), back.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    step, mine = F.coalesce(F.col("opens") - F.col("closes"), F.lit(0)), F.col("is_decl")
+    both = both.withColumns({
+        "depth": (F.sum(step).over(whole) - F.sum(step).over(here)).cast("int"),
+        "opening": F.last(F.when(F.col("opens") > 0, F.col("line")), ignorenulls=True).over(here),
+        "next": F.last(F.when(mine, F.col("line")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)),
+        "levels": F.collect_set(F.when(mine & python, F.col("indent"))).over(whole),
+    }).withColumn("next", F.coalesce("next", F.col("n_lines") + 1))
+    opened = F.when((F.col("opening") < F.col("next")) | (F.col("opening") == F.col("line")), F.col("opening"))
+    # a line on which the depth falls from above d to d or below ends what was opened at d
+    top, after = F.col("depth") + F.col("opens"), F.col("depth") + F.col("opens") - F.col("closes")
+    ended = F.when(python, F.filter("levels", lambda x: x >= F.col("indent"))).otherwise(F.when(after < top, F.sequence(after, top - 1)).otherwise(F.array().cast("array<int>")))
+    starts = F.array(F.struct(F.when(python, F.col("indent")).when(opened.isNotNull(), F.col("depth")).alias("key"), F.when(python, F.col("line")).otherwise(F.coalesce(opened, "line")).alias("at")))
+    posted = F.when(mine, starts).otherwise(F.transform(ended, lambda key: F.struct(key.alias("key"), F.col("line").alias("at"))))
+    out = [c for c in decls.columns if c != "n_lines"]
+    both = both.select(*out, "n_lines", "depth", "next", "is_decl", F.explode(posted).alias("e")).select(*out, "n_lines", "depth", "next", "is_decl", "e.key", "e.at")
+    # an end on the line of the start counts, but for indentations
+    order = Window.partitionBy("file_id", "key").orderBy(F.desc("at"), F.when(python, ~mine).otherwise(mine)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("met", F.last(F.when(~mine, F.col("at")), ignorenulls=True).over(order)).where("is_decl")
+    end = F.when(python, F.coalesce(F.col("met") - 1, "n_lines")).otherwise(F.coalesce("met", F.col("next") - 1))
+    return found.select(*out, "depth", (python | F.col("met").isNotNull()).alias("has_body"), F.greatest("line", end).alias("end_line"))
 
 
 def symbols(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(symbols, bodies, lines). symbols: (id, file_id, path, language, name, name_lower, kind, detail, owner, start_line,
     end_line, has_body, bases); the first of a file, owner and name stays (K1). bodies: the span of every declaration, also
     of later overloads, with the id of the symbol that it counts for."""
-    rows = kept(numbered(files))
-    all_spans = kept(spans(declared(rows), rows))
-    holders = all_spans.where("kind IN ('class', 'impl') AND end_line > line").select("file_id", F.col("line").alias("start"), F.col("end_line").alias("end"), "name", "depth")
-    owned = enclosing(all_spans, holders).where("kind <> 'impl'").where("kind <> 'member' OR depth = within.depth + 1")
+    rows = coded(files)
+    holders = F.col("kind").isin("class", "impl") & (F.col("end_line") > F.col("line"))
+    owned = nested(spans(declared(rows), rows), holders, "name", "depth").where("kind <> 'impl'").where("kind <> 'member' OR depth = within.depth + 1")
     is_class = F.col("kind") == "class"
     owned = owned.withColumn("owner", F.when(~is_class, F.coalesce("hint", "within.name")))
     bases = base_names(F.col("head"), F.col("name"), F.col("language"))
@@ -205,9 +224,8 @@ def symbols(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         "owner", F.col("line").alias("start_line"), "end_line", "has_body", F.when(is_class & F.col("head").isNotNull(), bases).otherwise(F.array().cast("array<string>")).alias("bases"),
     )
     order = Window.partitionBy("file_id", F.coalesce("owner", F.lit("")), "name").orderBy(F.col("kind") != "class", "start_line")
-    made = kept(made)
-    first = made.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    return first, made.select("id", "file_id", "language", "name", "kind", "owner", "start_line", "end_line"), rows
+    made = kept(made.withColumn("_n", F.row_number().over(order)))
+    return made.where("_n = 1").drop("_n"), made.select("id", "file_id", "language", "name", "kind", "owner", "start_line", "end_line"), rows
 
 
 _CALL = r"(?:([A-Za-z_]\w*)(\([^()]*\))?[?! ]*(\.|->|::))?\s*\b([A-Za-z_]\w*)\s*\("

@@ -13,19 +13,30 @@ from pyspark.sql import functions as F
 MOST_HEAD, MOST_BODY = 25, 150
 
 
-def gathered(symbols: DataFrame, lines: DataFrame, most: int = MOST_HEAD) -> DataFrame:
-    """symbols with signature: the declaration's lines as one, up to the line where its brackets are closed (E12). Lines meet
-    declarations by equal numbers, so a declaration costs at most so many rows."""
-    at = symbols.select("path", "start_line").distinct().withColumn("line", F.explode(F.sequence(F.col("start_line"), F.col("start_line") + most - 1)))
-    near = at.join(lines.select("path", "line", "line_text"), ["path", "line"])
-    w = Window.partitionBy("path", "start_line").orderBy("line")
-    opens = F.regexp_count("line_text", F.lit(r"\(")) - F.regexp_count("line_text", F.lit(r"\)"))
-    depth = F.sum(opens).over(w)
-    near = near.withColumn("depth", depth).withColumn("closed", F.coalesce(F.max(F.when(F.col("depth") <= 0, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    head = near.where("closed = 0").groupBy("path", "start_line").agg(F.array_sort(F.collect_list(F.struct("line", "line_text"))).alias("rows"))
-    text = F.array_join(F.transform("rows", lambda r: F.trim(r["line_text"])), " ")
-    text = F.regexp_replace(F.regexp_replace(text, r"\s*(\{.*|:|=>.*)?\s*$", ""), r"\s+", " ")
-    return symbols.join(head.select("path", "start_line", text.alias("signature")), ["path", "start_line"], "left")
+def gathered(symbols: DataFrame, files: DataFrame, most: int = MOST_HEAD) -> DataFrame:
+    """symbols with signature: the declaration's lines as one, up to the line where its brackets are closed (E12). files: (path, content).
+    A file meets its declarations in one row, and each of them reads at most so many of its lines."""
+    own = [c for c in symbols.columns if c != "path"]
+    by_file = symbols.groupBy("path").agg(F.collect_list(F.struct(*own)).alias("found"))
+    parts = files.select("path", F.split("content", "\n").alias("parts"))
+    parts = parts.withColumn("parts", F.when(F.element_at("parts", -1) == "", F.slice("parts", F.lit(1), F.size("parts") - 1)).otherwise(F.col("parts")))
+    opens = lambda t: F.length(F.replace(t, F.lit(")"), F.lit(""))) - F.length(F.replace(t, F.lit("("), F.lit("")))
+    none = F.lit(None).cast("string")
+
+    def step(head: Column, t: Column) -> Column:
+        plain = F.when(F.endswith(t, F.lit("\r")), F.left(t, F.length(t) - 1)).otherwise(t)
+        depth = head["depth"] + opens(t)
+        longer = F.struct(F.concat_ws(" ", head["text"], F.trim(plain)).alias("text"), depth.alias("depth"), (depth <= 0).alias("closed"))
+        return F.when(head["closed"], head).otherwise(longer)
+
+    def signature(s: Column) -> Column:
+        near = F.slice("parts", s["start_line"], F.lit(most))
+        text = F.aggregate(near, F.struct(none.alias("text"), F.lit(0).alias("depth"), F.lit(False).alias("closed")), step, lambda head: F.when(F.size(near) > 0, head["text"]))
+        return F.regexp_replace(F.regexp_replace(text, r"\s*(\{.*|:|=>.*)?\s*$", ""), r"\s+", " ")
+
+    rows = by_file.join(parts, "path", "left")
+    rows = rows.select("path", F.inline(F.transform("found", lambda s: F.struct(*[s[c].alias(c) for c in own], signature(s).alias("signature")))))
+    return rows.select(*symbols.columns, "signature")
 
 
 def parameters(signature: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import code_index as c
 from ..operators.lexer import with_code
-from ..sources.tables import LINES_SQL, lines, load
+from ..sources.tables import LINES_SQL, load
 from .registry import query
 
 
@@ -19,7 +19,7 @@ def _lit(template: str, doc, i=None, text=None):
     quotes and templates."""
     values = {"$d": doc.cast("string")}
     if i is not None:
-        values |= {"$i": (i + 1).cast("string"), "$j": (i + 2).cast("string"), "$t": F.translate(text, "\"'`\\/*#$\r", "")}
+        values |= {"$i": (i + 1).cast("string"), "$j": (i + 2).cast("string"), "$t": F.regexp_replace(text, "[\"'`\\\\/*#$\r]", "")}
     out = F.lit(template)
     for sign, value in values.items():
         out = F.replace(out, F.lit(sign), value)
@@ -121,7 +121,7 @@ NESTED = "    fun f$i(a: Int) {\n        fun g$i() {\n            f$j(a) // }\n
 def scope_tree(spark, sf_dir):
     """The innermost declaration that holds each declaration."""
     source = made(spark, sf_dir, "k/$d.kt", "class C$d {\n  class In$d {\n", NESTED, "  }\n  fun z$d() {\n  }\n}\n")
-    rows = c.numbered(source)
+    rows = c.coded(source)
     found = c.scopes(c.spans(c.declared(rows), rows))
     return found.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("doc_id"), "name", "level", "parent", "kind")
 
@@ -222,7 +222,7 @@ def multi_line_signatures(spark, sf_dir):
     from ..operators import signatures as g
 
     source = made(spark, sf_dir, "k/d$d.kt", "class C$d {\n", "    fun f$i(\n        a: Int,\n        b$i: Map<K, V>\n    ) {\n        // $t\n    }\n", "}\n")
-    found = g.gathered(c.symbols(source)[0].where("kind = 'method'"), lines(source.select("path", "content"), "content"))
+    found = g.gathered(c.symbols(source)[0].where("kind = 'method'"), source.select("path", "content"))
     return found.select("path", "name", "signature", g.parameters(F.col("signature")).alias("params"))
 
 
