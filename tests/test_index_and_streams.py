@@ -104,3 +104,80 @@ def test_totals_and_stats(spark):
     assert tuple(logs.test_totals(lines).first()) == (5, 1, 2)
     stat = spark.createDataFrame([(" 4 files changed, 37 insertions(+), 9 deletions(-)",), (" 1 file changed, 2 insertions(+)",)], "s string")
     assert [r[0] for r in stat.select(logs.short_stat(F.col("s"))).collect()] == ["4 files, +37 -9", "1 file, +2 -0"]
+
+
+def disk_bytes(spark):
+    """Bytes of shuffle files and of kept tables."""
+    import os
+
+    from textloom.operators import storage
+
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+    total = 0
+    while blocks.hasNext():
+        total += blocks.next().length()
+    for folder in storage._spaces()[0]:
+        path = folder.removeprefix("file://")
+        total += sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names)
+    return total
+
+
+def test_an_index_moves_code_and_not_texts(spark):
+    """Comments of two million random bytes neither go through shuffles nor into kept tables."""
+    import random
+
+    random.seed(7)
+    note = "\n".join(f"// {random.getrandbits(4000):x}" for _ in range(2000))
+    text = "class A {\n  fun go() {\n    stay(1)\n  }\n  fun stay(a: Int) {\n  }\n}\n" + note
+    df = spark.createDataFrame([("a/A.kt", text, 1, len(text))], "path string, content string, mtime long, size long")
+    before = disk_bytes(spark)
+    assert edges(c.build(df)) == [("a/A.kt:A.go", "a/A.kt:A.stay")]
+    assert disk_bytes(spark) - before < len(text) / 4
+
+
+def test_link_rule_against_a_walk(spark):
+    """Every tier of the rule, with declarations that give way, constructors and common names, against a walk over all candidates."""
+    import random
+
+    random.seed(11)
+    names, owners, languages = ["a", "b", "A", "B", "get", "z"], [None, "A", "B"], ["Kotlin", "Java", "Python"]
+    syms = {}
+    for i in range(60):
+        file, lang = random.randrange(12), None
+        lang = languages[file % 3]
+        name, owner = random.choice(names), random.choice(owners)
+        syms[file, owner, name] = (i, name, owner, file, lang, random.random() < 0.6, f"p{file}", i)
+    syms = list(syms.values())
+    sites = []
+    for i in range(400):
+        file = random.randrange(12)
+        dotted = random.random() < 0.5
+        recv = random.choice(["", "A", "B", "X"]) if dotted else random.choice(["", "", "@jvm"])
+        sites.append((1000 + i if i % 4 else random.choice(syms)[0], file, languages[file % 3], random.choice(owners), random.choice(names), dotted, recv))
+    family = lambda lang: "JVM" if lang in ("Kotlin", "Java") else lang
+
+    def walk(site):
+        _, file, lang, caller, callee, dotted, recv = site
+        if recv == "@jvm":
+            of = [s for s in syms if s[1] == callee and family(s[4]) == "JVM"]
+            return of[0][0] if len(of) == 1 else None
+        of = [s for s in syms if s[1] == callee and family(s[4]) == family(lang)]
+        of = [s for s in of if s[5] or not any(t[5] and t[2] == s[2] for t in of)]
+        own = [s for s in of if s[2] == s[1]]
+        of = own if len(own) == 1 else of
+        first = lambda some: min(some, key=lambda s: (s[6], s[7], s[0]))[0] if some else None
+        tiers = [first([s for s in of if recv and s[2] == recv and s[3] == file]), first([s for s in of if recv and s[2] == recv])]
+        if not dotted:
+            tiers += [first([s for s in of if caller and s[2] == caller and s[3] == file]), first([s for s in of if caller and s[2] == caller])]
+        if not (dotted and recv):
+            tiers.append(first([s for s in of if s[3] == file]))
+        if len(of) == 1 and not (dotted and callee in c.COMMON_METHODS):
+            tiers.append(of[0][0])
+        return next((t for t in tiers if t is not None), None)
+
+    found = c.resolve(
+        spark.createDataFrame(sites, "symbol_id long, file_id long, language string, caller_owner string, callee string, dotted boolean, recv_type string"),
+        spark.createDataFrame(syms, "id long, name string, owner string, file_id long, language string, has_body boolean, path string, start_line int"),
+    )
+    wanted = {(s[0], to, "CALLS") for s in sites if (to := walk(s)) is not None and to != s[0]}
+    assert {tuple(r) for r in found.collect()} == wanted and len(wanted) > 50

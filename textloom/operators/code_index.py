@@ -231,6 +231,8 @@ def symbols(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 _CALL = r"(?:([A-Za-z_]\w*)(\([^()]*\))?[?! ]*(\.|->|::))?\s*\b([A-Za-z_]\w*)\s*\("
 #: A line as words and signs, and wrappers whose argument is the type that counts.
 _TOKEN = r"(::|->|\w+|[^\s\w])"
+#: Lines of a block, in which call sites meet bodies.
+BLOCK = 16
 _WRAPPERS = ["shared_ptr", "unique_ptr", "weak_ptr", "sp", "RefPtr"]
 
 
@@ -239,7 +241,11 @@ def typed_names(line: Column) -> Column:
     in angle brackets or bare before it (in a wrapper rank 0, else 2), a colon and a type behind it (1), or = and a type that
     makes a value (3). Types are words with a capital; reference signs do not count."""
     tokens = F.regexp_extract_all(line, F.lit(_TOKEN), 1)
-    plain = F.filter(tokens, lambda t: ~t.isin("&", "*", "mut", "new"))
+    return let(F.filter(tokens, lambda t: ~t.isin("&", "*", "mut", "new")), _typed)
+
+
+def _typed(plain: Column) -> Column:
+    """typed_names() of the words and signs of a line."""
 
     def at(i: Column) -> Column:
         return F.coalesce(F.get(plain, i), F.lit(""))
@@ -265,8 +271,7 @@ def typed_names(line: Column) -> Column:
         made = (after == "=") & is_type(at(i + 2)) & at(i + 3).isin("(", "<", "{")
         return out.when(made, F.struct(F.lit(3).alias("rank"), word.alias("ident"), at(i + 2).alias("type")))
 
-    found = F.transform(plain, lambda word, i: F.when(word.rlike(r"^[\p{L}_]\w*$"), declared(word, i)))
-    return F.array_compact(found)
+    return F.array_compact(F.transform(plain, lambda word, i: F.when(word.rlike(r"^[\p{L}_]\w*$"), declared(word, i))))
 
 
 def declared_types(rows: DataFrame) -> DataFrame:
@@ -283,18 +288,19 @@ def call_sites(bodies: DataFrame, rows: DataFrame) -> DataFrame:
     type, a type itself, or the result of a call (ret:name). Native code that asks for a method of the virtual machine by its
     name calls it (receiver @jvm), and a component's tag in a script is a call of it.
     """
-    code = rows.where(~F.col("bare").rlike(r"^\s*#")).select("file_id", "line", F.regexp_extract_all("bare", F.lit(_CALL), 1).alias("r"), F.regexp_extract_all("bare", F.lit(_CALL), 2).alias("p"), F.regexp_extract_all("bare", F.lit(_CALL), 3).alias("d"), F.regexp_extract_all("bare", F.lit(_CALL), 4).alias("c"))
-    inner = F.arrays_zip("r", "p", "d", "c")
-    sites = code.select("file_id", "line", F.explode(inner).alias("x")).select("file_id", "line", "x.r", "x.p", "x.d", "x.c")
+    code = rows.where(F.contains("bare", F.lit("(")) & ~F.col("bare").rlike(r"^\s*+#")).select("file_id", "line", F.regexp_extract_all("bare", F.lit(_CALL), 1).alias("r"), F.regexp_extract_all("bare", F.lit(_CALL), 2).alias("p"), F.regexp_extract_all("bare", F.lit(_CALL), 3).alias("d"), F.regexp_extract_all("bare", F.lit(_CALL), 4).alias("c"))
+    code = code.select("file_id", "line", F.arrays_zip("r", "p", "d", "c").alias("met"))
     # A chained call hides in the receiver's brackets: a().b() is a call of a as well.
-    chained = sites.where("p <> ''").select("file_id", "line", F.lit("").alias("r"), F.lit("").alias("p"), F.lit("").alias("d"), F.col("r").alias("c"))
+    hidden = F.transform(F.filter("met", lambda x: x["p"] != ""), lambda x: F.struct(F.lit("").alias("r"), F.lit("").alias("p"), F.lit("").alias("d"), x["r"].alias("c")))
+    sites = code.select("file_id", "line", F.explode(F.concat("met", hidden)).alias("x")).select("file_id", "line", "x.r", "x.p", "x.d", "x.c")
     named = lambda some, text, pattern, mark: some.select("file_id", "line", F.lit(mark).alias("r"), F.lit("").alias("p"), F.lit("").alias("d"), F.explode(F.regexp_extract_all(text, F.lit(pattern), 1)).alias("c"))
     callbacks = named(rows.where("language = 'C/C++' AND contains(bare, 'MethodID')"), "line_text", r'Get(?:Static)?MethodID\s*\([^"]*"(\w+)"', "@jvm")
     tags = named(rows.where(F.lower("path").rlike(r"\.[jt]sx$")), "bare", r"<(\p{Lu}\w*)(?=[\s/>])", "")
-    sites = sites.unionByName(chained).unionByName(callbacks).unionByName(tags).where(~F.col("c").isin(NOT_CALLS) & ~((F.col("r") == "std") & (F.col("d") == "::")))
-    methods = bodies.where("kind <> 'class'")
-    methods = methods.withColumn("line", F.explode(F.sequence("start_line", "end_line")))
-    in_body = sites.join(methods, ["file_id", "line"]).where(~((F.col("language") == "C/C++") & (F.col("d") == "") & F.col("c").isin(LIBC)))
+    sites = sites.unionByName(callbacks).unionByName(tags).where(~F.col("c").isin(NOT_CALLS) & ~((F.col("r") == "std") & (F.col("d") == "::")))
+    # bodies meet the sites of the same few lines, so a long body costs a row for each block of lines and not one for each line
+    block = lambda line: F.floor(line / F.lit(BLOCK)).cast("int")
+    methods = bodies.where("kind <> 'class'").withColumn("block", F.explode(F.sequence(block(F.col("start_line")), block(F.col("end_line")))))
+    in_body = sites.withColumn("block", block(F.col("line"))).join(methods, ["file_id", "block"]).where("line BETWEEN start_line AND end_line").where(~((F.col("language") == "C/C++") & (F.col("d") == "") & F.col("c").isin(LIBC)))
     types = declared_types(rows)
     typed = in_body.join(types.withColumnRenamed("ident", "r"), ["file_id", "r"], "left")
     recv = (
@@ -307,61 +313,63 @@ def call_sites(bodies: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def resolve(sites: DataFrame, syms: DataFrame) -> DataFrame:
-    """CALLS edges (from_id, to_id, kind) of call sites.
+    """CALLS edges (from_id, to_id, kind) of call sites, an edge for each site.
 
     The rule is a fall through tiers: the receiver's type, the caller's own class for plain calls, the caller's file, a
     name that is unique in the language family and not a common method. A self link is dropped after its tier was chosen.
     Every tier looks up one candidate in a table that is grouped by its key beforehand, so a name with many candidates
-    and many calls costs their sum and not their product.
+    and many calls costs their sum and not their product. A dotted call asks for its receiver's type and a plain one for its
+    caller's class, so both ask the same tables.
     """
     cands = syms.select("id", "name", "owner", "file_id", family(F.col("language")).alias("family"), "has_body", "path", "start_line")
-    by_name = Window.partitionBy("name", "family")
-    defined = F.max(F.col("has_body").cast("int")).over(Window.partitionBy("name", "family", "owner")) == 1
-    usable = cands.withColumn("_d", defined).where(F.col("has_body") | ~F.col("_d"))
     is_ctor = F.coalesce(F.col("owner") == F.col("name"), F.lit(False))
-    usable = usable.withColumn("_n", F.count("*").over(by_name)).withColumn("_c", F.sum(is_ctor.cast("int")).over(by_name)).where((F.col("_c") != 1) | (F.col("_n") <= 1) | is_ctor)
+    key = ["name", "family", "owner"]
+    # declarations give way to a definition of the same owner: few have none, so only those look for one
+    bare = cands.where("NOT has_body")
+    bodies = cands.where("has_body").select(*key).distinct()
+    same = (F.col("l.name") == F.col("r.name")) & (F.col("l.family") == F.col("r.family")) & F.col("l.owner").eqNullSafe(F.col("r.owner"))
+    usable = cands.where("has_body").unionByName(bare.alias("l").join(bodies.alias("r"), same, "left_anti"))
+    # and all candidates of a name to its constructor, if it has one
+    ctors = usable.where(is_ctor).groupBy("name", "family").agg(F.count("*").alias("_c")).where("_c = 1").select("name", "family", F.lit(True).alias("_one"))
+    usable = kept(usable.join(ctors, ["name", "family"], "left").where(F.col("_one").isNull() | is_ctor).drop("_one"))
     first = F.min(F.struct("path", "start_line", "id")).getField("id")
 
     def table(name: str, *keys: str) -> DataFrame:
-        return usable.groupBy(*keys).agg(first.alias(name), F.count("*").alias(f"{name}_n")).withColumnRenamed("name", "callee")
-
-    keyed = sites.withColumn("family", family(F.col("language")))
-    t_file = table("same_file", "name", "family", "file_id")
-    t_all = table("any", "name", "family")
-    t_owner = table("typed", "name", "family", "owner").where("owner IS NOT NULL")
-    t_owner_file = table("typed_here", "name", "family", "owner", "file_id").where("owner IS NOT NULL")
-    rename = lambda df, to, **cols: df.withColumnRenamed("owner", to).withColumnsRenamed(cols)
-    rows = keyed.join(t_all, ["callee", "family"], "left").join(t_file, ["callee", "family", "file_id"], "left")
-    rows = rows.join(rename(t_owner, "recv_type"), ["callee", "family", "recv_type"], "left").join(rename(t_owner_file, "recv_type"), ["callee", "family", "recv_type", "file_id"], "left")
-    mine = {"typed": "mine", "typed_n": "mine_n"}
-    mine_here = {"typed_here": "mine_here", "typed_here_n": "mine_here_n"}
-    rows = rows.join(rename(t_owner, "caller_owner", **mine), ["callee", "family", "caller_owner"], "left").join(rename(t_owner_file, "caller_owner", **mine_here), ["callee", "family", "caller_owner", "file_id"], "left")
-    jvm = cands.where("family = 'JVM'").groupBy(F.col("name").alias("callee")).agg(F.min("id").alias("jvm"), F.count("*").alias("jvm_n"))
-    rows = rows.join(jvm, "callee", "left")
+        rows = usable.where("owner IS NOT NULL") if "owner" in keys else usable
+        return rows.groupBy(*keys).agg(first.alias(name)).withColumnRenamed("name", "callee")
+
     plain = ~F.col("dotted")
-    unique = F.when((F.col("any_n") == 1) & ~(F.col("dotted") & F.col("callee").isin(COMMON_METHODS)), F.col("any"))
-    here = F.when(~(F.col("dotted") & (F.col("recv_type") != "")), F.col("same_file"))
-    target = F.when(F.col("recv_type") == "@jvm", F.when(F.col("jvm_n") == 1, F.col("jvm"))).otherwise(
-        F.coalesce("typed_here", "typed", F.when(plain, F.col("mine_here")), F.when(plain, F.col("mine")), here, unique)
-    )
-    found = rows.select(F.col("symbol_id").alias("from_id"), target.alias("to_id")).where("to_id IS NOT NULL AND to_id <> from_id").distinct()
-    return found.withColumn("kind", F.lit("CALLS"))
+    asked = F.when(F.col("recv_type") != "", F.col("recv_type")).when(plain, F.col("caller_owner"))
+    keyed = sites.select("symbol_id", "file_id", "callee", "dotted", "recv_type", family(F.col("language")).alias("family"), asked.alias("owner"))
+    owned = keyed.where("owner IS NOT NULL AND recv_type <> '@jvm'")
+    owned = owned.join(table("here", "name", "family", "owner", "file_id"), ["callee", "family", "owner", "file_id"], "left").join(table("there", "name", "family", "owner"), ["callee", "family", "owner"], "left")
+    rest = keyed.where("owner IS NULL AND recv_type <> '@jvm'").withColumns({"here": F.lit(None).cast("long"), "there": F.lit(None).cast("long")})
+    rows = owned.unionByName(rest).withColumn("found", F.coalesce("here", "there")).drop("here", "there", "owner")
+    unique = usable.groupBy("name", "family").agg(F.min("id").alias("any"), F.count("*").alias("n")).where("n = 1").select(F.col("name").alias("callee"), "family", "any")
+    rows = rows.join(table("same_file", "name", "family", "file_id"), ["callee", "family", "file_id"], "left").join(unique, ["callee", "family"], "left")
+    anywhere = F.when(plain | ~F.col("callee").isin(COMMON_METHODS), F.col("any"))
+    in_file = F.when(plain | (F.col("recv_type") == ""), F.col("same_file"))
+    linked = rows.select("symbol_id", F.coalesce("found", in_file, anywhere).alias("to_id"))
+    jvm = cands.where("family = 'JVM'").groupBy(F.col("name").alias("callee")).agg(F.min("id").alias("to_id"), F.count("*").alias("n")).where("n = 1")
+    linked = linked.unionByName(sites.where("recv_type = '@jvm'").join(jvm, "callee").select("symbol_id", "to_id"))
+    return linked.where("to_id IS NOT NULL AND to_id <> symbol_id").select(F.col("symbol_id").alias("from_id"), "to_id", F.lit("CALLS").alias("kind"))
 
 
 def effective_receivers(sites: DataFrame, returns: DataFrame) -> DataFrame:
     """Receivers ret:name as the one type that all methods of that name return, else unknown (J10). returns: (name, type)."""
     from .lookup import unanimous
 
+    asks = F.startswith("recv_type", F.lit("ret:"))
     known = unanimous(returns, "name", "type").select(F.concat(F.lit("ret:"), "name").alias("recv_type"), F.col("type").alias("_t"))
-    rows = sites.join(known, "recv_type", "left")
-    return rows.withColumn("recv_type", F.when(F.startswith("recv_type", F.lit("ret:")), F.coalesce("_t", F.lit(""))).otherwise(F.col("recv_type"))).drop("_t")
+    rows = sites.where(asks).join(known, "recv_type", "left").withColumn("recv_type", F.coalesce("_t", F.lit(""))).drop("_t")
+    return sites.where(~asks).unionByName(rows)
 
 
 def returned_types(rows: DataFrame, bodies: DataFrame) -> DataFrame:
     """(name, type) of methods whose declaration names a type: before the name, or behind an arrow or colon."""
     from ..functions.text import simplify_type
 
-    head = rows.select("file_id", F.col("line").alias("start_line"), F.col("line_text").alias("text"))
+    head = rows.where("decl IS NOT NULL").select("file_id", F.col("line").alias("start_line"), F.col("line_text").alias("text"))
     heads = bodies.where("kind <> 'class'").join(head, ["file_id", "start_line"])
     behind = F.regexp_extract("text", r"\)\s*(?:->|:)\s*([^={]+)", 1)
     before = F.regexp_extract("text", r"^\s*(.*?)[\w:~]+\s*\(", 1)
@@ -402,36 +410,49 @@ def with_definitions(index: dict[str, DataFrame]) -> DataFrame:
     return full_graph(edges, named.select("node", "path", "name", "owner", "kind")).withColumnsRenamed({"from_id": "from_name", "to_id": "to_name"})
 
 
-def build(files: DataFrame) -> dict[str, DataFrame]:
-    """The index of files (path, content, mtime, size) as tables: files, symbols, call_sites, edges."""
+def parsed(files: DataFrame) -> dict[str, DataFrame]:
+    """What files (path, content, mtime, size) have by themselves, as tables: files, symbols, call_sites."""
     syms, bodies, rows = symbols(files)
-    sites = effective_receivers(call_sites(bodies, rows), returned_types(rows, bodies))
+    sites = kept(call_sites(bodies, rows), compression="zstd")
+    asked = sites.where("recv_type LIKE 'ret:%'").select(F.substr("recv_type", F.lit(5)).alias("name")).distinct()
+    sites = kept(effective_receivers(sites, returned_types(rows, bodies.join(asked, "name", "left_semi"))), compression="zstd")
     known = files.select(file_id(F.col("path")).alias("id"), "path", language_of(F.col("path")).alias("language"), "mtime", "size").where("language IS NOT NULL")
-    syms, sites = kept(syms), kept(sites)
-    return {"files": known, "symbols": syms, "call_sites": sites, "edges": kept(linked(sites, syms))}
+    return {"files": known, "symbols": syms, "call_sites": sites}
+
+
+def build(files: DataFrame) -> dict[str, DataFrame]:
+    """The index of files (path, content, mtime, size) as tables: files, symbols, call_sites, edges. Edges are made when they are
+    read."""
+    index = parsed(files)
+    return index | {"edges": linked(index["call_sites"], index["symbols"])}
+
+
+#: Bytes up to which paths are broadcast.
+FEW_BYTES = 16 << 20
 
 
 def refresh(index: dict[str, DataFrame], files: DataFrame) -> dict[str, DataFrame]:
     """The index after a change of files (M10): only files whose mtime or size changed are parsed; calls are resolved again
     if their file changed or if they name something that a changed file declares or declared, and all if a quarter of the
-    files changed (G-10)."""
+    files changed (G-10). What changed is written once, and joins with it do not shuffle the texts of all files, as long as it is
+    small."""
     from .trees import changes
 
     known = files.where(language_of(F.col("path")).isNotNull())
-    diff = changes(index["files"], known).where("change <> 'unchanged'")
-    touched = diff.select("path")
-    keep = lambda df: df.join(touched, "path", "left_anti")
-    new = build(known.join(diff.where("change IN ('added', 'updated')").select("path"), "path", "left_semi"))
+    diff = kept(changes(index["files"], known).where("change <> 'unchanged'").withColumn("file_id", file_id(F.col("path"))))
+    n_changed, width = diff.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("path") + 16), F.lit(0))).first()
+    few = F.broadcast if width <= FEW_BYTES else lambda df: df
+    touched, gone = diff.select("path"), diff.select("file_id")
+    keep = lambda df: df.join(few(touched), "path", "left_anti")
+    new = parsed(known.join(few(diff.where("change IN ('added', 'updated')").select("path")), "path", "left_semi"))
     all_files = keep(index["files"]).unionByName(new["files"])
     syms = keep(index["symbols"]).unionByName(new["symbols"])
-    gone = touched.select(file_id(F.col("path")).alias("file_id"))
-    sites = index["call_sites"].join(gone, "file_id", "left_anti").unionByName(new["call_sites"])
-    n_changed, n_all = touched.count(), all_files.count()
-    if n_changed * 4 >= n_all:
+    sites = index["call_sites"].join(few(gone), "file_id", "left_anti").unionByName(new["call_sites"])
+    if n_changed * 4 >= known.select("path").count():
         edges = linked(sites, syms)
     else:
-        names = index["symbols"].join(touched, "path", "left_semi").select("name").union(new["symbols"].select("name")).distinct()
-        affected = sites.join(names.withColumnRenamed("name", "callee"), "callee", "left_semi").select("symbol_id").union(new["call_sites"].select("symbol_id")).union(index["call_sites"].join(gone, "file_id", "left_semi").select("symbol_id")).distinct()
+        names = index["symbols"].join(few(touched), "path", "left_semi").select("name").union(new["symbols"].select("name")).distinct()
+        affected = sites.join(names.withColumnRenamed("name", "callee"), "callee", "left_semi").select("symbol_id").union(new["call_sites"].select("symbol_id")).union(index["call_sites"].join(few(gone), "file_id", "left_semi").select("symbol_id")).distinct()
         others = bridge_edges(syms).unionByName(dispatch_edges(syms))  # cheap, and a change reaches far
         old = index["edges"].where("kind = 'CALLS'").join(affected.withColumnRenamed("symbol_id", "from_id"), "from_id", "left_anti")
         edges = old.unionByName(resolve(sites.join(affected, "symbol_id", "left_semi"), syms)).unionByName(others).distinct()

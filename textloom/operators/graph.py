@@ -105,9 +105,12 @@ def ancestors(bases: DataFrame, most: int = 12) -> DataFrame:
 def override_links(bases: DataFrame, methods: DataFrame, fanout: int = 4) -> DataFrame:
     """(from_id, to_id): a base method to the methods that override it, of the nearest ancestor that has it, if they are at
     most `fanout` (J9). methods: (id, owner, name, has_body); a definition goes before a declaration."""
-    one = methods.groupBy("owner", "name").agg(F.min_by("id", F.struct(~F.col("has_body"), "id")).alias("id"))
+    # of pairs whose ancestor has no method here nothing is overridden; only what is left needs its methods
+    above = kept(ancestors(bases).join(methods.select(F.col("owner").alias("ancestor")).distinct(), "ancestor", "left_semi"))
+    owners = above.select(F.col("class").alias("owner")).union(above.select("ancestor")).distinct()
+    one = methods.join(owners, "owner", "left_semi").groupBy("owner", "name").agg(F.min_by("id", F.struct(~F.col("has_body"), "id")).alias("id"))
     own = one.where(~F.startswith("name", F.lit("~")) & (F.col("name") != "constructor") & (F.col("name") != F.col("owner")))
-    up = own.withColumnRenamed("owner", "class").join(ancestors(bases), "class").select("id", "name", F.col("ancestor").alias("owner"), "depth")
+    up = own.withColumnRenamed("owner", "class").join(above, "class").select("id", "name", F.col("ancestor").alias("owner"), "depth")
     met = up.join(one.withColumnRenamed("id", "base_id"), ["owner", "name"]).where("base_id <> id")
     near = met.groupBy("id").agg(F.min_by("base_id", F.struct("depth", "owner")).alias("from_id"))
     pairs = near.select("from_id", F.col("id").alias("to_id")).distinct()
