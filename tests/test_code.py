@@ -151,3 +151,18 @@ def test_lexer_with_the_sign_that_marks_tokens(spark):
     cases = [('a \x01 "b" // \x01 c\nd', 'a \x01 ""  \nd'), ('a "b" // c\nd', 'a ""  \nd')]
     df = spark.createDataFrame([("Kotlin", text, code) for text, code in cases], "language string, content string, wanted string")
     assert lexer.with_code(df).where("code = wanted").count() == len(cases)
+
+
+def test_scopes_of_a_long_file(spark):
+    """A file of 20,000 nested functions: every declaration and every closing brace of one depth, without a scan of all that follow."""
+    import time
+
+    n = 20_000
+    text = "class C {\n" + "".join(f"  fun f{i}() {{\n    fun g{i}() {{\n    }}\n  }}\n" for i in range(n)) + "}\n"
+    rows = c.coded(spark.createDataFrame([("k/C.kt", text)], "path string, content string"))
+    began = time.time()
+    found = c.scopes(c.spans(c.declared(rows), rows)).select("name", "level", "parent", "end_line").collect()
+    assert time.time() - began < 40
+    tree = {r["name"]: (r["level"], r["parent"], r["end_line"]) for r in found}
+    assert len(found) == 2 * n + 1 and tree["C"] == (0, None, 4 * n + 2)
+    assert all(tree[f"f{i}"] == (1, "C", 4 * i + 5) and tree[f"g{i}"] == (2, f"f{i}", 4 * i + 4) for i in range(n))

@@ -61,9 +61,10 @@ def pattern(language: str) -> str:
 
 def _blank(token: Column) -> Column:
     """A comment as a space, a literal as its quotes, both with their line breaks."""
-    breaks = F.regexp_replace(token, r"[^\n]+", "")
+    breaks = F.when(F.contains(token, F.lit("\n")), F.regexp_replace(token, r"[^\n]+", "")).otherwise("")
     quote = F.regexp_extract(token, r"[\"'`]", 0)
-    return F.when(token.rlike(r"^(//|/\*|#)"), F.concat(F.lit(" "), breaks)).otherwise(F.concat(quote, quote, breaks))
+    comment = F.startswith(token, F.lit("//")) | F.startswith(token, F.lit("/*")) | F.startswith(token, F.lit("#"))
+    return F.when(comment, F.concat(F.lit(" "), breaks)).otherwise(F.concat(quote, quote, breaks))
 
 
 #: Stands around what matched, so that one scan finds it; a text that holds this sign itself is scanned twice.
