@@ -166,3 +166,12 @@ def test_scopes_of_a_long_file(spark):
     tree = {r["name"]: (r["level"], r["parent"], r["end_line"]) for r in found}
     assert len(found) == 2 * n + 1 and tree["C"] == (0, None, 4 * n + 2)
     assert all(tree[f"f{i}"] == (1, "C", 4 * i + 5) and tree[f"g{i}"] == (2, f"f{i}", 4 * i + 4) for i in range(n))
+
+
+def test_refresh_reads_old_edges_only_if_it_keeps_them(spark):
+    """An index that is refreshed after most files changed does not link the old state."""
+    sources = {f"a/C{i}.kt": f"class C{i} {{\n  fun one{i}() {{\n    two{i}(1)\n  }}\n  fun two{i}(a: Int) {{\n  }}\n}}\n" for i in range(4)}
+    index = c.build(files(spark, sources))
+    now = files(spark, {k: v.replace("two", "three") for k, v in sources.items()})
+    after = c.refresh(index, now)
+    assert "edges" not in index and sorted(after["edges"].select("from_id", "to_id").collect()) == sorted(c.build(now)["edges"].select("from_id", "to_id").collect())

@@ -281,6 +281,15 @@ def declared_types(rows: DataFrame) -> DataFrame:
     return found.groupBy("file_id", "ident").agg(F.min_by("type", F.struct("rank", "line", "type")).alias("type"))
 
 
+#: Bytes up to which counted keys are broadcast.
+FEW_BYTES = 16 << 20
+
+
+def broadcast_few(keys: DataFrame, width: int) -> DataFrame:
+    """keys marked for broadcast, if their counted bytes are few."""
+    return F.broadcast(keys) if width <= FEW_BYTES else keys
+
+
 def call_sites(bodies: DataFrame, rows: DataFrame) -> DataFrame:
     """(symbol_id, file_id, language, caller_owner, callee, dotted, recv_type), each once.
 
@@ -297,11 +306,14 @@ def call_sites(bodies: DataFrame, rows: DataFrame) -> DataFrame:
     callbacks = named(rows.where("language = 'C/C++' AND contains(bare, 'MethodID')"), "line_text", r'Get(?:Static)?MethodID\s*\([^"]*"(\w+)"', "@jvm")
     tags = named(rows.where(F.lower("path").rlike(r"\.[jt]sx$")), "bare", r"<(\p{Lu}\w*)(?=[\s/>])", "")
     sites = sites.unionByName(callbacks).unionByName(tags).where(~F.col("c").isin(NOT_CALLS) & ~((F.col("r") == "std") & (F.col("d") == "::")))
+    sites = kept(sites, compression="zstd")
     # bodies meet the sites of the same few lines, so a long body costs a row for each block of lines and not one for each line
     block = lambda line: F.floor(line / F.lit(BLOCK)).cast("int")
     methods = bodies.where("kind <> 'class'").withColumn("block", F.explode(F.sequence(block(F.col("start_line")), block(F.col("end_line")))))
     in_body = sites.withColumn("block", block(F.col("line"))).join(methods, ["file_id", "block"]).where("line BETWEEN start_line AND end_line").where(~((F.col("language") == "C/C++") & (F.col("d") == "") & F.col("c").isin(LIBC)))
-    types = declared_types(rows)
+    # types are looked for in files that call something of a named receiver
+    asked = sites.where("d <> '' AND p = ''").select("file_id").distinct()
+    types = declared_types(rows.join(broadcast_few(asked, asked.count() * 16), "file_id", "left_semi"))
     typed = in_body.join(types.withColumnRenamed("ident", "r"), ["file_id", "r"], "left")
     recv = (
         F.when(F.col("r") == "@jvm", "@jvm").when(F.col("d") == "", "").when(F.col("p") != "", F.concat(F.lit("ret:"), "r")).when(F.col("r").isin("this", "self", "Self"), F.coalesce("owner", F.lit("")))
@@ -420,15 +432,19 @@ def parsed(files: DataFrame) -> dict[str, DataFrame]:
     return {"files": known, "symbols": syms, "call_sites": sites}
 
 
-def build(files: DataFrame) -> dict[str, DataFrame]:
-    """The index of files (path, content, mtime, size) as tables: files, symbols, call_sites, edges. Edges are made when they are
-    read."""
-    index = parsed(files)
-    return index | {"edges": linked(index["call_sites"], index["symbols"])}
+class Index(dict):
+    """Tables by name; edges are linked when they are first asked for, so an index that is only refreshed is not linked twice."""
 
+    def __missing__(self, name: str) -> DataFrame:
+        if name != "edges":
+            raise KeyError(name)
+        self[name] = linked(self["call_sites"], self["symbols"])
+        return self[name]
 
-#: Bytes up to which paths are broadcast.
-FEW_BYTES = 16 << 20
+
+def build(files: DataFrame) -> dict[str, DataFrame]:
+    """The index of files (path, content, mtime, size) as tables: files, symbols, call_sites, edges."""
+    return Index(parsed(files))
 
 
 def refresh(index: dict[str, DataFrame], files: DataFrame) -> dict[str, DataFrame]:
@@ -441,22 +457,21 @@ def refresh(index: dict[str, DataFrame], files: DataFrame) -> dict[str, DataFram
     known = files.where(language_of(F.col("path")).isNotNull())
     diff = kept(changes(index["files"], known).where("change <> 'unchanged'").withColumn("file_id", file_id(F.col("path"))))
     n_changed, width = diff.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("path") + 16), F.lit(0))).first()
-    few = F.broadcast if width <= FEW_BYTES else lambda df: df
+    few = lambda keys: broadcast_few(keys, width)
     touched, gone = diff.select("path"), diff.select("file_id")
     keep = lambda df: df.join(few(touched), "path", "left_anti")
     new = parsed(known.join(few(diff.where("change IN ('added', 'updated')").select("path")), "path", "left_semi"))
     all_files = keep(index["files"]).unionByName(new["files"])
     syms = keep(index["symbols"]).unionByName(new["symbols"])
     sites = index["call_sites"].join(few(gone), "file_id", "left_anti").unionByName(new["call_sites"])
-    if n_changed * 4 >= known.select("path").count():
-        edges = linked(sites, syms)
-    else:
+    whole = Index(files=all_files, symbols=syms, call_sites=sites)
+    if n_changed * 4 < known.select("path").count():
         names = index["symbols"].join(few(touched), "path", "left_semi").select("name").union(new["symbols"].select("name")).distinct()
         affected = sites.join(names.withColumnRenamed("name", "callee"), "callee", "left_semi").select("symbol_id").union(new["call_sites"].select("symbol_id")).union(index["call_sites"].join(few(gone), "file_id", "left_semi").select("symbol_id")).distinct()
         others = bridge_edges(syms).unionByName(dispatch_edges(syms))  # cheap, and a change reaches far
         old = index["edges"].where("kind = 'CALLS'").join(affected.withColumnRenamed("symbol_id", "from_id"), "from_id", "left_anti")
-        edges = old.unionByName(resolve(sites.join(affected, "symbol_id", "left_semi"), syms)).unionByName(others).distinct()
-    return {"files": all_files, "symbols": syms, "call_sites": sites, "edges": edges}
+        whole["edges"] = old.unionByName(resolve(sites.join(affected, "symbol_id", "left_semi"), syms)).unionByName(others).distinct()
+    return whole
 
 
 SCHEMA_VERSION = "1"

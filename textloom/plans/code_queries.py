@@ -176,10 +176,9 @@ def incremental_equals_full(spark, sf_dir):
     changed = F.col("doc_id") % 10 == 0
     after = source.where("doc_id % 7 <> 3").withColumn("content", F.when(changed, F.regexp_replace("content", r"\bf(\d+)\(a", "h$1(a")).otherwise(F.col("content")))
     after = after.withColumn("mtime", F.when(changed, 2).otherwise(1).cast("long"))
-    calls = lambda index: readable_edges(index).where("kind = 'CALLS'")
-    inc, full = calls(c.refresh(c.build(source), after)), calls(c.build(after))
-    side = lambda df, n: df.select("from_name", "to_name", F.lit(n).alias("side"))
-    both = side(full, 1).union(side(inc, 2)).groupBy("from_name", "to_name").agg(F.sum("side").alias("s"))
+    calls = lambda index, n: index["edges"].where("kind = 'CALLS'").select("from_id", "to_id", F.lit(n).alias("side"))  # noqa: E731  ids are of path, owner and name
+    inc, full = c.refresh(c.build(source), after), c.build(after)
+    both = calls(full, 1).union(calls(inc, 2)).groupBy("from_id", "to_id").agg(F.sum("side").alias("s"))
     count = lambda k: F.count_if(F.col("s") == k).cast("int")
     return both.agg(count(1).alias("only_full"), count(2).alias("only_incremental"), count(3).alias("edges"))
 
